@@ -159,7 +159,7 @@ query(
     "monthly_spread",
     f"""SELECT month, avg(m) AS EI_mean, stddev_samp(m) AS EI_std, count(*) AS n FROM
         (SELECT station, {MONTH} AS month, sum(EI_daily_avg) AS m FROM station_curve GROUP BY 1, 2) GROUP BY 1""",
-    "EI_mean EI_std", digits=5,
+    "EI_mean EI_std", digits=8,
 )(lambda s, d: rain.monthly_spread(rain.monthly_ei(t.station_curve(s, d), ["station"])))
 
 LEAP = "(year(day) % 4 = 0 AND year(day) % 100 <> 0 OR year(day) % 400 = 0)"

@@ -265,8 +265,8 @@ def station_curve(spark, sf) -> DataFrame:
     return o.groupBy(
         F.pmod("o_custkey", F.lit(40)).alias("station"), tp.doy365(F.col("o_orderdate")).alias("doy")
     ).agg(
-        F.round(F.sum("o_totalprice") / 7e3, 4).alias("EI_daily_avg"),
-        F.round(F.max("o_totalprice") / 3.1e3, 4).alias("predicted_EI_daily_avg"),
+        F.round(F.sum("o_totalprice") / 7919, 4).alias("EI_daily_avg"),
+        F.round(F.max("o_totalprice") / 3119, 4).alias("predicted_EI_daily_avg"),
     )
 
 
@@ -396,8 +396,8 @@ SQL: dict[str, str] = {
     "grid_daily": """SELECT l_suppkey AS cell, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS prec
         FROM lineitem GROUP BY 1, 2""",
     "station_curve": """SELECT o_custkey % 40 AS station, CAST(least(dayofyear(o_orderdate), 365) AS INT) AS doy,
-        round(sum(o_totalprice) / 7e3, 4) AS EI_daily_avg,
-        round(max(o_totalprice) / 3.1e3, 4) AS predicted_EI_daily_avg FROM orders GROUP BY 1, 2""",
+        round(sum(o_totalprice) / 7919, 4) AS EI_daily_avg,
+        round(max(o_totalprice) / 3119, 4) AS predicted_EI_daily_avg FROM orders GROUP BY 1, 2""",
     "spectra": "SELECT vec_id AS id, CAST(label % 3 AS INT) AS cls, CAST(2021 + vec_id % 3 AS INT) AS yr, "
     + ", ".join(f"round(abs(CAST(embedding[{i}] AS DOUBLE)), 6) AS b{i}" for i in range(1, 11))
     + " FROM embeddings",
