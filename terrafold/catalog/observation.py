@@ -85,9 +85,9 @@ query("field_date_filter", f"SELECT field_id, px, py, {DAY} FROM fdate WHERE sha
 query(
     "field_keep",
     f"""SELECT field_id, px, py, {DAY} FROM fdate WHERE share <= 0.5 AND field_id IN
-        (SELECT field_id FROM fdate GROUP BY 1 HAVING 1 - count(*) FILTER (share <= 0.5) / count(*) <= 0.55)""",
+        (SELECT field_id FROM fdate GROUP BY 1 HAVING 1 - count(*) FILTER (share <= 0.5) / count(*) <= 0.973)""",
     tables={"fdate": FDATE},
-)(lambda s, d: day(masks.field_keep(t.s2_pixel(s, d), field_dates(s, d), ["field_id"], 0.55).select("field_id", "px", "py", "time")))
+)(lambda s, d: day(masks.field_keep(t.s2_pixel(s, d), field_dates(s, d), ["field_id"], 0.973).select("field_id", "px", "py", "time")))
 query(
     "semi_by_key",
     f"""SELECT field_id, px, py, product_uri FROM s2_pixel WHERE product_uri IN

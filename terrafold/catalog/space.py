@@ -271,7 +271,7 @@ BIL = f"""SELECT station, CASE WHEN count(elev) = count(*) THEN sum(w * elev) EN
       (SELECT station, floor(fx) AS ix, floor(fy) AS iy, fx - floor(fx) AS u, fy - floor(fy) AS v FROM
         (SELECT station, (east - {X0}) / 100 AS fx, (north - {Y0}) / 100 AS fy FROM station_meta)),
       (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) o(dx, dy)) k LEFT JOIN grid_static g USING (cx, cy) WHERE w > 0 GROUP BY 1"""
-query("interp_at_points", BIL, "elev")(lambda s, d: grid.bilinear(t.station_meta(s, d), ["station"], t.grid_static(s, d), ["elev"], fx_(), fy_()))
+query("interp_at_points", BIL, "elev", digits=9)(lambda s, d: grid.bilinear(t.station_meta(s, d), ["station"], t.grid_static(s, d), ["elev"], fx_(), fy_()))
 
 
 def fx_():

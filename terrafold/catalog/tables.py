@@ -424,4 +424,7 @@ def with_tables(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     head = ", ".join(f"{n} AS ({defs[n]})" for n in order)
+    text = body.lstrip()
+    if text.upper().startswith("WITH "):
+        return f"WITH RECURSIVE {head}, {text[5:]}"
     return f"WITH RECURSIVE {head} {body}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,8 +205,6 @@ def _student_tail(t: float, df: float) -> float:
 
 def welch_p(tests: DataFrame) -> DataFrame:
     """Two-sided p value for each row of ``welch_test``."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([None if pd.isna(a) or pd.isna(b) else _student_tail(a, b) for a, b in zip(t, df)], dtype="float64")
@@ -215,8 +214,6 @@ def welch_p(tests: DataFrame) -> DataFrame:
 
 def mean_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean and 95 % half-width by Student's t; a single value has width 0."""
-    import pandas as pd
-
     g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.stddev_samp(value).alias("_sd"))
 
     @F.pandas_udf(T.DoubleType())
