@@ -165,14 +165,14 @@ def llt(v: str, k: int, tag: str) -> dict[str, str]:
     }
 
 
-query("kalman_llt", "SELECT poly_id, yr, day::VARCHAR AS day, l AS level, b AS trend, sd AS level_sd FROM fp", "level trend level_sd",
-      tables={**DAILY, **llt("pv", 1, "p")})(lambda s, d: text_day(series.kalman_llt(with_sd(s, d), KEYS, "pv", "pv_sd", at(s, d))))
-LLT3 = {**DAILY, **llt("pv", 1, "p"), **llt("npv", 3, "n"), **llt("soil", 5, "s")}
+query("kalman_llt", "SELECT poly_id, yr, day::VARCHAR AS day, l AS level, b AS trend, sd AS level_sd FROM f1", "level trend level_sd",
+      tables={**DAILY, **llt("pv", 1, "1")})(lambda s, d: text_day(series.kalman_llt(with_sd(s, d), KEYS, "pv", "pv_sd", at(s, d))))
+LLT3 = {**DAILY, **llt("pv", 1, "1"), **llt("npv", 3, "2"), **llt("soil", 5, "3")}
 query(
     "kalman_fractions",
     """SELECT poly_id, yr, day::VARCHAR AS day, p / (p + n + s) AS pv, n / (p + n + s) AS npv, s / (p + n + s) AS soil, a AS pv_sd, b AS npv_sd, c AS soil_sd FROM
-       (SELECT fp.poly_id, fp.yr, fp.day, least(greatest(fp.l, 0), 1) AS p, least(greatest(fn.l, 0), 1) AS n, least(greatest(fs.l, 0), 1) AS s, fp.sd AS a, fn.sd AS b, fs.sd AS c
-        FROM fp JOIN fn ON fp.poly_id = fn.poly_id AND fp.yr = fn.yr AND fp.day = fn.day JOIN fs ON fp.poly_id = fs.poly_id AND fp.yr = fs.yr AND fp.day = fs.day)""",
+       (SELECT f1.poly_id, f1.yr, f1.day, least(greatest(f1.l, 0), 1) AS p, least(greatest(f2.l, 0), 1) AS n, least(greatest(f3.l, 0), 1) AS s, f1.sd AS a, f2.sd AS b, f3.sd AS c
+        FROM f1 JOIN f2 ON f1.poly_id = f2.poly_id AND f1.yr = f2.yr AND f1.day = f2.day JOIN f3 ON f1.poly_id = f3.poly_id AND f1.yr = f3.yr AND f1.day = f3.day)""",
     "pv npv soil pv_sd npv_sd soil_sd", tables=LLT3,
 )(lambda s, d: text_day(series.kalman_fractions(with_sd(s, d), KEYS, V, ["pv_sd", "npv_sd", "soil_sd"], at(s, d))))
 query(
