@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions.hashing import key_digest
 from terrafold.operators.series import alr, alr_inverse, fill_dates
-from terrafold.plans.ordered import exact_quantiles, top_n, with_totals
+from terrafold.plans.ordered import exact_quantiles, spread, top_n, with_totals
 
 BINS = 10
 BLOCK_ROWS = 2000
@@ -40,12 +40,12 @@ def gp_predict(
     """
     m, s = y.mean(0), y.std(0)
     s = np.where(s > 1e-12, s, 1.0)
-    chol = np.linalg.cholesky(kernel(x, x) + np.diag(noise + 1e-10))
-    solve = lambda b: np.linalg.solve(chol, b)
+    k = kernel(x, x) + np.diag(noise + 1e-10)
     ks = kernel(x, at)
-    v = solve(ks)
-    mean = v.T @ solve((y - m) / s)
-    var = np.maximum(1.0 - (v * v).sum(0), 0.0)
+    # one factorisation serves the mean and the variance
+    sol = np.linalg.solve(k, np.column_stack([(y - m) / s, ks]))
+    mean = ks.T @ sol[:, : y.shape[1]]
+    var = np.maximum(1.0 - (ks * sol[:, y.shape[1]:]).sum(0), 0.0)
     return mean * s + m, np.sqrt(var)[:, None] * s
 
 
@@ -64,11 +64,11 @@ def training_rows(df: DataFrame, field: list[str], row: list[str], max_rows: int
     return top_n(b, [*field, "_bin"], order, max(1, max_rows // BINS)).drop("_t1", "_bin")
 
 
-def _by_blocks(train: DataFrame, points: DataFrame, field: list[str], fit, schema: str, spread: list[str]) -> DataFrame:
+def _by_blocks(train: DataFrame, points: DataFrame, field: list[str], fit, schema: str, by: list[str]) -> DataFrame:
     """Run ``fit(train, points)`` per field and block of points."""
     n = with_totals(points, field, [F.count(F.lit(1)).alias("_n")])
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS)
-    pts = n.withColumn("_block", F.pmod(F.xxhash64(*spread), blocks)).drop("_n")
+    pts = n.withColumn("_block", F.pmod(F.xxhash64(*by), blocks)).drop("_n")
     copies = pts.select(*field, "_block").distinct().join(train, field)
     # fresh column identities: both sides descend from the same table
     copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
@@ -79,7 +79,7 @@ def _by_blocks(train: DataFrame, points: DataFrame, field: list[str], fit, schem
         return fit(a, b.reset_index(drop=True))
 
     g = [*field, "_block"]
-    return copies.groupBy(*g).cogroup(pts.groupBy(*g)).applyInPandas(run, schema)
+    return spread(copies, *g).groupBy(*g).cogroup(spread(pts, *g).groupBy(*g)).applyInPandas(run, schema)
 
 
 def _days(pdf: pd.DataFrame, col: str) -> np.ndarray:
@@ -92,11 +92,16 @@ def _features(day: np.ndarray, t0: float, xy: np.ndarray) -> np.ndarray:
     return np.column_stack([t / 365, np.sin(a), np.cos(a), xy])
 
 
-def quality_flag(df: DataFrame, keys: list[str], unc: str, out: str = "fc_quality_flag") -> DataFrame:
-    """1 above the 80 % and 2 above the 95 % quantile of a group's uncertainty."""
-    q = exact_quantiles(df.select(*keys, unc), keys, unc, {"_p80": 0.8, "_p95": 0.95})
+def quality_flag(df: DataFrame, keys: list[str], unc: str, weight: Column | None = None, out: str = "fc_quality_flag") -> DataFrame:
+    """1 above the 80 % and 2 above the 95 % quantile of a group's uncertainty.
+
+    A group holds one row per day at most, so the window is bounded and the
+    predictions are computed once.
+    """
+    w = Window.partitionBy(*keys)
+    q = lambda p: F.percentile(unc, F.lit(p), F.lit(1) if weight is None else weight).over(w)
     u = F.col(unc)
-    j = df.join(q, keys)
+    j = df.withColumns({"_p80": q(0.8), "_p95": q(0.95)})
     return j.withColumn(out, F.when(u > F.col("_p95"), 2).when(u > F.col("_p80"), 1).otherwise(0)).drop("_p80", "_p95")
 
 
@@ -163,7 +168,8 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
     off = clean.select(*field, *pixel, "day", a.alias("_a"), b.alias("_b")).join(med, [*field, "day"]).groupBy(*field, *pixel).agg(
         F.avg(F.col("_a") - F.col("_ma")).alias("_oa"), F.avg(F.col("_b") - F.col("_mb")).alias("_ob")
     )
-    dates = raw.select(*field, "day").distinct()
+    rows = raw.groupBy(*field, "day").agg(F.count(F.lit(1)).alias("_rows"))
+    dates = rows.select(*field, "day")
     types = dict(dates.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*field, "day"]) + ", _ga double, _gb double, _unc double"
 
@@ -176,6 +182,8 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
         return out
 
     g = _by_blocks(med, dates, field, fit, schema, ["day"])
+    # quantiles over rows: a day counts once per pixel observed on it
+    g = quality_flag(g.join(rows, [*field, "day"]), field, "_unc", F.col("_rows"))
     j = raw.select(*field, *pixel, "day").join(g, [*field, "day"]).join(lim, field).join(off, [*field, *pixel], "left")
 
     def clamp(c: str) -> Column:
@@ -184,7 +192,7 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
         return F.least(F.greatest(v, lo - 0.5 * (hi - lo)), hi + 0.5 * (hi - lo))
 
     p, n, so = alr_inverse(F.col("_ca"), F.col("_cb"))
-    j = quality_flag(j.withColumns({"_ca": clamp("a"), "_cb": clamp("b")}), field, "_unc")
+    j = j.withColumns({"_ca": clamp("a"), "_cb": clamp("b")})
     return j.select(*field, *pixel, "day", p.alias("pv"), n.alias("npv"), so.alias("soil"), "fc_quality_flag")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.plans.ordered import spread
 from terrafold.session import cut_lineage
 
 
@@ -193,7 +194,7 @@ def dense_grid(cells: DataFrame, values: list[str], block: int = 256) -> DataFra
     """
     e = cells.agg(F.min("cx").alias("_a"), F.max("cx").alias("_b"), F.min("cy").alias("_c"), F.max("cy").alias("_d"))
     seq = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
-    blocks = e.withColumn("_i", seq("_a", "_b")).withColumn("_j", seq("_c", "_d")).repartition("_i", "_j")
+    blocks = spread(e.withColumn("_i", seq("_a", "_b")).withColumn("_j", seq("_c", "_d")), "_i", "_j")
     part = lambda lo, hi, b: F.explode(
         F.sequence(F.greatest(F.col(lo), F.col(b) * block), F.least(F.col(hi), (F.col(b) + 1) * block - 1))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import timeparts as tp
-from terrafold.plans.ordered import carry, running_sum, top_n, with_halo, with_totals
+from terrafold.plans.ordered import carry, running_sum, spread, top_n, with_halo, with_totals
 
 STEP = 10  # minutes per row
 CHUNK_STEPS = 30 * 144  # rows per chunk: 30 days
@@ -47,7 +47,7 @@ def regularize(df: DataFrame, key: str = "station", time: str = "minute", value:
     )
     end = F.least(F.col("t_last"), (F.col("chunk") + 1) * size - 1)
     axis = (
-        chunks.repartition(key, "chunk").where(begin <= end)
+        spread(chunks, key, "chunk").where(begin <= end)
         .withColumn(time, F.explode(F.sequence(begin, end, F.lit(step).cast("long"))))
         .select(key, "chunk", time, F.lit(None).cast("double").alias(value), "t_first", "t_last")
     )

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.plans.ordered import spread
+
 EPS = 1e-6
 
 
@@ -212,7 +214,7 @@ def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float) -> np.ndarray:
 def _per_series(series: DataFrame, keys: list[str], values: list[str], extra: str, fn) -> DataFrame:
     types = dict(series.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", day date, " + extra
-    return series.select(*keys, "day", *values).groupBy(*keys).applyInPandas(fn, schema)
+    return spread(series.select(*keys, "day", *values), *keys).groupBy(*keys).applyInPandas(fn, schema)
 
 
 def _ordinal(pdf: pd.DataFrame) -> np.ndarray:

@@ -26,6 +26,18 @@ def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into a fixed number of tasks.
+
+    Adaptive execution merges shuffle partitions by their bytes; where rows are
+    few but each costs much work (Python fits, cell generation) that would
+    leave most cores idle. A stated number is kept as it is.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
 def carry(
     df: DataFrame,
     keys: list[str],
