@@ -10,25 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.plans.ordered import cumulative_counts, exact_quantiles
+from terrafold.session import cut_lineage
 
 T_975_DF4 = 2.7764451051977987  # fixed value: Student quantile for five models
 
 
-def _eq(keys: list[str], a: DataFrame, b: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys], F.lit(True))
-
-
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman_rho") -> DataFrame:
     """Rank correlation per group with average ranks.
 
     Equal (a, b) pairs are counted together first; ranks come from
     distributed cumulative counts, never from sorting a whole group.
     """
-    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m"))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    pairs = cut_lineage(df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")))
 
     def centred(value: str, name: str) -> DataFrame:
-        src = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        cc = cumulative_counts(src, keys, value)
+        cc = cumulative_counts(pairs, keys, value, weight="_m")
         r = F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
         return cc.select(*[F.col(k).alias(f"_k{name}_{k}") for k in keys], F.col(value).alias(f"_v{name}"), r.alias(f"_r{name}"))
 

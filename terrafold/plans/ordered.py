@@ -22,10 +22,6 @@ from terrafold.session import cut_lineage
 BEFORE = Window.unboundedPreceding
 
 
-def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-
-
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Hash-partition by ``cols`` into a fixed number of tasks.
 
@@ -123,18 +119,18 @@ def with_halo(
 
 
 def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, buckets: int = 64
+    df: DataFrame, keys: list[str], value: str, buckets: int = 64, weight: str | None = None
 ) -> DataFrame:
     """Rows (keys, value, n, below, total): how many rows sort below each value.
 
-    Equal values are counted together before anything is ordered. Each key is
-    then cut into value ranges so that no window holds more than about
-    1/``buckets`` of a key's distinct values.
+    Equal values are counted together before anything is ordered (``weight``
+    counts a row several times). Each key is then cut into value ranges so that
+    no window holds more than about 1/``buckets`` of a key's distinct values.
     """
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     )
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = cut_lineage(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,17 +32,27 @@ def build_session(app: str = "terrafold", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the cluster's shared folder ``spark.checkpoint.dir``.
+
+    Only where no shared folder is set, as in local tests, is it a temporary one.
+    """
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's reliable checkpoint folder.
+    """Write ``df`` to the shared folder and read it back.
 
-    Used where one value set must be identical for two consumers (for example
-    range bounds from an approximate sketch). The folder is the session's
-    ``spark.checkpoint.dir``; a temporary one is made only when it is unset.
+    Used where several consumers must see the very same rows (range bounds
+    from an approximate sketch, the rounds of a growing search), or would each
+    recompute a long lineage. The files survive lost executors, and their known
+    size lets the planner choose the join.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

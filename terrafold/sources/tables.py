@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import number
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared folder; machine-local only when none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from terrafold.session import scratch_path  # noqa: F401
 
 
 def read_stations(
