@@ -96,17 +96,10 @@ def erosion_risk(df: DataFrame, c: dict[str, str], potential: str, p_factor: str
 
 
 def area_weights(ref: DataFrame, area: str = "area_ha", out: str = "weight") -> DataFrame:
-    """Normalise areas to weights: null is 0, negatives 0, all zero means equal.
-
-    One row per crop, so a single-row total is joined back.
-    """
+    """Normalise areas to weights: null is 0, negatives 0, all zero means equal."""
     w = F.greatest(F.coalesce(F.col(area), F.lit(0.0)), F.lit(0.0))
-    t = ref.agg(F.sum(w).alias("_t"), F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    return (
-        ref.withColumn("_one", F.lit(1)).join(t, "_one")
-        .withColumn(out, F.when(F.col("_t") > 0, w / F.col("_t")).otherwise(F.lit(1.0) / F.col("_n")))
-        .drop("_one", "_t", "_n")
-    )
+    total, n = ref.agg(F.sum(w)).scalar(), ref.agg(F.count(F.lit(1))).scalar()
+    return ref.withColumn(out, F.when(total > 0, w / total).otherwise(F.lit(1.0) / n))
 
 
 def beta_grid(lo: float, hi: float, n: int) -> list[float]:

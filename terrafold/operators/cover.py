@@ -100,13 +100,8 @@ def region_stats(
         "fraction_area", F.try_divide(F.col("n_pixels") * F.lit(pixel_area), F.col("total_valid_area"))
     )
     out = out.where(F.col("fraction_area") > min_share)
-    # one row per region on both sides of this join
-    peak = out.agg(F.max(f"{values[0]}_count").alias("_peak")).withColumn("_one", F.lit(1))
-    return (
-        out.withColumn("_one", F.lit(1)).join(peak, "_one", "left")
-        .withColumn("count_norm", F.try_divide(f"{values[0]}_count", "_peak"))
-        .drop("_one", "_peak")
-    )
+    peak = out.agg(F.max(f"{values[0]}_count")).scalar()
+    return out.withColumn("count_norm", F.try_divide(F.col(f"{values[0]}_count"), peak))
 
 
 def bare_share(df: DataFrame, region: str, pixel_keys: list[str], soil: str, threshold: float = 0.5) -> DataFrame:

@@ -179,12 +179,12 @@ def block_fraction(cells: DataFrame, factor: int, flag: str) -> DataFrame:
 
 
 def trim_extent(cells: DataFrame, value: str) -> DataFrame:
-    """Cells inside the bounding range of valid cells (a single-row join)."""
-    ok = cells.where(F.col(value).isNotNull()).agg(
-        F.min("cx").alias("_a"), F.max("cx").alias("_b"), F.min("cy").alias("_c"), F.max("cy").alias("_d"), F.lit(1).alias("_one")
-    )
-    j = cells.withColumn("_one", F.lit(1)).join(ok, "_one")
-    return j.where(F.col("cx").between(F.col("_a"), F.col("_b")) & F.col("cy").between(F.col("_c"), F.col("_d"))).select(*cells.columns)
+    """Cells inside the bounding range of valid cells."""
+    ok = cells.where(F.col(value).isNotNull())
+    box = ok.agg(F.struct(F.min("cx").alias("a"), F.max("cx").alias("b"), F.min("cy").alias("c"), F.max("cy").alias("d"))).scalar()
+    j = cells.withColumn("_box", box)
+    inside = F.col("cx").between(F.col("_box.a"), F.col("_box.b")) & F.col("cy").between(F.col("_box.c"), F.col("_box.d"))
+    return j.where(inside).select(*cells.columns)
 
 
 def dense_grid(cells: DataFrame, values: list[str], block: int = 256) -> DataFrame:

@@ -112,7 +112,8 @@ def sample_cells(df: DataFrame, cell: list[str], n: int, seed: int = 0) -> DataF
 def shuffled_index(df: DataFrame, keys: list[str], row: list[str], seed: int, out: str = "idx") -> DataFrame:
     """0-based position of each row in a repeatable shuffle of its key.
 
-    The digest is uniform, so its first byte cuts a key into 256 even chunks.
+    The digest is uniform, so its first byte cuts a key into 256 even chunks;
+    without keys only the 256 chunk totals meet in one task.
     """
     h = df.withColumn("_h", key_digest(*[F.col(c) for c in row], seed=seed)).withColumn("_chunk", F.substring("_h", 1, 2))
     if not keys:
@@ -128,9 +129,9 @@ def spatial_split(
     """Split whole coarse cells, so that neighbouring stations share a side."""
     st = grid_id(df.select(station, x, y).distinct(), x, y, size)
     cells = st.select("grid_x", "grid_y").distinct()
-    n = cells.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    idx = shuffled_index(cells, [], ["grid_x", "grid_y"], seed, "_i").withColumn("_one", F.lit(1)).join(n, "_one")
-    a, b = F.floor(F.col("_n") * train), F.floor(F.col("_n") * val)
+    n = cells.agg(F.count(F.lit(1))).scalar()
+    idx = shuffled_index(cells, [], ["grid_x", "grid_y"], seed, "_i")
+    a, b = F.floor(n * train), F.floor(n * val)
     side = F.when(F.col("_i") < a, "train").when(F.col("_i") < a + b, "val").otherwise("test")
     named = idx.select("grid_x", "grid_y", side.alias("split"))
     return st.join(named, ["grid_x", "grid_y"]).select(station, "grid_x", "grid_y", "split").distinct()

@@ -38,17 +38,14 @@ def mix_spectra(
     k = [F.col(c) for c in key]
     u = lambda tag: unit_hash(*k, F.lit(tag), seed=seed)
     lib = shuffled_index(library, ["cls"], ["id"], seed, "idx").select("cls", "idx", *bands)
-    size = library.agg(
-        F.array(*[F.count_if(F.col("cls") == c) for c in range(3)]).alias("_size"), F.lit(1).alias("_one")
-    )
+    size = library.agg(F.array(*[F.count_if(F.col("cls") == c) for c in range(3)])).scalar()
     n = F.when(u("n") < 0.5, 2).otherwise(3)
     if replace:
         classes = F.array(*[F.floor(u(f"c{j}") * 3).cast("int") for j in range(3)])
     else:
         order = F.array_sort(F.array(*[F.struct(u(f"c{c}").alias("u"), F.lit(c).alias("c")) for c in range(3)]))
         classes = F.transform(order, lambda s: s["c"])
-    d = draws.select(*key).withColumn("_one", F.lit(1)).join(size, "_one")
-    d = d.withColumns({"_c": classes, "_k": n})
+    d = draws.select(*key).withColumns({"_size": size, "_c": classes, "_k": n})
     part = lambda j: F.struct(
         F.col("_c")[j].alias("cls"), F.floor(u(f"i{j}") * F.col("_size")[F.col("_c")[j]]).cast("long").alias("idx"), u(f"w{j}").alias("w")
     )

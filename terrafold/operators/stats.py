@@ -92,14 +92,10 @@ def risk_confusion(df: DataFrame, old_class: Column, new_class: Column, labels:
     c = c.groupBy("old", "new").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
     frame = spark.createDataFrame([(a, b) for a in labels for b in labels], "old string, new string")
-    total = c.agg(
-        F.try_divide(F.sum(F.when(F.col("old") == F.col("new"), F.col("n")).otherwise(0)), F.sum("n")).alias("agreement"),
-        F.lit(1).alias("_one"),
-    )
-    return (
-        frame.join(c, ["old", "new"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        .withColumn("_one", F.lit(1)).join(total, "_one").drop("_one")
-    )
+    same = F.sum(F.when(F.col("old") == F.col("new"), F.col("n")).otherwise(0))
+    agreement = c.agg(F.try_divide(same, F.sum("n"))).scalar()
+    out = frame.join(c, ["old", "new"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.withColumn("agreement", agreement)
 
 
 def regression_scores(df: DataFrame, keys: list[str], obs: str, pred: str) -> DataFrame:
