@@ -181,7 +181,7 @@ query(
     "regression_scores",
     """SELECT station, count(*) AS n, sqrt(avg((o - p) ** 2)) AS RMSE, avg(abs(o - p)) AS MAE, sqrt(avg((o - p) ** 2)) / (max(o) - min(o)) AS NRMSE,
        1 - avg((o - p) ** 2) / var_pop(o) AS R2, corr(o, p) ** 2 AS r2_pearson FROM (SELECT station, EI_daily_avg AS o, predicted_EI_daily_avg AS p FROM station_curve) GROUP BY 1""",
-    "RMSE MAE NRMSE R2 r2_pearson",
+    "RMSE MAE NRMSE R2 r2_pearson", digits=9,
 )(lambda s, d: stats.regression_scores(t.station_curve(s, d), ["station"], "EI_daily_avg", "predicted_EI_daily_avg"))
 CURVES = {
     "cum": """SELECT station, doy, sum(EI_daily_avg) OVER w / sum(EI_daily_avg) OVER (PARTITION BY station) * 100 AS o,
@@ -385,7 +385,7 @@ query(
              SELECT px, 'npv', ndvi, swir_ratio, swir_ratio, day FROM c WHERE ndvi <= lo AND month(day) * 100 + day(day) BETWEEN 601 AND 1115 UNION ALL
              SELECT px, 'soil', ndvi, swir_ratio, -swir_ratio, day FROM c WHERE ndvi <= lo)
        SELECT px, kind, ndvi, swir_ratio FROM (SELECT *, row_number() OVER (PARTITION BY px, kind ORDER BY o, day) AS rn FROM p) WHERE rn = 1""",
-    "ndvi swir_ratio", tables={"nd": NDVI},
+    "ndvi swir_ratio", tables={"nd": NDVI}, digits=9,
 )(lambda s, d: sampling.extreme_pick(ndvi_series(s, d), ["px"], "day").select("px", "kind", "ndvi", "swir_ratio"))
 query(
     "sample_cells",

@@ -68,7 +68,7 @@ SERIES = {
 }
 query(
     "cfactor_timeseries", "SELECT poly_id, strftime(day, '%Y-%m-%d') AS day, fc_mean, ei, slr, slr_ei FROM cser",
-    "fc_mean ei slr slr_ei", tables=SERIES,
+    "fc_mean ei slr slr_ei", tables=SERIES, digits=9,
 )(lambda s, d: series(s, d).select("poly_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "fc_mean", "ei", "slr", "slr_ei"))
 query(
     "annual_cfactor",
@@ -91,14 +91,14 @@ query(
        CASE WHEN t > 0 THEN n / t ELSE 0 END AS npv, CASE WHEN t > 0 THEN s / t ELSE 0 END AS soil
        FROM (SELECT *, p + n + s AS t FROM (SELECT poly_id, "time", x, y, least(greatest(pv, 0), 1) AS p,
        least(greatest(npv, 0), 1) AS n, least(greatest(soil, 0), 1) AS s FROM fc_raw))""",
-    "x y pv npv soil",
+    "x y pv npv soil", digits=9,
 )(
     lambda s, d: cover.normalize_fractions(t.fc_raw(s, d), ["pv", "npv", "soil"], "", upper=1.0, zero_sum=0.0)
     .select("poly_id", tp.iso_date(F.col("time")).alias("day"), "x", "y", "pv", "npv", "soil")
 )
 query(
     "dedupe_mean",
-    """SELECT poly_id, x, y, "time"::DATE::VARCHAR AS day, pv, npv, soil FROM fc_pixel""", "x y pv npv soil",
+    """SELECT poly_id, x, y, "time"::DATE::VARCHAR AS day, pv, npv, soil FROM fc_pixel""", "x y pv npv soil", digits=9,
 )(lambda s, d: t.fc_pixel(s, d).select("poly_id", "x", "y", tp.iso_date(F.col("time")).alias("day"), "pv", "npv", "soil"))
 
 query(

@@ -114,19 +114,19 @@ def daily(s, d):
     return rain.ei_daily(t.rain_event(s, d))
 
 
-query("ei_daily", "SELECT station, day::VARCHAR AS day, EI_daily FROM eidaily", "EI_daily", tables=CLIM)(
+query("ei_daily", "SELECT station, day::VARCHAR AS day, EI_daily FROM eidaily", "EI_daily", tables=CLIM, digits=6)(
     lambda s, d: daily(s, d).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 )
 # thresholds tightened so that the stand-in stations fall on both sides
 query(
     "station_screen", "SELECT station, day::VARCHAR AS day, EI_daily FROM eidaily WHERE station NOT IN (SELECT station FROM eibad)",
-    "EI_daily", tables=CLIM,
+    "EI_daily", tables=CLIM, digits=6,
 )(
     lambda s, d: rain.station_screen(daily(s, d), max_fraction=0.02, min_years=6)
     .withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 )
-query("ei_climatology", "SELECT * FROM eiclim", "EI_daily_avg", tables=CLIM)(lambda s, d: rain.ei_climatology(daily(s, d)))
-query("cumulative_percent", "SELECT * FROM eicum", "EI_daily_avg EI_daily_percent EI_daily_cumsum", tables=CLIM)(
+query("ei_climatology", "SELECT * FROM eiclim", "EI_daily_avg", tables=CLIM, digits=6)(lambda s, d: rain.ei_climatology(daily(s, d)))
+query("cumulative_percent", "SELECT * FROM eicum", "EI_daily_avg EI_daily_percent EI_daily_cumsum", tables=CLIM, digits=6)(
     lambda s, d: rain.cumulative_percent(rain.ei_climatology(daily(s, d)), ["station"])
 )
 query(

@@ -190,7 +190,7 @@ query(
     "pixel_week_stats",
     """SELECT x, y, CAST(week("time") AS INT) AS week, avg(pv) AS pv_mean, stddev_pop(pv) AS pv_std, count(pv) AS pv_count,
        avg(soil) AS soil_mean, stddev_pop(soil) AS soil_std, count(soil) AS soil_count FROM fc_norm GROUP BY 1, 2, 3""",
-    "pv_mean pv_std soil_mean soil_std",
+    "pv_mean pv_std soil_mean soil_std", digits=9,
 )(lambda s, d: cover.pixel_period_stats(norm(s, d).withColumn("week", F.weekofyear("time")), ["x", "y", "week"], ["pv", "soil"]))
 query(
     "hex_mean",
@@ -269,14 +269,14 @@ query(
 query(
     "year_areas",
     """SELECT lnf_code, avg(v) / 1e4 AS area_ha FROM (UNPIVOT lnf_label ON "2021_Area_m22", "2022_Area_m23" INTO NAME k VALUE v) GROUP BY 1""",
-    "area_ha",
+    "area_ha", digits=9,
 )(lambda s, d: lookup.year_areas(t.lnf_label(s, d), "lnf_code", [2021, 2022]))
 query(
     "spectral_indices",
     """SELECT field_id, px, py, (b8 - b4) / nullif(b8 + b4, 0) AS ndvi, b12 / nullif(b11, 0) AS swir_ratio,
        (b3 - b11) / nullif(b3 + b11, 0) AS ndsi FROM (SELECT field_id, px, py, nullif(s2_B03, 65535) b3, nullif(s2_B04, 65535) b4,
        nullif(s2_B08, 65535) b8, nullif(s2_B11, 65535) b11, nullif(s2_B12, 65535) b12 FROM s2_pixel)""",
-    "ndvi swir_ratio ndsi",
+    "ndvi swir_ratio ndsi", digits=9,
 )(
     lambda s, d: __import__("terrafold.functions.indices", fromlist=["x"]).with_indices(masks.nodata_to_null(t.s2_pixel(s, d), BANDS))
     .select("field_id", "px", "py", "ndvi", "swir_ratio", "ndsi")

@@ -56,7 +56,7 @@ def rain_event(spark, sf) -> DataFrame:
         F.col("o_orderkey").alias("event_id"),
         start.alias("start_min"),
         (start + F.pmod(F.col("o_orderkey") * 37, F.lit(4000))).alias("end_min"),
-        (F.col("o_totalprice") / 1000).alias("EI30"),
+        (F.col("o_totalprice") / 1013).alias("EI30"),
     )
 
 
@@ -314,7 +314,7 @@ SQL: dict[str, str] = {
     "rain_event": """SELECT o_custkey % 40 AS station, o_orderkey AS event_id,
         CAST(epoch(o_orderdate) / 60 AS BIGINT) + o_orderkey % 1440 AS start_min,
         CAST(epoch(o_orderdate) / 60 AS BIGINT) + o_orderkey % 1440 + (o_orderkey * 37) % 4000 AS end_min,
-        o_totalprice / 1000 AS EI30 FROM orders""",
+        o_totalprice / 1013 AS EI30 FROM orders""",
     "fc_raw": f"""SELECT l_suppkey AS poly_id, CAST(l_suppkey % 25 AS INT) AS lnf_code,
         CAST(year(l_shipdate) AS INT) AS yr,
         {X0}.0::DOUBLE + (l_partkey % 50) * 10 AS x, {Y0}.0::DOUBLE + (l_orderkey % 50) * 10 AS y,

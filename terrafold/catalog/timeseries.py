@@ -31,7 +31,7 @@ DAILY = {
         lag(pv) OVER w AS ppv, row_number() OVER w AS rn, count(*) OVER (PARTITION BY poly_id, yr) AS n FROM ds WINDOW w AS (PARTITION BY poly_id, yr ORDER BY day)""",
     "fills": "SELECT *, unnest(generate_series(day + INTERVAL 6 DAY, nday - INTERVAL 1 DAY, INTERVAL 6 DAY))::DATE AS fday FROM dl WHERE nday - day > 6",
 }
-query("daily_series", "SELECT poly_id, yr, day::VARCHAR AS day, pv, npv, soil FROM ds", "pv npv soil", tables=DAILY)(lambda s, d: text_day(daily(s, d)))
+query("daily_series", "SELECT poly_id, yr, day::VARCHAR AS day, pv, npv, soil FROM ds", "pv npv soil", tables=DAILY, digits=9)(lambda s, d: text_day(daily(s, d)))
 query("fill_dates", "SELECT poly_id, yr, fday::VARCHAR AS day FROM fills", tables=DAILY)(lambda s, d: text_day(series.fill_dates(daily(s, d), KEYS, 6)))
 query(
     "gapfill_linear",
@@ -39,7 +39,7 @@ query(
        SELECT poly_id, yr, fday::VARCHAR, p / (p + n + s), n / (p + n + s), s / (p + n + s), 1 FROM
        (SELECT poly_id, yr, fday, pv + (npv1 - pv) * f AS p, npv + (nnpv - npv) * f AS n, soil + (nsoil - soil) * f AS s FROM
         (SELECT *, (fday - day) / (nday - day) AS f FROM fills))""",
-    "pv npv soil", tables=DAILY,
+    "pv npv soil", tables=DAILY, digits=9,
 )(lambda s, d: text_day(series.gapfill_linear(daily(s, d), KEYS, V, 6)))
 query(
     "nearest_date",
@@ -199,7 +199,7 @@ query(
     "alr",
     f"""SELECT poly_id, yr, day::VARCHAR AS day, a AS alr_pv, b AS alr_npv, exp(a) / (1 + exp(a) + exp(b)) AS pv_back, exp(b) / (1 + exp(a) + exp(b)) AS npv_back,
         1 / (1 + exp(a) + exp(b)) AS soil_back FROM (SELECT *, ln({CL.format(v='pv')} / {CL.format(v='soil')}) AS a, ln({CL.format(v='npv')} / {CL.format(v='soil')}) AS b FROM ds)""",
-    "alr_pv alr_npv pv_back npv_back soil_back", tables=DAILY,
+    "alr_pv alr_npv pv_back npv_back soil_back", tables=DAILY, digits=9,
 )(alr_round)
 query(
     "season_phase",

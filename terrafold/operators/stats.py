@@ -46,7 +46,7 @@ def rank_correlation(df: DataFrame, keys: list[str], ref: str, new: str) -> Data
         F.regr_slope(new, ref).alias("slope"), F.regr_intercept(new, ref).alias("intercept"),
     )
     s = spearman(ok, keys, ref, new)
-    return lin.join(s, keys, "left") if keys else lin.crossJoin(s)
+    return lin.join(s, keys, "left") if keys else lin.withColumn("spearman_rho", s.scalar())
 
 
 def with_strata(df: DataFrame, strata: dict[str, Column]) -> DataFrame:
