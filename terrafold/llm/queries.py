@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from terrafold.llm import exact, lines, simhash
+from terrafold.llm import bpe, exact, lines, packing, simhash
 from terrafold.llm.common import key_id, shown_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,27 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return out.select(
+        shown_id(F.col("id")).alias("doc_id"), "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset", "tier", "step_group",
+    )
+
+
+@register
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("byte_bpe_50k.json")
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return out.select(
+        shown_id(F.col("id")).alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
