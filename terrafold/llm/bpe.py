@@ -34,7 +34,7 @@ def spaced_words(text: str) -> list[bytes]:
 
 #: White space as Unicode defines it; the tokenizers' ``\s`` is no wider, so a word
 #: with the white space before it is always a sequence of whole pre-tokens.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LEADING = re.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 
