@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from terrafold.llm import bpe, exact, lines, packing, simhash
-from terrafold.llm.common import key_id, shown_id, table
+from terrafold.llm import bpe, exact, lines, packing, pii, simhash, sketch, toxicity, urls
+from terrafold.llm.common import body, shown_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,6 +20,15 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketch.with_edited(table(spark, sf_dir, "documents"))
+    return out.select(
+        shown_id(F.col("id")).alias("doc_id"), "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 @register
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
@@ -65,6 +74,38 @@ FROM m GROUP BY doc_id
 """
 
 
+@register
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = docs.select("doc_id", (toxicity.fold() == 0).alias("held_out"), toxicity.score(model, body()).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@register
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts are those of the base spans; ``n_added`` counts the spans that the method adds."""
+    out = table(spark, sf_dir, "documents").select("doc_id", pii.pii_spans(body()).alias("s"))
+    base = F.filter("s", lambda x: x["base"])
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return out.select(
+        "doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("s")).alias("spans"),
+        (F.size("s") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
+@register
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 @register
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_dedup(table(spark, sf_dir, "documents"))
