@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from terrafold.llm import bpe, exact, lines, packing, pii, simhash, sketch, toxicity, urls
+from terrafold.llm import bpe, exact, lines, packing, pii, simhash, sketch, substrings, toxicity, urls
 from terrafold.llm.common import body, shown_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +116,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.repeat_dedup(table(spark, sf_dir, "documents"))
+    return out.select(shown_id(F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
