@@ -6,10 +6,12 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -20,11 +22,11 @@ from terrafold.llm.common import body, key_id
 from terrafold.session import cut_lineage
 
 #: Code points of text that share one word list, if no single document is longer.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Words whose ids are gathered at a time.
 GATHER = 1 << 18
 
-CODED = "block long, id long, bucket int, payload binary"
+CODED = "block long, seal long, id long, bucket int, payload binary"
 
 
 def spaced_words(text: str) -> list[bytes]:
@@ -65,14 +67,13 @@ def _ints(planes: bytes) -> np.ndarray:
 
 
 def _coder(split: Callable, buckets: int, block_chars: int) -> Callable:
-    """Replace texts by codes into the word list of their block, and emit the lists by bucket."""
+    """Replace texts by codes into the word list of their block, and emit the lists by bucket.
 
-    def rows(block, ids, bucket, payload):
-        n = len(payload)
-        cols = [pa.array([block] * n, pa.int64()), pa.array(ids, pa.int64()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, names=["block", "id", "bucket", "payload"])
+    A block's rows carry its number within the table and a seal, the hash of
+    all that it holds. Equal seals mean equal codes.
+    """
 
-    def lists(block, words):
+    def lists(words) -> Iterator[tuple[int, bytes]]:
         each = [w if isinstance(w, bytes) else w.encode() for w in words]
         of = np.fromiter((zlib.crc32(w) for w in each), np.int64, len(each)) % buckets
         order = np.argsort(of, kind="stable")
@@ -84,27 +85,37 @@ def _coder(split: Callable, buckets: int, block_chars: int) -> Callable:
             yield int(of[codes[0]]), _pack(np.diff(codes, prepend=0), sizes, b"".join(part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, k, words, chars = TaskContext.get().partitionId() << 20, 0, {}, 0
-
-        def close():
-            found = list(lists(first + k, words))
-            return rows(first + k, [None] * len(found), [b for b, _ in found], [p for _, p in found])
+        block = TaskContext.get().partitionId() << 20
+        ids, payload, words, chars = [], [], {}, 0
+
+        def close() -> pa.RecordBatch:
+            found = list(lists(words))
+            docs = len(ids)
+            parts = payload + [p for _, p in found]
+            seal = xxhash.xxh64()
+            for p in parts:
+                seal.update(p)
+            seal.update(np.array(ids, np.int64).tobytes())
+            cols = [
+                pa.array([block] * len(parts), pa.int64()),
+                pa.array([seal.intdigest() - 2**63] * len(parts), pa.int64()),
+                pa.array(ids + [None] * len(found), pa.int64()),
+                pa.array([-1] * docs + [b for b, _ in found], pa.int32()),
+                pa.array(parts, pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "seal", "id", "bucket", "payload"])
 
         for batch in batches:
-            ids, payload = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                codes = [words.setdefault(w, len(words)) for w in split(text)]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
                 ids.append(doc)
-                payload.append(_pack(np.array(codes, np.uint32)))
+                payload.append(_pack(np.array([words.setdefault(w, len(words)) for w in split(text)], np.uint32)))
                 chars += len(text)
                 if chars >= block_chars:
-                    yield rows(first + k, ids, [-1] * len(ids), payload)
-                    if words:
-                        yield close()
-                    k, words, chars, ids, payload = k + 1, {}, 0, [], []
-            if ids:
-                yield rows(first + k, ids, [-1] * len(ids), payload)
-        if words:
+                    yield close()
+                    block += 1
+                    ids, payload, words, chars = [], [], {}, 0
+        if ids:
             yield close()
 
     return run
@@ -144,7 +155,8 @@ def _list_encoder(path: str) -> Callable:
                 ids = [known[w] for w in words]
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
                 payload.append(_pack(codes, counts, np.frombuffer(b"".join(ids), "<u4")))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(payload, pa.binary())], names=["block", "payload"])
+            keys = [batch.column("block"), batch.column("seal")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(payload, pa.binary())], names=["block", "seal", "payload"])
 
     return run
 
@@ -167,6 +179,8 @@ def _block_ids(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def block_documents(docs: pa.Table, lists: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
     """(id, token ids) of each document of a block, joined back by position."""
+    if not docs.num_rows:
+        raise RuntimeError("a word list has lost its documents: the table's rows came in another order when they were read again")
     starts, count, flat = _block_ids(lists.column("payload").to_pylist())
     ids, payloads, at = docs.column("id").to_pylist(), docs.column("payload").to_pylist(), 0
     while at < len(ids):
@@ -175,6 +189,8 @@ def block_documents(docs: pa.Table, lists: pa.Table) -> Iterator[tuple[int, np.n
             some.append(_ints(_unpack(payloads[at + len(some)])[0]))
             words += len(some[-1])
         codes = np.concatenate(some)
+        if len(codes) and not len(count):
+            raise RuntimeError("documents have lost their word list: the table's rows came in another order when they were read again")
         n = count[codes]
         end = np.cumsum(n)
         total = int(end[-1]) if len(end) else 0
@@ -185,46 +201,62 @@ def block_documents(docs: pa.Table, lists: pa.Table) -> Iterator[tuple[int, np.n
         at += len(some)
 
 
-def word_coded(docs: DataFrame, path: str, split: Callable, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
+def word_coded(
+    docs: DataFrame, path: str, split: Callable, block_chars: int = BLOCK_CHARS, written: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """Documents as codes into their block's word list, and the lists' token ids.
 
     A block is a run of documents of a bounded size within one task. What is
     shuffled are compressed codes and, for each block, its distinct words: first
     by word, so that each is encoded once, then by block. Nothing is broadcast.
+
+    The codes are either ``written`` once for both uses, or made twice, which
+    spares the disk. Then a block is only joined with the list of the same seal,
+    so a table whose rows change their order between two reads is an error and
+    never a wrong result.
     """
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    coded = cut_lineage(
-        docs.select(key_id().alias("id"), body().alias("text")).mapInArrow(_coder(split, buckets, block_chars), CODED)
-    )
-    lists = coded.where("bucket >= 0").repartition(buckets, "bucket").select("block", "payload")
-    return coded.where("bucket < 0"), lists.mapInArrow(_list_encoder(path), "block long, payload binary")
+    coded = docs.select(key_id().alias("id"), body().alias("text")).mapInArrow(_coder(split, buckets, block_chars), CODED)
+    if written:
+        coded = cut_lineage(coded)
+    lists = coded.where("bucket >= 0").repartition(buckets, "bucket").select("block", "seal", "payload")
+    return coded.where("bucket < 0"), lists.mapInArrow(_list_encoder(path), "block long, seal long, payload binary")
 
 
 def by_block(coded: DataFrame, lists: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``fn`` on each block: its documents and its word lists."""
-    return coded.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(fn, schema)
+    return coded.groupBy("block", "seal").cogroup(lists.groupBy("block", "seal")).applyInArrow(fn, schema)
 
 
-def encode(docs: DataFrame, path: str, split: Callable = leading_space_words, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, split: Callable = leading_space_words, block_chars: int = BLOCK_CHARS, decoded: bool = False
+) -> DataFrame:
     """(id, ids): each document's token ids, as the tokenizer at ``path`` gives for the whole text.
 
-    Null and empty texts have no ids; a null doc_id stands as the lowest id;
-    repeated rows come back as often as they occur; an empty table gives none.
+    With ``decoded`` also ``text``, which the ids decode to. Null and empty
+    texts have no ids; a null doc_id stands as the lowest id; repeated rows come
+    back as often as they occur; an empty table gives none.
     """
 
     def run(d: pa.Table, lists: pa.Table) -> pa.Table:
-        names, parts = [], []
+        piece = byte_pieces(path) if decoded else None
+        names, parts, texts = [], [], []
         for name, ids in block_documents(d, lists):
             names.append(name)
             parts.append(ids)
+            if decoded:
+                texts.append(joined(ids, piece))
         ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
         flat = pa.array(np.concatenate([*parts, np.zeros(0, np.uint32)]).astype(np.int32))
-        return pa.table({"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)})
+        out = pa.table({"id": pa.array(names, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)})
+        return out.append_column("text", pa.array(texts, pa.string())) if decoded else out
 
-    return by_block(*word_coded(docs, path, split, block_chars), run, "id long, ids array<int>")
+    schema = "id long, ids array<int>" + ", text string" * decoded
+    return by_block(*word_coded(docs, path, split, block_chars, written=False), run, schema)
 
 
+@lru_cache(maxsize=2)
 def byte_pieces(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary: a table of a fixed size.
 
@@ -242,17 +274,22 @@ def byte_pieces(path: str) -> list[bytes]:
     return pieces
 
 
+def joined(ids: np.ndarray, piece: list[bytes]) -> str:
+    """The pieces of ids put together; invalid UTF-8 becomes U+FFFD."""
+    return b"".join([piece[i] for i in ids.tolist()]).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with ``ids``) and ``text``: each id joined with its piece, in order.
 
     The id-to-piece table has one row for each vocabulary entry, so the join
-    runs inside the task on a copy of it. Invalid UTF-8 becomes U+FFFD.
+    runs inside the task on a copy of it. Null ids are no text.
     """
 
     @F.pandas_udf(T.StringType())
-    def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         piece = byte_pieces(path)
         for part in parts:
-            yield pd.Series([b"".join([piece[i] for i in ids.tolist()]).decode("utf-8", "replace") for ids in part], dtype=object)
+            yield pd.Series([None if ids is None else joined(ids, piece) for ids in part], dtype=object)
 
-    return encoded.withColumn("text", joined("ids"))
+    return encoded.withColumn("text", run("ids"))

@@ -41,7 +41,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return out.select(
         shown_id(F.col("id")).alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
@@ -53,7 +53,7 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.kept", 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE_SQL["op4_line_dedup"] = r"""
