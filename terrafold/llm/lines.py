@@ -49,7 +49,7 @@ def without_lines(texts: pd.Series, drops: pd.Series) -> pd.DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of ``docs``, and ``_lines`` (n_lines, n_dropped, kept).
+    """row (all columns of ``docs``), n_lines, n_dropped, kept (the text that is left).
 
     Keys of at least ``min_chars`` code points that at least ``min_docs``
     documents hold lose all their lines except in the document of the smallest
@@ -61,7 +61,6 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     null doc_id is the smallest id. Rows that share a doc_id are one document:
     a line is dropped from all of them or from none.
     """
-    drops = shared_lines(docs, min_chars, min_docs).groupBy("id").agg(F.collect_set("key").alias("_drops"))
-    drops = drops.select(F.col("id").alias("_line_id"), "_drops")
-    joined = docs.join(drops, key_id() == F.col("_line_id"), "left")
-    return joined.select(*[docs[c] for c in docs.columns], without_lines(body(), "_drops").alias("_lines"))
+    drops = shared_lines(docs, min_chars, min_docs).groupBy("id").agg(F.collect_set("key").alias("drops"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key_id().alias("id"), body().alias("text"))
+    return rows.join(drops, "id", "left").select("row", without_lines("text", "drops").alias("out")).select("row", "out.*")
