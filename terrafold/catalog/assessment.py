@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terrafold.catalog import tables as t
 from terrafold.catalog.cover_factor import pixel_c, risk
 from terrafold.catalog.registry import query
-from terrafold.catalog.space import PROD, product
+from terrafold.catalog.space import FIELD_META, PROD, product
 from terrafold.functions import classes
 from terrafold.functions import timeparts as tp
 from terrafold.operators import cfactor as cf
@@ -255,8 +255,27 @@ def welch(s, d):
 
 
 query("welch_test", WELCH, "t df", digits=4)(welch)
-query("welch_p")(lambda s, d: stats.welch_p(welch(s, d)))
-query("mean_interval")(lambda s, d: stats.mean_interval(t.score(s, d), ["class_type"], "rmse"))
+
+
+def tail_sql(t: str, df: str) -> str:
+    """Student's tail by Simpson's rule with twice the steps of the operator."""
+    area = lambda a: f"""((pi() / 2 - {a}) / 800 * list_sum(list_transform(range(801), lambda i:
+        CASE WHEN i IN (0, 800) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * abs(cos({a} + (pi() / 2 - {a}) / 800 * i)) ** ({df} - 1))))"""
+    return f"least(1.0::DOUBLE, {area(f'atan(abs({t}) / sqrt({df}))')} / {area('0.0::DOUBLE')})"
+
+
+query("welch_p", f"SELECT *, {tail_sql('t', 'df')} AS p FROM ({WELCH})", "t df p", digits=4)(
+    lambda s, d: stats.welch_p(welch(s, d))
+)
+query(
+    "mean_interval",
+    f"""WITH RECURSIVE g AS (SELECT class_type, avg(rmse) AS mean, count(rmse) AS n, stddev_samp(rmse) AS sd FROM score GROUP BY 1),
+        h AS (SELECT DISTINCT n, 0.0::DOUBLE AS lo, 1000.0::DOUBLE AS hi, 0 AS i FROM g WHERE n > 1 UNION ALL
+          SELECT n, CASE WHEN low THEN mid ELSE lo END, CASE WHEN low THEN hi ELSE mid END, i + 1 FROM
+          (SELECT *, {tail_sql('mid', '(n - 1)')} > 0.05 AS low FROM (SELECT *, (lo + hi) / 2 AS mid FROM h WHERE i < 50)))
+        SELECT class_type, mean, g.n, coalesce(sd, 0) / sqrt(g.n) * coalesce((lo + hi) / 2, 0) AS ci FROM g LEFT JOIN h ON h.n = g.n AND h.i = 50""",
+    "mean ci",
+)(lambda s, d: stats.mean_interval(t.score(s, d), ["class_type"], "rmse"))
 query(
     "correlation_matrix",
     " UNION ALL ".join(
@@ -358,8 +377,8 @@ query(
     ).select("lnf_code", "draw", "poly_id")
 )
 query(
-    "aoi_samples", "SELECT s_suppkey AS id, CAST(yr AS INT) AS yr FROM supplier, (VALUES (2021), (2022), (2023)) y(yr)"
-)(lambda s, d: sampling.aoi_samples(t.field(s, d), [2021, 2022, 2023]).select("id", "yr"))
+    "aoi_samples", f"SELECT id, CAST(yr AS INT) AS yr, cx AS x, cy AS y FROM ({FIELD_META}), (VALUES (2021), (2022), (2023)) y(yr)", "x y", digits=2
+)(lambda s, d: sampling.aoi_samples(t.field(s, d), [2021, 2022, 2023]).select("id", "yr", "x", "y"))
 NDVI = """SELECT px, l AS day, avg(n) AS ndvi, avg(w) AS swir_ratio FROM (SELECT l_partkey AS px, CAST(l_shipdate AS DATE) AS l,
     (floor(l_quantity * 60 + 3000) - floor(l_discount * 30000 + 200)) / (floor(l_quantity * 60 + 3000) + floor(l_discount * 30000 + 200)) AS n,
     floor(l_tax * 20000 + l_discount * 10000 + 300) / floor(l_tax * 40000 + 500) AS w FROM lineitem) GROUP BY 1, 2"""
@@ -437,7 +456,7 @@ MONTHLY = """SELECT station, CAST(month(DATE '2021-01-01' + CAST(doy - 1 AS INT)
 SHAPE = {
     "mprod": PROD,
     "msc": MONTHLY,
-    "paired": "SELECT m.station, m.month, m.p, r.product AS b FROM msc m JOIN mprod r ON r.cx = m.station AND r.cy = 1 AND r.month = m.month",
+    "paired": "SELECT m.station, m.month, m.p, r.product AS b FROM msc m JOIN mprod r ON r.cx + 50 * r.cy = m.station AND r.month = m.month",
     "full12": "SELECT * FROM paired WHERE station IN (SELECT station FROM paired GROUP BY 1 HAVING count(b) = 12)",
     "shape": """SELECT month, 100 * sum(p) OVER w / sum(p) OVER (PARTITION BY station) AS pc, 100 * sum(b) OVER w / sum(b) OVER (PARTITION BY station) AS bc
         FROM full12 WINDOW w AS (PARTITION BY station ORDER BY month)""",
@@ -446,7 +465,7 @@ SHAPE = {
 
 def compared(s, d):
     m = rain.monthly_ei(t.station_curve(s, d), ["station"], "predicted_EI_daily_avg")
-    p = product(s, d).where(F.col("cy") == 1).select(F.col("cx").alias("station"), "month", "product")
+    p = product(s, d).select((F.col("cx") + 50 * F.col("cy")).alias("station"), "month", "product")
     return m.join(p, ["station", "month"])
 
 

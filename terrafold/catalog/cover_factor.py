@@ -154,6 +154,27 @@ query("area_weights", "SELECT lnf_code, weight FROM ref_w", "weight", tables=REF
 query("beta_sensitivity", "SELECT * FROM bsens", "beta C_predicted C_ref abs_error weight", tables=REF)(
     lambda s, d: cf.beta_sensitivity(fc_ei(s, d), ref_area(s, d), PIXEL, BETAS)
 )
-query("calibrate_beta", "SELECT * FROM bloss ORDER BY mae, beta LIMIT 1", "beta mae mae_equal", tables=REF)(
-    lambda s, d: cf.beta_loss(cf.beta_sensitivity(fc_ei(s, d), ref_area(s, d), PIXEL, BETAS)).orderBy("mae", "beta").limit(1)
-)
+
+def calibrated(s, d):
+    best, table = cf.calibrate_beta(fc_ei(s, d), ref_area(s, d), PIXEL, points=12, rounds=3)
+    return table.where(F.col("beta") == best)
+
+
+def shrinking(rounds: int, points: int) -> dict[str, str]:
+    """Loss on a grid of exponents, then on grids around the best of the one before."""
+    out, lo, hi = {}, "1e-4::DOUBLE", "0.1::DOUBLE"
+    for r in range(rounds):
+        out[f"grid{r}"] = f"SELECT {lo} + ({hi} - {lo}) * i / {points - 1} AS beta FROM range({points}) t(i)"
+        out[f"gpx{r}"] = f"""SELECT lnf_code, yr, poly_id, x, y, beta, sum(exp(-beta * fc_total) * ei) / sum(ei) AS C
+            FROM fc_ei, grid{r} WHERE fc_total IS NOT NULL AND ei IS NOT NULL GROUP BY ALL HAVING sum(ei) > 0"""
+        out[f"gerr{r}"] = f"""SELECT beta, abs(C - C_ref) AS e, weight FROM (SELECT lnf_code, beta, avg(C) AS C FROM gpx{r} GROUP BY 1, 2) JOIN ref_w USING (lnf_code)"""
+        out[f"loss{r}"] = f"""SELECT beta, CASE WHEN sum(weight) > 0 THEN sum(weight * e) / sum(weight) ELSE avg(e) END AS mae, avg(e) AS mae_equal FROM gerr{r} GROUP BY 1"""
+        step = f"(({hi} - {lo}) / {points - 1})"
+        best = f"(SELECT min_by(beta, (mae, beta)) FROM loss{r})"
+        lo, hi = f"greatest(1e-4::DOUBLE, {best} - {step})", f"least(0.1::DOUBLE, {best} + {step})"
+    return out
+
+
+query(
+    "calibrate_beta", "SELECT * FROM loss2 ORDER BY mae, beta LIMIT 1", "beta mae mae_equal", tables={**REF, **shrinking(3, 12)},
+)(calibrated)

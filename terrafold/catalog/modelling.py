@@ -18,8 +18,8 @@ FIELD, PIX = ["poly_id", "yr"], ["x", "y"]
 
 
 def pixels(s, d):
-    """One row per (field, pixel, day), pixels thinned to five columns of positions."""
-    n = norm(s, d).dropna(subset=V).withColumns({"x": F.col("x") - F.pmod(F.col("x"), F.lit(250.0)), "y": F.lit(0.0)})
+    """One row per (field, pixel, day)."""
+    n = norm(s, d).dropna(subset=V)
     return n.groupBy(*FIELD, *PIX, F.to_date("time").alias("day")).agg(*[F.avg(v).alias(v) for v in V])
 
 
@@ -53,13 +53,13 @@ def library(s, d):
 
 
 query(
-    "endmember_library", "SELECT id, cls, b1 AS blue, b2 AS green FROM spectra", "blue green",
+    "endmember_library", "SELECT id, cls, b1 AS blue, b2 AS green, " + ", ".join(B[2:]) + " FROM spectra", "blue green " + " ".join(B[2:]),
 )(
     lambda s, d: spectra.endmember_library(
         {
-            0: library(s, d).where("cls = 0").select("id", "b1", "b2"),
-            1: library(s, d).where("cls = 1").select("id", F.col("b1").alias("blue"), "b2"),
-            2: library(s, d).where("cls = 2").select("id", "b1", F.col("b2").alias("green")),
+            0: library(s, d).where("cls = 0").select("id", *B),
+            1: library(s, d).where("cls = 1").select("id", F.col("b1").alias("blue"), *B[1:]),
+            2: library(s, d).where("cls = 2").select("id", "b1", F.col("b2").alias("green"), *B[2:]),
         },
         {"b1": "blue", "b2": "green"},
     )
@@ -114,7 +114,7 @@ query(
         library(s, d).withColumn("b1", F.when(F.col("b1") <= 0.3, F.col("b1"))), B[:3], CENTRES, GROUPS, F.pmod("id", F.lit(5)) != 0
     ).select("id", "soil_group")
 )
-query("fit_soil_groups")(lambda s, d: spectra.fit_soil_groups(library(s, d), B, [2, 3, 4, 5]))
+query("fit_soil_groups")(lambda s, d: spectra.fit_soil_groups(library(s, d), B, list(range(2, 11))))
 
 # --- network ensemble --------------------------------------------------------
 HID, ITER = 4, 5
@@ -181,8 +181,8 @@ def feature_parts(s, d):
     g = t.grid_daily(s, d)
     day = rain.doy_climatology(g, ["cell"], "prec").withColumnRenamed("prec", "prec_daily_avg")
     lo = rain.month_climatology(g, ["cell"], "prec", "sum")
-    hi = rain.month_climatology(g.where(F.month("day") > 2), ["cell"], "prec", "max")
-    static = t.grid_static(s, d).where("cy = 0").select(F.col("cx").alias("cell"), "elev", "slope", "aspect")
+    hi = rain.month_climatology(g, ["cell"], "prec", "max")
+    static = t.grid_static(s, d).select((F.col("cx") + 50 * F.col("cy")).alias("cell"), "elev", "slope", "aspect")
     target = t.station_curve(s, d).select(F.col("station").alias("cell"), "doy", "EI_daily_avg")
     return static, day, [lo, hi], target
 
@@ -192,10 +192,10 @@ FEAT = {
     "fday": """SELECT cell, CAST(CASE WHEN (year(day) % 4 = 0 AND year(day) % 100 <> 0 OR year(day) % 400 = 0) AND dayofyear(day) > 60 THEN dayofyear(day) - 1 ELSE dayofyear(day) END AS INT) AS doy,
         avg(prec) AS prec_daily_avg FROM grid_daily WHERE NOT (month(day) = 2 AND day(day) = 29) GROUP BY 1, 2""",
     "fm1": "SELECT cell, month, avg(v) AS monthly_sum FROM (SELECT cell, CAST(month(day) AS INT) AS month, year(day) y, sum(prec) v FROM grid_daily GROUP BY ALL) GROUP BY 1, 2",
-    "fm2": "SELECT cell, month, avg(v) AS monthly_max FROM (SELECT cell, CAST(month(day) AS INT) AS month, year(day) y, max(prec) v FROM grid_daily WHERE month(day) > 2 GROUP BY ALL) GROUP BY 1, 2",
+    "fm2": "SELECT cell, month, avg(v) AS monthly_max FROM (SELECT cell, CAST(month(day) AS INT) AS month, year(day) y, max(prec) v FROM grid_daily GROUP BY ALL) GROUP BY 1, 2",
     "fmon": "SELECT coalesce(fm1.cell, fm2.cell) AS cell, coalesce(fm1.month, fm2.month) AS month, monthly_sum, monthly_max FROM fm1 FULL JOIN fm2 ON fm1.cell = fm2.cell AND fm1.month = fm2.month",
     "fjoin": f"""SELECT a.cell, a.doy, a.prec_daily_avg, m.month, monthly_sum, monthly_max FROM (SELECT *, {MON} AS month FROM fday) a LEFT JOIN fmon m ON m.cell = a.cell AND m.month = a.month""",
-    "ffull": """SELECT j.*, elev, slope, aspect, EI_daily_avg FROM fjoin j LEFT JOIN (SELECT cx AS cell, elev, slope, aspect FROM grid_static WHERE cy = 0) g ON g.cell = j.cell
+    "ffull": """SELECT j.*, elev, slope, aspect, EI_daily_avg FROM fjoin j LEFT JOIN (SELECT cx + 50 * cy AS cell, elev, slope, aspect FROM grid_static) g ON g.cell = j.cell
         JOIN station_curve s ON s.station = j.cell AND s.doy = j.doy""",
 }
 query("outer_feature_join", "SELECT * FROM fmon", "monthly_sum monthly_max", tables=FEAT)(

@@ -107,10 +107,9 @@ query(
         t.s2_pixel(s, d), masks.pixel_mask(t.s2_pixel(s, d), BANDS), ["field_id", "time"], ["s2_B08"]
     ))
 )
-# cell of a tile: line number, so that the dense grid of a tile stays small
 query(
     "mosaic_merge",
-    """WITH p AS (SELECT l_suppkey AS tile, CAST(year(l_shipdate) AS INT) AS t, l_linenumber AS cell,
+    """WITH p AS (SELECT l_suppkey AS tile, CAST(year(l_shipdate) AS INT) AS t, l_partkey AS cell,
            CASE WHEN l_partkey % 7 = 0 THEN 65535 ELSE CAST(l_quantity AS INT) END AS v FROM lineitem)
        SELECT s.tile, s.t, c.cell, coalesce(m.v, 65535) AS v FROM (SELECT DISTINCT tile, t FROM p) s
        JOIN (SELECT DISTINCT tile, cell FROM p) c ON s.tile = c.tile
@@ -119,7 +118,7 @@ query(
 )(
     lambda s, d: masks.mosaic_merge(
         t.table(s, d, "lineitem").select(
-            F.col("l_suppkey").alias("tile"), F.year("l_shipdate").alias("t"), F.col("l_linenumber").alias("cell"),
+            F.col("l_suppkey").alias("tile"), F.year("l_shipdate").alias("t"), F.col("l_partkey").alias("cell"),
             F.when(F.pmod("l_partkey", F.lit(7)) == 0, 65535).otherwise(F.col("l_quantity").cast("int")).alias("v"),
         ),
         ["t"], ["cell"], ["tile"], ["v"],
@@ -258,7 +257,7 @@ query(
        FROM (UNPIVOT c_table ON Tal_Pflug, Tal_Mulch, Berg_Pflug, Berg_Mulch INTO NAME k VALUE v)""",
     "C_old_mgmt",
 )(
-    lambda s, d: t.c_table(s, d).unpivot(["crop_name"], ["Tal_Pflug", "Tal_Mulch", "Berg_Pflug", "Berg_Mulch"], "k", "C_old_mgmt")
+    lambda s, d: lookup.melt(t.c_table(s, d), ["crop_name"], r"^((?:Tal|Berg)_(?:Pflug|Mulch))$", "C_old_mgmt", "k", "string")
     .select("crop_name", F.split("k", "_")[0].alias("region"), F.split("k", "_")[1].alias("tillage"), "C_old_mgmt")
 )
 query(

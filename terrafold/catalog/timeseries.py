@@ -73,22 +73,28 @@ query(
 )(lambda s, d: text_day(series.despike_zscore(daily(s, d), KEYS, "pv", z_max=1.5).select(*KEYS, "day", "z", "removed")))
 
 
+REACH = range(-6, 7)
+
+
 def sg_sql() -> str:
+    """Weights by offset to the row, for each window length and place in the window."""
     rows = []
     for k in (5, 7):
         for p, r in enumerate(series.savgol_weights(k, 2)):
-            rows += [f"({k}, {p}, {j}, {v!r}::DOUBLE)" for j, v in enumerate(r)]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) m(k, p, j, w)"
+            rows.append(f"({k}, {p}, " + ", ".join(f"{r[o + p] if 0 <= o + p < k else 0.0!r}::DOUBLE" for o in REACH) + ")")
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) m(k, p, " + ", ".join(f"w{o + 6}" for o in REACH) + ")"
+
+
+def sg_sum(v: str) -> str:
+    return " + ".join(f"w{o + 6} * coalesce(lead({v}, {o}) OVER w, 0)" for o in REACH)
 
 
 SG = {
     **DAILY,
     "sgw": sg_sql(),
-    "sgn": """SELECT *, CASE WHEN n < 7 THEN 5 ELSE 7 END AS k FROM dl""",
-    "sgp": "SELECT *, greatest(0, least(rn - 1 - k // 2, n - k)) AS st FROM sgn",
-    "sgs": """SELECT a.poly_id, a.yr, a.day, sum(w * b.pv) AS pv, sum(w * b.npv) AS npv, sum(w * b.soil) AS soil FROM sgp a
-        JOIN sgw m ON m.k = a.k AND m.p = a.rn - 1 - a.st JOIN dl b ON b.poly_id = a.poly_id AND b.yr = a.yr AND b.rn = a.st + m.j + 1
-        WHERE a.n >= 5 GROUP BY 1, 2, 3 UNION ALL SELECT poly_id, yr, day, pv, npv, soil FROM dl WHERE n < 5""",
+    "sgp": """SELECT *, CAST(rn - 1 - greatest(0, least(rn - 1 - k // 2, n - k)) AS INT) AS p FROM (SELECT *, CASE WHEN n < 7 THEN 5 ELSE 7 END AS k FROM dl)""",
+    "sgs": f"""SELECT poly_id, yr, day, {", ".join(f"CASE WHEN n < 5 THEN {v} ELSE {sg_sum(v)} END AS {v}" for v in V)}
+        FROM sgp LEFT JOIN sgw ON sgw.k = sgp.k AND sgw.p = sgp.p WINDOW w AS (PARTITION BY poly_id, yr ORDER BY day)""",
 }
 query(
     "savgol",
@@ -114,7 +120,7 @@ query(
     """SELECT poly_id, yr, day::VARCHAR AS day, pv / (pv + npv + soil) AS pv, npv / (pv + npv + soil) AS npv, soil / (pv + npv + soil) AS soil FROM fito""",
     "pv npv soil", tables=LO,
 )(lambda s, d: text_day(series.loess(daily(s, d), KEYS, V)))
-query("loess_band")(lambda s, d: text_day(series.loess_band(daily(s, d), KEYS, V, draws=20)))
+query("loess_band")(lambda s, d: text_day(series.loess_band(daily(s, d), KEYS, V, draws=200)))
 
 
 def with_sd(s, d):

@@ -80,16 +80,21 @@ def pixel_period_stats(df: DataFrame, keys: list[str], values: list[str]) -> Dat
 
 def region_stats(
     pixels: DataFrame, region_area: DataFrame, region: str, pixel_keys: list[str], values: list[str],
-    pixel_area: float = 100.0, min_share: float = 0.0, min_area: float = 300.0,
+    pixel_area: float = 100.0, min_share: float = 0.0, min_area: float = 300.0, stat: str = "mean",
 ) -> DataFrame:
     """Statistics of pixel means per region, for regions with enough coverage.
 
     ``region_area`` gives the area that could hold data; regions at or under
     ``min_area`` and regions whose covered share is not above ``min_share``
-    are left out. ``count_norm`` scales counts by the largest region.
+    are left out. ``count_norm`` scales counts by the largest region. ``stat``
+    is what stands for a pixel's values over time: their mean or their median.
+    A pixel has one value per date, so its median is a bounded aggregate.
     """
+    if stat not in ("mean", "median"):
+        raise ValueError("stat must be mean or median")
+    over_time = F.avg if stat == "mean" else (lambda v: F.percentile(v, F.lit(0.5)))
     px = pixels.dropna(how="all", subset=values).groupBy(region, *pixel_keys).agg(
-        *[F.avg(v).alias(v) for v in values]
+        *[over_time(v).alias(v) for v in values]
     )
     aggs = [F.count(F.lit(1)).alias("n_pixels")]
     for v in values:

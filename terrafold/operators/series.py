@@ -149,39 +149,45 @@ def savgol_weights(window: int, order: int) -> list[list[float]]:
 
 
 def savgol_window(window: int, order: int, n: int) -> int:
-    """Window length made odd, no longer than the series, and long enough for the order."""
-    if window > n:
-        window = n if n % 2 else n - 1
-    if window < order + 2:
-        window = order + 2 if (order + 2) % 2 else order + 3
-    return window
+    """The largest odd length within the wish and the series, but one that the order can be fitted to."""
+    longest, needed = min(window, n), order + 2
+    return max(longest - 1 + longest % 2, needed + 1 - needed % 2)
 
 
 def savgol(series: DataFrame, keys: list[str], values: list[str], window: int = 7, order: int = 2) -> DataFrame:
     """Savitzky-Golay smoothing by row position, edges from the edge polynomial.
 
-    The three fractions are renormalised afterwards. Series shorter than any
-    usable window keep their values.
+    Each row is a weighted sum of its neighbours; the weights depend on the
+    series' length and on the row's distance from both ends. A series has one
+    row per day at most, so its window is bounded. The fractions are
+    renormalised afterwards. Series shorter than any usable window keep their
+    values.
     """
-    lengths = sorted({savgol_window(window, order, n) for n in range(1, window + 1)})
-    mats = {k: savgol_weights(k, order) for k in lengths}
-    lit = lambda m: "array(" + ",".join("array(" + ",".join(f"{v!r}D" for v in r) + ")" for r in m) + ")"
-    short = savgol_window(window, order, 1)
-    size = "CASE " + " ".join(
-        f"WHEN size(s) = {n} THEN {savgol_window(window, order, n)}" for n in range(1, window)
-    ) + f" ELSE {window} END"
-    mat = "CASE " + " ".join(f"WHEN k = {k} THEN {lit(m)}" for k, m in mats.items()) + " END"
-    arr = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", *values))).alias("s"))
-    arr = arr.withColumn("k", F.expr(size)).withColumn("m", F.expr(mat))
-    start = "greatest(0, least(i - k div 2, size(s) - k))"
-    smooth = lambda v: (
-        f"CASE WHEN size(s) < {short} OR size(s) < k THEN s[i].{v} ELSE "
-        f"aggregate(sequence(0, k - 1), 0D, (a, j) -> a + m[i - {start}][j] * s[{start} + j].{v}) END"
-    )
-    fields = ", ".join(f"'{v}', {smooth(v)}" for v in values)
-    rows = arr.select(
-        *keys, F.expr(f"inline(transform(sequence(0, size(s) - 1), i -> named_struct('day', s[i].day, {fields})))")
-    )
+    w = Window.partitionBy(*keys).orderBy("day")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    reach = range(1 - window, window)
+    near = {f"_{v}{o + window}": F.lead(v, o).over(w) if o > 0 else F.lag(v, -o).over(w) if o < 0 else F.col(v) for v in values for o in reach}
+    rows = series.select(*keys, "day", *values).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole), **near})
+    size = F.lit(window)
+    for n in range(window - 1, 0, -1):
+        size = F.when(F.col("_n") == n, F.lit(savgol_window(window, order, n))).otherwise(size)
+    rows = rows.withColumn("_k", size)
+    # position inside the window: the middle, unless an end is near
+    first = F.greatest(F.lit(0), F.least(F.col("_i") - F.floor(F.col("_k") / 2), F.col("_n") - F.col("_k")))
+    rows = rows.withColumn("_p", (F.col("_i") - first).cast("int"))
+    table = F.lit(None).cast("array<double>")
+    for k in sorted({savgol_window(window, order, n) for n in range(1, window + 1)}):
+        # by offset to the row, zero outside the window
+        shifted = [[r[o + p] if 0 <= o + p < k else 0.0 for o in reach] for p, r in enumerate(savgol_weights(k, order))]
+        by_place = F.array(*[F.array(*map(F.lit, r)) for r in shifted])
+        table = F.when(F.col("_k") == k, F.get(by_place, F.col("_p"))).otherwise(table)
+    rows = rows.withColumn("_w", table)
+
+    def smooth(v: str) -> Column:
+        total = sum((F.col("_w")[j] * F.coalesce(f"_{v}{o + window}", F.lit(0.0)) for j, o in enumerate(reach)), F.lit(0.0))
+        return F.when(F.col("_n") < F.col("_k"), F.col(v)).otherwise(total)
+
+    rows = rows.select(*keys, "day", *[smooth(v).alias(v) for v in values])
     total = F.nullif(sum((F.col(v) for v in values), F.lit(0.0)), F.lit(0.0))
     return rows.select(*keys, "day", *[F.try_divide(F.col(v), total).alias(v) for v in values])
 

@@ -56,7 +56,9 @@ def mix_spectra(
     total = F.aggregate("_p", F.lit(0.0), lambda a, s: a + s["w"])
     rows = d.withColumn("_t", total).select(*key, "_t", F.explode("_p").alias("_s"))
     rows = rows.select(*key, F.col("_s.cls").alias("cls"), F.col("_s.idx").alias("idx"), (F.col("_s.w") / F.col("_t")).alias("f"))
-    j = rows.join(lib, ["cls", "idx"], "left")
+    # shade has no spectrum to fetch: half of all mixtures would meet under its one key
+    own = rows.where(F.col("cls") != 3).join(lib, ["cls", "idx"], "left")
+    j = own.unionByName(rows.where(F.col("cls") == 3), allowMissingColumns=True)
     value = lambda b: F.col("f") * F.when(F.col("cls") == 3, F.lit(shade)).otherwise(F.col(b))
     label = lambda c: F.sum(F.when(F.col("cls") == c, F.col("f")).otherwise(0.0))
     return j.groupBy(*key).agg(

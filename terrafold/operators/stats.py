@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrafold.plans.ordered import cumulative_counts, exact_quantiles
 from terrafold.session import cut_lineage
@@ -74,15 +73,20 @@ def stratum_metrics(df: DataFrame, keys: list[str], ref: str, new: str, weight:
     return g.join(spearman(df, keys, ref, new), keys, "left")
 
 
+def _finite(c: Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    return F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False))
+
+
 def weighted_mean(df: DataFrame, keys: list[str], cols: list[str], weight: str, unit: float = 1e4) -> DataFrame:
     """Area-weighted means over finite values with positive weight; area and row count."""
     w = F.col(weight)
     aggs = []
     for c in cols:
-        ok = F.col(c).isNotNull() & ~F.isnan(c) & (w > 0)
+        ok = _finite(F.col(c)) & _finite(w) & (w > 0)
         aggs.append(F.try_divide(F.sum(F.when(ok, F.col(c) * w)), F.sum(F.when(ok, w))).alias(c))
     return df.groupBy(*keys).agg(
-        *aggs, (F.sum(w) / unit).alias("Flaeche_ha"), F.count(F.lit(1)).alias("n_parcel_years")
+        *aggs, (F.sum(F.when(_finite(w), w)) / unit).alias("Flaeche_ha"), F.count(F.lit(1)).alias("n_parcel_years")
     )
 
 
@@ -180,49 +184,53 @@ def welch_test(df: DataFrame, keys: list[str], side: Column, value: str) -> Data
     )
 
 
-def _student_tail(t: float, df: float) -> float:
-    """Two-sided tail of Student's t by numeric integration of its density."""
-    import math
+#: Steps of the integration below; even.
+TAIL_STEPS = 400
+
+
+def student_tail(t: Column, df: Column) -> Column:
+    """Two-sided tail of Student's t.
+
+    With t = sqrt(df) tan(u) the density is proportional to cos(u)^(df - 1), so
+    the tail is a ratio of two integrals of that power up to a quarter turn,
+    each taken by Simpson's rule.
+    """
 
-    import numpy as np
+    def area(start: Column) -> Column:
+        h = (F.lit(math.pi / 2) - start) / TAIL_STEPS
 
-    x = math.atan(abs(t) / math.sqrt(df))
-    grid = np.linspace(x, math.pi / 2, 4001)
-    # with t = sqrt(df) tan(u) the density is proportional to cos(u)^(df - 1)
-    y = np.cos(grid) ** (df - 1)
-    h = grid[1] - grid[0]
-    area = h / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
-    const = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return float(min(1.0, 2 * const * area))
+        def term(i: Column) -> Column:
+            weight = F.when((i == 0) | (i == TAIL_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return weight * F.pow(F.abs(F.cos(start + h * i)), df - 1)
+
+        return h * F.aggregate(F.sequence(F.lit(0), F.lit(TAIL_STEPS)), F.lit(0.0), lambda a, i: a + term(i))
+
+    return F.least(F.lit(1.0), area(F.atan(F.abs(t) / F.sqrt(df))) / area(F.lit(0.0)))
 
 
 def welch_p(tests: DataFrame) -> DataFrame:
     """Two-sided p value for each row of ``welch_test``."""
-    @F.pandas_udf(T.DoubleType())
-    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(a) or pd.isna(b) else _student_tail(a, b) for a, b in zip(t, df)], dtype="float64")
+    return tests.withColumn("p", student_tail(F.col("t"), F.col("df")))
 
-    return tests.withColumn("p", tail("t", "df"))
 
+def mean_interval(df: DataFrame, keys: list[str], value: str, level: float = 0.05) -> DataFrame:
+    """Mean and half-width of its interval by Student's t; a single value has width 0.
 
-def mean_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean and 95 % half-width by Student's t; a single value has width 0."""
+    The t quantile is found by halving, once for each distinct count.
+    """
     g = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"), F.stddev_samp(value).alias("_sd"))
+    span = F.struct(F.lit(0.0).alias("lo"), F.lit(1000.0).alias("hi"))
 
-    @F.pandas_udf(T.DoubleType())
-    def quantile(n: pd.Series) -> pd.Series:
-        def solve(df: float) -> float:
-            lo, hi = 0.0, 1000.0
-            for _ in range(80):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if _student_tail(mid, df) > 0.05 else (lo, mid)
-            return (lo + hi) / 2
-
-        memo: dict[int, float] = {}
-        return pd.Series([memo.setdefault(int(k), solve(int(k) - 1)) if k > 1 else 0.0 for k in n])
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        low = student_tail(mid, (F.col("n") - 1).cast("double")) > level
+        return F.struct(F.when(low, mid).otherwise(s["lo"]).alias("lo"), F.when(low, s["hi"]).otherwise(mid).alias("hi"))
 
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(50)), span, halve)
+    counts = g.select("n").distinct().where("n > 1").select(F.col("n").alias("_n"), ((found["lo"] + found["hi"]) / 2).alias("_q"))
     sem = F.coalesce(F.col("_sd"), F.lit(0.0)) / F.sqrt("n")
-    return g.select(*keys, "mean", "n", (sem * quantile("n")).alias("ci"))
+    return g.join(counts, F.col("n") == F.col("_n"), "left").select(*keys, "mean", "n", (sem * F.coalesce("_q", F.lit(0.0))).alias("ci"))
+
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -32,17 +32,25 @@ def build_session(app: str = "terrafold", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared folder ``spark.checkpoint.dir``.
+def scratch_path(spark: SparkSession, name: str, base: str | None = None) -> str:
+    """A fresh folder below ``base``, or else the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where no shared folder is set, as in local tests, is it a temporary one.
+    It is removed when the application ends. Without a shared folder a
+    temporary one is used in local mode; on a cluster, where executors would
+    each write to their own disk, that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     base = base or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -49,15 +49,14 @@ def read_grid_subset(grid: DataFrame, cells: DataFrame, columns: list[str]) -> D
     return grid.select(*columns).join(cells.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], files_per_partition: int = 1) -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
     """Parquet by partition columns, replacing only the partitions present in ``df``.
 
-    Rows are spread by the partition columns and a salt, so that a large
-    partition is written by several tasks.
+    Rows of a partition are brought together by size: small ones share a task,
+    a large one is written by several.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
     (
-        df.repartition(*by, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by).parquet(path)
     )
 
