@@ -24,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,6 +153,31 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.BinaryType())
+def squeezed(texts: pd.Series) -> pd.Series:
+    """Texts are shuffled twice; compressed they take under half the room."""
+    z = zstandard.ZstdCompressor(level=1)
+    return pd.Series([z.compress(t) for t in texts], dtype=object)
+
+
+_CONTEXTS = "gram long, id long, tag long, lo long, n int, to_anchor int, bytes binary"
+
+
+def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes that each wanted context covers."""
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, tag, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            text = zstandard.decompress(text)
+            out += [
+                (w["gram"], doc, tag, w["lo"], w["n"], w["to_anchor"], text[w["lo"] : w["lo"] + w["n"] + LENGTH - 1])
+                for w in wanted
+            ]
+        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
+        cols = list(zip(*out)) or [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in _CONTEXTS.split(", ")])
+
+
 _STARTS = "id long, tag long, start long, n long"
 
 
@@ -252,17 +278,16 @@ def repeated_starts(docs: DataFrame, bundle_contexts: int = BUNDLE_CONTEXTS) ->
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     one = kinds.join(several, "gram").select("gram", "kinds", "one.id", "one.place")
     wanted = one.select("gram", "kinds", "id", tag.alias("tag"), lo.alias("lo"), n.cast("int").alias("n"), to_anchor.cast("int").alias("to_anchor"))
-    by_doc = wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "kinds", "lo", "n", "to_anchor")).alias("w"))
-    # substring counts from one
-    cut = F.transform("w", lambda x: F.struct(x["gram"].alias("gram"), x["kinds"].alias("kinds"), x["lo"].alias("lo"), x["n"].alias("n"), x["to_anchor"].alias("to_anchor"), F.substring(F.col("bytes"), x["lo"].cast("int") + 1, x["n"] + LENGTH - 1).alias("bytes")))
-    contexts = cut_lineage(
-        keyed.join(by_doc, ["id", "tag"]).select("id", "tag", F.explode(cut).alias("c"))
-        .select("c.gram", "id", "tag", "c.lo", "c.n", "c.to_anchor", "c.bytes", "c.kinds")
-    )
-    few = contexts.where(F.col("kinds") <= bundle_contexts).drop("kinds")
+
+    def contexts(of: DataFrame) -> DataFrame:
+        by_doc = of.groupBy("id", "tag").agg(F.collect_list(F.struct("gram", "lo", "n", "to_anchor")).alias("w"))
+        texts = keyed.select("id", "tag", squeezed("bytes").alias("text"))
+        return texts.join(by_doc, ["id", "tag"]).select("id", "tag", "text", "w").mapInArrow(_cut_contexts, _CONTEXTS)
+
+    few = contexts(wanted.where(F.col("kinds") <= bundle_contexts))
     bundled = few.repartition("gram").sortWithinPartitions("gram").mapInArrow(_bundles, _STARTS)
 
-    many = contexts.where(F.col("kinds") > bundle_contexts).select(
+    many = contexts(wanted.where(F.col("kinds") > bundle_contexts)).select(
         "id", "tag", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
     ).select("id", "tag", (F.col("lo") + F.col("k")).alias("start"), F.unhex(F.md5(F.substring("bytes", F.col("k") + 1, F.lit(LENGTH)))).alias("key"))
     again = many.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -277,6 +302,7 @@ OUT = T.StructType().add("n_bytes", T.LongType()).add("n_removed", T.LongType())
 def without_repeats(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
     for text, run in zip(texts, runs):
+        text = zstandard.decompress(text)
         if run is None or not len(run):
             out.append((len(text), 0, 0, text))
             continue
@@ -301,4 +327,5 @@ def repeat_dedup(docs: DataFrame, bundle_contexts: int = BUNDLE_CONTEXTS) -> Dat
     """
     runs = repeated_starts(docs, bundle_contexts)
     by_doc = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return _keyed(docs).join(by_doc, ["id", "tag"], "left").select("id", without_repeats("bytes", "runs").alias("_out")).select("id", "_out.*")
+    texts = _keyed(docs).select("id", "tag", squeezed("bytes").alias("text"))
+    return texts.join(by_doc, ["id", "tag"], "left").select("id", without_repeats("text", "runs").alias("out")).select("id", "out.*")
