@@ -1,25 +1,32 @@
-"""Gaussian-process gap filling with fixed kernels, one field per fit.
-
-Spark bounds what reaches a task: a field's training rows are sampled per time
-bin by key hash, and its prediction rows are cut into blocks, each of which gets
-its own copy of the (bounded) training rows. The task-side code is the dense
-linear algebra of one such block.
+"""Gaussian-process gap filling with fixed kernels, one field per fit, on all rows.
+
+Series of one value per day are solved exactly: rows with equal inputs are
+merged into their mean first, with the noise divided by their number, so a fit
+holds a day once, however many rows there are. Fits over space as well use a
+fixed basis: the kernel on a lattice of days and positions. Their normal
+equations are sums over rows, so every row counts, partial sums are all that is
+shuffled, and what a prediction needs of a field is one small matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.functions.hashing import key_digest
 from terrafold.operators.series import alr, alr_inverse, fill_dates
-from terrafold.plans.ordered import exact_quantiles, spread, top_n, with_totals
+from terrafold.plans.ordered import exact_quantiles, spread, with_totals
+from terrafold.session import cut_lineage
 
-BINS = 10
+#: Points that are predicted together.
 BLOCK_ROWS = 2000
-MAX_TRAIN = 400
+#: The lattice: days between its times, and positions on each side within 1.5 sd of the field's middle.
+LATTICE_DAYS, LATTICE_SIDE, LATTICE_REACH = 30, 3, 1.5
+# Noise of the log-ratios as a share of their variance, and its limits.
+NOISE_SHARE, NOISE_LIMITS = 0.05, (1e-4, 0.5)
 
 
 def matern15(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -32,13 +39,15 @@ def rbf(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def gp_predict(
-    x: np.ndarray, y: np.ndarray, noise: np.ndarray, at: np.ndarray, kernel=matern15
+    x: np.ndarray, y: np.ndarray, noise: np.ndarray, at: np.ndarray, kernel=matern15,
+    scale: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sd at ``at`` for each column of ``y``; inputs already scaled by length.
 
-    ``noise`` is the variance per row on the standardised scale.
+    ``noise`` is the variance per row on the standardised scale, which
+    ``scale`` (mean, sd) gives where rows stand for several.
     """
-    m, s = y.mean(0), y.std(0)
+    m, s = scale or (y.mean(0), y.std(0))
     s = np.where(s > 1e-12, s, 1.0)
     k = kernel(x, x) + np.diag(noise + 1e-10)
     ks = kernel(x, at)
@@ -49,32 +58,42 @@ def gp_predict(
     return mean * s + m, np.sqrt(var)[:, None] * s
 
 
-def training_rows(df: DataFrame, field: list[str], row: list[str], max_rows: int = MAX_TRAIN, first: Column | None = None) -> DataFrame:
-    """At most ``max_rows`` rows per field, spread over ten time bins by key hash.
+class Basis:
+    """The kernel at fixed points, in place of the kernel at every row.
 
-    Rows for which ``first`` holds are taken before others of their bin. Adds
-    ``t``, days since the field's first row.
+    With the rows' own places as points it is the exact solution.
     """
-    spans = with_totals(df, field, [F.min("day").alias("_t0"), F.max("day").alias("_t1")])
-    t = F.datediff("day", "_t0")
-    length = F.greatest(F.datediff("_t1", "_t0"), F.lit(1))
-    b = spans.withColumns({"t": t, "_bin": F.least(F.floor(t / length * BINS), F.lit(BINS - 1))})
-    lead = [] if first is None else [(~first).cast("int")]
-    order = [*lead, key_digest(*[F.col(c) for c in row]), *[F.col(c) for c in row]]
-    return top_n(b, [*field, "_bin"], order, max(1, max_rows // BINS)).drop("_t1", "_bin")
 
+    def __init__(self, points: np.ndarray, kernel):
+        self.points, self.kernel = points, kernel
+
+    def sums(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What rows add to the normal equations; ``y`` is standardised."""
+        k = self.kernel(x, self.points) / np.sqrt(noise)[:, None]
+        return k.T @ k, k.T @ (y / np.sqrt(noise)[:, None])
+
+    def solve(self, square: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients, and the matrix that turns basis values into how far the variance falls."""
+        own = self.kernel(self.points, self.points) + 1e-8 * np.eye(len(self.points))
+        both = np.linalg.inv(own + square)
+        return both @ right, np.linalg.inv(own) - both
+
+    def predict(self, coefficients: np.ndarray, fall: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.kernel(at, self.points)
+        return k @ coefficients, np.sqrt(np.maximum(1.0 - ((k @ fall) * k).sum(1), 0.0))
 
-def _by_blocks(train: DataFrame, points: DataFrame, field: list[str], fit, schema: str, by: list[str]) -> DataFrame:
-    """Run ``fit(train, points)`` per field and block of points."""
+
+def _by_blocks(solved: DataFrame, points: DataFrame, field: list[str], fit, schema: str, by: list[str]) -> DataFrame:
+    """Run ``fit(solved, points)`` per field and block of points; ``solved`` is bounded for each field."""
     n = with_totals(points, field, [F.count(F.lit(1)).alias("_n")])
     blocks = F.ceil(F.col("_n") / BLOCK_ROWS)
     pts = n.withColumn("_block", F.pmod(F.xxhash64(*by), blocks)).drop("_n")
-    copies = pts.select(*field, "_block").distinct().join(train, field)
+    copies = pts.select(*field, "_block").distinct().join(solved, field)
     # fresh column identities: both sides descend from the same table
     copies = copies.select(*[F.col(c).alias(c) for c in copies.columns])
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if len(a) < 3 or not len(b):
+        if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         return fit(a, b.reset_index(drop=True))
 
@@ -86,60 +105,157 @@ def _days(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return pd.to_datetime(pdf[col]).to_numpy().astype("datetime64[D]").astype(np.int64).astype(float)
 
 
-def _features(day: np.ndarray, t0: float, xy: np.ndarray) -> np.ndarray:
+def _seasonal(day: np.ndarray, t0: float, xy: np.ndarray) -> np.ndarray:
+    """Years since the first day, place in the year, and scaled position."""
     t = day - t0
     a = 2 * np.pi * (t % 365) / 365
     return np.column_stack([t / 365, np.sin(a), np.cos(a), xy])
 
 
-def quality_flag(df: DataFrame, keys: list[str], unc: str, weight: Column | None = None, out: str = "fc_quality_flag") -> DataFrame:
-    """1 above the 80 % and 2 above the 95 % quantile of a group's uncertainty.
+def _lattice(days: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the days at each lattice position of ``dims`` scaled coordinates."""
+    side = np.linspace(-LATTICE_REACH, LATTICE_REACH, LATTICE_SIDE)
+    places = np.stack(np.meshgrid(*[side] * dims, indexing="ij"), -1).reshape(-1, dims) if dims else np.zeros((1, 0))
+    return np.repeat(days, len(places)), np.tile(places, (len(days), 1))
+
 
-    A group holds one row per day at most, so the window is bounded and the
-    predictions are computed once.
+def _space_time(
+    rows: DataFrame, points: DataFrame, field: list[str], space: list[str], groups: list[list[str]], basis_for, noise_for,
+    features, least_rows: int = 3,
+) -> DataFrame:
+    """Prediction (mean and sd of each value) at ``points`` (field, space, day) from all ``rows``.
+
+    The values of one of the ``groups`` share inputs and noise and are solved
+    together. ``basis_for(info, value)`` gives a field's basis, by the first
+    value of the group, ``noise_for(info, value)`` the noise variance,
+    ``features(info, value, day, xy)`` the inputs; ``info`` has the field's
+    first and last day and the mean and sd of each coordinate and value, taken
+    over all its rows.
     """
-    w = Window.partitionBy(*keys)
-    q = lambda p: F.percentile(unc, F.lit(p), F.lit(1) if weight is None else weight).over(w)
+    values = [v for g in groups for v in g]
+    lead = {g[0]: g for g in groups}
+    cols = [*space, *values]
+    info = rows.groupBy(*field).agg(
+        F.min("day").alias("_t0"), F.max("day").alias("_t1"), F.count(F.lit(1)).alias("_n"),
+        *[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_pop))],
+    ).where(F.col("_n") >= least_rows)
+    names = [c for c in info.columns if c not in field]
+    info = cut_lineage(info)
+    types = dict(rows.dtypes)
+    keyed = ", ".join(f"{c} {types[c]}" for c in field)
+
+    def scaled(r, pdf: pd.DataFrame) -> np.ndarray:
+        sd = np.array([getattr(r, f"_sd_{c}") for c in space], float)
+        return (pdf[space].to_numpy(float) - np.array([getattr(r, f"_mean_{c}") for c in space], float)) / np.where(sd > 1e-9, sd, 1.0)
+
+    def scales(r, g: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        sd = np.array([getattr(r, f"_sd_{v}") for v in g])
+        return np.array([getattr(r, f"_mean_{v}") for v in g]), np.where(sd > 1e-12, sd, 1.0)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of each field among the task's rows, which come field by field."""
+        held, sums = None, {}
+
+        def flush() -> pd.DataFrame:
+            return pd.DataFrame([(*held, v, a.ravel(), b.ravel()) for v, (a, b) in sums.items()], columns=[*field, "_v", "_a", "_b"])
+
+        for batch in batches:
+            for key, pdf in batch.groupby(field, sort=False, dropna=False):
+                if held is not None and key != held:
+                    yield flush()
+                    sums = {}
+                held = key
+                r = next(pdf.head(1).itertuples(index=False, name=None))
+                r = _Info(dict(zip(pdf.columns, r)))
+                for v, g in lead.items():
+                    mean, sd = scales(r, g)
+                    x = features(r, v, _days(pdf, "day"), scaled(r, pdf))
+                    more = basis_for(r, v).sums(x, (pdf[g].to_numpy(float) - mean) / sd, np.full(len(pdf), noise_for(r, v)))
+                    sums[v] = tuple(map(np.add, sums[v], more)) if v in sums else more
+        if held is not None:
+            yield flush()
+
+    with_info = rows.select(*field, "day", *[F.col(c).cast("double").alias(c) for c in cols]).join(info, field)
+    with_info = with_info.repartition(*field, F.pmod(F.xxhash64("day", *space), F.lit(16))).sortWithinPartitions(*field)
+    parts = with_info.mapInPandas(partial, f"{keyed}, _v string, _a array<double>, _b array<double>")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for v, own in pdf.groupby("_v"):
+            b = np.sum(own["_b"].tolist(), axis=0).reshape(-1, len(lead[v]))
+            a = np.sum(own["_a"].tolist(), axis=0).reshape(len(b), len(b))
+            r = _Info(dict(zip(pdf.columns, own.iloc[0])))
+            c, fall = basis_for(r, v).solve(a, b)
+            out.append((*[own.iloc[0][n] for n in [*field, *names]], v, c.ravel(), fall.ravel()))
+        return pd.DataFrame(out, columns=[*field, *names, "_v", "_c", "_f"])
+
+    meta = ", ".join(f"{c} {t}" for c, t in info.dtypes if c not in field)
+    solved = spread(parts.join(info, field), *field).groupBy(*field).applyInPandas(
+        solve, f"{keyed}, {meta}, _v string, _c array<double>, _f array<double>"
+    )
+    at_types = dict(points.dtypes)
+    schema = ", ".join(f"{c} {at_types[c]}" for c in [*field, *space, "day"]) + ", " + ", ".join(f"{v} double, {v}_sd double" for v in values)
+
+    def predict(fits: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
+        out = pt[[*field, *space, "day"]].copy()
+        for _, own in fits.iterrows():
+            r, v = _Info(own.to_dict()), own["_v"]
+            g = lead[v]
+            c = np.array(own["_c"]).reshape(-1, len(g))
+            x = features(r, v, _days(pt, "day"), scaled(r, pt))
+            mean, sd = basis_for(r, v).predict(c, np.array(own["_f"]).reshape(len(c), len(c)), x)
+            for k, (name, middle, scale) in enumerate(zip(g, *scales(r, g))):
+                out[name], out[f"{name}_sd"] = mean[:, k] * scale + middle, sd * scale
+        return out[[*field, *space, "day", *[c for v in values for c in (v, f"{v}_sd")]]]
+
+    return _by_blocks(cut_lineage(solved), points, field, predict, schema, [*space, "day"])
+
+
+class _Info:
+    """A field's numbers by name; days as day counts."""
+
+    def __init__(self, values: dict):
+        for k, v in values.items():
+            setattr(self, k, v)
+        for k in ("_t0", "_t1"):
+            setattr(self, k, float(pd.Timestamp(values[k]).to_numpy().astype("datetime64[D]").astype(np.int64)))
+
+
+def quality_flag(df: DataFrame, field: list[str], unc: str, out: str = "fc_quality_flag") -> DataFrame:
+    """1 above the 80 % and 2 above the 95 % quantile of the uncertainty of all of a field's rows."""
+    q = exact_quantiles(df, field, unc, {"_p80": 0.8, "_p95": 0.95})
     u = F.col(unc)
-    j = df.withColumns({"_p80": q(0.8), "_p95": q(0.95)})
+    j = df.join(q, field, "left")
     return j.withColumn(out, F.when(u > F.col("_p95"), 2).when(u > F.col("_p80"), 1).otherwise(0)).drop("_p80", "_p95")
 
 
 def gapfill_gp(
-    clean: DataFrame, field: list[str], pixel: list[str], targets: DataFrame | None = None,
-    max_gap: int = 15, max_train: int = MAX_TRAIN,
+    clean: DataFrame, field: list[str], pixel: list[str], targets: DataFrame | None = None, max_gap: int = 15,
+    lattice_days: int = LATTICE_DAYS,
 ) -> DataFrame:
     """Observations plus GP rows at the fill days, in log-ratio space.
 
-    Trained on all clean pixels of a field over time, season and position;
+    Trained on all clean rows of a field over time, season and position;
     predicted for the ``targets`` pixels, or for every pixel. Columns: keys,
-    ``day``, pv, npv, soil.
+    ``day``, pv, npv, soil. Fields of fewer than three rows get no fill rows.
     """
     a, b = alr(F.col("pv"), F.col("npv"), F.col("soil"))
-    obs = clean.withColumns({"_a": a, "_b": b})
+    rows = clean.select(*field, *pixel, "day", a.alias("_a"), b.alias("_b"))
     mine = clean if targets is None else clean.join(targets.select(*field, *pixel).distinct(), [*field, *pixel], "left_semi")
     fills = fill_dates(mine, [*field, *pixel], max_gap)
-    rows = training_rows(obs.select(*field, *pixel, "day", "_a", "_b"), field, [*pixel, "day"], max_train)
-    types = dict(fills.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*field, *pixel, "day"]) + ", _a double, _b double, _unc double"
 
-    def fit(tr: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
-        xy = tr[pixel].to_numpy(float)
-        m, s = xy.mean(0), xy.std(0)
-        s = np.where(s > 0, s, 1.0)
-        t0 = _days(tr, "_t0")[0]
-        x = _features(_days(tr, "day"), t0, (xy - m) / s)
-        y = tr[["_a", "_b"]].to_numpy(float)
-        alpha = float(np.clip(0.05 * y.var(0).mean(), 1e-4, 0.5))
-        at = _features(_days(pt, "day"), t0, (pt[pixel].to_numpy(float) - m) / s)
-        mean, sd = gp_predict(x, y, np.full(len(x), 2 * alpha), at)
-        out = pt[[*field, *pixel, "day"]].copy()
-        out["_a"], out["_b"] = mean[:, 0], mean[:, 1]
-        out["_unc"] = np.sqrt((sd * sd).sum(1))
-        return out
+    def basis_for(r: _Info, _: str) -> Basis:
+        days, places = _lattice(np.arange(r._t0, r._t1 + lattice_days, lattice_days), len(pixel))
+        return Basis(_seasonal(days, r._t0, places), matern15)
+
+    def noise_for(r: _Info, _: str) -> float:
+        spread_ = (r._sd__a**2 + r._sd__b**2) / 2
+        return 2 * float(np.clip(NOISE_SHARE * spread_, *NOISE_LIMITS))
 
-    pred = _by_blocks(rows, fills, field, fit, schema, [*pixel, "day"])
-    pred = quality_flag(pred, [*field, *pixel], "_unc")
+    features = lambda r, _, day, xy: _seasonal(day, r._t0, xy)
+    pred = _space_time(rows, fills, field, pixel, [["_a", "_b"]], basis_for, noise_for, features)
+    pred = cut_lineage(pred.withColumn("_unc", F.sqrt(F.col("_a_sd") ** 2 + F.col("_b_sd") ** 2)))
+    pred = quality_flag(pred, field, "_unc")
     p, n, so = alr_inverse(F.col("_a"), F.col("_b"))
     filled = pred.select(
         *field, *pixel, "day", p.alias("pv"), n.alias("npv"), so.alias("soil"), F.lit(True).alias("is_gapfilled"), "fc_quality_flag"
@@ -150,6 +266,34 @@ def gapfill_gp(
     return kept.unionByName(filled)
 
 
+def _merged(series: DataFrame, keys: list[str], axis: Column, values: list[str], noise: dict[str, Column]) -> DataFrame:
+    """Rows of equal inputs as one: their mean by precision, their number, sum and sum of squares."""
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for v in values:
+        w = 1 / noise[v]
+        aggs += [
+            (F.sum(F.col(v) * w) / F.sum(w)).alias(v), (1 / F.sum(w)).alias(f"_r_{v}"),
+            F.sum(v).alias(f"_s_{v}"), F.sum(F.col(v) * F.col(v)).alias(f"_q_{v}"),
+        ]
+    return series.groupBy(*keys, axis.cast("double").alias("_x")).agg(*aggs)
+
+
+def _by_series(rows: DataFrame, points: DataFrame, keys: list[str], fit, schema: str, values: list[str]) -> DataFrame:
+    """``fit`` on each series: its merged rows, its points, and the mean and sd of each value over all raw rows."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        n = a["_n"].sum() if len(a) else 0
+        if n < 3 or not len(b):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        stats = {}
+        for v in values:
+            m = a[f"_s_{v}"].sum() / n
+            stats[v] = (m, float(np.sqrt(max(a[f"_q_{v}"].sum() / n - m * m, 0.0))))
+        return fit(a.reset_index(drop=True), b.reset_index(drop=True), stats)
+
+    return spread(rows, *keys).groupBy(*keys).cogroup(spread(points, *keys).groupBy(*keys)).applyInPandas(run, schema)
+
+
 def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel: list[str]) -> DataFrame:
     """GP on the field's median series plus each pixel's mean log-ratio offset.
 
@@ -174,6 +318,8 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
     schema = ", ".join(f"{c} {types[c]}" for c in [*field, "day"]) + ", _ga double, _gb double, _unc double"
 
     def fit(tr: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
+        if len(tr) < 3 or not len(pt):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
         t, ts = _days(tr, "day")[:, None], _days(pt, "day")[:, None]
         m, s = t.mean(), max(t.std(), 1.0)
         mean, sd = gp_predict((t - m) / s, tr[["_ma", "_mb"]].to_numpy(float), np.full(len(t), 0.05), (ts - m) / s, rbf)
@@ -181,9 +327,14 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
         out["_ga"], out["_gb"], out["_unc"] = mean[:, 0], mean[:, 1], np.sqrt((sd * sd).sum(1))
         return out
 
-    g = _by_blocks(med, dates, field, fit, schema, ["day"])
+    # a median series has one row per day, and so have the dates
+    g = spread(med, *field).groupBy(*field).cogroup(spread(dates, *field).groupBy(*field)).applyInPandas(fit, schema)
     # quantiles over rows: a day counts once per pixel observed on it
-    g = quality_flag(g.join(rows, [*field, "day"]), field, "_unc", F.col("_rows"))
+    w = Window.partitionBy(*field)
+    g = g.join(rows, [*field, "day"])
+    g = g.withColumns({f"_p{int(100 * q)}": F.percentile("_unc", F.lit(q), F.col("_rows")).over(w) for q in (0.8, 0.95)})
+    u = F.col("_unc")
+    g = g.withColumn("fc_quality_flag", F.when(u > F.col("_p95"), 2).when(u > F.col("_p80"), 1).otherwise(0))
     j = raw.select(*field, *pixel, "day").join(g, [*field, "day"]).join(lim, field).join(off, [*field, *pixel], "left")
 
     def clamp(c: str) -> Column:
@@ -198,49 +349,60 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
 
 def gapfill_gp_doy(
     series: DataFrame, keys: list[str], values: list[str], max_gap: int = 15, noise: dict[str, str] | None = None,
-    space: list[str] | None = None, max_train: int = MAX_TRAIN,
+    space: list[str] | None = None, at: DataFrame | None = None, axis: str = "doy",
 ) -> DataFrame:
-    """Plain GP on the day, each fraction by itself, renormalised afterwards.
-
-    The length scale is 20 days for a varying fraction (sd above 0.2), else
-    80. ``space`` adds scaled coordinates as inputs. With ``noise`` (variance
-    column per fraction) rows carry their own noise, and the result has
-    bounds of 1.96 sd.
+    """Plain GP on the day of year, each fraction by itself, renormalised afterwards.
+
+    Predicts the days ``at`` (keys, day), or else the fill days. The length
+    scale is 20 days for a varying fraction (sd above 0.2), else 80. ``axis``
+    may be ``day`` for the absolute day. ``space`` adds scaled coordinates as
+    inputs and takes the basis form. With ``noise`` (variance column per
+    fraction) rows carry their own noise, and the result has bounds of 1.96
+    sd. Sds are on the scale of the renormalised fractions.
     """
     at_keys = [*keys, *(space or [])]
-    fills = fill_dates(series, at_keys, max_gap)
-    cols = list((noise or {}).values())
-    row = [*(space or []), "day"]
-    rows = training_rows(series.select(*at_keys, "day", *values, *cols), keys, row, max_train)
-    types = dict(fills.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*at_keys, "day"]) + ", " + ", ".join(
-        f"{v} double, {v}_sd double" for v in values
-    )
-
-    def fit(tr: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
-        out = pt[[*at_keys, "day"]].copy()
-        for v in values:
-            y = tr[[v]].to_numpy(float)
-            length = 20.0 if y.std() > 0.2 else 80.0
-            x, at = [_days(tr, "day") / length], [_days(pt, "day") / length]
-            for c in space or []:
-                s = max(float(tr[c].std(ddof=0)), 1e-9)
-                x.append(tr[c].to_numpy(float) / s)
-                at.append(pt[c].to_numpy(float) / s)
-            if noise:
-                nv = tr[noise[v]].to_numpy(float) / max(float(y.var()), 1e-12)
-            else:
-                nv = np.full(len(y), 0.05)
-            mean, sd = gp_predict(np.column_stack(x), y, nv, np.column_stack(at), rbf)
-            out[v], out[f"{v}_sd"] = mean[:, 0], sd[:, 0]
-        return out[[*at_keys, "day", *[c for v in values for c in (v, f"{v}_sd")]]]
-
-    p = _by_blocks(rows, fills, keys, fit, schema, row)
+    points = fill_dates(series, at_keys, max_gap) if at is None else at.select(*at_keys, "day").distinct()
+    place = lambda c: F.dayofyear(c) if axis == "doy" else F.datediff(c, F.lit("1970-01-01").cast("date"))
+    length = lambda sd: 20.0 if sd > 0.2 else 80.0
+    if space:
+        rows = series.select(*at_keys, "day", *values)
+
+        def on_axis(r: _Info, day: np.ndarray) -> np.ndarray:
+            if axis != "doy":
+                return day - r._t0
+            d = day.astype("datetime64[D]")
+            return (d - d.astype("datetime64[Y]").astype("datetime64[D]")).astype(float) + 1
+
+        def basis_for(r: _Info, v: str) -> Basis:
+            step = length(getattr(r, f"_sd_{v}"))
+            last = 366.0 if axis == "doy" else r._t1 - r._t0
+            days, places = _lattice(np.arange(0.0, last + step, step), len(space))
+            return Basis(np.column_stack([days / step, places]), rbf)
+
+        features = lambda r, v, day, xy: np.column_stack([on_axis(r, day) / length(getattr(r, f"_sd_{v}")), xy])
+        p = _space_time(rows, points, keys, space, [[v] for v in values], basis_for, lambda r, v: 0.05, features)
+    else:
+        own = {v: F.col(noise[v]) if noise else F.lit(1.0) for v in values}
+        rows = _merged(series, keys, place("day"), values, own)
+        types = dict(points.dtypes)
+        schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "day"]) + ", " + ", ".join(f"{v} double, {v}_sd double" for v in values)
+
+        def fit(tr: pd.DataFrame, pt: pd.DataFrame, stats: dict) -> pd.DataFrame:
+            out = pt[[*keys, "day"]].copy()
+            for v in values:
+                m, sd = stats[v]
+                unit = max(sd * sd, 1e-12) if noise else 1 / 0.05
+                x, y = tr[["_x"]].to_numpy(float) / length(sd), tr[[v]].to_numpy(float)
+                mean, dev = gp_predict(x, y, tr[f"_r_{v}"].to_numpy(float) / unit, pt[["_x"]].to_numpy(float) / length(sd), rbf, (np.array([m]), np.array([sd])))
+                out[v], out[f"{v}_sd"] = mean[:, 0], dev[:, 0]
+            return out[[*keys, "day", *[c for v in values for c in (v, f"{v}_sd")]]]
+
+        p = _by_series(rows, points.withColumn("_x", place("day").cast("double")), keys, fit, schema, values)
     clip = {v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0)) for v in values}
     total = F.nullif(sum(clip.values(), F.lit(0.0)), F.lit(0.0))
     out = p.select(
         *at_keys, "day", *[F.try_divide(e, total).alias(v) for v, e in clip.items()],
-        *[F.col(f"{v}_sd") for v in values],
+        *[F.try_divide(F.col(f"{v}_sd"), total).alias(f"{v}_sd") for v in values],
     )
     if noise:
         out = out.withColumns(

@@ -197,7 +197,9 @@ def student_tail(t: Column, df: Column) -> Column:
     """
 
     def area(start: Column) -> Column:
-        h = (F.lit(math.pi / 2) - start) / TAIL_STEPS
+        # for many degrees of freedom all of the mass lies next to the start
+        stop = F.least(F.lit(math.pi / 2), start + 12 / F.sqrt(df))
+        h = (stop - start) / TAIL_STEPS
 
         def term(i: Column) -> Column:
             weight = F.when((i == 0) | (i == TAIL_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
