@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.plans.ordered import spread
@@ -41,52 +41,77 @@ def neighbourhood_mean(
 
 def nearest_cell(
     points: DataFrame, keys: list[str], cells: DataFrame, carry: list[str], px: str = "px", py: str = "py",
-    start: int = 2, growth: int = 4,
+    start: int = 2, growth: int = 4, rings: int = 2,
 ) -> DataFrame:
     """Nearest cell of ``cells`` to each point, both in cell units.
 
-    Rings grow only for points still unmatched: at bucket size s the 3 x 3
-    buckets around a point hold every cell closer than s, so a hit below s is
-    final. The last ring covers the whole extent, so every point is matched
-    when there is any cell. Ties go to the smaller (cy, cx).
+    First ``rings`` growing neighbourhoods are searched: at bucket size s the
+    3 x 3 buckets around a point hold every cell closer than s, so a hit below
+    s is final. Points that are still unmatched go down a pyramid of occupied
+    boxes, so that they meet few cells however dense the cells are. Ties go to
+    the smaller (cy, cx). Points without coordinates, or without any cell to
+    find, come back with nulls.
     """
-    spark = points.sparkSession
     c = F.col
-    todo = points.select(*keys, c(px).cast("double").alias("_px"), c(py).cast("double").alias("_py"))
-    ext = cells.agg(F.min("cx"), F.max("cx"), F.min("cy"), F.max("cy")).first()
-    if ext[0] is None:
-        return todo.select(*keys, *[F.lit(None).alias(k) for k in ("cx", "cy", *carry)], F.lit(None).cast("double").alias("distance")).limit(0)
-    lim = todo.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
-    reach = max(ext[1], lim[1]) - min(ext[0], lim[0]) + max(ext[3], lim[3]) - min(ext[2], lim[2]) + 2
+    all_points = points.select(*keys, c(px).cast("double").alias("_px"), c(py).cast("double").alias("_py"))
+    todo = all_points.dropna(subset=["_px", "_py"])
     cand = cells.select("cx", "cy", *carry)
+    d2 = (c("cx") - c("_px")) ** 2 + (c("cy") - c("_py")) ** 2
+    best = F.min_by(F.struct("cx", "cy", *carry, d2.alias("_d2")), F.struct(d2, "cy", "cx")).alias("_b")
     done: DataFrame | None = None
     size = start
-    while True:
-        last = size > reach
+    for _ in range(rings):
         b = lambda v: F.floor(v / size)
         around = (
             todo.withColumn("_dx", F.explode(_offsets(1))).withColumn("_dy", F.explode(_offsets(1)))
             .withColumns({"_bx": b(c("_px")) + c("_dx"), "_by": b(c("_py")) + c("_dy")})
         )
         near = around.join(cand.withColumns({"_bx": b(c("cx")), "_by": b(c("cy"))}), ["_bx", "_by"])
-        d2 = (c("cx") - c("_px")) ** 2 + (c("cy") - c("_py")) ** 2
-        best = near.groupBy(*keys, "_px", "_py").agg(
-            F.min_by(F.struct("cx", "cy", *carry, d2.alias("_d2")), F.struct(d2, "cy", "cx")).alias("_b")
-        )
-        final = best if last else best.where(c("_b._d2") < float(size) ** 2)
-        hit = cut_lineage(final)
+        hit = cut_lineage(near.groupBy(*keys).agg(best).where(c("_b._d2") < float(size) ** 2))
         done = hit if done is None else done.unionByName(hit)
-        if last:
-            break
         todo = cut_lineage(todo.join(hit.select(*keys), keys, "left_anti"))
-        if todo.isEmpty():
-            break
         size *= growth
-    return done.select(
+    far = _descend(todo, keys, cand, start, growth).join(cand.withColumns({"_bx": F.floor(c("cx") / start), "_by": F.floor(c("cy") / start)}), ["_bx", "_by"])
+    far = far.groupBy(*keys).agg(best)
+    done = far if done is None else done.unionByName(far)
+    return all_points.join(done, keys, "left").select(
         *keys, *[c(f"_b.{k}").alias(k) for k in ("cx", "cy", *carry)], F.sqrt("_b._d2").alias("distance")
     )
 
 
+def _descend(points: DataFrame, keys: list[str], cells: DataFrame, start: int, growth: int) -> DataFrame:
+    """Boxes (_bx, _by) of size ``start`` that may hold the nearest cell of a point.
+
+    From boxes of the cells' whole extent downwards, a point goes on to those
+    occupied boxes whose nearest corner is no farther than the farthest corner
+    of another one. They lie along an arc, so they stay few.
+    """
+    c = F.col
+    extent = cells.agg(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).first()
+    sizes = [start]
+    while sizes[-1] <= max(extent[0] or 0, extent[1] or 0):
+        sizes.append(sizes[-1] * growth)
+    floors = cells.select("cx", "cy").distinct()
+    top = sizes[-1]
+    # an extent below the box size touches four boxes at most
+    roots = floors.agg(F.collect_set(F.struct(F.floor(c("cx") / top).alias("x"), F.floor(c("cy") / top).alias("y")))).scalar()
+    open_ = points.withColumn("_r", F.explode(roots)).select(*points.columns, c("_r.x").alias("_bx"), c("_r.y").alias("_by"))
+    for size in reversed(sizes[:-1]):
+        boxes = floors.select(F.floor(c("cx") / size).alias("_cx"), F.floor(c("cy") / size).alias("_cy")).distinct()
+        boxes = boxes.withColumns({"_bx": F.floor(c("_cx") / growth), "_by": F.floor(c("_cy") / growth)})
+
+        def reach(p: str, b: str) -> tuple[Column, Column]:
+            lo = c(b) * size
+            hi = lo + (size - 1)
+            return F.greatest(lo - c(p), c(p) - hi, F.lit(0.0)), F.greatest(F.abs(c(p) - lo), F.abs(c(p) - hi))
+
+        (nx, fx), (ny, fy) = reach("_px", "_cx"), reach("_py", "_cy")
+        tried = open_.join(boxes, ["_bx", "_by"]).withColumns({"_near": nx * nx + ny * ny, "_far": fx * fx + fy * fy})
+        tried = tried.withColumn("_cut", F.min("_far").over(Window.partitionBy(*keys)))
+        open_ = tried.where(c("_near") <= c("_cut")).select(*points.columns, c("_cx").alias("_bx"), c("_cy").alias("_by"))
+    return open_
+
+
 def fill_nearest(cells: DataFrame, label: str) -> DataFrame:
     """Label of the nearest labelled cell for cells without one.
 
