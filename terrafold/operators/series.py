@@ -275,87 +275,99 @@ def loess_band(series: DataFrame, keys: list[str], values: list[str], frac: floa
 # --- Kalman filters ----------------------------------------------------------
 
 
-def _observations(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None) -> DataFrame:
-    """Per series a sorted array of days with value and variance; ``at`` adds days to predict."""
-    rows = series.select(*keys, "day", F.col(value).alias("_y"), (F.col(sd) * F.col(sd)).alias("_r"))
+State = tuple[float, ...]
+
+
+def _walk(state: State, gap: int, q: float) -> State:
+    x, p = state
+    return x, p + q * gap
+
+
+def _walk_seen(state: State, y: float, r: float) -> State:
+    x, p = state
+    k = p / (p + r)
+    return x + k * (y - x), (1 - k) * p
+
+
+def _trend(state: State, gap: int, q: float) -> State:
+    """``gap`` days of level plus trend at once, by the closed sums of the transition powers."""
+    level, slope, p00, p01, p11 = state
+    g = gap
+    return (
+        level + slope * g, slope, p00 + 2 * g * p01 + g * g * p11 + q * (g + g * (g - 1) * (2 * g - 1) / 6),
+        p01 + g * p11 + q * g * (g - 1) / 2, p11 + q * g,
+    )
+
+
+def _trend_seen(state: State, y: float, r: float) -> State:
+    level, slope, p00, p01, p11 = state
+    k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
+    return level + k0 * (y - level), slope + k1 * (y - level), (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
+
+
+def _filtered(series: DataFrame, keys: list[str], pairs: list[tuple[str, str]], at: DataFrame | None, start: State, move, see, q: float) -> DataFrame:
+    """The state of each (value, sd) pair after each day, as columns ``value`` + its number.
+
+    One pass over a series serves all pairs, and each day costs the same. A
+    series has one row per day at most. Days without an observation, such as
+    those of ``at``, only let time pass.
+    """
+    cols = [c for pair in pairs for c in pair]
+    rows = series.select(*keys, "day", *[F.col(c).cast("double").alias(c) for c in cols])
     if at is not None:
-        none = F.lit(None).cast("double")
-        rows = rows.unionByName(at.select(*keys, "day", none.alias("_y"), none.alias("_r")))
-        rows = rows.groupBy(*keys, "day").agg(F.max("_y").alias("_y"), F.max("_r").alias("_r"))
-    item = F.struct(F.unix_date("day").alias("d"), F.col("_y").alias("y"), F.col("_r").alias("r"))
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("o"))
+        rows = rows.unionByName(at.select(*keys, "day"), allowMissingColumns=True)
+        rows = rows.groupBy(*keys, "day").agg(*[F.max(c).alias(c) for c in cols])
+    names = [f"{v}{i}" for v, _ in pairs for i in range(len(start))]
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day", ignore_index=True)
+        days = _ordinal(pdf).astype(int)
+        gaps = np.diff(days, prepend=days[0] - 1).tolist()
+        out = pdf[[*keys, "day"]].copy()
+        for v, sd in pairs:
+            ys, rs = pdf[v].to_numpy(float), pdf[sd].to_numpy(float) ** 2
+            known = ys[~np.isnan(ys)]
+            state, states = (float(known[0]) if len(known) else 0.0, *start[1:]), []
+            for gap, y, r in zip(gaps, ys.tolist(), rs.tolist()):
+                state = move(state, gap, q)
+                if y == y and r == r:
+                    state = see(state, y, r)
+                states.append(state)
+            for i, column in enumerate(zip(*states)):
+                out[f"{v}{i}"] = column
+        return out
 
-HAS = "(o.y IS NOT NULL AND o.r IS NOT NULL)"
-FIRST = "coalesce(filter(o, z -> z.y IS NOT NULL)[0].y, 0D)"
+    return _per_series(rows, keys, cols, ", ".join(f"{n} double" for n in names), fit)
 
 
 def kalman_rw(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-5) -> DataFrame:
-    """Random-walk filter on the daily axis with a variance per observation.
+    """Random-walk filter on the daily axis with a variance per observation."""
+    out = _filtered(series, keys, [(value, sd)], at, (0.0, 1.0), _walk, _walk_seen, q)
+    return out.select(*keys, "day", F.col(f"{value}0").alias("level"), F.sqrt(f"{value}1").alias("level_sd"))
 
-    Days without an observation only add process noise, so the fold steps from
-    one listed day to the next and adds it once per day between.
-    """
-    obs = _observations(series, keys, value, sd, at)
-    p = f"(a.p + {q!r}D * (o.d - a.d))"
-    k = f"({p} / ({p} + o.r))"
-    x2 = f"CASE WHEN {HAS} THEN a.x + {k} * (o.y - a.x) ELSE a.x END"
-    p2 = f"CASE WHEN {HAS} THEN (1D - {k}) * {p} ELSE {p} END"
-    fold = (
-        f"aggregate(o, named_struct('x', {FIRST}, 'p', 1D, 'd', o[0].d - 1, 'out', cast(array() AS array<struct<d:int,x:double,p:double>>)), "
-        f"(a, o) -> named_struct('x', {x2}, 'p', {p2}, 'd', o.d, 'out', "
-        f"array_append(a.out, named_struct('d', o.d, 'x', {x2}, 'p', {p2})))).out"
-    )
-    return obs.select(*keys, F.expr(f"inline({fold})")).select(
-        *keys, F.date_from_unix_date("d").alias("day"), F.col("x").alias("level"), F.sqrt("p").alias("level_sd")
-    )
 
+def _level_and_trend(series: DataFrame, keys: list[str], pairs: list[tuple[str, str]], at: DataFrame | None, q: float) -> DataFrame:
+    return _filtered(series, keys, pairs, at, (0.0, 0.0, 1.0, 0.0, 1.0), _trend, _trend_seen, q)
 
-def kalman_llt(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-6) -> DataFrame:
-    """Level-and-trend filter on the daily axis with a variance per observation.
 
-    Predicting g days at once uses the closed sums of the transition powers.
-    """
-    obs = _observations(series, keys, value, sd, at)
-    g = "(o.d - a.d)"
-    l = f"(a.l + a.b * {g})"
-    p00 = f"(a.p00 + 2 * {g} * a.p01 + {g} * {g} * a.p11 + {q!r}D * ({g} + {g} * ({g} - 1) * (2 * {g} - 1) / 6D))"
-    p01 = f"(a.p01 + {g} * a.p11 + {q!r}D * {g} * ({g} - 1) / 2D)"
-    p11 = f"(a.p11 + {q!r}D * {g})"
-    # the predicted state first, then the update from it
-    pred = f"named_struct('d', o.d, 'l', {l}, 'b', a.b, 'p00', {p00}, 'p01', {p01}, 'p11', {p11}, 'y', o.y, 'r', o.r)"
-    has, s = "(m.y IS NOT NULL AND m.r IS NOT NULL)", "(m.p00 + m.r)"
-    upd = lambda seen, else_: f"CASE WHEN {has} THEN {seen} ELSE {else_} END"
-    state = ", ".join(
-        f"'{n}', {upd(a, b)}" for n, a, b in (
-            ("l", f"m.l + m.p00 / {s} * (m.y - m.l)", "m.l"), ("b", f"m.b + m.p01 / {s} * (m.y - m.l)", "m.b"),
-            ("p00", f"(1D - m.p00 / {s}) * m.p00", "m.p00"), ("p01", f"(1D - m.p00 / {s}) * m.p01", "m.p01"),
-            ("p11", f"m.p11 - m.p01 / {s} * m.p01", "m.p11"),
-        )
-    )
-    new = f"transform(array({pred}), m -> named_struct('d', m.d, {state}))[0]"
-    start = f"named_struct('d', o[0].d - 1, 'l', {FIRST}, 'b', 0D, 'p00', 1D, 'p01', 0D, 'p11', 1D)"
-    typ = "d:int,l:double,b:double,p00:double,p01:double,p11:double"
-    # the accumulator is the list of states; its last entry is the current one
-    fold = (
-        f"aggregate(o, cast(array({start}) AS array<struct<{typ}>>), (h, o) -> array_append(h, "
-        f"transform(array(element_at(h, -1)), a -> {new})[0]))"
-    )
-    out = obs.select(*keys, F.expr(f"inline(slice({fold}, 2, size(o)))"))
+def kalman_llt(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-6) -> DataFrame:
+    """Level-and-trend filter on the daily axis with a variance per observation."""
+    out = _level_and_trend(series, keys, [(value, sd)], at, q)
     return out.select(
-        *keys, F.date_from_unix_date("d").alias("day"), F.col("l").alias("level"), F.col("b").alias("trend"), F.sqrt("p00").alias("level_sd")
+        *keys, "day", F.col(f"{value}0").alias("level"), F.col(f"{value}1").alias("trend"), F.sqrt(f"{value}2").alias("level_sd")
     )
 
 
-def kalman_fractions(series: DataFrame, keys: list[str], values: list[str], sds: list[str], at: DataFrame | None = None) -> DataFrame:
+def kalman_fractions(
+    series: DataFrame, keys: list[str], values: list[str], sds: list[str], at: DataFrame | None = None, q: float = 1e-6
+) -> DataFrame:
     """Filter the three fractions, clip to 0..1 and renormalise."""
-    out = None
-    for v, sd in zip(values, sds):
-        k = kalman_llt(series, keys, v, sd, at).select(*keys, "day", F.col("level").alias(v), F.col("level_sd").alias(f"{v}_sd"))
-        out = k if out is None else out.join(k, [*keys, "day"])
-    clip = {v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0)) for v in values}
+    out = _level_and_trend(series, keys, list(zip(values, sds)), at, q)
+    clip = {v: F.least(F.greatest(F.col(f"{v}0"), F.lit(0.0)), F.lit(1.0)) for v in values}
     total = F.nullif(sum(clip.values(), F.lit(0.0)), F.lit(0.0))
-    return out.withColumns({v: F.try_divide(e, total) for v, e in clip.items()})
+    return out.select(
+        *keys, "day", *[F.try_divide(e, total).alias(v) for v, e in clip.items()], *[F.sqrt(f"{v}2").alias(f"{v}_sd") for v in values]
+    )
 
 
 def combine_uncertainty(filtered: DataFrame, ensemble: DataFrame, keys: list[str], filter_sd: str, ensemble_sd: str, out: str) -> DataFrame:
