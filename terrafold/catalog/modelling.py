@@ -226,22 +226,61 @@ query(
 XS = ["prec_daily_avg", "monthly_sum", "elev", "slope", "sin_doy", "cos_doy"]
 
 
-def scored(s, d, kind, **kw):
-    x = table_of_features(s, d)
-    m = learn.fit_regressor(learn.require_features(x, XS), XS, "EI_daily_avg", kind, **kw)
-    return learn.grid_predict(m, x.select("cell", "doy", *XS, "EI_daily_avg"), "predicted_EI_daily_avg")
+COARSE = ["gx", "gy"]
 
 
+def labelled(s, d):
+    """Feature rows with a target, split by coarse cells of five by five."""
+    x = learn.require_features(table_of_features(s, d), XS)
+    x = x.withColumns({"gx": F.floor(F.pmod("cell", F.lit(50)) / 5), "gy": F.floor(F.col("cell") / 250)})
+    return learn.split_by_group(x, COARSE, 0.2, seed=4)
+
+
+def holdout_scores(s, d, kind, **kw):
+    x = labelled(s, d)
+    m = learn.fit_regressor(x.where("split = 'train'"), XS, "EI_daily_avg", kind, **kw)
+    test = learn.grid_predict(m, x.where("split = 'test'").select("cell", "doy", *XS, "EI_daily_avg"), "predicted_EI_daily_avg")
+    return stats.regression_scores(test, [], "EI_daily_avg", "predicted_EI_daily_avg").withColumn("model", F.lit(kind))
+
+
+def tuned(s, d):
+    train = labelled(s, d).where("split = 'train'")
+    return learn.tune_regressor(train, XS, "EI_daily_avg", "cell", [3, 5], [10, 20], folds=5)
+
+
+def whole_grid(s, d):
+    """Every cell and day that has features, with or without a gauge."""
+    static, day, months, _ = feature_parts(s, d)
+    return features.feature_table(static, day, months, ["cell"]).dropna(subset=XS)
+
+
+SPLIT = """SELECT cell, doy, CASE WHEN CAST('0x' || substr(md5('4|' || (cell % 50) // 5 || '|' || cell // 250), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2
+    THEN 'test' ELSE 'train' END AS split FROM ffull"""
+query("model_split", SPLIT, tables=FEAT)(lambda s, d: labelled(s, d).select("cell", "doy", "split"))
 query("fit_regressor")(
     lambda s, d: sampling.union_all(
-        *[
-            stats.regression_scores(scored(s, d, k, **p), [], "EI_daily_avg", "predicted_EI_daily_avg").withColumn("model", F.lit(k))
-            for k, p in (("rf", {"numTrees": 10, "maxDepth": 4}), ("gbt", {"maxIter": 3, "maxDepth": 3}))
-        ]
+        holdout_scores(s, d, "rf", numTrees=20, maxDepth=5), holdout_scores(s, d, "gbt", maxIter=10, maxDepth=3)
     )
 )
-query("tune_regressor")(lambda s, d: learn.tune_regressor(table_of_features(s, d), XS, "EI_daily_avg", "cell", [3], [5, 10], folds=2))
-query("grid_predict")(lambda s, d: scored(s, d, "rf", numTrees=10, maxDepth=4))
+query("tune_regressor")(lambda s, d: tuned(s, d)[0])
+
+
+def predicted(s, d, best=None):
+    best = best or tuned(s, d)[1]
+    return learn.grid_predict(best, whole_grid(s, d).select("cell", "doy", *XS), "predicted_EI_daily_avg")
+
+
+def forest(s, d):
+    return learn.fit_regressor(labelled(s, d).where("split = 'train'"), XS, "EI_daily_avg", "rf", numTrees=20, maxDepth=5)
+
+
+query("grid_predict")(predicted)
+query(
+    "grid_predict_rows",
+    """SELECT j.cell, j.doy, TRUE AS is_valid FROM fjoin j JOIN (SELECT cx + 50 * cy AS cell, elev, slope, aspect FROM grid_static) g ON g.cell = j.cell
+       WHERE prec_daily_avg IS NOT NULL AND monthly_sum IS NOT NULL AND elev IS NOT NULL AND slope IS NOT NULL""",
+    tables=FEAT,
+)(lambda s, d: predicted(s, d, forest(s, d)).select("cell", "doy", (F.col("predicted_EI_daily_avg") >= 0).alias("is_valid")))
 query(
     "split_join",
     """SELECT m.station, m.height, m.exposition, g.elev, CASE WHEN u < 0.2 THEN 'test' ELSE 'train' END AS split FROM

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.functions.hashing import unit_hash
+from terrafold.operators.sampling import shuffled_index
+from terrafold.session import cut_lineage
 
 
 def make_pipeline(features: list[str], label: str, kind: str = "rf", **params) -> Pipeline:
@@ -26,7 +28,8 @@ def with_label(df: DataFrame, label: str, log: bool = True) -> DataFrame:
 
 def fit_regressor(df: DataFrame, features: list[str], label: str, kind: str = "rf", log: bool = True, **params) -> PipelineModel:
     """Random forest or boosted trees, on the log of the target by default."""
-    return make_pipeline(features, label, kind, **params).fit(with_label(df, label, log))
+    train = cut_lineage(with_label(df, label, log).select(*features, "_label"))
+    return make_pipeline(features, label, kind, **params).fit(train)
 
 
 def grid_predict(model: PipelineModel, df: DataFrame, out: str, log: bool = True) -> DataFrame:
@@ -36,6 +39,12 @@ def grid_predict(model: PipelineModel, df: DataFrame, out: str, log: bool = True
     return p.withColumn(out, F.greatest(v, F.lit(0.0))).select(*df.columns, out)
 
 
+def split_by_group(df: DataFrame, group: list[str], test: float = 0.2, seed: int = 0) -> DataFrame:
+    """Mark whole groups, such as coarse cells, as train or test by their hash."""
+    u = unit_hash(*[F.col(c) for c in group], seed=seed)
+    return df.withColumn("split", F.when(u < test, "test").otherwise("train"))
+
+
 def require_features(df: DataFrame, features: list[str]) -> DataFrame:
     missing = [f for f in features if f not in df.columns]
     if missing:
@@ -44,16 +53,24 @@ def require_features(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def tune_regressor(
-    df: DataFrame, features: list[str], label: str, group: str, depths: list[int], trees: list[int], folds: int = 3, log: bool = True
-) -> DataFrame:
-    """Mean RMSE of a parameter grid, with folds that keep a group whole."""
-    fold = F.floor(unit_hash(F.col(group), seed=7) * folds).cast("int")
-    train = with_label(df, label, log).withColumn("_fold", fold)
+    df: DataFrame, features: list[str], label: str, group: str, depths: list[int], trees: list[int], folds: int = 5, log: bool = True,
+    parallelism: int = 4,
+) -> tuple[DataFrame, PipelineModel]:
+    """Mean RMSE of a parameter grid, with folds that keep a group whole, and the best model fitted to all rows."""
+    groups = shuffled_index(df.select(group).distinct(), [], [group], 7, "_fold")
+    folds = min(folds, groups.count())
+    if folds < 2:
+        raise ValueError("tuning needs two groups at least")
+    # dealt out in turn, so that no fold is empty
+    dealt = groups.select(F.col(group).alias("_group"), F.pmod("_fold", F.lit(folds)).cast("int").alias("_fold"))
+    train = with_label(df, label, log).join(dealt, F.col(group).eqNullSafe(F.col("_group")))
+    # every fit reads it again, so the features are made once
+    train = cut_lineage(train.select(*features, "_label", "_fold"))
     pipe = make_pipeline(features, label, "rf")
     rf = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(rf.maxDepth, depths).addGrid(rf.numTrees, trees).build()
     judge = RegressionEvaluator(labelCol="_label", predictionCol="_pred", metricName="rmse")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold")
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="_fold", parallelism=parallelism)
     m = cv.fit(train)
     rows = [(int(g[rf.maxDepth]), int(g[rf.numTrees]), float(s)) for g, s in zip(grid, m.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "max_depth int, num_trees int, rmse double")
+    return df.sparkSession.createDataFrame(rows, "max_depth int, num_trees int, rmse double"), m.bestModel
