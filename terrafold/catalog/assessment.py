@@ -369,8 +369,11 @@ query(
 )(lambda s, d: sampling.sample_weighted(t.parcel(s, d).select("lnf_code", "poly_id", "Flaeche"), ["lnf_code"], ["poly_id"], "Flaeche", 2, seed=3).drop("Flaeche"))
 query(
     "sample_weighted_replace",
-    f"""SELECT lnf_code, CAST(draw AS INT) AS draw, poly_id FROM (SELECT *, row_number() OVER (PARTITION BY lnf_code, draw
-        ORDER BY -ln({U.format(k="'3|' || poly_id || '|' || draw")}) / Flaeche, poly_id) AS rn FROM parcel, range(4) r(draw)) WHERE rn = 1""",
+    """WITH c AS (SELECT lnf_code, poly_id, Flaeche, sum(Flaeche) OVER (PARTITION BY lnf_code ORDER BY md5('3|' || poly_id), poly_id) AS c1,
+          sum(Flaeche) OVER (PARTITION BY lnf_code) AS total FROM parcel WHERE Flaeche > 0),
+        d AS (SELECT DISTINCT lnf_code, CAST(draw AS INT) AS draw, total * CAST('0x' || substr(md5('3|' || lnf_code || '|' || draw), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS pos
+          FROM c, range(4) r(draw))
+        SELECT c.lnf_code, draw, poly_id FROM c JOIN d ON d.lnf_code = c.lnf_code AND pos < c1 AND pos >= c1 - Flaeche""",
 )(
     lambda s, d: sampling.sample_weighted(
         t.parcel(s, d).select("lnf_code", "poly_id", "Flaeche"), ["lnf_code"], ["poly_id"], "Flaeche", 4, seed=3, replace=True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,14 +54,25 @@ def sample_weighted(
 ) -> DataFrame:
     """Weighted sample of ``n`` rows per group.
 
-    With replacement every draw runs its own race; the winner of each is a
-    combinable aggregate.
+    With replacement each draw is a hashed position along the group's summed
+    weights and takes the row that covers it. Rows and draws meet in ranges of
+    those weights, one for each draw, so rows are not copied for every draw.
     """
     ok = df.where(F.col(weight) > 0)
     if not replace:
         return top_n(ok, group, [weighted_key(row, weight, seed), *[F.col(c) for c in row]], n)
-    d = ok.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return first_per_key(d, [*group, "draw"], F.struct(weighted_key(row, weight, seed, F.col("draw")), *row))
+    h = ok.withColumn("_h", key_digest(*[F.col(c) for c in row], seed=seed)).withColumn("_chunk", F.substring("_h", 1, 2))
+    r = running_sum(h, group, "_chunk", "_h", {"_to": F.col(weight).cast("double")})
+    r = r.withColumn("_from", F.col("_to") - F.col(weight))
+    totals = r.groupBy(*group).agg(F.max("_to").alias("_total"))
+    at = lambda c: F.floor(c / F.col("_total") * n).cast("long")
+    u = unit_hash(*[F.col(c) for c in group], F.col("draw"), seed=seed)
+    draws = totals.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_pos", u * F.col("_total"))
+    draws = draws.select(*[F.col(c).alias(f"_k_{c}") for c in group], "draw", "_pos", at(F.col("_pos")).alias("_range"))
+    spans = r.join(totals, group).withColumn("_range", F.explode(F.sequence(at(F.col("_from")), at(F.col("_to")))))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in group], spans["_range"] == draws["_range"])
+    hit = spans.join(draws, same & (F.col("_from") <= F.col("_pos")) & (F.col("_pos") < F.col("_to")))
+    return first_per_key(hit.select(*df.columns, "draw"), [*group, "draw"], F.struct(*row))
 
 
 def aoi_samples(parcels: DataFrame, years: list[int]) -> DataFrame:
