@@ -26,6 +26,28 @@ def pixels(s, d):
 query("gapfill_gp")(lambda s, d: text_day(gapfill.gapfill_gp(pixels(s, d), FIELD, PIX)))
 
 
+def gp_rows(s, d):
+    """What of the filled series SQL can tell: its rows, the observed values, and that fractions sum to one."""
+    g = gapfill.gapfill_gp(pixels(s, d), FIELD, PIX)
+    seen = lambda v: F.when(~F.col("is_gapfilled"), F.col(v)).alias(v)
+    total = F.when(F.col("is_gapfilled"), F.abs(F.col("pv") + F.col("npv") + F.col("soil") - 1) < 1e-9).otherwise(True).alias("sums_to_one")
+    return text_day(g.select(*FIELD, *PIX, "day", "is_gapfilled", *[seen(v) for v in V], total))
+
+
+query(
+    "gapfill_gp_rows",
+    """SELECT poly_id, yr, x, y, day::VARCHAR AS day, FALSE AS is_gapfilled, pv, npv, soil, TRUE AS sums_to_one FROM gpx UNION ALL
+       SELECT g.poly_id, g.yr, g.x, g.y, (g.day + CAST(15 * k AS INT))::VARCHAR, TRUE, NULL, NULL, NULL, TRUE FROM gnext g
+       JOIN (SELECT poly_id, yr FROM gpx GROUP BY ALL HAVING count(*) >= 3) f ON f.poly_id = g.poly_id AND f.yr = g.yr, range(1, 30) r(k) WHERE g.day + CAST(15 * k AS INT) < g.nday""",
+    "x y pv npv soil",
+    tables={
+        "gpx": """SELECT poly_id, yr, x, y, "time"::DATE AS day, avg(pv) AS pv, avg(npv) AS npv, avg(soil) AS soil FROM fc_norm
+            WHERE pv IS NOT NULL AND npv IS NOT NULL AND soil IS NOT NULL GROUP BY ALL""",
+        "gnext": "SELECT *, lead(day) OVER (PARTITION BY poly_id, yr, x, y ORDER BY day) AS nday FROM gpx",
+    },
+)(gp_rows)
+
+
 def first_pixel(s, d):
     return sampling.first_per_key(pixels(s, d).select(*FIELD, *PIX).distinct(), FIELD, F.struct(*PIX))
 

@@ -151,6 +151,15 @@ query(
         "name", ["x", "y"], ["pv", "soil"], min_share=0.1,
     )
 )
+query(
+    "region_stats_median", RSTAT.replace("avg(pv) AS pv, avg(soil) AS soil", "quantile_cont(pv, 0.5) AS pv, quantile_cont(soil, 0.5) AS soil"),
+    "total_valid_area pv_mean pv_std soil_mean soil_std fraction_area count_norm", tables=SPACE,
+)(
+    lambda s, d: cover.region_stats(
+        region_pixels(s, d), spatial.area_in_region(field_cells(s, d), t.admin(s, d), "name", 10.0, X0, Y0),
+        "name", ["x", "y"], ["pv", "soil"], min_share=0.1, stat="median",
+    )
+)
 query(
     "bare_share",
     """SELECT name, count(*) FILTER (soil > 0.3) AS n_bare, count(*) AS n_pixels, count(*) FILTER (soil > 0.3) / count(*) AS bare_share

@@ -32,6 +32,7 @@ def bin_index(value: Column, bins: list[float], include_lowest: bool = False) ->
     return bin_cut(value, bins, [str(i) for i in range(len(bins) - 1)], include_lowest).cast("int")
 
 
+# fixed values: limits of elevation (m) and slope (degrees), and the class names
 def terrain_class(elev: Column, slope: Column) -> Column:
     return (
         F.when((elev < 600) & (slope < 5), "valley").when(elev < 600, "plateau")

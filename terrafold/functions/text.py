@@ -10,6 +10,7 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 BASE = "aaaaaaceeeeiiiinooooouuuuyy"
 
 
+# fixed values: the punctuation that becomes blanks
 def crop_name_a(c: Column) -> Column:
     """Lower case, punctuation to blanks, blanks collapsed."""
     s = F.regexp_replace(F.lower(c), r"[(){}\[\],;:.\-/]", " ")

@@ -40,6 +40,7 @@ def pivot_first(df: DataFrame, index: list[str], column: str, values: list, valu
     return df.groupBy(*index).pivot(column, values).agg(F.min(value))
 
 
+# fixed values: the pattern of the area columns
 def year_areas(df: DataFrame, key: str, years: list[int], pattern: str = r"^(\d{4})_Area_m") -> DataFrame:
     """Mean area over the chosen years' columns, square metres to hectares."""
     long = melt(df, [key], pattern, "_area", "_year")

@@ -118,6 +118,10 @@ def with_halo(
     return df.withColumn(halo, F.explode(F.array_distinct(F.array(F.col(chunk), reach)))).repartition(*keys, halo)
 
 
+#: Distinct values of a range, and the most ranges that a key is cut into.
+RANGE_ROWS, MOST_RANGES = 500_000, 4096
+
+
 def cumulative_counts(
     df: DataFrame, keys: list[str], value: str, buckets: int = 64, weight: str | None = None
 ) -> DataFrame:
@@ -132,6 +136,8 @@ def cumulative_counts(
         .groupBy(*keys, value)
         .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     )
+    # more ranges for more distinct values, so that a range stays what one task can sort
+    buckets = max(buckets, min(MOST_RANGES, counts.count() // RANGE_ROWS))
     cuts = [i / buckets for i in range(1, buckets)]
     bounds = cut_lineage(
         counts.groupBy(*keys).agg(
