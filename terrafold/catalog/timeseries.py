@@ -133,6 +133,25 @@ def at(s, d):
     return series.fill_dates(daily(s, d), KEYS, 6)
 
 
+def interpolated(smooth: str) -> str:
+    """A smoothed table at the fill days, all of which lie between two of its days."""
+    share = "CAST(f.fday - p.day AS DOUBLE) / (n.day - p.day)"
+    value = lambda v: f"p.{v} / p.t + {share} * (n.{v} / n.t - p.{v} / p.t)"
+    src = f"(SELECT *, pv + npv + soil AS t FROM {smooth})"
+    return f"""SELECT poly_id, yr, day::VARCHAR AS day, pv / (pv + npv + soil) AS pv, npv / (pv + npv + soil) AS npv, soil / (pv + npv + soil) AS soil FROM
+        (SELECT f.poly_id, f.yr, f.fday AS day, {", ".join(f"{value(v)} AS {v}" for v in V)} FROM fills f
+         ASOF JOIN {src} p ON p.poly_id = f.poly_id AND p.yr = f.yr AND p.day <= f.fday
+         ASOF JOIN {src} n ON n.poly_id = f.poly_id AND n.yr = f.yr AND n.day >= f.fday)"""
+
+
+query(
+    "savgol_at_dates", interpolated("sgs"), "pv npv soil", tables=SG,
+)(lambda s, d: text_day(series.interpolate_at(series.savgol(daily(s, d), KEYS, V), KEYS, V, at(s, d))))
+query(
+    "loess_at_dates", interpolated("fito"), "pv npv soil", tables=LO,
+)(lambda s, d: text_day(series.interpolate_at(series.loess(daily(s, d), KEYS, V), KEYS, V, at(s, d))))
+
+
 def kal(v: str, k: int) -> str:
     return f"""SELECT *, row_number() OVER (PARTITION BY poly_id, yr ORDER BY day) AS rn, day - lag(day) OVER (PARTITION BY poly_id, yr ORDER BY day) AS gap,
         first_value(y) OVER (PARTITION BY poly_id, yr ORDER BY day) AS y0 FROM
