@@ -38,8 +38,9 @@ GRAM = 32
 BLOCK = 16
 #: Bytes hashed at a time; a longer document is taken in stretches that overlap by a string.
 STRETCH = 1 << 20
-#: Contexts of one gram that still go through one suffix array, and bytes of a bundle.
-BUNDLE_CONTEXTS, BUNDLE_BYTES = 2048, 1 << 19
+#: Contexts of one gram that still go through one suffix array (12 MB at most, a few seconds of
+#: one task; counting them instead takes a row for each of their starts), and bytes of a bundle.
+BUNDLE_CONTEXTS, BUNDLE_BYTES = 1 << 15, 1 << 19
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -62,15 +63,20 @@ def _tables(seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """64-bit hashes of any substring of up to 2 * STRETCH bytes of data."""
+    """64-bit hashes of substrings of data.
 
-    def __init__(self, data: np.ndarray, seed: int = 1):
+    ``place`` numbers the bytes where substrings never leave their own piece of
+    the data; else the data may have 2 * STRETCH bytes.
+    """
+
+    def __init__(self, data: np.ndarray, seed: int = 1, place: np.ndarray | None = None):
         values, up, self.down = _tables(seed)
+        self.place = place
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(values[data] * (up[: len(data)] if place is None else up[place]), out=self.sums[1:])
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return _mix((self.sums[end] - self.sums[start]) * self.down[start if self.place is None else self.place[start]])
 
 
 def _sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -193,7 +199,8 @@ def _repeats_in(contexts: list[bytes], counts: np.ndarray, to_anchor: np.ndarray
     of = np.repeat(np.arange(len(contexts)), blocks)
     number = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     at = begins[of] + skip[of] + number * BLOCK
-    h = Hashes(data)
+    place = np.arange(len(data), dtype=np.int32) - np.repeat(begins, sizes).astype(np.int32)
+    h = Hashes(data, 1, place)
     symbol, times = np.unique(h.at(at, at + BLOCK), return_inverse=True, return_counts=True)[1:]
     # a string holds at least so many whole blocks; only runs of blocks that occur twice can hold one
     depth = LENGTH // BLOCK - 1
@@ -222,7 +229,7 @@ def _repeats_in(contexts: list[bytes], counts: np.ndarray, to_anchor: np.ndarray
     ctx = np.repeat(of[block], BLOCK)
     inside = (start >= begins[ctx]) & (start < begins[ctx] + counts[ctx])
     start, ctx = start[inside], ctx[inside]
-    key = np.stack([h.at(start, start + LENGTH), Hashes(data, 2).at(start, start + LENGTH)], axis=1)
+    key = np.stack([h.at(start, start + LENGTH), Hashes(data, 2, place).at(start, start + LENGTH)], axis=1)
     _, which, seen = np.unique(key, axis=0, return_inverse=True, return_counts=True)
     again = seen[which.ravel()] > 1
     for c, s in zip(ctx[again].tolist(), (start - begins[ctx])[again].tolist()):
@@ -259,8 +266,6 @@ def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_starts(docs: DataFrame, bundle_contexts: int = BUNDLE_CONTEXTS) -> DataFrame:
     """(id, tag, start, n): runs of starts, in bytes, of strings that start at another place too."""
-    if bundle_contexts * 2 * LENGTH + BUNDLE_BYTES > 2 * STRETCH:
-        raise ValueError("bundle_contexts: a bundle would exceed the bytes that are hashed at a time")
     keyed = _keyed(docs)
     rows = keyed.where(F.octet_length("bytes") >= LENGTH).mapInArrow(_anchor_rows, _PLACES)
     common = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
