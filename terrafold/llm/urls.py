@@ -74,9 +74,9 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
-def _rates(train: DataFrame, key: str) -> DataFrame:
+def _rates(labelled: DataFrame, key: str) -> DataFrame:
     """How often each suffix is blocked among the labelled URLs, drawn towards one half, and how often it is seen."""
-    return train.groupBy(key).agg(
+    return labelled.groupBy(key).agg(
         ((F.sum("label") + 1) / (F.count("*") + 2)).alias(key[1:] + "_rate"), F.count("*").cast("double").alias(key[1:] + "_seen")
     )
 
@@ -89,9 +89,9 @@ def _with_rates(df: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataF
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block of each row of ``pages``.
 
-    The URLs that a rule decides are the labelled ones. The trees are fitted on
-    at most ``sample_rows`` of them, drawn by the hash of the URL, and judge the
-    rest; ``p_block`` is their estimate for every URL. A null url, or one
+    The URLs that a rule decides are the labelled ones. Suffixes and domains are
+    counted over all of them. The trees are fitted on at most ``sample_rows``,
+    drawn by the hash of URL and page_id, and judge the rest; ``p_block`` is their estimate for every URL. A null url, or one
     without ``://``, has no host and no path, so no rule fits it and the trees
     judge it. With labels of one kind only (or none) there is nothing to fit:
     the rest gets that kind (or ``allow``). Repeated rows count, and come back,
@@ -107,7 +107,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_row
     numbers = [c for c in FEATURES if not c.endswith(("_rate", "_seen"))]
     labelled = rows.where("told IS NOT NULL").withColumn("label", (F.col("told") == "block").cast("double"))
     train = cut_lineage(
-        labelled.select("label", "_suffix", "_domain", *numbers, F.xxhash64("url").alias("_order"))
+        labelled.select("label", "_suffix", "_domain", *numbers, F.xxhash64("url", "page_id").alias("_order"))
         .orderBy("_order").limit(sample_rows).drop("_order")
     )
     kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_row
         known = "block" if 1.0 in kinds else "allow"
         scored = rows.withColumn("p_block", F.lit(1.0 if known == "block" else 0.0))
     else:
-        suffixes, domains = cut_lineage(_rates(train, "_suffix")), cut_lineage(_rates(train, "_domain"))
+        suffixes, domains = cut_lineage(_rates(labelled, "_suffix")), cut_lineage(_rates(labelled, "_domain"))
         pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(
             pack.transform(_with_rates(train, suffixes, domains)).select("label", "features")
