@@ -28,13 +28,15 @@ def tier_of(length: int, tiers: tuple[int, ...] = TIERS) -> int:
     return next(t for t in tiers if t >= length)
 
 
-def _fill(tails: list[Piece], size: int) -> list[list[Piece]]:
-    """Windows of whole tails: each goes to the tightest window that holds it.
+def _fill(tails: list[Piece], tiers: tuple[int, ...]) -> dict[int, list[list[Piece]]]:
+    """Windows of whole tails by tier: each tail goes to the tightest window that holds it,
+    or opens one of its own tier's size.
 
     Tails come longest first, so each tier opens its windows before the
     shorter tiers fill what they leave. ``open_`` has a bit for each gap.
     """
     windows: list[list[Piece]] = []
+    by_tier: dict[int, list[list[Piece]]] = {t: [] for t in tiers}
     by_gap: dict[int, list[int]] = {}
     open_ = 0
     for p in sorted(tails, key=lambda p: (-p[2], p)):
@@ -45,13 +47,14 @@ def _fill(tails: list[Piece], size: int) -> list[list[Piece]]:
             if not by_gap[gap]:
                 open_ ^= 1 << gap
         else:
-            gap, w = size, len(windows)
+            gap, w = tier_of(p[2], tiers), len(windows)
             windows.append([])
+            by_tier[gap].append(windows[w])
         windows[w].append(p)
         if left := gap - p[2]:
             by_gap.setdefault(left, []).append(w)
             open_ |= 1 << left
-    return windows
+    return by_tier
 
 
 def _close_gaps(windows: list[list[Piece]], size: int) -> list[list[Piece]]:
@@ -100,24 +103,25 @@ def pack_lengths(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[tup
     """(tier, pieces) of each sequence, for documents of these numbers of tokens.
 
     A document gives full windows first. What is left of it is routed to the
-    smallest tier that holds it and packed whole; only the gaps that then
-    remain are closed by cutting. At most one window ends short; it is cut
-    into powers of two, which need no padding.
+    smallest tier that holds it and packed whole, into a gap of a longer window
+    or into a window of its tier; only the gaps that then remain are closed by
+    cutting, within a tier. At most one window of each tier ends short; it is
+    cut into powers of two, which need no padding.
     """
     size = tiers[-1]
     out: list[tuple[int, list[Piece]]] = []
-    by_tier: dict[int, list[Piece]] = {t: [] for t in tiers}
+    tails: list[Piece] = []
     for doc, n in enumerate(lengths):
         whole = n // size * size
         out += [(size, [(doc, s, size)]) for s in range(0, whole, size)]
         if n > whole:
-            by_tier[tier_of(n - whole, tiers)].append((doc, whole, n - whole))
-    tails = [p for t in reversed(tiers) for p in by_tier[t]]
-    for w in _close_gaps(_fill(tails, size), size):
-        if sum(p[2] for p in w) == size:
-            out.append((size, w))
-        else:
-            out += [(tier_of(sum(p[2] for p in part), tiers), part) for part in _by_powers(w)]
+            tails.append((doc, whole, n - whole))
+    for tier, windows in _fill(tails, tiers).items():
+        for w in _close_gaps(windows, tier):
+            if sum(p[2] for p in w) == tier:
+                out.append((tier, w))
+            else:
+                out += [(tier_of(sum(p[2] for p in part), tiers), part) for part in _by_powers(w)]
     return out
 
 
@@ -172,7 +176,7 @@ def pack(
     Documents are tokenised through the distinct-word table (``bpe``) and packed
     within blocks of a bounded size, so no task sees more than a block and none
     waits for another. Every id lies in one piece. A block leaves at most one
-    window short, which is cut into powers of two.
+    window of each tier short, which is cut into powers of two.
 
     A null or empty text is the end id alone. Repeated rows are packed as often
     as they occur; a null doc_id stands as the lowest id; an empty table gives
