@@ -95,19 +95,24 @@ class Mapped:
     def source(self, span: Span) -> Span:
         return self.starts[span[0]], self.ends[span[1] - 1]
 
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | None]) -> Mapped:
+    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | list[tuple[str, Span]] | None]) -> Mapped:
         """Replace matches. What is put out stands for all of the match: its last
-        character ends where the match ends. None keeps a match, an empty
-        replacement drops it."""
+        character ends where the match ends; in a list, each string stands for
+        its own part. None keeps a match, an empty replacement drops it."""
         parts, starts, ends, at = [], [], [], 0
         for m in pattern.finditer(self.text):
             new = to(m)
             if new is None or m.end() == m.start():
                 continue
             a, b = m.span()
-            parts += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            parts.append(self.text[at:a])
+            starts += self.starts[at:a]
+            ends += self.ends[at:a]
+            for s, (x, y) in [(new, (a, b))] if isinstance(new, str) else new:
+                parts.append(s)
+                same = len(s) == y - x
+                starts += self.starts[x:y] if same else [self.starts[x]] * len(s)
+                ends += self.ends[x:y] if same else [self.ends[y - 1]] * len(s)
             at = b
         if not at:
             return self
@@ -153,12 +158,13 @@ _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_WORD}|[0-9]+)"
 _JOIN = r"(?:[ ]?[,-][ ]?|[ ]+)"
 _POINT = r"(?:[ ]+(?:dot|point|punkt|punto)[ ]+|[ ]?\.[ ]?)"
-#: Numbers told in words: at least four digit words, next to each other or around spoken dots.
+#: Numbers told in words, or partly in words, next to each other or around spoken dots.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus[ ]+)|\+[ ]?)?{_UNIT}(?:(?:{_POINT}|{_JOIN}){_UNIT})+(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?P<plus>plus[ ]+|\+[ ]?)|(?P<times>double|triple)[ -]+|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<point>{_POINT})|.", re.IGNORECASE)
 
 
 def _digits(m: re.Match) -> str | None:
+    """The digits of a number with at least four digit words."""
     out, words, times = [], 0, 1
     for p in _SPELLED_PART.finditer(m[0]):
         if p["plus"]:
@@ -175,6 +181,33 @@ def _digits(m: re.Match) -> str | None:
     return "".join(out) if words >= 4 else None
 
 
+def _mixed(m: re.Match) -> list[tuple[str, Span]] | None:
+    """The parts of a number with up to three digit words, or spoken dots only; separators that touch no word stay."""
+    out: list[tuple[str, Span]] = []
+    held: list[tuple[str, Span]] = []
+    words, dots, times, word, first = 0, 0, 1, False, None
+    for p in _SPELLED_PART.finditer(m[0]):
+        a, b = m.start() + p.start(), m.start() + p.end()
+        if p["plus"]:
+            out.append(("+", (a, b)))
+        elif p["times"]:
+            times, first = 2 if p["times"].lower() == "double" else 3, a
+        elif p["word"] or p["number"]:
+            # what stands between a word and its neighbours joins them, but for a full stop
+            if any("." in s for s, _ in held) or not (word or p["word"]):
+                out += held
+            digits = _VALUE[p["word"].lower()] if p["word"] else p["number"]
+            out.append((digits * times, (a if first is None else first, b)))
+            words, word = words + bool(p["word"]), bool(p["word"])
+            times, first, held = 1, None, []
+        elif p["point"] and p["point"].strip() != ".":
+            out.append((".", (a, b)))
+            dots, word = dots + 1, False
+        else:
+            held.append((p[0], (a, b)))
+    return out if words < 4 and (words or dots) else None
+
+
 _SIGN_AT, _SIGN_DOT = r"at|@|arroba|arobase|ät", r"dot|\.|punkt|punto|point"
 _BRACKETED_AT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_SIGN_AT}|a)[ ]*[\])}}>][ ]*", re.IGNORECASE)
 _BRACKETED_DOT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_SIGN_DOT})[ ]*[\])}}>][ ]*", re.IGNORECASE)
@@ -192,14 +225,16 @@ _SPOKEN_DOT = re.compile(r"[ ]+(?:dot|punkt|punto|point)[ ]+|[-_]dot[-_]", re.IG
 #: Signs of a disguise; a text without any is its own normal form.
 _BRACKETS = re.compile(rf"[\[({{<][ ]*(?:{_SIGN_AT}|{_SIGN_DOT}|a)[ ]*[\])}}>]", re.IGNORECASE)
 _SPOKEN_SIGNS = (" dot ", "-dot-", "_dot_", " punkt ", " punto ", " point ", " @", "@ ")
-_BETWEEN = str.maketrans("-,.+", "    ")
+_BETWEEN = str.maketrans(dict.fromkeys("-,.+()[]{}<>:;!?\"'/*", " "))
+_DIGIT = re.compile(r"\d")
 
 
 def _hint(text: str) -> bool:
     low = text.lower()
     if any(s in low for s in _SPOKEN_SIGNS) or _BRACKETS.search(text):
         return True
-    return sum(map(_VALUE.__contains__, low.translate(_BETWEEN).split())) >= 4
+    words = sum(map(_VALUE.__contains__, low.translate(_BETWEEN).split()))
+    return words >= 4 or words > 0 and _DIGIT.search(low) is not None
 
 
 def _spoken(m: re.Match) -> str | None:
@@ -209,34 +244,39 @@ def _spoken(m: re.Match) -> str | None:
     return _SPOKEN_DOT.sub(".", _SPOKEN_AT.sub("@", m[0], count=1))
 
 
-def normal_form(text: str) -> Mapped | None:
-    """The text without homoglyphs, spelled digits and at/dot disguises; None if it has none."""
+def normal_forms(text: str) -> list[Mapped]:
+    """The text without homoglyphs, spelled digits and at/dot disguises, and then, if it has any,
+    with its numbers of mixed spelling; none if it has no disguise.
+
+    They are two forms since a digit word may also just stand beside a number.
+    """
     odd = not text.isascii() and any(_plain(m) is not None for m in _ODD.finditer(text))
     if not odd and not _hint(text):
-        return None
+        return []
     out = Mapped(text)
     if odd:
         out = out.rewrite(_ODD, _plain)
     out = out.rewrite(_BRACKETED_AT, lambda m: "@").rewrite(_BRACKETED_DOT, lambda m: ".")
-    return out.rewrite(_SPELLED, _digits).rewrite(_SPOKEN, _spoken)
+    mixed = out.rewrite(_SPELLED, _mixed)
+    return [out.rewrite(_SPELLED, _digits).rewrite(_SPOKEN, _spoken), *([] if mixed is out else [mixed])]
 
 
 def find(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, kind, base) of every span, by start and then kind as listed.
 
-    Spans of the normal form come in source offsets and are added where they
-    touch no base span of their kind, or reach beyond the base spans they touch.
+    Spans of the normal forms come in source offsets and are added where they
+    touch no base span of their kind, or reach beyond the base spans they touch;
+    those of mixed spelling only where they touch none.
     """
     base = base_spans(text)
     found = [(a, b, k, True) for k in KINDS for a, b in base[k]]
-    form = normal_form(text)
-    if form is not None:
+    taken = {k: list(base[k]) for k in KINDS}
+    for mixed, form in enumerate(normal_forms(text)):
         for k, spans in base_spans(form.text).items():
-            taken = list(base[k])
             for span in spans:
                 a, b = form.source(span)
-                if all(b <= x or y <= a or (a <= x and y <= b and (a, b) != (x, y)) for x, y in taken):
-                    taken.append((a, b))
+                if all(b <= x or y <= a or (not mixed and a <= x and y <= b and (a, b) != (x, y)) for x, y in taken[k]):
+                    taken[k].append((a, b))
                     found.append((a, b, k, False))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
