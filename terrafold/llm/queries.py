@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from terrafold.llm import bpe, exact, lines, packing, pii, simhash, sketch, substrings, toxicity, urls
+from terrafold.llm import bpe, exact, fim, lines, merkle, packing, pii, simhash, sketch, substrings, toxicity, urls
 from terrafold.llm.common import body, shown_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,95 @@ WITH t AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(levels: int = 9, upper: int = 4) -> str:
+    """Trees of up to 8^levels documents a lang and 8^upper langs, one step of SQL a level."""
+
+    def level(t: str, i: int, by: str) -> str:
+        run = f"PARTITION BY {by}r // 8 ORDER BY r ROWS BETWEEN"
+        group = f"{by}r // 8, n"
+        return f"""
+{t}s{i} AS (SELECT *, coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft,
+  coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt FROM {t}{i}),
+{t}{i + 1} AS (SELECT {by}r // 8 AS r, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY r)) ELSE min(h) END AS h, (n + 7) // 8 AS n
+  FROM {t}{i} GROUP BY {group}),"""
+
+    def climb(t: str, i: int, by: str, rank: str) -> str:
+        """From p to the level above: siblings are added and the hash is folded."""
+        on = f"s.r = p.{rank} // {8**i}" + (" AND s.lang IS NOT DISTINCT FROM p.lang" if by else "")
+        return f"""
+{t}p{i + 1} AS (SELECT p.* REPLACE (p.sib || CASE WHEN s.n > 1 THEN s.lft || s.rgt ELSE '' END AS sib,
+  CASE WHEN s.n > 1 THEN sha256(s.lft || p.f || s.rgt) ELSE p.f END AS f) FROM {t}p{i} p JOIN {t}s{i} s ON {on}),"""
+
+    def leaf(text: str) -> str:
+        told = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+        return f"sha256({' || '.join(told)} || coalesce(strlen({text}) || ':' || {text}, '-'))"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _CRC_SQL.format(x="doc_id::VARCHAR")
+    return f"""
+WITH RECURSIVE {_CRC_TABLE_SQL},
+d AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(low)} END AS changed FROM documents, crc_table),
+a0 AS (SELECT lang, doc_id, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS r, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{"".join(level("a", i, "lang, ") for i in range(levels))}
+b0 AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, h, count(*) OVER () AS n FROM a{levels}),
+{"".join(level("b", i, "") for i in range(upper))}
+ap0 AS (SELECT doc_id, lang, r, h AS leaf, coalesce(changed, h) AS f, '' AS sib FROM a0),
+{"".join(climb("a", i, "lang", "r") for i in range(levels))}
+bp0 AS (SELECT p.doc_id, p.leaf, b.h AS subroot, b.r, p.f, p.sib FROM ap{levels} p JOIN b0 b ON b.lang IS NOT DISTINCT FROM p.lang),
+{"".join(climb("b", i, "", "r") for i in range(upper))}
+root AS (SELECT h AS root FROM b{upper})
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, f AS folded_root, f = root AS verified FROM bp{upper}, root
+"""
+
+
+#: CRC-32 byte by byte, from its table of 256 remainders.
+_CRC_TABLE_SQL = """crc_bits AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_bits WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8)"""
+_CRC_SQL = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), "
+    "lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1])), 4294967295)"
+)
+ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
+
+
+@register
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+ORACLE_SQL["op13_fill_in_middle"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || doc_id) AS h
+  FROM documents
+), d AS (
+  SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS x FROM t
+), c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+              WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE WHEN form = 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
