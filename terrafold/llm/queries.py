@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from terrafold.llm import bpe, exact, fim, lines, merkle, packing, pii, simhash, sketch, substrings, toxicity, urls
+from terrafold.llm import bpe, exact, fim, hyperminhash, lines, merkle, packing, pii, simhash, sketch, substrings, toxicity, urls
 from terrafold.llm.common import body, shown_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,6 +194,41 @@ _CRC_SQL = (
 ORACLE_SQL["op11_merkle_manifest"] = _merkle_sql()
 
 
+@register
+def op12_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hyperminhash.near_dedup(table(spark, sf_dir, "documents"))
+    return out.select(
+        shown_id(F.col("id")).alias("doc_id"), "n_shingles", shown_id(F.col("component")).alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
+ORACLE_SQL["op12_hyperminhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+           range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' ')))) END AS s FROM w
+), n AS (
+  SELECT s, min(doc_id) AS node, len(s) AS c FROM s WHERE len(s) > 0 GROUP BY s
+), u AS (
+  SELECT node, c, unnest(s) AS x FROM n
+), link AS (
+  SELECT a.node AS p, b.node AS q FROM u a JOIN u b ON a.x = b.x AND a.node < b.node
+  GROUP BY a.node, b.node, a.c, b.c HAVING 100 * count(*) >= 85 * (a.c + b.c - count(*))
+), edge AS (
+  SELECT p, q FROM link UNION ALL SELECT q, p FROM link
+), reach AS (
+  SELECT node, node AS root FROM n UNION SELECT e.q, r.root FROM reach r JOIN edge e ON e.p = r.node AND r.root < e.q
+), top AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(top.root, s.doc_id) AS component_id, coalesce(top.root, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN n ON n.s = s.s LEFT JOIN top ON top.node = n.node
+"""
+
+
 @register
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text"))
