@@ -120,7 +120,29 @@ query(
     """SELECT poly_id, yr, day::VARCHAR AS day, pv / (pv + npv + soil) AS pv, npv / (pv + npv + soil) AS npv, soil / (pv + npv + soil) AS soil FROM fito""",
     "pv npv soil", tables=LO,
 )(lambda s, d: text_day(series.loess(daily(s, d), KEYS, V)))
-query("loess_band")(lambda s, d: text_day(series.loess_band(daily(s, d), KEYS, V, draws=200)))
+LINE = "CASE WHEN sw > 0 THEN s{v} / sw - mx * CASE WHEN vx > 1e-9 THEN (x{v} - mx * s{v}) / vx ELSE 0 END WHEN k < 2 AND own > 0 THEN {v}0 END"
+LB = {
+    **LO,
+    # a byte of a digest for each draw says how often it counts a day
+    "dg": """SELECT poly_id, yr, day, 16 * g + i AS draw, (b >= 94)::INT + (b >= 188)::INT + (b >= 235)::INT + (b >= 251)::INT + (b >= 255)::INT AS m FROM
+        (SELECT *, ('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2))::INT AS b FROM (SELECT poly_id, yr, day, g, md5('42|' || poly_id || '|' || yr || '|' || (day - DATE '1970-01-01') || '|' || g) AS h
+         FROM ds, range(3) r(g)), range(16) t(i))""",
+    "near": """SELECT poly_id, yr, day, x0, x - x0 AS dx, DATE '1990-01-01' + CAST(x AS INT) AS nday, CAST(floor(0.3::DOUBLE * n + 1e-10) AS BIGINT) AS k, w, pv, npv, soil, pv0, npv0, soil0
+        FROM wt WHERE w > 0 OR dist = 0""",
+    "lsum": """SELECT n.poly_id, n.yr, n.day, g.draw, any_value(k) AS k, sum(w * m) AS sw, sum(CASE WHEN dx = 0 THEN m END) AS own, sum(w * m * dx) AS sx, sum(w * m * dx * dx) AS sxx,
+        sum(w * m * pv) AS spv, sum(w * m * npv) AS snpv, sum(w * m * soil) AS ssoil, sum(w * m * dx * pv) AS xpv, sum(w * m * dx * npv) AS xnpv, sum(w * m * dx * soil) AS xsoil,
+        any_value(pv0) AS pv0, any_value(npv0) AS npv0, any_value(soil0) AS soil0
+        FROM near n JOIN dg g ON g.poly_id = n.poly_id AND g.yr = n.yr AND g.day = n.nday GROUP BY 1, 2, 3, 4""",
+    "lfit": f"""SELECT poly_id, yr, day, {", ".join(LINE.format(v=v) + f" AS {v}" for v in V)} FROM
+        (SELECT *, sx / nullif(sw, 0) AS mx, sxx - sx * sx / nullif(sw, 0) AS vx FROM lsum)""",
+    "lone": f"""SELECT poly_id, yr, day, {", ".join(f"{v} / nullif(pv + npv + soil, 0) AS {v}" for v in V)} FROM lfit""",
+}
+query(
+    "loess_band",
+    f"""SELECT poly_id, yr, day::VARCHAR AS day, {", ".join(f"avg({v}) AS {v}_mean, quantile_cont({v}, 0.05) AS {v}_q05, quantile_cont({v}, 0.95) AS {v}_q95" for v in V)}
+       FROM lone GROUP BY 1, 2, 3""",
+    " ".join(f"{v}_{q}" for v in V for q in ("mean", "q05", "q95")), tables=LB,
+)(lambda s, d: text_day(series.loess_band(daily(s, d), KEYS, V)))
 
 
 def with_sd(s, d):

@@ -8,12 +8,15 @@ series in one window or one array.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.plans.ordered import spread
+from terrafold.functions.hashing import key_digest
+from terrafold.operators.filters import CHUNK_DAYS, Trend, Walk, filtered
+from terrafold.plans.runs import map_runs
 
 EPS = 1e-6
 
@@ -192,84 +195,113 @@ def savgol(series: DataFrame, keys: list[str], values: list[str], window: int =
     return rows.select(*keys, "day", *[F.try_divide(F.col(v), total).alias(v) for v in values])
 
 
-def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float) -> np.ndarray:
-    """Local tricube-weighted lines through the ``frac`` nearest points; no robustness rounds."""
-    n = len(x)
-    k = int(frac * n + 1e-10)
+#: Entries of the arrays that a fit holds at a time.
+SLICE = 1_000_000
+
+
+def nearest_window(x: np.ndarray, k: int) -> np.ndarray:
+    """Where the ``k`` points nearest to each point of ascending ``x`` begin; both ends move along with the point."""
+    if k >= len(x):
+        return np.zeros(len(x), np.int64)
+    # a window may move on while the point that it would gain is nearer than the one it would lose
+    return np.searchsorted(x[:-k] + x[k:], 2 * x, side="left")
+
+
+def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float, times: np.ndarray | None = None) -> np.ndarray:
+    """Local tricube-weighted lines through the ``frac`` nearest points; no robustness rounds.
+
+    ``x`` ascends. ``times`` (draws, points) repeats the fit with each point counted so
+    often, over the same windows and distances; where no counted point has
+    weight the draw is NaN. The result has a row for each draw then. Memory is
+    the window's, however long the series.
+    """
+    n, k = len(x), int(frac * len(x) + 1e-10)
     if k < 2:
-        return y.copy()
-    d = np.abs(x[:, None] - x[None, :])
-    h = np.partition(d, k - 1, axis=1)[:, k - 1]
-    u = np.divide(d, h[:, None], out=np.full_like(d, np.inf), where=h[:, None] > 0)
-    w = np.where(u < 1, (1 - np.minimum(u, 1.0) ** 3) ** 3, 0.0)
-    sw = w.sum(1)
-    ok = sw > 0
-    out = y.copy()
-    swn = np.where(ok, sw, 1.0)
-    mx = (w @ x) / swn
-    my = (w @ y) / swn[:, None]
-    dx = x[None, :] - mx[:, None]
-    sxx = (w * dx * dx).sum(1)
-    sxy = (w * dx) @ y
-    slope = np.divide(sxy, sxx[:, None], out=np.zeros_like(sxy), where=sxx[:, None] > 1e-9)
-    fit = my + slope * (x - mx)[:, None]
-    out[ok] = fit[ok]
+        return y.copy() if times is None else np.where(times[:, :, None] > 0, y, np.nan)
+    draws = None if times is None else len(times)
+    start = nearest_window(x, k)
+    out = np.empty((*(() if draws is None else (draws,)), *y.shape))
+    step = max(1, SLICE // (k * (draws or 1)))
+    for a in range(0, n, step):
+        at = start[a : a + step, None] + np.arange(k)
+        dx = x[at] - x[a : a + step, None]
+        d = np.abs(dx)
+        h = d.max(axis=1, keepdims=True)
+        u = np.divide(d, h, out=np.ones_like(d), where=h > 0)
+        w = np.where(u < 1, (1 - u**3) ** 3, 0.0)
+        if times is not None:
+            w = w * times[:, at]
+        sw = w.sum(-1)
+        some = np.where(sw > 0, sw, 1.0)
+        near = y[at]  # point, neighbour, value
+        mx = (w * dx).sum(-1) / some
+        my = np.einsum("...ik,ikv->...iv", w, near) / some[..., None]
+        from_mean = dx - mx[..., None]
+        sxx = (w * from_mean * from_mean).sum(-1)
+        sxy = np.einsum("...ik,ikv->...iv", w * from_mean, near)
+        flat = sxx <= 1e-9
+        slope = np.where(flat[..., None], 0.0, sxy / np.where(flat, 1.0, sxx)[..., None])
+        fit = my - slope * mx[..., None]
+        bare = y[a : a + step] if times is None else np.nan
+        out[..., a : a + step, :] = np.where(sw[..., None] > 0, fit, bare)
     return out
 
 
-def _per_series(series: DataFrame, keys: list[str], values: list[str], extra: str, fn) -> DataFrame:
-    types = dict(series.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", day date, " + extra
-    return spread(series.select(*keys, "day", *values), *keys).groupBy(*keys).applyInPandas(fn, schema)
+def _whole(s: np.ndarray) -> np.ndarray:
+    """Fractions with a sum of 1; NaN where the sum is 0."""
+    total = s.sum(-1, keepdims=True)
+    return np.divide(s, total, out=np.full_like(s, np.nan), where=total != 0)
 
 
-def _ordinal(pdf: pd.DataFrame) -> np.ndarray:
-    return pd.to_datetime(pdf["day"]).to_numpy().astype("datetime64[D]").astype(np.int64).astype(float)
+def loess(series: DataFrame, keys: list[str], values: list[str], frac: float = 0.3) -> DataFrame:
+    """Locally weighted regression per series, fractions renormalised. Days are rows of their own."""
+    new = {v: f"_{v}" for v in values}
 
+    def fit(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = c["day"].astype(float)
+        s = _whole(lowess_fit(x - x[0], np.column_stack([c[v] for v in values]), frac))
+        return {new[v]: s[:, j] for j, v in enumerate(values)}
+
+    rows = series.select(*keys, "day", *[F.col(v).cast("double").alias(v) for v in values])
+    out = map_runs(rows, keys, ["day"], ["day", *values], fit, dict.fromkeys(new.values(), "double"))
+    return out.select(*keys, "day", *[F.nanvl(n, F.lit(None)).alias(v) for v, n in new.items()])
 
-def loess(series: DataFrame, keys: list[str], values: list[str], frac: float = 0.3) -> DataFrame:
-    """Locally weighted regression per series, fractions renormalised."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day", ignore_index=True)
-        x = _ordinal(pdf)
-        s = lowess_fit(x - x[0], pdf[values].to_numpy(float), frac)
-        t = s.sum(1, keepdims=True)
-        out = pdf[[*keys, "day"]].copy()
-        out[values] = np.divide(s, t, out=np.full_like(s, np.nan), where=t != 0)
-        return out
 
-    return _per_series(series, keys, values, ", ".join(f"{v} double" for v in values), fit)
+#: How many of 256 byte values give a count of 0, of up to 1, of up to 2 and so on: a Poisson law of mean 1.
+COUNTS = np.array([94, 188, 235, 251, 255])
+#: Bytes, and so draws, of a digest.
+DIGEST = 16
 
 
-def loess_band(series: DataFrame, keys: list[str], values: list[str], frac: float = 0.3, draws: int = 50, seed: int = 42) -> DataFrame:
+def loess_band(series: DataFrame, keys: list[str], values: list[str], frac: float = 0.3, draws: int = 48, seed: int = 42) -> DataFrame:
     """Mean and 5/95 % band of LOESS over bootstrap draws, normalised per draw.
 
-    Draws are seeded by the series key, so a retried task repeats them.
+    A draw counts each day of the series 0, 1, 2 or more times, by a byte of a
+    digest of the series, the day and the draw (``COUNTS``), so all draws share
+    one window a day, a retried task repeats them and SQL can. Draws in which
+    none of a day's neighbours count say nothing about that day.
     """
     cols = [f"{v}_{q}" for v in values for q in ("mean", "q05", "q95")]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        pdf = pdf.sort_values("day", ignore_index=True)
-        x, y = _ordinal(pdf), pdf[values].to_numpy(float)
-        n = len(x)
-        rng = np.random.default_rng([seed, zlib.crc32(repr(tuple(pdf.loc[0, keys])).encode())])
-        fits = np.empty((draws, n, len(values)))
-        for b in range(draws):
-            pick = np.sort(rng.integers(0, n, n))
-            s = lowess_fit(x[pick] - x[0], y[pick], frac)
-            s = np.column_stack([np.interp(x, x[pick], s[:, j]) for j in range(len(values))])
-            t = s.sum(1, keepdims=True)
-            fits[b] = np.divide(s, t, out=np.full_like(s, np.nan), where=t != 0)
-        out = pdf[[*keys, "day"]].copy()
+    rows = series.select(*keys, "day", *[F.col(v).cast("double").alias(v) for v in values])
+    digests = [F.unhex(key_digest(*[F.col(k) for k in keys], F.unix_date("day"), F.lit(i), seed=seed)) for i in range(-(-draws // DIGEST))]
+    rows = rows.withColumn("_draws", F.concat(*digests))
+
+    def fit(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        raw = np.frombuffer(b"".join(c["_draws"]), np.uint8).reshape(len(c["day"]), -1)[:, :draws]
+        times = np.searchsorted(COUNTS, raw.T, side="right")
+        x = c["day"].astype(float)
+        fits = _whole(lowess_fit(x - x[0], np.column_stack([c[v] for v in values]), frac, times))
+        out = {}
+        with np.errstate(all="ignore"), warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # a day without any draw is NaN
+            low, high = np.nanquantile(fits, [0.05, 0.95], axis=0)
+            mean = np.nanmean(fits, axis=0)
         for j, v in enumerate(values):
-            out[f"{v}_mean"] = fits[:, :, j].mean(0)
-            out[f"{v}_q05"], out[f"{v}_q95"] = np.quantile(fits[:, :, j], [0.05, 0.95], axis=0)
-        return out[[*keys, "day", *cols]]
+            out |= {f"{v}_mean": mean[:, j], f"{v}_q05": low[:, j], f"{v}_q95": high[:, j]}
+        return out
 
-    return _per_series(series, keys, values, ", ".join(f"{c} double" for c in cols), fit)
+    out = map_runs(rows, keys, ["day"], ["day", "_draws", *values], fit, dict.fromkeys(cols, "double"))
+    return out.select(*keys, "day", *[F.nanvl(c, F.lit(None)).alias(c) for c in cols])
 
 
 def interpolate_at(smooth: DataFrame, keys: list[str], values: list[str], at: DataFrame) -> DataFrame:
@@ -297,86 +329,21 @@ def interpolate_at(smooth: DataFrame, keys: list[str], values: list[str], at: Da
 # --- Kalman filters ----------------------------------------------------------
 
 
-State = tuple[float, ...]
-
-
-def _walk(state: State, gap: int, q: float) -> State:
-    x, p = state
-    return x, p + q * gap
-
-
-def _walk_seen(state: State, y: float, r: float) -> State:
-    x, p = state
-    k = p / (p + r)
-    return x + k * (y - x), (1 - k) * p
-
-
-def _trend(state: State, gap: int, q: float) -> State:
-    """``gap`` days of level plus trend at once, by the closed sums of the transition powers."""
-    level, slope, p00, p01, p11 = state
-    g = gap
-    return (
-        level + slope * g, slope, p00 + 2 * g * p01 + g * g * p11 + q * (g + g * (g - 1) * (2 * g - 1) / 6),
-        p01 + g * p11 + q * g * (g - 1) / 2, p11 + q * g,
-    )
-
-
-def _trend_seen(state: State, y: float, r: float) -> State:
-    level, slope, p00, p01, p11 = state
-    k0, k1 = p00 / (p00 + r), p01 / (p00 + r)
-    return level + k0 * (y - level), slope + k1 * (y - level), (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
-
-
-def _filtered(series: DataFrame, keys: list[str], pairs: list[tuple[str, str]], at: DataFrame | None, start: State, move, see, q: float) -> DataFrame:
-    """The state of each (value, sd) pair after each day, as columns ``value`` + its number.
-
-    One pass over a series serves all pairs, and each day costs the same. A
-    series has one row per day at most. Days without an observation, such as
-    those of ``at``, only let time pass.
-    """
-    cols = [c for pair in pairs for c in pair]
-    rows = series.select(*keys, "day", *[F.col(c).cast("double").alias(c) for c in cols])
-    if at is not None:
-        rows = rows.unionByName(at.select(*keys, "day"), allowMissingColumns=True)
-        rows = rows.groupBy(*keys, "day").agg(*[F.max(c).alias(c) for c in cols])
-    names = [f"{v}{i}" for v, _ in pairs for i in range(len(start))]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day", ignore_index=True)
-        days = _ordinal(pdf).astype(int)
-        gaps = np.diff(days, prepend=days[0] - 1).tolist()
-        out = pdf[[*keys, "day"]].copy()
-        for v, sd in pairs:
-            ys, rs = pdf[v].to_numpy(float), pdf[sd].to_numpy(float) ** 2
-            known = ys[~np.isnan(ys)]
-            state, states = (float(known[0]) if len(known) else 0.0, *start[1:]), []
-            for gap, y, r in zip(gaps, ys.tolist(), rs.tolist()):
-                state = move(state, gap, q)
-                if y == y and r == r:
-                    state = see(state, y, r)
-                states.append(state)
-            for i, column in enumerate(zip(*states)):
-                out[f"{v}{i}"] = column
-        return out
-
-    return _per_series(rows, keys, cols, ", ".join(f"{n} double" for n in names), fit)
-
-
-def kalman_rw(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-5) -> DataFrame:
+def kalman_rw(
+    series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-5, chunk_days: int = CHUNK_DAYS
+) -> DataFrame:
     """Random-walk filter on the daily axis with a variance per observation."""
-    out = _filtered(series, keys, [(value, sd)], at, (0.0, 1.0), _walk, _walk_seen, q)
-    return out.select(*keys, "day", F.col(f"{value}0").alias("level"), F.sqrt(f"{value}1").alias("level_sd"))
-
+    out = filtered(series, keys, [(value, sd)], at, Walk(q), chunk_days)
+    return out.select(*keys, "day", F.col(f"{value}.x").alias("level"), F.sqrt(f"{value}.p").alias("level_sd"))
 
-def _level_and_trend(series: DataFrame, keys: list[str], pairs: list[tuple[str, str]], at: DataFrame | None, q: float) -> DataFrame:
-    return _filtered(series, keys, pairs, at, (0.0, 0.0, 1.0, 0.0, 1.0), _trend, _trend_seen, q)
 
-
-def kalman_llt(series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-6) -> DataFrame:
+def kalman_llt(
+    series: DataFrame, keys: list[str], value: str, sd: str, at: DataFrame | None = None, q: float = 1e-6, chunk_days: int = CHUNK_DAYS
+) -> DataFrame:
     """Level-and-trend filter on the daily axis with a variance per observation."""
-    out = _level_and_trend(series, keys, [(value, sd)], at, q)
+    out = filtered(series, keys, [(value, sd)], at, Trend(q), chunk_days)
     return out.select(
-        *keys, "day", F.col(f"{value}0").alias("level"), F.col(f"{value}1").alias("trend"), F.sqrt(f"{value}2").alias("level_sd")
+        *keys, "day", F.col(f"{value}.x").alias("level"), F.col(f"{value}.v").alias("trend"), F.sqrt(f"{value}.p00").alias("level_sd")
     )
 
 
@@ -384,11 +351,11 @@ def kalman_fractions(
     series: DataFrame, keys: list[str], values: list[str], sds: list[str], at: DataFrame | None = None, q: float = 1e-6
 ) -> DataFrame:
     """Filter the three fractions, clip to 0..1 and renormalise."""
-    out = _level_and_trend(series, keys, list(zip(values, sds)), at, q)
-    clip = {v: F.least(F.greatest(F.col(f"{v}0"), F.lit(0.0)), F.lit(1.0)) for v in values}
+    out = filtered(series, keys, list(zip(values, sds)), at, Trend(q))
+    clip = {v: F.least(F.greatest(F.col(f"{v}.x"), F.lit(0.0)), F.lit(1.0)) for v in values}
     total = F.nullif(sum(clip.values(), F.lit(0.0)), F.lit(0.0))
     return out.select(
-        *keys, "day", *[F.try_divide(e, total).alias(v) for v, e in clip.items()], *[F.sqrt(f"{v}2").alias(f"{v}_sd") for v in values]
+        *keys, "day", *[F.try_divide(e, total).alias(v) for v, e in clip.items()], *[F.sqrt(f"{v}.p00").alias(f"{v}_sd") for v in values]
     )
 
 
