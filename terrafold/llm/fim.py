@@ -7,6 +7,7 @@ the places of the multibyte characters and the bytes that each has beyond one.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -53,10 +54,10 @@ def line_ends(raw: np.ndarray) -> np.ndarray:
     return ends if not len(raw) or (len(ends) and ends[-1] == len(raw)) else np.append(ends, len(raw))
 
 
-def draws(doc_id: Column, seed: int = SEED) -> list[Column]:
+def draws(doc_id: str | None, seed: int = SEED) -> list[int]:
     """Four numbers below 2^32 from the document's id; a null id counts as no digits."""
-    h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))), 256)
-    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
+    told = f"{seed}:{'' if doc_id is None else doc_id}"
+    return np.frombuffer(hashlib.sha256(told.encode()).digest(), ">u4", 4).tolist()
 
 
 def _check(marks: tuple[str, str, str]) -> None:
@@ -93,7 +94,8 @@ def rearranged(
     def cut(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, h1, h2, h3, h4 in zip(*batch):
+            for text, doc_id in zip(*batch):
+                h1, h2, h3, h4 = draws(doc_id, seed)
                 data = text.encode()
                 raw = np.frombuffer(data, np.uint8)
                 ends = line_ends(raw)
@@ -114,7 +116,7 @@ def rearranged(
             frame = pd.DataFrame(out, columns=["n", "form", "prefix_chars", "middle_chars", "output"])
             yield frame.astype({"prefix_chars": "Int64", "middle_chars": "Int64"})
 
-    rows = docs.select(F.struct(*docs.columns).alias("row"), cut(body(), *draws(F.col("doc_id"), seed)).alias("out"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), cut(body(), F.col("doc_id").cast("string")).alias("out"))
     return rows.select("row", "out.*")
 
 
