@@ -9,7 +9,9 @@ that together lose no link between two nodes of a group:
 * *Blocks.* What leaders leave open are pairs of different components. One end of
   such a pair lies outside the group's largest component, so only those nodes
   search, against all members, a block of searchers and a block of members at a
-  time. A block compares sketches and puts out the pairs that may be alike.
+  time. A block compares sketches and puts out the pairs that may be alike, first
+  each searcher's likeliest few; what these link needs no more pairs, so only
+  then the others that are still in different components follow.
 
 All pairs found are verified exactly by the caller before they count as links.
 """
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.llm.graph import components
+from terrafold.plans.ordered import spread
 from terrafold.session import cut_lineage
 
 #: Members of a block, on average. A block compares as many sketches with as many.
@@ -32,7 +35,10 @@ BLOCK = 512
 #: Rounds of leaders at most; they go on while some group leaves more searchers than a block holds.
 ROUNDS = 4
 
-#: For two matrices of sketches: for each row of the first, which rows of the second may be alike.
+#: How many of a searcher's likely partners in a block are put out at first, after that, and in the end.
+TURNS = (4, 64, None)
+
+#: For two matrices of sketches: for each row of the first, how likely each row of the second is alike, below 0 if not at all.
 Likely = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]
 Verify = Callable[[DataFrame], DataFrame]
 
@@ -59,43 +65,50 @@ def _parted(held: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(now.join(main, "key"))
 
 
-def _likely_pairs(parted: DataFrame, nodes: DataFrame, likely: Likely, block: int) -> DataFrame:
-    """Pairs (a, b) of nodes in one group but two components whose sketches may be alike, compared block by block."""
+def _likely_pairs(parted: DataFrame, nodes: DataFrame, likely: Likely, block: int, begin: int, end: int | None) -> DataFrame:
+    """Pairs (a, b, more) of nodes in one group but two components whose sketches may be alike, compared block by block.
+
+    Of each searcher's partners in a block, by falling likelihood, those from
+    ``begin`` to ``end`` are put out; ``more`` tells whether any block has further ones.
+    """
+    kind = T.StructType().add("pairs", T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType()))).add("more", T.BooleanType())
 
-    @F.pandas_udf(T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType())))
-    def near(ss: pd.Series, sc: pd.Series, ms: pd.Series, mc: pd.Series) -> pd.Series:
+    @F.pandas_udf(kind)
+    def near(ss: pd.Series, sc: pd.Series, ms: pd.Series, mc: pd.Series) -> pd.DataFrame:
         out = []
         for a, x, b, y in zip(ss, sc, ms, mc):
             a, b = (np.frombuffer(b"".join(map(bytes, s)), np.uint16).reshape(len(s), -1) for s in (a, b))
             x, y = np.asarray(x), np.asarray(y)
-            pairs = []
-            for i, alike in enumerate(likely(a, b)):
-                pairs += [{"i": i + 1, "j": j + 1} for j in np.flatnonzero((y != x[i]) & alike).tolist()]
-            out.append(pairs)
-        return pd.Series(out, dtype=object)
-
-    used = parted.join(nodes.select("node", "sketch"), "node")
-    used = cut_lineage(used.select("key", "sketch", "node", F.xxhash64("comp").alias("code"), (F.col("comp") != F.col("main")).alias("seeks")))
-    sizes = used.groupBy("key").agg(F.count("*").alias("n"), F.count_if("seeks").alias("k"))
-    sizes = cut_lineage(sizes.select("key", F.ceil(F.col("n") / block).alias("nb"), F.ceil(F.col("k") / block).alias("kb")))
-    used = used.join(sizes, "key")
+            pairs, more = [], False
+            for i, score in enumerate(likely(a, b)):
+                order = np.argsort(-score, kind="stable")[: int((score >= 0).sum())]
+                more |= end is not None and len(order) > end
+                order = order[begin:end]
+                pairs += [{"i": i + 1, "j": j + 1} for j in order[y[order] != x[i]].tolist()]
+            out.append((pairs, more))
+        return pd.DataFrame(out, columns=["pairs", "more"])
+
+    seeks = F.col("comp") != F.col("main")
+    sizes = parted.groupBy("key").agg(F.ceil(F.count("*") / block).alias("nb"), F.ceil(F.count_if(seeks) / block).alias("kb"))
+    one = parted.select("key", "node", F.xxhash64("comp").alias("code"), seeks.alias("seeks")).join(cut_lineage(sizes), "key")
+    used = one.join(nodes.select("node", "sketch"), "node")
 
     def lists(rows: DataFrame, blocks: Column, side: str) -> DataFrame:
         of = F.pmod(F.xxhash64("node", F.lit(side)), blocks)
-        all_ = F.collect_list(F.struct("node", "code", "sketch")).alias(side)
-        return rows.groupBy("key", of.alias(f"{side}_block")).agg(all_)
+        return rows.groupBy("key", of.alias(f"{side}_block")).agg(F.collect_list(F.struct("node", "code", "sketch")).alias(side))
 
-    searching = cut_lineage(lists(used.where("seeks"), F.col("kb"), "s"))
-    members = cut_lineage(lists(used, F.col("nb"), "m"))
-    met = searching.join(members, "key").repartition("key", "s_block", "m_block")
-    found = met.select(F.col("s.node").alias("s"), F.col("m.node").alias("m"), F.explode(near("s.sketch", "s.code", "m.sketch", "m.code")).alias("p"))
-    return found.select(F.element_at("s", F.col("p.i")).alias("a"), F.element_at("m", F.col("p.j")).alias("b"))
+    searching, members = cut_lineage(lists(used.where("seeks"), F.col("kb"), "s")), cut_lineage(lists(used, F.col("nb"), "m"))
+    # blocks cost much for their bytes: a task for each few of them
+    met = spread(searching.join(members, "key"), "key", "s_block", "m_block")
+    found = met.select(F.col("s.node").alias("s"), F.col("m.node").alias("m"), near("s.sketch", "s.code", "m.sketch", "m.code").alias("f"))
+    found = found.select("s", "m", "f.more", F.explode_outer("f.pairs").alias("p"))
+    return cut_lineage(found.select(F.get("s", F.col("p.i") - 1).alias("a"), F.get("m", F.col("p.j") - 1).alias("b"), "more"))
 
 
 def links(nodes: DataFrame, likely: Likely, verify: Verify, block: int = BLOCK) -> DataFrame:
     """Verified links (a, b) that connect whatever pairs of a common key are alike.
 
-    ``nodes`` is a written table of node (orderable), sketch (uint16 registers as
+    ``nodes`` is a written table of node (a number), sketch (uint16 registers as
     binary), keys (array of longs). ``likely`` tells from sketches which nodes may
     be alike; ``verify`` keeps the pairs that are.
     The components of the result are those of all alike pairs of a common key.
@@ -104,18 +117,24 @@ def links(nodes: DataFrame, likely: Likely, verify: Verify, block: int = BLOCK)
     nodes = nodes.withColumn("keys", F.array_distinct("keys"))
     held = _groups(nodes)
     found = verify(held.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-    turn = 1
-    while True:
-        parted = _parted(held, found)
-        open_ = parted.where("comp <> main").groupBy("key").count().agg(F.max("count")).first()[0]
-        if not open_:
-            return found
-        if open_ <= block or turn == ROUNDS:
+    parted = _parted(held, found)
+    for turn in range(1, ROUNDS):
+        most = parted.where("comp <> main").groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        if most <= block:
             break
         # the next leader is drawn outside the largest component
         drawn = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("next")
         leads = cut_lineage(parted.where("comp <> main").groupBy("key").agg(drawn))
         pairs = parted.join(leads, "key").where("comp <> next.comp").select(F.col("next.node").alias("a"), F.col("node").alias("b"))
         found = cut_lineage(found.union(verify(pairs)).distinct())
-        turn += 1
-    return cut_lineage(found.union(verify(_likely_pairs(parted, nodes, likely, block))).distinct())
+        parted = _parted(held, found)
+    begin = 0
+    for end in TURNS:
+        if parted.isEmpty():
+            break
+        pairs = _likely_pairs(parted, nodes, likely, block, begin, end)
+        found = cut_lineage(found.union(verify(pairs.where("a is not null").select("a", "b"))).distinct())
+        if not pairs.agg(F.max("more")).first()[0]:
+            break
+        parted, begin = _parted(held, found), end
+    return found

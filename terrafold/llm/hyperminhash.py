@@ -28,10 +28,10 @@ WORDS = 3
 PERCENT = 85
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
-#: Bands of registers: a pair of resemblance 0.85 agrees in none with a chance of 1e-6, one of 0.5 in some with 0.25.
-BANDS, BAND_ROWS = 36, 7
+#: Bands of registers: a pair of resemblance 0.85 agrees in none with a chance of 8e-7, one of 0.3 in some with 0.06.
+BANDS, BAND_ROWS = 24, 5
 #: An estimate may fall short of the limit by so many standard deviations before a pair is given up unverified.
-SLACK = 6.0
+SLACK = 5.0
 EMPTY = np.uint16(0xFFFF)
 
 _rng = np.random.default_rng(12)
@@ -157,7 +157,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def likely(some: np.ndarray, many: np.ndarray, percent: int = PERCENT) -> Iterator[np.ndarray]:
-    """For each sketch of ``some``, the rows of ``many`` whose estimate comes within SLACK standard deviations of the limit."""
+    """For each sketch of ``some``, the estimates for the rows of ``many``; -1 where they fall short of the limit by over SLACK standard deviations."""
     t = percent / 100
     loads, filled = load(many), many != EMPTY
     for one, own in zip(some, load(some)):
@@ -167,8 +167,10 @@ def likely(some: np.ndarray, many: np.ndarray, percent: int = PERCENT) -> Iterat
         floor = t - SLACK * np.sqrt(t * (1 - t) / n)
         near = share >= floor  # the correction only lowers the share
         at = np.flatnonzero(near)
-        near[at] = corrected(share[at], chance(own, loads[at])) >= floor[at]
-        yield near
+        score = np.full(len(many), -1.0)
+        j = corrected(share[at], chance(own, loads[at]))
+        score[at] = np.where(j >= floor[at], j, -1.0)
+        yield score
 
 
 @F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("size", T.LongType()).add("sketch", T.BinaryType()).add("keys", T.ArrayType(T.LongType())))
@@ -181,16 +183,22 @@ def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
 
 
+def _near_enough(percent: int):
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        rows = (next(likely(np.frombuffer(p, np.uint16)[None], np.frombuffer(q, np.uint16)[None], percent))[0] >= 0 for p, q in zip(a, b))
+        return pd.Series(list(rows), dtype=bool)
+
+    return near
+
+
 def _alike(percent: int):
     @F.pandas_udf(T.BooleanType())
-    def alike(a: pd.Series, b: pd.Series, sa: pd.Series, sb: pd.Series) -> pd.Series:
-        """On full sets; of pairs whose estimate is too low none is read."""
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        """On full sets."""
         sets, out = Sets(), []
         last, x = None, None
-        for s, t, p, q in zip(a, b, sa, sb):
-            if not next(likely(np.frombuffer(p, np.uint16)[None], np.frombuffer(q, np.uint16)[None], percent))[0]:
-                out.append(False)
-                continue
+        for s, t in zip(a, b):
             if s != last:
                 last, x = s, sets.of(s)
             y = sets.of(t)
@@ -222,22 +230,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prints = cut_lineage(prints.select("id", "text", "_p.*"))
     some = prints.where("size > 0")
     nodes = some.groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
-    nodes = cut_lineage(nodes.select(F.struct("id", "set").alias("node"), "set", "sketch", "keys"))
-    alike = _alike(percent)
+    nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "id", "set", "sketch", "keys"))
+    near, alike = _near_enough(percent), _alike(percent)
+    sketches = nodes.select("node", "sketch")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut_lineage(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left, right = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}")) for c in "ab")
+        pairs = cut_lineage(pairs.join(right, "b").join(left, "a").where(near("s_a", "s_b")).select("a", "b"))
         used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        texts = some.select(F.struct("id", "set").alias("node"), "text", "sketch").join(used, "node", "left_semi")
-        texts = cut_lineage(texts.groupBy("node").agg(F.min("text").alias("text"), F.min("sketch").alias("sketch")))
-        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-        met = pairs.join(right, "b").join(left, "a")
-        return cut_lineage(met.where(alike("text_a", "text_b", "s_a", "s_b")).select("a", "b"))
+        used = cut_lineage(nodes.select("node", "id", "set").join(used, "node", "left_semi"))
+        texts = cut_lineage(some.select("id", "set", "text").join(used, ["id", "set"]).groupBy("node").agg(F.min("text").alias("text")))
+        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        return cut_lineage(pairs.join(right, "b").join(left, "a").where(alike("text_a", "text_b")).select("a", "b"))
 
     links = grouped.links(nodes, lambda a, b: likely(a, b, percent), verify)
     found = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
-    labels = nodes.join(found, nodes.node == found.member, "left").select("set", F.coalesce("root.id", "node.id").alias("component"))
-    labels = cut_lineage(labels)
-    out = some.select("id", "size", "set").join(labels, "set").select("id", "size", "component")
+    rooted = nodes.join(found, nodes.node == found.member, "left").select("set", "id", F.coalesce("root", "node").alias("root"))
+    rooted = cut_lineage(rooted)
+    labels = rooted.select("set", "root").join(cut_lineage(rooted.groupBy("root").agg(F.min("id").alias("component"))), "root")
+    out = some.select("id", "size", "set").join(cut_lineage(labels.select("set", "component")), "set").select("id", "size", "component")
     out = out.union(prints.where("size = 0").select("id", "size", "id"))
     return out.withColumnRenamed("size", "n_shingles")
