@@ -9,9 +9,10 @@ source offsets.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -96,15 +97,17 @@ class Mapped:
         return self.starts[span[0]], self.ends[span[1] - 1]
 
     def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | list[tuple[str, Span]] | None]) -> Mapped:
-        """Replace matches. What is put out stands for all of the match: its last
-        character ends where the match ends; in a list, each string stands for
-        its own part. None keeps a match, an empty replacement drops it."""
+        """Replace matches. None keeps a match, an empty replacement drops it."""
+        return self.replace((m.span(), to(m)) for m in pattern.finditer(self.text) if m.end() > m.start())
+
+    def replace(self, pieces: Iterable[tuple[Span, str | list[tuple[str, Span]] | None]]) -> Mapped:
+        """Replace ascending spans. What is put out stands for all of the span: its last
+        character ends where the span ends; in a list, each string stands for
+        its own part. None keeps a span, an empty replacement drops it."""
         parts, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new is None or m.end() == m.start():
+        for (a, b), new in pieces:
+            if new is None:
                 continue
-            a, b = m.span()
             parts.append(self.text[at:a])
             starts += self.starts[at:a]
             ends += self.ends[at:a]
@@ -118,6 +121,15 @@ class Mapped:
             return self
         return Mapped("".join(parts) + self.text[at:], starts + self.starts[at:], ends + self.ends[at:])
 
+    def translate(self, table: dict[str, str]) -> Mapped:
+        """Replace single characters by one character or by none."""
+        gone = {c for c, new in table.items() if not new}
+        text = self.text.translate(str.maketrans(table))
+        if len(text) == len(self.text):
+            return Mapped(text, self.starts, self.ends)
+        kept = [i for i, c in enumerate(self.text) if c not in gone]
+        return Mapped(text, [self.starts[i] for i in kept], [self.ends[i] for i in kept])
+
 
 # Characters that look like the ASCII character before them.
 _LOOKALIKES = {
@@ -130,11 +142,9 @@ _LOOKALIKES = {
 }
 _HIDDEN = "\xad​‌‍⁠﻿"
 _PLAIN = {c: a for a, all_ in _LOOKALIKES.items() for c in all_} | dict.fromkeys(_HIDDEN, "")
-_ODD = re.compile("[^\x00-\x7f]")
 
 
-def _plain(m: re.Match) -> str | None:
-    c = m[0]
+def _plain(c: str) -> str | None:
     if c in _PLAIN:
         return _PLAIN[c]
     if 0xFF01 <= ord(c) <= 0xFF5E:  # full-width forms of ASCII
@@ -144,6 +154,13 @@ def _plain(m: re.Match) -> str | None:
     return None
 
 
+def _odd(text: str) -> dict[str, str]:
+    """The text's characters that look like an ASCII one, or like nothing."""
+    if text.isascii():
+        return {}
+    return {c: new for c in set(text) if c > "\x7f" and (new := _plain(c)) is not None}
+
+
 # Digit words of the four languages of the corpus, from zero to nine.
 _DIGIT_WORDS = (
     "zero oh one two three four five six seven eight nine",
@@ -156,11 +173,11 @@ for _line in _DIGIT_WORDS:
     _VALUE |= {"oh": "0"} | {w: str(i) for i, w in enumerate(_line.replace("oh ", "").split())}
 _WORD = "|".join(sorted(_VALUE, key=len, reverse=True))
 _UNIT = rf"(?:(?:double|triple)[ -]+)?(?:{_WORD}|[0-9]+)"
-_JOIN = r"(?:[ ]?[,-][ ]?|[ ]+)"
-_POINT = r"(?:[ ]+(?:dot|point|punkt|punto)[ ]+|[ ]?\.[ ]?)"
+_JOIN = r"(?:[ ]?[,-][ ]?|[ ]++)"
+_POINT = r"(?:[ ]++(?:dot|point|punkt|punto)[ ]++|[ ]?\.[ ]?)"
 #: Numbers told in words, or partly in words, next to each other or around spoken dots.
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus[ ]+)|\+[ ]?)?{_UNIT}(?:(?:{_POINT}|{_JOIN}){_UNIT})+(?!\w)", re.IGNORECASE)
-_SPELLED_PART = re.compile(rf"(?P<plus>plus[ ]+|\+[ ]?)|(?P<times>double|triple)[ -]+|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<point>{_POINT})|.", re.IGNORECASE)
+_SPELLED_PART = re.compile(rf"(?P<plus>plus[ ]+|\+[ ]?)|(?P<times>double|triple)[ -]+|(?P<word>{_WORD})|(?P<number>[0-9]+)|(?P<point>{_POINT})|[ ]++|.", re.IGNORECASE)
 
 
 def _digits(m: re.Match) -> str | None:
@@ -209,19 +226,99 @@ def _mixed(m: re.Match) -> list[tuple[str, Span]] | None:
 
 
 _SIGN_AT, _SIGN_DOT = r"at|@|arroba|arobase|ät", r"dot|\.|punkt|punto|point"
-_BRACKETED_AT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_SIGN_AT}|a)[ ]*[\])}}>][ ]*", re.IGNORECASE)
-_BRACKETED_DOT = re.compile(rf"[ ]*[\[({{<][ ]*(?:{_SIGN_DOT})[ ]*[\])}}>][ ]*", re.IGNORECASE)
-_NAME = r"[A-Za-z0-9_%+-]+"
-#: An address told in words: the part after the at must have a spoken dot, or the at must be a sign.
-_SPOKEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:(?:\.|[ ]+(?:dot|punkt|punto|point)[ ]+){_NAME})*"
-    rf"(?P<at>[ ]+(?:at|arroba|arobase|ät)[ ]+|[ ]*@[ ]*|[-_]at[-_])"
-    r"[A-Za-z0-9-]+(?:(?:[ ]+(?:dot|punkt|punto|point)[ ]+|[-_]dot[-_]|\.)[A-Za-z0-9-]+)*"
-    r"(?P<last>[ ]+(?:dot|punkt|punto|point)[ ]+|[-_]dot[-_]|\.)[A-Za-z]{2,}(?![A-Za-z0-9])",
-    re.IGNORECASE,
-)
-_SPOKEN_AT = re.compile(r"[ ]+(?:at|arroba|arobase|ät)[ ]+|[ ]*@[ ]*|[-_]at[-_]", re.IGNORECASE)
+_OPEN, _CLOSE = r"[\[({<][ ]*", r"[ ]*[\])}>]"
+_BRACKETED_AT = re.compile(rf"{_OPEN}(?:{_SIGN_AT}|a){_CLOSE}", re.IGNORECASE)
+_BRACKETED_DOT = re.compile(rf"{_OPEN}(?:{_SIGN_DOT}){_CLOSE}", re.IGNORECASE)
+
+
+def _bracketed(text: str, sign: re.Pattern, to: str) -> Iterator[tuple[Span, str]]:
+    """Signs in brackets, with the spaces around them."""
+    free = 0
+    for m in sign.finditer(text):
+        a, b = _spaces(text, *m.span(), free)
+        yield (a, b), to
+        free = b
+
+
+def _spaces(text: str, a: int, b: int, free: int) -> Span:
+    """The span with the spaces on both of its sides, none before ``free``."""
+    while a > free and text[a - 1] == " ":
+        a -= 1
+    while b < len(text) and text[b] == " ":
+        b += 1
+    return a, b
+
+
+#: The at of an address told in words, wherever one may stand.
+_AT = re.compile(r"@|(?<=[ ])(?:at|arroba|arobase|ät)(?=[ ])|(?<=[-_])at(?=[-_])", re.IGNORECASE)
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-")
+_DOT_WORDS = ("dot", "punkt", "punto", "point")
+_DOT = r"(?:[ ]++(?:dot|punkt|punto|point)[ ]++|[-_]dot[-_]|\.)"
+_LABEL = r"(?:(?!-dot-)[A-Za-z0-9-])++"
+_TOLD_DOMAIN = re.compile(rf"{_LABEL}(?:{_DOT}{_LABEL})++", re.IGNORECASE)
+_DOT_LABEL = re.compile(rf"(?P<dot>{_DOT})(?P<top>[A-Za-z]{{2,}}+(?![A-Za-z0-9]))?(?:{_LABEL})?", re.IGNORECASE)
 _SPOKEN_DOT = re.compile(r"[ ]+(?:dot|punkt|punto|point)[ ]+|[-_]dot[-_]", re.IGNORECASE)
+
+
+def _told_name(text: str, end: int, free: int) -> int | None:
+    """Where the name before an at begins: words joined by full stops or spoken dots, looked at from their end."""
+    best, at = None, end
+    while True:
+        a = at
+        while a > free and text[a - 1] in _NAME:
+            a -= 1
+        if a == at:
+            return best
+        if a == free or text[a - 1] != ".":
+            best = a
+        if a > free and text[a - 1] == ".":
+            at = a - 1
+            continue
+        b = a
+        while b > free and text[b - 1] == " ":
+            b -= 1
+        word = next((w for w in _DOT_WORDS if b < a and text[max(free, b - len(w)) : b].lower() == w), None)
+        if word is None:
+            return best
+        at = b - len(word)
+        if at == free or text[at - 1] != " ":
+            return best
+        while at > free and text[at - 1] == " ":
+            at -= 1
+
+
+def _told_domain(text: str, start: int) -> tuple[int, str] | None:
+    """Where the domain after an at ends, and its last dot; that of the longest one that ends in letters."""
+    m = _TOLD_DOMAIN.match(text, start)
+    if not m:
+        return None
+    first = re.compile(_LABEL, re.IGNORECASE).match(text, start)
+    ends = [(p.end("top"), p["dot"]) for p in _DOT_LABEL.finditer(text, first.end(), m.end()) if p["top"]]
+    return ends[-1] if ends else None
+
+
+def _addresses(text: str) -> Iterator[tuple[Span, str]]:
+    """Addresses told in words; looks outwards from each at, and no further than the address before it.
+
+    An at in words needs a spoken dot before the last part: "look at example.com" is prose.
+    """
+    free = 0
+    for m in _AT.finditer(text):
+        if m.start() < free:
+            continue
+        sign, beside = m[0] == "@", text[m.start() - 1 : m.start()]
+        a, b = (m.start() - 1, m.end() + 1) if not sign and beside in "-_" else _spaces(text, *m.span(), free)
+        domain = _told_domain(text, b)
+        if domain is None or not sign and domain[1] == ".":
+            continue
+        name = _told_name(text, a, free)
+        if name is None:
+            continue
+        end = domain[0]
+        yield (name, end), _SPOKEN_DOT.sub(".", text[name:a]) + "@" + _SPOKEN_DOT.sub(".", text[b:end])
+        free = end
+
+
 #: Signs of a disguise; a text without any is its own normal form.
 _BRACKETS = re.compile(rf"[\[({{<][ ]*(?:{_SIGN_AT}|{_SIGN_DOT}|a)[ ]*[\])}}>]", re.IGNORECASE)
 _SPOKEN_SIGNS = (" dot ", "-dot-", "_dot_", " punkt ", " punto ", " point ", " @", "@ ")
@@ -237,28 +334,38 @@ def _hint(text: str) -> bool:
     return words >= 4 or words > 0 and _DIGIT.search(low) is not None
 
 
-def _spoken(m: re.Match) -> str | None:
-    words = m["at"].strip(" -_") != "@"
-    if words and m["last"] == ".":  # "look at example.com" is prose
-        return None
-    return _SPOKEN_DOT.sub(".", _SPOKEN_AT.sub("@", m[0], count=1))
-
-
 def normal_forms(text: str) -> list[Mapped]:
     """The text without homoglyphs, spelled digits and at/dot disguises, and then, if it has any,
     with its numbers of mixed spelling; none if it has no disguise.
 
     They are two forms since a digit word may also just stand beside a number.
     """
-    odd = not text.isascii() and any(_plain(m) is not None for m in _ODD.finditer(text))
+    odd = _odd(text)
     if not odd and not _hint(text):
         return []
     out = Mapped(text)
     if odd:
-        out = out.rewrite(_ODD, _plain)
-    out = out.rewrite(_BRACKETED_AT, lambda m: "@").rewrite(_BRACKETED_DOT, lambda m: ".")
+        out = out.translate(odd)
+    for sign, to in ((_BRACKETED_AT, "@"), (_BRACKETED_DOT, ".")):
+        out = out.replace(_bracketed(out.text, sign, to))
     mixed = out.rewrite(_SPELLED, _mixed)
-    return [out.rewrite(_SPELLED, _digits).rewrite(_SPOKEN, _spoken), *([] if mixed is out else [mixed])]
+    told = out.rewrite(_SPELLED, _digits)
+    return [told.replace(_addresses(told.text)), *([] if mixed is out else [mixed])]
+
+
+class Taken:
+    """Stretches of the text that spans of a kind cover, ascending and apart."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def add(self, a: int, b: int, beyond: bool) -> bool:
+        """Take (a, b) if it touches none, or, with ``beyond``, holds each one that it touches and is none of them."""
+        lo, hi = bisect.bisect_right(self.ends, a), bisect.bisect_left(self.starts, b)
+        if lo < hi and not (beyond and a <= self.starts[lo] and self.ends[hi - 1] <= b and (a, b) != (self.starts[lo], self.ends[lo])):
+            return False
+        self.starts[lo:hi], self.ends[lo:hi] = [a], [b]
+        return True
 
 
 def find(text: str) -> list[tuple[int, int, str, bool]]:
@@ -266,17 +373,17 @@ def find(text: str) -> list[tuple[int, int, str, bool]]:
 
     Spans of the normal forms come in source offsets and are added where they
     touch no base span of their kind, or reach beyond the base spans they touch;
-    those of mixed spelling only where they touch none.
+    those of mixed spelling only where they touch none. Time grows with the
+    text's length, whatever it holds.
     """
     base = base_spans(text)
     found = [(a, b, k, True) for k in KINDS for a, b in base[k]]
-    taken = {k: list(base[k]) for k in KINDS}
+    taken = {k: Taken(base[k]) for k in KINDS}
     for mixed, form in enumerate(normal_forms(text)):
         for k, spans in base_spans(form.text).items():
             for span in spans:
                 a, b = form.source(span)
-                if all(b <= x or y <= a or (not mixed and a <= x and y <= b and (a, b) != (x, y)) for x, y in taken[k]):
-                    taken[k].append((a, b))
+                if taken[k].add(a, b, not mixed):
                     found.append((a, b, k, False))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
