@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.plans.ordered import cumulative_counts, exact_quantiles
-from terrafold.session import cut_lineage
 
 T_975_DF4 = 2.7764451051977987  # fixed value: Student quantile for five models
 
@@ -21,7 +20,7 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "spearma
     distributed cumulative counts, never from sorting a whole group.
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    pairs = cut_lineage(df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")))
+    pairs = df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m"))
 
     def centred(value: str, name: str) -> DataFrame:
         cc = cumulative_counts(pairs, keys, value, weight="_m")

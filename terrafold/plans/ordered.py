@@ -17,8 +17,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.session import cut_lineage
-
 BEFORE = Window.unboundedPreceding
 
 
@@ -118,56 +116,84 @@ def with_halo(
     return df.withColumn(halo, F.explode(F.array_distinct(F.array(F.col(chunk), reach)))).repartition(*keys, halo)
 
 
-#: Distinct values of a range, and the most ranges that a key is cut into.
-RANGE_ROWS, MOST_RANGES = 500_000, 4096
+#: Bits of a value's order-preserving number that the two coarser levels leave out.
+LEVELS = (42, 21)
 
 
-def cumulative_counts(
-    df: DataFrame, keys: list[str], value: str, buckets: int = 64, weight: str | None = None
-) -> DataFrame:
+def order_bits(v: Column) -> Column:
+    """A long that ascends with the double ``v``: sign, exponent and mantissa as one number.
+
+    Halves of a binade differ in one bit, so any two doubles differ; both zeros
+    are 0, NaN is the largest.
+    """
+    v = v.cast("double")
+    a = F.abs(v)
+    rough = F.floor(F.log2(a))
+    # log2 may round to the next whole number
+    e = F.when(F.pow(F.lit(2.0), rough) > a, rough - 1).when(F.pow(F.lit(2.0), rough + 1) <= a, rough + 1).otherwise(rough)
+    e = F.greatest(e, F.lit(-1022))
+    one = F.lit(1 << 52)
+    bits = (e + 1023) * one + ((a / F.pow(F.lit(2.0), e) - 1) * one).cast("long")
+    bits = F.when(a == 0, F.lit(0)).when(a == float("inf"), F.lit(2047 << 52)).otherwise(bits)
+    return F.when(F.isnan(v), F.lit((2047 << 52) + 1)).when(v < 0, -bits).otherwise(bits).cast("long")
+
+
+def _same(left: list[str], right: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+
+
+def _named(df: DataFrame, cols: list[str], rest: list[Column]) -> DataFrame:
+    """``cols`` under names of their own, for a null-safe join, and ``rest``."""
+    return df.select(*[F.col(c).alias(f"_k_{c}") for c in cols], *rest)
+
+
+def _onto(df: DataFrame, offsets: DataFrame, cols: list[str], names: list[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns ``names`` of ``offsets``, matched null-safe on ``cols``."""
+    o = _named(offsets, cols, [F.col(n) for n in names])
+    return df.join(o, _same(cols, [f"_k_{c}" for c in cols]), how).select(*df.columns, *names)
+
+
+class _Histograms:
+    """Rows of a key counted by value and, coarser, by leading bits of the values.
+
+    A value's bits lie in a coarse and, within it, a finer interval. Each level
+    has a bounded number of members in a member of the level above (2^22, 2^21
+    and 2^21), whatever the data, so sums along one level never hold a key's
+    values together. Intervals depend on the value alone: nothing is estimated,
+    written or counted beforehand.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], value: str, weight: str | None):
+        n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+        self.keys, self.value = keys, value
+        counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias("n"))
+        bits = order_bits(F.col(value))
+        self.counts = counts.withColumns({"_p1": F.shiftright(bits, LEVELS[0]), "_p2": F.shiftright(bits, LEVELS[1])})
+        self.fine = self.counts.groupBy(*keys, "_p1", "_p2").agg(F.sum("n").alias("n"))
+        coarse = self.fine.groupBy(*keys, "_p1").agg(F.sum("n").alias("n"))
+        total = F.sum("n").over(Window.partitionBy(*keys)).alias("total")
+        self.coarse = self.below(coarse, keys, "_p1").select("*", total)
+
+    @staticmethod
+    def below(df: DataFrame, by: list[str], order: str, start: Column | None = None) -> DataFrame:
+        """With ``below``: rows of the members before, from ``start`` on."""
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(BEFORE, -1)
+        own = F.coalesce(F.sum("n").over(w), F.lit(0))
+        return df.withColumn("below", own if start is None else start + own)
+
+
+def cumulative_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Rows (keys, value, n, below, total): how many rows sort below each value.
 
     Equal values are counted together before anything is ordered (``weight``
-    counts a row several times). Each key is then cut into value ranges so that
-    no window holds more than about 1/``buckets`` of a key's distinct values.
+    counts a row several times). The order of values is that of their double.
     """
-    counts = cut_lineage(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
-    )
-    # more ranges for more distinct values, so that a range stays what one task can sort
-    buckets = max(buckets, min(MOST_RANGES, counts.count() // RANGE_ROWS))
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = cut_lineage(
-        counts.groupBy(*keys).agg(
-            F.percentile_approx(value, cuts, 400).alias("_cuts"), F.sum("n").alias("total")
-        )
-    )
-    # an approximate sketch may differ between two evaluations, the cuts must not
-    b = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_cuts", "total")
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]) if keys else F.lit(True)
-    tagged = counts.join(b, on, "inner").select(
-        *keys, value, "n", "total",
-        F.size(F.filter("_cuts", lambda c: c < F.col(value))).alias("_bucket"),
-    )
-    w = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(BEFORE, 0)
-    local = tagged.withColumn("_local", F.sum("n").over(w))
-    sums = tagged.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_m"))
-    # at most ``buckets`` rows per key from here on
-    wo = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(BEFORE, -1)
-    offs = sums.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k_bucket"),
-        F.coalesce(F.sum("_m").over(wo), F.lit(0)).alias("_off"),
-    )
-    on = reduce(
-        lambda x, y: x & y,
-        [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_bucket") == F.col("_k_bucket")],
-    )
-    return local.join(offs, on, "inner").select(
-        *keys, value, "n", (F.col("_off") + F.col("_local") - F.col("n")).alias("below"), "total"
-    )
+    h = _Histograms(df, keys, value, weight)
+    top = h.coarse.withColumnRenamed("below", "_b1").drop("n")
+    fine = _onto(h.fine, top, [*keys, "_p1"], ["_b1", "total"])
+    fine = h.below(fine, [*keys, "_p1"], "_p2", F.col("_b1")).withColumnRenamed("below", "_b2").drop("n")
+    rows = _onto(h.counts, fine, [*keys, "_p2"], ["_b2", "total"])
+    return h.below(rows, [*keys, "_p2"], value, F.col("_b2")).select(*keys, value, "n", "below", "total")
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str) -> DataFrame:
@@ -183,20 +209,27 @@ def exact_quantiles(
     """One row per key with linearly interpolated quantiles.
 
     The built-in exact ``percentile`` keeps a key's distinct values in one
-    aggregation buffer; here only the few rows around each position survive.
+    aggregation buffer. Here the rows wanted are looked for by leading bits: only
+    the intervals that hold one are refined, down to single values.
     """
-    cc = cumulative_counts(df, keys, value)
+    h = _Histograms(df, keys, value, None)
+    wanted = lambda p: (F.col("total") - 1) * F.lit(float(p))
+    ranks = F.array(*[f(wanted(p)) for p in probs.values() for f in (F.floor, F.ceil)])
+    holds = F.exists(ranks, lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n")))
+    top = h.coarse.where(holds).withColumnRenamed("below", "_b1").drop("n")
+    fine = _onto(h.fine, top, [*keys, "_p1"], ["_b1", "total"])
+    fine = h.below(fine, [*keys, "_p1"], "_p2", F.col("_b1")).where(holds).withColumnRenamed("below", "_b2").drop("n")
+    rows = _onto(h.counts, fine, [*keys, "_p2"], ["_b2", "total"])
+    rows = h.below(rows, [*keys, "_p2"], value, F.col("_b2")).where(holds)
     aggs = []
     for name, p in probs.items():
-        pos = (F.col("total") - 1) * F.lit(float(p))
+        pos = wanted(p)
         lo, hi = F.floor(pos), F.ceil(pos)
-        frac = pos - lo
         inside = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
         lo_v = F.max(F.when(inside(lo), F.col(value)))
         hi_v = F.max(F.when(inside(hi), F.col(value)))
-        fr = F.max(frac)
-        aggs.append((lo_v + (hi_v - lo_v) * fr).alias(name))
-    return cc.groupBy(*keys).agg(*aggs)
+        aggs.append((lo_v + (hi_v - lo_v) * F.max(pos - lo)).alias(name))
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def top_n(
