@@ -103,22 +103,26 @@ STRATA = {
         SELECT 'by_size', CASE WHEN Flaeche <= 5000 THEN '<0.5ha' WHEN Flaeche <= 10000 THEN '0.5–1ha' WHEN Flaeche <= 30000 THEN '1–3ha'
           WHEN Flaeche <= 100000 THEN '3–10ha' ELSE '>10ha' END, * FROM assess UNION ALL
         SELECT 'by_c_magnitude', CASE WHEN C_old_total IS NULL THEN '(none)' WHEN C_old_total <= 0.01 THEN 'very_low (≤0.01)' WHEN C_old_total <= 0.05 THEN 'low (0.01–0.05)'
-          WHEN C_old_total <= 0.1 THEN 'medium (0.05–0.10)' WHEN C_old_total <= 0.2 THEN 'high (0.10–0.20)' ELSE 'very_high (>0.20)' END, * FROM assess""",
+          WHEN C_old_total <= 0.1 THEN 'medium (0.05–0.10)' WHEN C_old_total <= 0.2 THEN 'high (0.10–0.20)' ELSE 'very_high (>0.20)' END, * FROM assess UNION ALL
+        SELECT 'by_quality', CASE WHEN poly_id % 7 > 0 THEN CAST(poly_id % 3 AS VARCHAR) ELSE '(none)' END, * FROM assess""",
     "spairs": "SELECT kind, label, C_old_total AS a, C_new AS b FROM strata WHERE C_old_total IS NOT NULL AND C_new IS NOT NULL",
 }
 
 
-def strata(s, d):
+def kinds(s, d):
     c = F.col
-    return stats.with_strata(
-        assess(s, d),
-        {
-            "by_crop": c("lnf_code"), "by_region": c("Region"), "by_tillage": c("Bodenbearbeitung"),
-            "by_crop_region": F.concat_ws("/", c("lnf_code").cast("string"), c("Region")), "by_year": c("yr"),
-            "by_size": classes.bin_cut(c("Flaeche"), classes.SIZE_BINS, classes.SIZE_LABELS, True),
-            "by_c_magnitude": classes.bin_cut(c("C_old_total"), classes.C_BINS, classes.C_LABELS),
-        },
-    )
+    return {
+        "by_crop": c("lnf_code"), "by_region": c("Region"), "by_tillage": c("Bodenbearbeitung"),
+        "by_crop_region": F.concat_ws("/", c("lnf_code").cast("string"), c("Region")), "by_year": c("yr"),
+        "by_size": classes.bin_cut(c("Flaeche"), classes.SIZE_BINS, classes.SIZE_LABELS, True),
+        "by_c_magnitude": classes.bin_cut(c("C_old_total"), classes.C_BINS, classes.C_LABELS),
+        "by_quality": quality(),
+    }
+
+
+def quality():
+    """A stand-in for a parcel's worst quality flag: 0 to 2, none for some."""
+    return F.when(F.pmod("poly_id", F.lit(7)) > 0, F.pmod("poly_id", F.lit(3)))
 
 
 query(
@@ -133,14 +137,56 @@ query(
            CASE WHEN C_old_total IS NOT NULL AND C_new IS NOT NULL THEN C_new END AS c FROM strata) GROUP BY 1, 2) s
         LEFT JOIN {SPEAR.format(k='kind, label', src='spairs')} r ON r.kind = s.kind AND r.label = s.label""",
     "area_ha mean_old mean_new bias rel_bias_pct MAE RMSE spread_C_new spearman_rho", tables=STRATA,
-)(lambda s, d: stats.stratum_metrics(strata(s, d), ["kind", "label"], "C_old_total", "C_new", "Flaeche"))
+)(lambda s, d: stats.stratum_tables(assess(s, d), kinds(s, d), "C_old_total", "C_new", "Flaeche"))
 query(
     "assessment_tables",
     """SELECT kind, label, sum(Flaeche * C_new) FILTER (C_new IS NOT NULL) / sum(Flaeche) FILTER (C_new IS NOT NULL) AS C_new,
        sum(Flaeche * C_old_mgmt) FILTER (C_old_mgmt IS NOT NULL) / sum(Flaeche) FILTER (C_old_mgmt IS NOT NULL) AS C_old_mgmt,
        sum(Flaeche) / 1e4 AS Flaeche_ha, count(*) AS n_parcel_years FROM strata GROUP BY 1, 2""",
     "C_new C_old_mgmt Flaeche_ha", tables=STRATA,
-)(lambda s, d: stats.weighted_mean(strata(s, d), ["kind", "label"], ["C_new", "C_old_mgmt"], "Flaeche"))
+)(lambda s, d: stats.weighted_mean_tables(assess(s, d), kinds(s, d), ["C_new", "C_old_mgmt"], "Flaeche"))
+PAIR = "C_old_total IS NOT NULL AND C_new IS NOT NULL"
+query(
+    "assessment_crop_year",
+    f"""SELECT lnf_code, yr, count(*) FILTER ({PAIR}) AS n, coalesce(sum(Flaeche) FILTER ({PAIR}), 0) / 1e4 AS area_ha,
+        avg(C_new - C_old_total) AS bias, avg(abs(C_new - C_old_total)) AS MAE, sqrt(avg((C_new - C_old_total) ** 2)) AS RMSE FROM assess GROUP BY 1, 2""",
+    "area_ha bias MAE RMSE", tables=MGMT,
+)(
+    lambda s, d: stats.stratum_metrics(assess(s, d), ["lnf_code", "yr"], "C_old_total", "C_new", "Flaeche")
+    .select("lnf_code", "yr", "n", "area_ha", "bias", "MAE", "RMSE")
+)
+query(
+    "assessment_headline",
+    f"""SELECT 'rows' AS level, count(*) AS n, avg(C_new - C_old_total) AS bias, avg(abs(C_new - C_old_total)) AS MAE FROM assess WHERE {PAIR} UNION ALL
+        SELECT 'groups', count(*), avg(v - r), avg(abs(v - r)) FROM (SELECT lnf_code, avg(C_new) AS v, avg(C_old_total) AS r FROM assess WHERE {PAIR} GROUP BY 1)""",
+    "bias MAE", tables=MGMT,
+)(lambda s, d: stats.headline(assess(s, d), "C_old_total", "C_new", "lnf_code"))
+CB = " ".join(f"WHEN {{c}} <= {hi} THEN '{label}'" for hi, label in zip(classes.C_BINS[1:-1], classes.C_LABELS))
+CLASS = f"CASE WHEN {{c}} IS NULL OR {{c}} <= {classes.C_BINS[0]} THEN NULL {CB} ELSE '{classes.C_LABELS[-1]}' END"
+query(
+    "assessment_class_confusion",
+    f"""WITH k AS (SELECT Region AS stratum, {CLASS.format(c="C_old_total")} AS o, {CLASS.format(c="C_new")} AS n FROM assess), v AS (SELECT * FROM k WHERE stratum IS NOT NULL AND o IS NOT NULL AND n IS NOT NULL),
+        lab AS (SELECT unnest({classes.C_LABELS}) AS l), s AS (SELECT DISTINCT stratum FROM v)
+        SELECT s.stratum, a.l AS "old", b.l AS "new", count(v.o) AS n, (SELECT count(*) FILTER (w.o = w.n) / nullif(count(*), 0) FROM v w WHERE w.stratum = s.stratum AND w.o = a.l) AS kept_share
+        FROM s CROSS JOIN lab a CROSS JOIN lab b LEFT JOIN v ON v.stratum = s.stratum AND v.o = a.l AND v.n = b.l GROUP BY 1, 2, 3""",
+    "kept_share", tables=MGMT,
+)(
+    lambda s, d: stats.class_confusion(
+        assess(s, d), classes.bin_cut(F.col("C_old_total"), classes.C_BINS, classes.C_LABELS), classes.bin_cut(F.col("C_new"), classes.C_BINS, classes.C_LABELS),
+        classes.C_LABELS, F.col("Region"),
+    )
+)
+query(
+    "assessment_extremes",
+    f"""WITH m AS (SELECT lnf_code, count(*) AS n, round(avg(abs(C_new - C_old_total)), 9) AS MAE FROM assess WHERE {PAIR} GROUP BY 1 HAVING count(*) >= 10)
+        SELECT 'best' AS side, CAST(p AS INT) AS place, lnf_code, n, MAE FROM (SELECT *, row_number() OVER (ORDER BY MAE, lnf_code) AS p FROM m) WHERE p <= 5 UNION ALL
+        SELECT 'worst', CAST(p AS INT), lnf_code, n, MAE FROM (SELECT *, row_number() OVER (ORDER BY MAE DESC, lnf_code) AS p FROM m) WHERE p <= 5""",
+    "MAE", tables=MGMT,
+)(
+    lambda s, d: stats.best_and_worst(
+        stats.stratum_metrics(assess(s, d), ["lnf_code"], "C_old_total", "C_new", "Flaeche").withColumn("MAE", F.round("MAE", 9)), "MAE", 5, 10, ["lnf_code"]
+    )
+)
 query(
     "area_weighted_mean",
     """SELECT Gemeinde, sum(Flaeche * C_new) FILTER (C_new IS NOT NULL) / sum(Flaeche) FILTER (C_new IS NOT NULL) AS C_new, sum(Flaeche) / 1e4 AS Flaeche_ha,

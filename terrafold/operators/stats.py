@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.plans.ordered import cumulative_counts, exact_quantiles
@@ -20,7 +20,11 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "spearma
     distributed cumulative counts, never from sorting a whole group.
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    pairs = df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m"))
+    return spearman_of_pairs(df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")), keys, a, b, out)
+
+
+def spearman_of_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman_rho") -> DataFrame:
+    """Rank correlation from distinct pairs of values and their number ``_m``."""
 
     def centred(value: str, name: str) -> DataFrame:
         cc = cumulative_counts(pairs, keys, value, weight="_m")
@@ -47,29 +51,96 @@ def rank_correlation(df: DataFrame, keys: list[str], ref: str, new: str) -> Data
     return lin.join(s, keys, "left") if keys else lin.withColumn("spearman_rho", s.scalar())
 
 
-def with_strata(df: DataFrame, strata: dict[str, Column]) -> DataFrame:
-    """Repeat rows once per stratification, as (kind, label); all tables in one pass."""
-    pairs = [F.struct(F.lit(k).alias("kind"), F.coalesce(v.cast("string"), F.lit("(none)")).alias("label")) for k, v in strata.items()]
-    return df.withColumn("_s", F.explode(F.array(*pairs))).select(*df.columns, "_s.kind", "_s.label")
-
-
 def stratum_metrics(df: DataFrame, keys: list[str], ref: str, new: str, weight: str, unit: float = 1e4) -> DataFrame:
-    """Agreement of a new value with a reference per stratum.
+    """Agreement of a new value with a reference per group.
 
-    Strata without a complete pair stay with n = 0. ``unit`` converts the
+    Groups without a complete pair stay with n = 0. ``unit`` converts the
     weight column's area unit to hectares.
     """
+    g = df.groupBy(*keys).agg(*_agreement_sums(ref, new, weight))
+    return _agreement(g, keys, unit).join(spearman(df, keys, ref, new), keys, "left")
+
+
+def _agreement_sums(ref: str, new: str, weight: str) -> list[Column]:
+    """Sums over complete pairs that further sums can be taken of."""
     both = F.col(ref).isNotNull() & F.col(new).isNotNull()
     r, n, w = [F.when(both, F.col(c)) for c in (ref, new, weight)]
     d = n - r
-    g = df.groupBy(*keys).agg(
-        F.count(d).alias("n"), (F.coalesce(F.sum(w), F.lit(0.0)) / unit).alias("area_ha"),
-        F.avg(r).alias("mean_old"), F.avg(n).alias("mean_new"), F.avg(d).alias("bias"),
-        F.avg(F.abs(d)).alias("MAE"), F.sqrt(F.avg(d * d)).alias("RMSE"),
-        F.when(F.count(d) > 0, F.coalesce(F.stddev_samp(n), F.lit(0.0))).alias("spread_C_new"),
+    terms = {"_w": w, "_r": r, "_v": n, "_d": d, "_a": F.abs(d), "_dd": d * d, "_vv": n * n}
+    return [F.count(d).alias("_n"), *[F.sum(x).alias(k) for k, x in terms.items()]]
+
+
+def _agreement(g: DataFrame, keys: list[str], unit: float) -> DataFrame:
+    n, mean = F.col("_n"), lambda c: F.try_divide(F.col(c), F.col("_n"))
+    # one value has a spread of 0
+    left = F.greatest(F.col("_vv") - F.col("_v") * mean("_v"), F.lit(0.0))
+    spread = F.when(n > 1, F.sqrt(F.try_divide(left, n - 1))).when(n == 1, F.lit(0.0))
+    out = g.select(
+        *keys, n.alias("n"), (F.coalesce("_w", F.lit(0.0)) / unit).alias("area_ha"), mean("_r").alias("mean_old"), mean("_v").alias("mean_new"),
+        mean("_d").alias("bias"), mean("_a").alias("MAE"), F.sqrt(mean("_dd")).alias("RMSE"), spread.alias("spread_C_new"),
     )
-    g = g.withColumn("rel_bias_pct", F.when(F.col("mean_old") > 0, 100 * F.col("bias") / F.col("mean_old")))
-    return g.join(spearman(df, keys, ref, new), keys, "left")
+    return out.withColumn("rel_bias_pct", F.when(F.col("mean_old") > 0, 100 * F.col("bias") / F.col("mean_old")))
+
+
+def by_strata(df: DataFrame, strata: dict[str, Column], cols: list[str], aggs: list[Column], within: list[str] | None = None) -> DataFrame:
+    """``aggs`` per (kind, label, within) for several stratifications, by GROUPING SETS.
+
+    Rows are copied once a set inside the aggregate, with the ``cols`` it needs
+    only, and combined before anything is shuffled.
+    """
+    within = within or []
+    named = {f"_k{i}": F.coalesce(c.cast("string"), F.lit("(none)")) for i, c in enumerate(strata.values())}
+    base = df.select(*within, *cols, *[c.alias(k) for k, c in named.items()])
+    sets = [[*[F.col(w) for w in within], F.col(k)] for k in named]
+    every = [F.col(c) for c in (*within, *named)]
+    g = base.groupingSets(sets, *every).agg(*aggs, F.grouping_id().alias("_set"))
+    # the set's own column has a 0 in its place of the id
+    full, last = (1 << len(named)) - 1, len(named) - 1
+    is_set = {k: F.col("_set") == full - (1 << (last - i)) for i, k in enumerate(named)}
+    kind = reduce(lambda c, k: c.when(is_set[k[0]], F.lit(k[1])), zip(list(named)[1:], list(strata)[1:]), F.when(is_set["_k0"], F.lit(next(iter(strata)))))
+    return g.select(kind.alias("kind"), F.coalesce(*named).alias("label"), *[c for c in g.columns if c not in named and c != "_set"])
+
+
+def stratum_tables(df: DataFrame, strata: dict[str, Column], ref: str, new: str, weight: str, unit: float = 1e4) -> DataFrame:
+    """``stratum_metrics`` of every stratum of every kind, from one grouping of the rows and one of their pairs of values."""
+    keys = ["kind", "label"]
+    g = by_strata(df, strata, [ref, new, weight], _agreement_sums(ref, new, weight))
+    both = df.where(F.col(ref).isNotNull() & F.col(new).isNotNull())
+    pairs = by_strata(both, strata, [], [F.count(F.lit(1)).alias("_m")], within=[ref, new])
+    return _agreement(g, keys, unit).join(spearman_of_pairs(pairs, keys, ref, new), keys, "left")
+
+
+def headline(df: DataFrame, ref: str, new: str, group: str) -> DataFrame:
+    """Mean bias and mean absolute error over rows, and over the groups' means, as rows of (level, n, bias, MAE)."""
+    rows = df.where(F.col(ref).isNotNull() & F.col(new).isNotNull())
+    means = rows.groupBy(group).agg(F.avg(ref).alias("_r"), F.avg(new).alias("_v"))
+
+    def told(t: DataFrame, level: str, d: Column) -> DataFrame:
+        return t.agg(F.lit(level).alias("level"), F.count(F.lit(1)).alias("n"), F.avg(d).alias("bias"), F.avg(F.abs(d)).alias("MAE"))
+
+    return told(rows, "rows", F.col(new) - F.col(ref)).unionByName(told(means, "groups", F.col("_v") - F.col("_r")))
+
+
+def class_confusion(df: DataFrame, old_class: Column, new_class: Column, labels: list[str], within: Column) -> DataFrame:
+    """Counts of (old, new) classes per stratum, with each old class's share that keeps its class; all labels stay."""
+    c = df.select(within.cast("string").alias("stratum"), old_class.alias("old"), new_class.alias("new")).dropna()
+    c = c.groupBy("stratum", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new")) for a in labels for b in labels])
+    frame = c.select("stratum").distinct().select("stratum", F.explode(pairs).alias("_p")).select("stratum", "_p.old", "_p.new")
+    n = F.coalesce("n", F.lit(0))
+    kept = c.groupBy("stratum", "old").agg(F.try_divide(F.sum(F.when(F.col("old") == F.col("new"), F.col("n")).otherwise(0)), F.sum("n")).alias("kept_share"))
+    return frame.join(c, ["stratum", "old", "new"], "left").withColumn("n", n).join(kept, ["stratum", "old"], "left")
+
+
+def best_and_worst(metrics: DataFrame, by: str, n: int, least: int, keys: list[str]) -> DataFrame:
+    """The ``n`` strata of lowest and of highest ``by`` among those of at least ``least`` rows, ranked; ties by label."""
+    ok = metrics.where((F.col("n") >= least) & F.col(by).isNotNull())
+    out = []
+    for side, order in (("best", F.asc(by)), ("worst", F.desc(by))):
+        few = ok.orderBy(order, *keys).limit(n)
+        w = Window.orderBy(order, *keys)  # over n rows
+        out.append(few.select(F.lit(side).alias("side"), F.row_number().over(w).alias("place"), *keys, "n", by))
+    return out[0].unionByName(out[1])
 
 
 def _finite(c: Column) -> Column:
@@ -77,16 +148,23 @@ def _finite(c: Column) -> Column:
     return F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False))
 
 
-def weighted_mean(df: DataFrame, keys: list[str], cols: list[str], weight: str, unit: float = 1e4) -> DataFrame:
-    """Area-weighted means over finite values with positive weight; area and row count."""
+def _weighted(cols: list[str], weight: str, unit: float) -> list[Column]:
     w = F.col(weight)
     aggs = []
     for c in cols:
         ok = _finite(F.col(c)) & _finite(w) & (w > 0)
         aggs.append(F.try_divide(F.sum(F.when(ok, F.col(c) * w)), F.sum(F.when(ok, w))).alias(c))
-    return df.groupBy(*keys).agg(
-        *aggs, (F.sum(F.when(_finite(w), w)) / unit).alias("Flaeche_ha"), F.count(F.lit(1)).alias("n_parcel_years")
-    )
+    return [*aggs, (F.sum(F.when(_finite(w), w)) / unit).alias("Flaeche_ha"), F.count(F.lit(1)).alias("n_parcel_years")]
+
+
+def weighted_mean(df: DataFrame, keys: list[str], cols: list[str], weight: str, unit: float = 1e4) -> DataFrame:
+    """Area-weighted means over finite values with positive weight; area and row count."""
+    return df.groupBy(*keys).agg(*_weighted(cols, weight, unit))
+
+
+def weighted_mean_tables(df: DataFrame, strata: dict[str, Column], cols: list[str], weight: str, unit: float = 1e4) -> DataFrame:
+    """``weighted_mean`` of every stratum of every kind, from one grouping."""
+    return by_strata(df, strata, list(dict.fromkeys([*cols, weight])), _weighted(cols, weight, unit))
 
 
 def risk_confusion(df: DataFrame, old_class: Column, new_class: Column, labels: list[str]) -> DataFrame:
