@@ -369,14 +369,21 @@ query("clean_columns", """SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M') AS "tim
         rename={"Date": "time"}, required=("rre150z0",),
     )
 )
+def laid_out(s, cells):
+    path = io.scratch_path(s, "grid")
+    io.write_grid(cells, path, size=8)
+    return s.read.parquet(path)
+
+
 query(
     "read_grid_subset",
     f"""SELECT cx, cy, elev FROM grid_static SEMI JOIN (SELECT DISTINCT CAST(floor((east - {t.X0}) / 100) AS BIGINT) AS cx, CAST(floor((north - {t.Y0}) / 100) AS BIGINT) AS cy FROM station_meta) q USING (cx, cy)""",
     "elev",
 )(
     lambda s, d: io.read_grid_subset(
-        t.grid_static(s, d),
+        laid_out(s, t.grid_static(s, d)),
         t.station_meta(s, d).select(grid.cell_of(F.col("east"), t.X0, 100.0).alias("cx"), grid.cell_of(F.col("north"), t.Y0, 100.0).alias("cy")), ["cx", "cy", "elev"],
+        size=8,
     )
 )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions.text import number
-from terrafold.session import scratch_path  # noqa: F401
+from terrafold.session import cut_lineage, scratch_path  # noqa: F401
 
 
 def read_stations(
@@ -44,9 +44,36 @@ def read_delimited(
     return df.withColumns({c: number(F.col(c)) for c in numeric or []})
 
 
-def read_grid_subset(grid: DataFrame, cells: DataFrame, columns: list[str]) -> DataFrame:
-    """Wanted columns of wanted cells (cx, cy) of a large grid table."""
-    return grid.select(*columns).join(cells.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+#: Cells on each side of a block of the grid's layout.
+GRID_BLOCK = 64
+_BLOCK = ["block_x", "block_y"]
+
+
+def _blocks(df: DataFrame, size: int) -> DataFrame:
+    return df.withColumns({b: F.floor(F.col(c) / size).cast("int") for b, c in zip(_BLOCK, ("cx", "cy"))})
+
+
+def write_grid(grid: DataFrame, path: str, size: int = GRID_BLOCK) -> None:
+    """A grid table (cx, cy, any columns) laid out by blocks of size x size cells, one partition each."""
+    write_partitioned(_blocks(grid, size), path, _BLOCK)
+
+
+def read_grid_subset(grid: DataFrame, cells: DataFrame, columns: list[str], size: int = GRID_BLOCK) -> DataFrame:
+    """Wanted columns of wanted cells (cx, cy) of a large grid table.
+
+    Of a table written by ``write_grid`` with the same ``size``, only the blocks
+    that hold a wanted cell are opened: the blocks wanted are written first, so
+    their known size lets the planner broadcast them and prune the partitions
+    with them. Other tables are scanned for their columns. Cells without
+    coordinates are wanted by nobody.
+    """
+    cells = cells.select("cx", "cy").dropna().distinct()
+    if set(_BLOCK) <= set(grid.columns):
+        wanted = cut_lineage(_blocks(cells, size).select(*_BLOCK).distinct())
+        # a filter on the blocks tells the planner that they are a selection
+        wanted = wanted.where((F.abs("block_x") < 2**31 - 1) & (F.abs("block_y") < 2**31 - 1))
+        grid = grid.join(wanted, _BLOCK, "left_semi")
+    return grid.select(*columns).join(cells, ["cx", "cy"], "left_semi")
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
