@@ -9,11 +9,11 @@ that together lose no link between two nodes of a group:
 * *Blocks.* What leaders leave open are pairs of different components. One end of
   such a pair lies outside the group's largest component, so only those nodes
   search, against all members, a block of searchers and a block of members at a
-  time. A block compares sketches and puts out the pairs that may be alike, first
-  each searcher's likeliest few; what these link needs no more pairs, so only
-  then the others that are still in different components follow.
+  time. A block compares sketches, then, likeliest first, the sets of the pairs
+  that may be alike, and puts out what joins two components: a forest, however
+  many of its pairs are alike.
 
-All pairs found are verified exactly by the caller before they count as links.
+Both verify on whole sets, which are made once, for the nodes of groups alone.
 """
 
 from __future__ import annotations
@@ -30,17 +30,16 @@ from terrafold.llm.graph import components
 from terrafold.plans.ordered import spread
 from terrafold.session import cut_lineage
 
-#: Members of a block, on average. A block compares as many sketches with as many.
-BLOCK = 512
-#: Rounds of leaders at most; they go on while some group leaves more searchers than a block holds.
-ROUNDS = 4
-
-#: How many of a searcher's likely partners in a block are put out at first, after that, and in the end.
-TURNS = (4, 64, None)
+#: Members of a block, and shingles of their sets, on average. A block compares as many sketches with as many.
+BLOCK, BLOCK_SHINGLES = 512, 400_000
+#: Rounds of leaders at most; they go on while some group leaves more searchers than this.
+ROUNDS, SEARCHERS = 4, 2048
 
 #: For two matrices of sketches: for each row of the first, how likely each row of the second is alike, below 0 if not at all.
 Likely = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]
-Verify = Callable[[DataFrame], DataFrame]
+#: Whether two sets, as ascending hashes, are alike.
+Alike = Callable[[np.ndarray, np.ndarray], bool]
+Frames = Callable[[DataFrame], DataFrame]
 
 
 def _groups(nodes: DataFrame) -> DataFrame:
@@ -65,76 +64,114 @@ def _parted(held: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(now.join(main, "key"))
 
 
-def _likely_pairs(parted: DataFrame, nodes: DataFrame, likely: Likely, block: int, begin: int, end: int | None) -> DataFrame:
-    """Pairs (a, b, more) of nodes in one group but two components whose sketches may be alike, compared block by block.
+class Forest:
+    """Components that grow together while a block is worked through."""
 
-    Of each searcher's partners in a block, by falling likelihood, those from
-    ``begin`` to ``end`` are put out; ``more`` tells whether any block has further ones.
-    """
-    kind = T.StructType().add("pairs", T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType()))).add("more", T.BooleanType())
-
-    @F.pandas_udf(kind)
-    def near(ss: pd.Series, sc: pd.Series, ms: pd.Series, mc: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, x, b, y in zip(ss, sc, ms, mc):
-            a, b = (np.frombuffer(b"".join(map(bytes, s)), np.uint16).reshape(len(s), -1) for s in (a, b))
-            x, y = np.asarray(x), np.asarray(y)
-            pairs, more = [], False
-            for i, score in enumerate(likely(a, b)):
-                order = np.argsort(-score, kind="stable")[: int((score >= 0).sum())]
-                more |= end is not None and len(order) > end
-                order = order[begin:end]
-                pairs += [{"i": i + 1, "j": j + 1} for j in order[y[order] != x[i]].tolist()]
-            out.append((pairs, more))
-        return pd.DataFrame(out, columns=["pairs", "more"])
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-    seeks = F.col("comp") != F.col("main")
-    sizes = parted.groupBy("key").agg(F.ceil(F.count("*") / block).alias("nb"), F.ceil(F.count_if(seeks) / block).alias("kb"))
-    one = parted.select("key", "node", F.xxhash64("comp").alias("code"), seeks.alias("seeks")).join(cut_lineage(sizes), "key")
-    used = one.join(nodes.select("node", "sketch"), "node")
+    def top(self, c: int) -> int:
+        while (u := self.up.get(c, c)) != c:
+            c = u
+        return c
+
+    def join(self, a: int, b: int) -> None:
+        self.up[self.top(a)] = self.top(b)
+
+
+def _joined(a: list, b: list, likely: Likely, alike: Alike) -> list[tuple[int, int]]:
+    """Index pairs of searchers ``a`` and members ``b`` (component, sketch, set) that are alike and join two components."""
+    kind = np.uint64
+    sketches = [np.frombuffer(b"".join(bytes(x[1]) for x in s), np.uint16).reshape(len(s), -1) for s in (a, b)]
+    codes, out, forest = np.array([x[0] for x in b]), [], Forest()
+    for i, score in enumerate(likely(*sketches)):
+        own = None
+        at = np.flatnonzero((score >= 0) & (codes != a[i][0]))
+        for j in at[np.argsort(-score[at], kind="stable")].tolist():
+            if forest.top(a[i][0]) == forest.top(b[j][0]):
+                continue
+            own = np.frombuffer(a[i][2], kind) if own is None else own
+            if alike(own, np.frombuffer(b[j][2], kind)):
+                forest.join(a[i][0], b[j][0])
+                out.append((i, j))
+    return out
+
+
+def _verified(pairs: DataFrame, own: DataFrame, likely: Likely, alike: Alike) -> DataFrame:
+    """The pairs (a, b) that are alike; sketches decide first, and only what they leave moves with its sets."""
+
+    @F.pandas_udf(T.BooleanType())
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        rows = (next(likely(np.frombuffer(p, np.uint16)[None], np.frombuffer(q, np.uint16)[None]))[0] >= 0 for p, q in zip(a, b))
+        return pd.Series(list(rows), dtype=bool)
 
-    def lists(rows: DataFrame, blocks: Column, side: str) -> DataFrame:
-        of = F.pmod(F.xxhash64("node", F.lit(side)), blocks)
-        return rows.groupBy("key", of.alias(f"{side}_block")).agg(F.collect_list(F.struct("node", "code", "sketch")).alias(side))
+    @F.pandas_udf(T.BooleanType())
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(a, b)], dtype=bool)
 
-    searching, members = cut_lineage(lists(used.where("seeks"), F.col("kb"), "s")), cut_lineage(lists(used, F.col("nb"), "m"))
+    def both(rows: DataFrame, column: str) -> DataFrame:
+        left, right = (own.select(F.col("node").alias(c), F.col(column).alias(f"_{c}")) for c in "ab")
+        return rows.join(right, "b").join(left, "a")
+
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut_lineage(both(pairs, "sketch").where(near("_a", "_b")).select("a", "b"))
+    return cut_lineage(both(pairs, "hashes").where(same("_a", "_b")).select("a", "b"))
+
+
+def _by_blocks(parted: DataFrame, own: DataFrame, likely: Likely, alike: Alike, block: int) -> DataFrame:
+    """Links (a, b) that join different components of a group, found block by block."""
+
+    @F.pandas_udf(T.ArrayType(T.StructType().add("i", T.IntegerType()).add("j", T.IntegerType())))
+    def found(sc: pd.Series, sk: pd.Series, ss: pd.Series, mc: pd.Series, mk: pd.Series, ms: pd.Series) -> pd.Series:
+        rows = (_joined(list(zip(*r[:3])), list(zip(*r[3:])), likely, alike) for r in zip(sc, sk, ss, mc, mk, ms))
+        return pd.Series([[{"i": i, "j": j} for i, j in r] for r in rows], dtype=object)
+
+    seeks = F.col("comp") != F.col("main")
+    one = parted.select("key", "node", F.xxhash64("comp").alias("code"), seeks.alias("seeks"))
+    one = one.join(own.select("node", F.octet_length("hashes").alias("bytes")), "node")
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / block), F.ceil(size / (8 * BLOCK_SHINGLES)))
+    sizes = one.groupBy("key").agg(
+        blocks(F.count("*"), F.sum("bytes")).alias("nb"), blocks(F.count_if("seeks"), F.sum(F.when(F.col("seeks"), F.col("bytes")))).alias("kb")
+    )
+    used = parted.select("key", "node", F.xxhash64("comp").alias("code"), seeks.alias("seeks")).join(cut_lineage(sizes), "key").join(own, "node")
+
+    def lists(rows: DataFrame, n: Column, side: str) -> DataFrame:
+        of = F.pmod(F.xxhash64("node", F.lit(side)), n)
+        return rows.groupBy("key", of.alias(f"{side}_block")).agg(F.collect_list(F.struct("node", "code", "sketch", "hashes")).alias(side))
+
+    searching, members = lists(used.where("seeks"), F.col("kb"), "s"), lists(used, F.col("nb"), "m")
     # blocks cost much for their bytes: a task for each few of them
-    met = spread(searching.join(members, "key"), "key", "s_block", "m_block")
-    found = met.select(F.col("s.node").alias("s"), F.col("m.node").alias("m"), near("s.sketch", "s.code", "m.sketch", "m.code").alias("f"))
-    found = found.select("s", "m", "f.more", F.explode_outer("f.pairs").alias("p"))
-    return cut_lineage(found.select(F.get("s", F.col("p.i") - 1).alias("a"), F.get("m", F.col("p.j") - 1).alias("b"), "more"))
+    met = spread(cut_lineage(searching).join(cut_lineage(members), "key"), "key", "s_block", "m_block")
+    told = met.select(F.col("s.node").alias("s"), F.col("m.node").alias("m"), found("s.code", "s.sketch", "s.hashes", "m.code", "m.sketch", "m.hashes").alias("f"))
+    pairs = told.select("s", "m", F.explode("f").alias("p"))
+    return pairs.select(F.get("s", F.col("p.i")).alias("a"), F.get("m", F.col("p.j")).alias("b")).distinct()
 
 
-def links(nodes: DataFrame, likely: Likely, verify: Verify, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, likely: Likely, alike: Alike, sets: Frames, block: int = BLOCK, searchers: int = SEARCHERS) -> DataFrame:
     """Verified links (a, b) that connect whatever pairs of a common key are alike.
 
     ``nodes`` is a written table of node (a number), sketch (uint16 registers as
     binary), keys (array of longs). ``likely`` tells from sketches which nodes may
-    be alike; ``verify`` keeps the pairs that are.
+    be alike, ``alike`` from sets whether two are, and ``sets`` gives (node, hashes)
+    for a table of nodes: ascending uint64 as binary.
     The components of the result are those of all alike pairs of a common key.
     Repeated keys of a node count once. Nodes without keys have no links.
     """
-    nodes = nodes.withColumn("keys", F.array_distinct("keys"))
-    held = _groups(nodes)
-    found = verify(held.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    held = _groups(nodes.withColumn("keys", F.array_distinct("keys")))
+    used = cut_lineage(held.select("node").distinct())
+    own = cut_lineage(sets(used).join(nodes.select("node", "sketch").join(used, "node", "left_semi"), "node"))
+    found = _verified(held.select(F.col("lead").alias("a"), F.col("node").alias("b")), own, likely, alike)
     parted = _parted(held, found)
     for turn in range(1, ROUNDS):
         most = parted.where("comp <> main").groupBy("key").count().agg(F.max("count")).first()[0] or 0
-        if most <= block:
+        if most <= searchers:
             break
         # the next leader is drawn outside the largest component
         drawn = F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("next")
         leads = cut_lineage(parted.where("comp <> main").groupBy("key").agg(drawn))
         pairs = parted.join(leads, "key").where("comp <> next.comp").select(F.col("next.node").alias("a"), F.col("node").alias("b"))
-        found = cut_lineage(found.union(verify(pairs)).distinct())
+        found = cut_lineage(found.union(_verified(pairs, own, likely, alike)).distinct())
         parted = _parted(held, found)
-    begin = 0
-    for end in TURNS:
-        if parted.isEmpty():
-            break
-        pairs = _likely_pairs(parted, nodes, likely, block, begin, end)
-        found = cut_lineage(found.union(verify(pairs.where("a is not null").select("a", "b"))).distinct())
-        if not pairs.agg(F.max("more")).first()[0]:
-            break
-        parted, begin = _parted(held, found), end
-    return found
+    if parted.isEmpty():
+        return found
+    return cut_lineage(found.union(_by_blocks(parted, own, likely, alike, block)))

@@ -156,20 +156,29 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(corrected(share, chance(load(a), load(b))))
 
 
+def floor(percent: int, used: np.ndarray) -> np.ndarray:
+    """The lowest estimate of a pair at the limit, from how many buckets are used.
+
+    The buckets' smallest hashes are drawn from the union without putting back: of
+    small sets they are nearly all, so that the estimate varies little.
+    """
+    t, n = percent / 100, np.maximum(used, 1)
+    union = -BUCKETS * np.log1p(-np.minimum(n / BUCKETS, 0.999))
+    left = np.where(n < 0.95 * BUCKETS, 1 - n / np.maximum(union, n + 1e-9), 1.0)
+    return t - SLACK * np.sqrt(t * (1 - t) / n * left) - 1 / n  # one bucket more for what rounding of small sets may hide
+
+
 def likely(some: np.ndarray, many: np.ndarray, percent: int = PERCENT) -> Iterator[np.ndarray]:
     """For each sketch of ``some``, the estimates for the rows of ``many``; -1 where they fall short of the limit by over SLACK standard deviations."""
-    t = percent / 100
     loads, filled = load(many), many != EMPTY
     for one, own in zip(some, load(some)):
         used = (filled | (one != EMPTY)).sum(axis=1)
-        n = np.maximum(used, 1)
-        share = ((many == one) & filled).sum(axis=1) / n
-        floor = t - SLACK * np.sqrt(t * (1 - t) / n)
-        near = share >= floor  # the correction only lowers the share
-        at = np.flatnonzero(near)
+        share = ((many == one) & filled).sum(axis=1) / np.maximum(used, 1)
+        least = floor(percent, used)
+        at = np.flatnonzero(share >= least)  # the correction only lowers the share
         score = np.full(len(many), -1.0)
         j = corrected(share[at], chance(own, loads[at]))
-        score[at] = np.where(j >= floor[at], j, -1.0)
+        score[at] = np.where(j >= least[at], np.maximum(j, 0.0), -1.0)
         yield score
 
 
@@ -183,30 +192,19 @@ def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
 
 
-def _near_enough(percent: int):
-    @F.pandas_udf(T.BooleanType())
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        rows = (next(likely(np.frombuffer(p, np.uint16)[None], np.frombuffer(q, np.uint16)[None], percent))[0] >= 0 for p, q in zip(a, b))
-        return pd.Series(list(rows), dtype=bool)
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """On full sets of ascending hashes."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
-    return near
 
-
-def _alike(percent: int):
-    @F.pandas_udf(T.BooleanType())
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        """On full sets."""
-        sets, out = Sets(), []
-        last, x = None, None
-        for s, t in zip(a, b):
-            if s != last:
-                last, x = s, sets.of(s)
-            y = sets.of(t)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-        return pd.Series(out, dtype=bool)
-
-    return alike
+@F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("hashes", T.BinaryType()))
+def _hashes(texts: pd.Series) -> pd.DataFrame:
+    sets = Sets()
+    all_ = [sets.of(t).tobytes() for t in texts]
+    return pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -226,25 +224,19 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bands and the estimate's slack can lose a link: a pair at the limit with a
     chance of about 1e-6.
     """
-    prints = docs.select(key_id().alias("id"), body().alias("text")).withColumn("_p", _prints("text"))
-    prints = cut_lineage(prints.select("id", "text", "_p.*"))
+    texts = docs.select(key_id().alias("id"), body().alias("text"))
+    prints = cut_lineage(texts.withColumn("_p", _prints("text")).select("id", "_p.*"))
     some = prints.where("size > 0")
     nodes = some.groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
     nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "id", "set", "sketch", "keys"))
-    near, alike = _near_enough(percent), _alike(percent)
-    sketches = nodes.select("node", "sketch")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        left, right = (sketches.select(F.col("node").alias(c), F.col("sketch").alias(f"s_{c}")) for c in "ab")
-        pairs = cut_lineage(pairs.join(right, "b").join(left, "a").where(near("s_a", "s_b")).select("a", "b"))
-        used = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        used = cut_lineage(nodes.select("node", "id", "set").join(used, "node", "left_semi"))
-        texts = cut_lineage(some.select("id", "set", "text").join(used, ["id", "set"]).groupBy("node").agg(F.min("text").alias("text")))
-        left, right = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return cut_lineage(pairs.join(right, "b").join(left, "a").where(alike("text_a", "text_b")).select("a", "b"))
-
-    links = grouped.links(nodes, lambda a, b: likely(a, b, percent), verify)
+
+    def sets(used: DataFrame) -> DataFrame:
+        """A node's set is made again from its text: texts are read twice, and move once, but are never written."""
+        wanted = cut_lineage(nodes.select("node", "id", "set").join(used, "node", "left_semi"))
+        rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("id", _hashes("text").alias("h"))
+        return rows.select("id", "h.set", "h.hashes").join(wanted, ["id", "set"]).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+
+    links = grouped.links(nodes, lambda a, b: likely(a, b, percent), lambda x, y: alike(x, y, percent), sets)
     found = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     rooted = nodes.join(found, nodes.node == found.member, "left").select("set", "id", F.coalesce("root", "node").alias("root"))
     rooted = cut_lineage(rooted)
