@@ -136,7 +136,35 @@ query(
         library(s, d).withColumn("b1", F.when(F.col("b1") <= 0.3, F.col("b1"))), B[:3], CENTRES, GROUPS, F.pmod("id", F.lit(5)) != 0
     ).select("id", "soil_group")
 )
-query("fit_soil_groups")(lambda s, d: spectra.fit_soil_groups(library(s, d), B, list(range(2, 11))))
+
+
+def kmeans_sql(rounds: int = 8) -> dict[str, str]:
+    """Every round as one table of centres after one of assignments."""
+    d2 = lambda c: " + ".join(f"(x[{j + 1}] - {c}[{j + 1}]) * (x[{j + 1}] - {c}[{j + 1}])" for j in range(len(B)))
+    out = {
+        "kmx": "SELECT id, [" + ", ".join(f"(s.{b} - lo_{b}) / (hi_{b} - lo_{b})" for b in B) + "] AS x FROM spectra s, (SELECT "
+        + ", ".join(f"min({b}) AS lo_{b}, max({b}) AS hi_{b}" for b in B) + " FROM spectra)",
+        "kmc0": "SELECT k, i, x AS c FROM (SELECT x, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS i FROM kmx), range(2, 11) r(k) WHERE i < k",
+    }
+    for r in range(rounds + 1):
+        out[f"kma{r}"] = f"""SELECT k, id, x, i, d FROM (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY d, i) AS place FROM
+            (SELECT k, id, x, i, {d2('c')} AS d FROM kmx, kmc{r})) WHERE place = 1"""
+        if r < rounds:
+            out[f"kmc{r + 1}"] = f"""SELECT c.k, c.i, coalesce(m.m, c.c) AS c FROM kmc{r} c LEFT JOIN
+                (SELECT k, i, [{", ".join(f"avg(x[{j + 1}])" for j in range(len(B)))}] AS m FROM kma{r} GROUP BY 1, 2) m ON m.k = c.k AND m.i = c.i"""
+    return out
+
+
+# the silhouette by all pairs of rows, not by sums of groups
+query(
+    "fit_soil_groups",
+    f"""WITH p AS (SELECT a.k, a.id, a.i AS own, b.i AS other, sum(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) ** 2))) AS s, count(*) AS n
+          FROM kma8 a JOIN kma8 b ON a.k = b.k GROUP BY 1, 2, 3, 4),
+        w AS (SELECT k, id, max(CASE WHEN own = other AND n > 1 THEN s / (n - 1) END) AS a, min(CASE WHEN own <> other THEN s / n END) AS b FROM p GROUP BY 1, 2)
+        SELECT CAST(w.k AS INT) AS k, avg(coalesce(CASE WHEN greatest(a, b) > 0 THEN (b - a) / greatest(a, b) END * (a IS NOT NULL)::INT, 0)) AS silhouette, any_value(t.ss) AS within_ss
+        FROM w JOIN (SELECT k, sum(d) AS ss FROM kma8 GROUP BY 1) t ON t.k = w.k GROUP BY w.k""",
+    "silhouette within_ss", tables=kmeans_sql(),
+)(lambda s, d: spectra.fit_soil_groups(library(s, d), B, list(range(2, 11))))
 
 # --- network ensemble --------------------------------------------------------
 HID, ITER = 4, 5

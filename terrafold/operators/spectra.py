@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.functions.hashing import unit_hash
+from terrafold.functions.hashing import key_digest, unit_hash
 from terrafold.operators.sampling import shuffled_index
+from terrafold.session import cut_lineage
 
 SHADE = 0.01  # fixed value: reflectance of the shade endmember in every band
 CLASSES = ["NPV", "PV", "Soil", "Shade"]
@@ -94,26 +95,79 @@ def assign_group(
     return df.withColumn("soil_group", F.when(F.coalesce(ok, F.lit(False)), names[best["i"]]).otherwise(F.lit(none)))
 
 
-def fit_soil_groups(df: DataFrame, bands: list[str], ks: list[int], seed: int = 42) -> DataFrame:
+Centres = dict[int, list[list[float]]]
+
+
+def _nearest(x: str, centres: list[list[float]]) -> Column:
+    """(d, i): squared distance to the nearest centre and its number, the smaller on ties."""
+    d2 = lambda c: F.aggregate(F.zip_with(F.col(x), c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, v: t + v)
+    told = F.array(*[F.struct(F.array(*map(F.lit, c)).alias("c"), F.lit(i).alias("i")) for i, c in enumerate(centres)])
+    return F.array_min(F.transform(told, lambda m: F.struct(d2(m["c"]).alias("d"), m["i"].alias("i"))))
+
+
+def _assigned(x: DataFrame, centres: Centres) -> DataFrame:
+    """(k, d, i, _x): each row once for each number of groups."""
+    every = F.array(*[F.struct(F.lit(k).alias("k"), _nearest("_x", c).alias("n")) for k, c in centres.items()])
+    return x.select("_x", F.explode(every).alias("_a")).select("_a.k", "_a.n.d", "_a.n.i", "_x")
+
+
+def fit_soil_groups(
+    df: DataFrame, bands: list[str], ks: list[int], key: str = "id", rounds: int = 8, seed: int = 42
+) -> DataFrame:
     """Silhouette and within-group sum of squares for each number of groups.
 
-    Fits run on min-max scaled bands; only scores return to the driver.
+    K-means on min-max scaled bands, rows with a missing band left out. All
+    numbers of groups are fitted together: a round is one pass that assigns
+    every row for every k and sums the groups. Centres, and what the silhouette
+    needs of a group, are all that returns to the driver: a few numbers a band and
+    group. Groups start at the first rows by a hash of ``key``, so a rerun and
+    SQL find the same; a group without rows keeps its centre. The silhouette is
+    that of squared distances, from sums of each group; rows alone in a group
+    have 0.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-
-    v = VectorAssembler(inputCols=bands, outputCol="_raw", handleInvalid="skip").transform(df.select(*bands))
-    x = MinMaxScaler(inputCol="_raw", outputCol="features").fit(v).transform(v).select("features").persist()
-    judge = ClusteringEvaluator(featuresCol="features")
-    rows = []
-    try:
-        for k in ks:
-            m = KMeans(k=k, seed=seed, featuresCol="features").fit(x)
-            rows.append((k, float(judge.evaluate(m.transform(x))), float(m.summary.trainingCost)))
-    finally:
-        x.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, within_ss double")
+    full = df.dropna(subset=bands).select(key, *[F.col(b).cast("double").alias(b) for b in bands])
+    edge = full.agg(*[f(b).alias(f"{n}_{b}") for b in bands for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    spans = {b: (edge[f"lo_{b}"], edge[f"hi_{b}"]) for b in bands}
+    unit = [(F.col(b) - F.lit(lo)) / F.lit(hi - lo) if lo is not None and hi > lo else F.lit(0.5) for b, (lo, hi) in spans.items()]
+    x = cut_lineage(full.select(key, F.array(*unit).alias("_x")))
+    first = [r["_x"] for r in x.orderBy(key_digest(F.col(key), seed=seed), key).limit(max(ks)).collect()]
+    centres: Centres = {k: first[:k] for k in ks} if first else {}
+    mean = [F.avg(F.get("_x", F.lit(j))).alias(f"_{j}") for j in range(len(bands))]
+    for _ in range(rounds if first else 0):
+        rows = _assigned(x, centres).groupBy("k", "i").agg(*mean).collect()
+        moved = {(r["k"], r["i"]): [r[f"_{j}"] for j in range(len(bands))] for r in rows}
+        new = {k: [moved.get((k, i), c) for i, c in enumerate(all_)] for k, all_ in centres.items()}
+        if new == centres:
+            break
+        centres = new
+    schema = "k int, silhouette double, within_ss double"
+    if not first:
+        return df.sparkSession.createDataFrame([], schema)
+    total = [F.sum(F.get("_x", F.lit(j))).alias(f"_{j}") for j in range(len(bands))]
+    norm = F.aggregate("_x", F.lit(0.0), lambda t, v: t + v * v)
+    groups = _assigned(x, centres).groupBy("k", "i").agg(F.count(F.lit(1)).alias("n"), F.sum(norm).alias("q"), *total).collect()
+    sums: dict[int, list] = {}
+    for g in sorted(groups, key=lambda g: (g["k"], g["i"])):
+        sums.setdefault(g["k"], []).append(g)
+
+    def far(k: int) -> Column:
+        """For each group of k: its number, size, and mean squared distance to the row (of the others, for its own)."""
+        told = F.array(*[
+            F.struct(F.lit(g["i"]).alias("i"), F.lit(float(g["n"])).alias("n"), F.lit(g["q"]).alias("q"), F.array(*[F.lit(g[f"_{j}"]) for j in range(len(bands))]).alias("s"))
+            for g in sums[k]
+        ])
+        dot = lambda s: F.aggregate(F.zip_with(F.col("_x"), s, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+        sum_d2 = lambda g: g["n"] * norm + g["q"] - 2 * dot(g["s"])
+        own = F.get(F.filter(told, lambda g: g["i"] == F.col("i")), F.lit(0))
+        others = F.array_min(F.transform(F.filter(told, lambda g: g["i"] != F.col("i")), lambda g: sum_d2(g) / g["n"]))
+        a = sum_d2(own) / (own["n"] - 1)
+        wide = F.greatest(a, others)
+        return F.when(own["n"] > 1, F.when(wide > 0, (others - a) / wide).otherwise(0.0)).otherwise(0.0)
+
+    width = F.lit(None).cast("double")
+    for k in sums:
+        width = F.when(F.col("k") == k, far(k)).otherwise(width)
+    return _assigned(x, centres).groupBy(F.col("k").cast("int").alias("k")).agg(F.avg(width).alias("silhouette"), F.sum("d").alias("within_ss"))
 
 
 # --- network ensembles -------------------------------------------------------
