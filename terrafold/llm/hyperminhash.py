@@ -55,7 +55,7 @@ class Sets:
     words is one shingle, one without words the empty set.
     """
 
-    LIMIT = 500_000
+    LIMIT = 100_000
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
