@@ -20,8 +20,12 @@ SAMPLE_ROWS = 20_000
 TREES, DEPTH, SEED = 20, 4, 42
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens",
-    "longest_run", "suffix_rate", "suffix_seen", "domain_rate", "domain_seen",
+    "longest_run", "suffix_rate", "suffix_seen", "head_rate", "head_seen",
 )
+#: Hosts are dealt into so many folds; a row's rates are those of the other folds' hosts.
+FOLDS = 5
+#: How many imagined labels, half of each kind, draw a rate towards one half.
+PRIOR = 10.0
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -70,32 +74,49 @@ def lexical(pages: DataFrame) -> DataFrame:
         F.regexp_count("_url", F.lit("-")).cast("double").alias("hyphens"),
         F.array_max(F.transform(F.split("_host", r"[^a-z]+"), F.char_length)).cast("double").alias("longest_run"),
         F.substring_index("_host", ".", -1).alias("_suffix"),
-        F.substring_index("_host", ".", -2).alias("_domain"),
+        F.substring_index(F.ltrim("_path", F.lit("/")), "/", 1).alias("_head"),
+        F.pmod(F.xxhash64("_host"), F.lit(FOLDS)).cast("int").alias("_fold"),
     )
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """How often each suffix is blocked among the labelled URLs, drawn towards one half, and how often it is seen."""
-    return labelled.groupBy(key).agg(
-        ((F.sum("label") + 1) / (F.count("*") + 2)).alias(key[1:] + "_rate"), F.count("*").cast("double").alias(key[1:] + "_seen")
-    )
+#: What rates are kept of: the last label of the host, and the first part of the path.
+RATED = ("_suffix", "_head")
 
 
-def _with_rates(df: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataFrame:
-    fill = {"suffix_rate": 0.5, "suffix_seen": 0.0, "domain_rate": 0.5, "domain_seen": 0.0}
-    return df.join(suffixes, "_suffix", "left").join(domains, "_domain", "left").fillna(fill)
+def _rates(labelled: DataFrame, key: str) -> DataFrame:
+    """(key, _fold, blocked, seen): labelled URLs of each value by fold of their hosts."""
+    return labelled.groupBy(key, "_fold").agg(F.sum("label").alias("blocked"), F.count("*").cast("double").alias("seen"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def _with_rates(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    """Rate and number of labels of each row's suffix and head, from the labels of all hosts but those of its own fold.
+
+    So neither the rows that train the trees nor those that they judge know their own host's labels.
+    """
+    for key, table in rates.items():
+        whole = table.groupBy(key).agg(F.sum("blocked").alias("_b"), F.sum("seen").alias("_s"))
+        own = table.select(key, "_fold", F.col("blocked").alias("_ob"), F.col("seen").alias("_os"))
+        met = df.join(whole, key, "left").join(own, [key, "_fold"], "left").fillna(0.0, ["_b", "_s", "_ob", "_os"])
+        seen = F.col("_s") - F.col("_os")
+        rate = (F.col("_b") - F.col("_ob") + PRIOR / 2) / (seen + PRIOR)
+        df = met.withColumns({f"{key[1:]}_rate": rate, f"{key[1:]}_seen": seen}).drop("_b", "_s", "_ob", "_os")
+    return df
+
+
+def judge(
+    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS, held_out: int | None = None
+) -> DataFrame:
     """page_id, host, path, rule, verdict, p_block of each row of ``pages``.
 
-    The URLs that a rule decides are the labelled ones. Suffixes and domains are
-    counted over all of them. The trees are fitted on at most ``sample_rows``,
-    drawn by the hash of URL and page_id, and judge the rest; ``p_block`` is their estimate for every URL. A null url, or one
+    The URLs that a rule decides are the labelled ones. Suffixes and first parts of
+    paths are counted over all of them, for each row without the hosts of its own fold. The trees are fitted on at most ``sample_rows``,
+    drawn by the hash of URL and page_id, and judge the rest; ``p_block`` is their estimate for every URL. With ``held_out``,
+    labels of that fold's hosts are used for nothing, so ``p_block`` can be measured against them. A null url, or one
     without ``://``, has no host and no path, so no rule fits it and the trees
     judge it. With labels of one kind only (or none) there is nothing to fit:
-    the rest gets that kind (or ``allow``). Repeated rows count, and come back,
-    as often as they occur.
+    the rest gets that kind (or ``allow``). An empty table gives an empty table.
+    Repeated rows count, and come back, as often as they occur. A URL's cost is
+    in proportion to its length.
     """
     rows = lexical(pages.select("page_id", "url")).withColumn("rule", rule_for(F.col("_host"), F.col("_path"), rules))
     told = {rule: verdict for rule, verdict in rules}
@@ -105,9 +126,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_row
     rows = rows.withColumn("told", verdict)
 
     numbers = [c for c in FEATURES if not c.endswith(("_rate", "_seen"))]
-    labelled = rows.where("told IS NOT NULL").withColumn("label", (F.col("told") == "block").cast("double"))
+    labelled = rows.where("told IS NOT NULL") if held_out is None else rows.where((F.col("_fold") != held_out) & F.col("told").isNotNull())
+    labelled = labelled.withColumn("label", (F.col("told") == "block").cast("double"))
     train = cut_lineage(
-        labelled.select("label", "_suffix", "_domain", *numbers, F.xxhash64("url", "page_id").alias("_order"))
+        labelled.select("label", *RATED, "_fold", *numbers, F.xxhash64("url", "page_id").alias("_order"))
         .orderBy("_order").limit(sample_rows).drop("_order")
     )
     kinds = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -115,12 +137,12 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_row
         known = "block" if 1.0 in kinds else "allow"
         scored = rows.withColumn("p_block", F.lit(1.0 if known == "block" else 0.0))
     else:
-        suffixes, domains = cut_lineage(_rates(labelled, "_suffix")), cut_lineage(_rates(labelled, "_domain"))
+        rates = {key: cut_lineage(_rates(labelled, key)) for key in RATED}
         pack = VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep")
         fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=SEED).fit(
-            pack.transform(_with_rates(train, suffixes, domains)).select("label", "features")
+            pack.transform(_with_rates(train, rates)).select("label", "features")
         )
-        found = fitted.transform(pack.transform(_with_rates(rows, suffixes, domains)))
+        found = fitted.transform(pack.transform(_with_rates(rows, rates)))
         scored = found.withColumn("p_block", F.get(vector_to_array("probability"), 1))
     return scored.select(
         "page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), "rule",
