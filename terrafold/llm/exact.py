@@ -34,19 +34,17 @@ def duplicate_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     rows = docs.select(key_id().alias("id"), body().alias("text"), norm.alias("norm"))
     short = rows.select(F.char_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"))
 
-    lengths = short.groupBy("len").agg(F.count("*").alias("n")).where("n > 1").select("len")
-    heads = (
-        short.join(lengths, "len", "left_semi")
-        .groupBy("len", "head").agg(F.count("*").alias("n")).where("n > 1").select("len", "head")
-    )
-    # written, so that its measured size decides how the texts are matched with it
-    heads = cut_lineage(heads)
+    # counted by both first, so that a common length is no hot key
+    per = cut_lineage(short.groupBy("len", "head").agg(F.count("*").alias("n")))
+    lengths = cut_lineage(per.groupBy("len").agg(F.sum("n").alias("rows")).where("rows > 1").select("len"))
+    # written, so that measured sizes decide how rows are matched, and a hot key can be split
+    heads = cut_lineage(per.where("n > 1").join(lengths, "len", "left_semi").select("len", "head"))
     left = rows.select(
         "id", "text", F.char_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head")
     ).join(heads, ["len", "head"], "left_semi")
     full = left.select("id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
     groups = full.groupBy("text_sha256").agg(F.min("id").alias("keep"), F.count("*").alias("group_size"))
-    return groups.where("group_size > 1").select("text_sha256", "keep", "group_size")
+    return cut_lineage(groups.where("group_size > 1").select("text_sha256", "keep", "group_size"))
 
 
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:

@@ -28,7 +28,8 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     # one row for each document and key, however often it repeats the line
     held = cut_lineage(keys.select("id", F.unhex(F.md5("k")).alias("key")).distinct())
     many = held.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return held.join(many.select("key", "first"), "key").where("id > first").select("id", "key")
+    # written, so that the join reads plain shuffles and a very common line can be split
+    return held.join(cut_lineage(many.select("key", "first")), "key").where("id > first").select("id", "key")
 
 
 OUT = T.StructType().add("n_lines", T.LongType()).add("n_dropped", T.LongType()).add("kept", T.StringType())
