@@ -179,8 +179,8 @@ def with_edited(docs: DataFrame, k: int = K) -> DataFrame:
         "id", "text",
         F.explode(F.array_compact(F.array(F.struct(own.alias("part"), F.lit(0).alias("halo")), F.when(heads.isNotNull(), F.struct(heads.alias("part"), F.lit(1).alias("halo")))))).alias("to"),
     ).select("to.part", "to.halo", "id", "text")
-    # one partition a range: range numbers follow each other, so each gets its own
-    ranged = sent.repartition(len(edges), "part").sortWithinPartitions("part", "halo", F.desc("id"), "text")
+    # each range is the partition of its number
+    ranged = sent.repartitionById(len(edges), F.col("part").cast("int")).sortWithinPartitions("part", "halo", F.desc("id"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
