@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrafold.catalog import tables as t
 from terrafold.catalog.registry import query
-from terrafold.functions import classes, text
+from terrafold.functions import classes, indices, text
 from terrafold.functions import timeparts as tp
 from terrafold.operators import cover, lookup, masks
 
@@ -292,6 +292,19 @@ query(
 )(
     lambda s, d: __import__("terrafold.functions.indices", fromlist=["x"]).scalar_demo(t.table(s, d, "orders"))
 )
+query(
+    "derived_features",
+    """SELECT o_orderkey, o_totalprice AS elev, sin(radians(o_custkey % 360)) AS aspect_sin, cos(radians(o_custkey % 360)) AS aspect_cos,
+       sin(2 * pi() * dayofyear(o_orderdate) / 365) AS doy_sin, cos(2 * pi() * dayofyear(o_orderdate) / 365) AS doy_cos FROM orders""",
+    "elev aspect_sin aspect_cos doy_sin doy_cos",
+)(
+    lambda s, d: indices.with_derived(
+        t.table(s, d, "orders").select(
+            "o_orderkey", F.col("o_totalprice").alias("elev"), F.pmod("o_custkey", F.lit(360)).alias("aspect"), F.dayofyear("o_orderdate").alias("doy")
+        ),
+        ["o_orderkey"], ["elev", "aspect", "doy", "aspect"],
+    )
+)
 query(
     "date_parts",
     """SELECT l_orderkey, l_linenumber, l_partkey, CAST(least(dayofyear(l_shipdate), 365) AS INT) AS doy365,

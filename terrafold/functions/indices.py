@@ -63,6 +63,15 @@ def derived_features(base: list[str]) -> list[str]:
     return out
 
 
+def with_derived(df: DataFrame, keys: list[str], base: list[str]) -> DataFrame:
+    """The keys and the features that a model is given for ``base``: angles as sine and cosine, each name once."""
+    made: dict[str, Column] = {}
+    for name, encode in (("aspect", cyclic_aspect), ("doy", cyclic_day)):
+        if name in base:
+            made |= dict(zip((f"{name}_sin", f"{name}_cos"), encode(F.col(name))))
+    return df.select(*keys, *[made[f].alias(f) if f in made else F.col(f) for f in derived_features(base)])
+
+
 def scalar_demo(orders: DataFrame) -> DataFrame:
     """The scalar expressions above on the order table."""
     c = F.col

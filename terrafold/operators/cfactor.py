@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.session import cut_lineage
+
 from terrafold.functions import timeparts as tp
 
 BETA = 0.033
@@ -126,12 +130,51 @@ def beta_sensitivity(
     df: DataFrame, ref: DataFrame, keys: list[str], betas: list[float], crop: str = "lnf_code"
 ) -> DataFrame:
     """Absolute error per crop and exponent, with the weight of the crop."""
-    c = crop_c_by_beta(df, keys, betas, crop)
+    return _errors(crop_c_by_beta(df, keys, betas, crop), ref, crop)
+
+
+def _errors(c: DataFrame, ref: DataFrame, crop: str) -> DataFrame:
     return c.join(area_weights(ref), crop, "inner").select(
         crop, "beta", "C_predicted", "C_ref", F.abs(F.col("C_predicted") - F.col("C_ref")).alias("abs_error"), "weight"
     )
 
 
+#: Nodes of a crop's curve. Over the bounds the curve is a mean of exp(-beta fc), fc up to 100, which so many nodes give to 1e-13.
+NODES = 24
+
+
+def chebyshev_nodes(lo: float, hi: float, n: int = NODES) -> list[float]:
+    return [(lo + hi) / 2 + (hi - lo) / 2 * math.cos(math.pi * (i + 0.5) / n) for i in range(n)]
+
+
+def node_weights(nodes: list[float], at: float) -> list[float]:
+    """What each node's value counts in the polynomial through the nodes at ``at`` (barycentric form)."""
+    if at in nodes:
+        return [float(x == at) for x in nodes]
+    terms = [(-1) ** i * math.sin(math.pi * (i + 0.5) / len(nodes)) / (at - x) for i, x in enumerate(nodes)]
+    return [t / sum(terms) for t in terms]
+
+
+def crop_curves(df: DataFrame, keys: list[str], bounds: tuple[float, float], crop: str = "lnf_code") -> tuple[list[float], DataFrame]:
+    """Nodes within the bounds, and each crop's mean C at them as an array, from one pass over the data."""
+    nodes = chebyshev_nodes(*bounds)
+    rows = crop_c_by_beta(df, keys, nodes, crop)
+    # by falling node, as the nodes are
+    curve = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("beta")).alias("b"), F.col("C_predicted").alias("c")))), lambda p: p["c"])
+    return nodes, cut_lineage(rows.groupBy(crop).agg(curve.alias("_curve")))
+
+
+def on_curves(nodes: list[float], curves: DataFrame, betas: list[float], crop: str = "lnf_code") -> DataFrame:
+    """``crop_c_by_beta`` at any exponents within the bounds, from the curves alone."""
+
+    def value(b: float) -> Column:
+        weights = F.array(*map(F.lit, node_weights(nodes, b)))
+        return F.aggregate(F.zip_with("_curve", weights, lambda c, w: c * w), F.lit(0.0), lambda t, v: t + v)
+
+    told = F.array(*[F.struct(F.lit(float(b)).alias("beta"), value(b).alias("C_predicted")) for b in betas])
+    return curves.select(crop, F.explode(told).alias("_p")).select(crop, "_p.beta", "_p.C_predicted")
+
+
 def beta_loss(sens: DataFrame) -> DataFrame:
     """Weighted mean absolute error per exponent, weights renormalised over matched crops."""
     w, e = F.sum("weight"), F.sum(F.col("weight") * F.col("abs_error"))
@@ -146,14 +189,15 @@ def calibrate_beta(
 ) -> tuple[float, DataFrame]:
     """Exponent minimising the crop error, by shrinking grids.
 
-    Each round is one job over the data; only the winning exponent (one row)
-    returns to the driver.
+    One pass over the data gives each crop's curve over the exponents; the grids
+    look at the curves, a few numbers a crop. Only the winning exponent (one
+    row) returns to the driver.
     """
+    nodes, curves = crop_curves(df, keys, bounds)
     lo, hi = bounds
     best, table = lo, None
     for _ in range(rounds):
-        betas = beta_grid(lo, hi, points)
-        table = beta_loss(beta_sensitivity(df, ref, keys, betas))
+        table = beta_loss(_errors(on_curves(nodes, curves, beta_grid(lo, hi, points)), ref, "lnf_code"))
         best = table.agg(F.min_by("beta", F.struct("mae", "beta")).alias("b")).first()["b"]
         step = (hi - lo) / (points - 1)
         lo, hi = max(bounds[0], best - step), min(bounds[1], best + step)
