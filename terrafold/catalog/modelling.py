@@ -201,16 +201,17 @@ def net_sql(group: str) -> str:
         (SELECT id, c, {out} AS o FROM (SELECT *, {group} AS g FROM spectra), range(3) a(c), range(5) e(i)) GROUP BY 1"""
 
 
-def predict(s, d, group=None):
-    nets = spectra.load_networks(model_weights(s))
-    x = t.spectra(s, d).withColumn("soil_group", (F.pmod("id", F.lit(2)) + 1).cast("int"))
-    return spectra.ensemble_predict(x, B, nets, group)
+def pixels_of_groups(s, d):
+    return t.spectra(s, d).withColumn("soil_group", (F.pmod("id", F.lit(2)) + 1).cast("int"))
 
 
-def two_models(s, d):
-    n = lambda df: cover.normalize_fractions(df, KLASS, "_norm").select("id", *KLASS, *[f"{k}_norm" for k in KLASS])
-    vals = [*KLASS, *[f"{k}_norm" for k in KLASS]]
-    return cover.combine_models(n(predict(s, d)), n(predict(s, d, "soil_group")), ["id"], vals)
+def both_sets(s, d):
+    """Global and soil-specific models in one pass."""
+    both = spectra.ensemble_predict_sets(pixels_of_groups(s, d), B, spectra.load_networks(model_weights(s)), {"_global": None, "_soil": "soil_group"})
+    for q in ("global", "soil"):
+        total = sum((F.greatest(f"{k}_{q}", F.lit(0.0)) for k in KLASS), F.lit(0.0))
+        both = both.withColumns({f"{k}_norm_{q}": F.try_divide(F.greatest(f"{k}_{q}", F.lit(0.0)), F.nullif(total, F.lit(0.0))) for k in KLASS})
+    return both.select("id", *[f"{k}{n}_{q}" for q in ("global", "soil") for n in ("", "_norm") for k in KLASS])
 
 
 def norm_sql(p: str, q: str) -> str:
@@ -222,7 +223,7 @@ query(
     "ensemble_predict", f"SELECT a.id, {norm_sql('a', 'global')}, {norm_sql('b', 'soil')} FROM nga a JOIN nsb b ON a.id = b.id",
     " ".join(f"{k}{n}_{q}" for q in ("global", "soil") for n in ("", "_norm") for k in KLASS), digits=9,
     tables={"nga": net_sql("0"), "nsb": net_sql("id % 2 + 1")},
-)(two_models)
+)(both_sets)
 
 # --- features and regressors -------------------------------------------------
 

@@ -208,28 +208,37 @@ def forward(x: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
 def ensemble_predict(
     df: DataFrame, bands: list[str], nets: Networks, group: str | None = None, classes: tuple[str, ...] = ("PV", "NPV", "Soil")
 ) -> DataFrame:
-    """Mean of the ensemble per class: the global models (group 0) or each row's group.
+    """Mean of the ensemble per class: the global models (group 0) or each row's group; see ``ensemble_predict_sets``."""
+    return ensemble_predict_sets(df, bands, nets, {"": group}, classes)
 
-    Rows with a missing band, or of a group without models, get nulls. Models
-    travel as one broadcast variable and score whole Arrow batches.
+
+def ensemble_predict_sets(
+    df: DataFrame, bands: list[str], nets: Networks, groups: dict[str, str | None], classes: tuple[str, ...] = ("PV", "NPV", "Soil")
+) -> DataFrame:
+    """Mean of the ensemble per class for several sets of models, side by side, from one pass over the rows.
+
+    ``groups`` has, for the suffix of each set's columns, the column that tells a
+    row's group, or None for the global models (group 0). Rows with a missing
+    band, or of a group without models, get nulls. Models travel as one
+    broadcast variable of checked size and score whole Arrow batches.
     """
     shipped = df.sparkSession.sparkContext.broadcast(nets)
-    schema = ", ".join(f"{c} double" for c in classes)
+    names = [f"{c}{suffix}" for suffix in groups for c in classes]
 
-    @F.pandas_udf(schema)
-    def score(x: pd.DataFrame, g: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(", ".join(f"{c} double" for c in names))
+    def score(x: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         m = x.to_numpy(float)
-        out = np.full((len(m), len(classes)), np.nan)
         ok = ~np.isnan(m).any(1)
-        gv = pd.to_numeric(g).to_numpy(float)
-        for k in np.unique(gv[ok]):
-            rows = ok & (gv == k)
-            for j, c in enumerate(classes):
-                models = shipped.value.get((int(k), c)) if not np.isnan(k) else None
-                if models:
-                    out[rows, j] = np.mean([forward(m[rows], n) for n in models], axis=0)
-        return pd.DataFrame(out, columns=list(classes))
-
-    g = F.lit(0) if group is None else F.col(group)
-    s = df.withColumn("_s", score(F.struct(*[F.col(b).cast("double") for b in bands]), g))
-    return s.withColumns({c: F.nanvl(F.col(f"_s.{c}"), F.lit(None).cast("double")) for c in classes}).drop("_s")
+        out = np.full((len(m), len(names)), np.nan)
+        for i in range(len(groups)):
+            gv = pd.to_numeric(g.iloc[:, i]).to_numpy(float)
+            for k in np.unique(gv[ok & ~np.isnan(gv)]):
+                rows = ok & (gv == k)
+                for j, c in enumerate(classes):
+                    if models := shipped.value.get((int(k), c)):
+                        out[rows, i * len(classes) + j] = np.mean([forward(m[rows], n) for n in models], axis=0)
+        return pd.DataFrame(out, columns=names)
+
+    of = [(F.lit(0) if g is None else F.col(g)).cast("double").alias(f"g{i}") for i, g in enumerate(groups.values())]
+    s = df.withColumn("_s", score(F.struct(*[F.col(b).cast("double") for b in bands]), F.struct(*of)))
+    return s.withColumns({c: F.nanvl(F.col(f"_s.{c}"), F.lit(None).cast("double")) for c in names}).drop("_s")
