@@ -168,14 +168,19 @@ def savgol(series: DataFrame, keys: list[str], values: list[str], window: int =
     """
     w = Window.partitionBy(*keys).orderBy("day")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    reach = range(1 - window, window)
-    near = {f"_{v}{o + window}": F.lead(v, o).over(w) if o > 0 else F.lag(v, -o).over(w) if o < 0 else F.col(v) for v in values for o in reach}
-    rows = series.select(*keys, "day", *values).withColumns({"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole), **near})
+    reach, half = range(1 - window, window), window // 2
+    near = {o: f"_{o + window}" for o in reach}
+    here = F.struct(*values)
+    rows = series.select(*keys, "day", *values).withColumns(
+        {"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole)}
+        | {c: F.lead(here, o).over(w) if o > 0 else F.lag(here, -o).over(w) if o < 0 else here for o, c in near.items()}
+    )
+    # most rows have the whole window around them, and its weights are fixed; the rest need their place in a window that may be shorter
+    inner = (F.col("_n") >= window) & (F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half)
     size = F.lit(window)
     for n in range(window - 1, 0, -1):
         size = F.when(F.col("_n") == n, F.lit(savgol_window(window, order, n))).otherwise(size)
-    rows = rows.withColumn("_k", size)
-    # position inside the window: the middle, unless an end is near
+    rows = rows.withColumns({"_inner": inner, "_k": F.when(~inner, size)})
     first = F.greatest(F.lit(0), F.least(F.col("_i") - F.floor(F.col("_k") / 2), F.col("_n") - F.col("_k")))
     rows = rows.withColumn("_p", (F.col("_i") - first).cast("int"))
     table = F.lit(None).cast("array<double>")
@@ -185,10 +190,12 @@ def savgol(series: DataFrame, keys: list[str], values: list[str], window: int =
         by_place = F.array(*[F.array(*map(F.lit, r)) for r in shifted])
         table = F.when(F.col("_k") == k, F.get(by_place, F.col("_p"))).otherwise(table)
     rows = rows.withColumn("_w", table)
+    fixed = savgol_weights(window, order)[half]
 
     def smooth(v: str) -> Column:
-        total = sum((F.col("_w")[j] * F.coalesce(f"_{v}{o + window}", F.lit(0.0)) for j, o in enumerate(reach)), F.lit(0.0))
-        return F.when(F.col("_n") < F.col("_k"), F.col(v)).otherwise(total)
+        middle = sum((F.col(near[o])[v] * fixed[o + half] for o in range(-half, half + 1)), F.lit(0.0))
+        total = sum((F.col("_w")[j] * F.coalesce(F.col(near[o])[v], F.lit(0.0)) for j, o in enumerate(reach)), F.lit(0.0))
+        return F.when(F.col("_inner"), middle).when(F.col("_n") < F.col("_k"), F.col(v)).otherwise(total)
 
     rows = rows.select(*keys, "day", *[smooth(v).alias(v) for v in values])
     total = F.nullif(sum((F.col(v) for v in values), F.lit(0.0)), F.lit(0.0))
