@@ -9,9 +9,9 @@ that together lose no link between two nodes of a group:
 * *Blocks.* What leaders leave open are pairs of different components. One end of
   such a pair lies outside the group's largest component, so only those nodes
   search, against all members, a block of searchers and a block of members at a
-  time. A block compares sketches, then, likeliest first, the sets of the pairs
-  that may be alike, and puts out what joins two components: a forest, however
-  many of its pairs are alike.
+  time. A block compares sketches, then the sets of those that may be alike with
+  some member, and puts out what joins two components: a forest, however many of
+  its pairs are alike.
 
 Both verify on whole sets, which are made once, for the nodes of groups alone.
 """
@@ -41,8 +41,8 @@ PAIR_ROWS, BLOCK_ROWS = 1000, 16
 
 #: For two matrices of sketches: for each row of the first, how likely each row of the second is alike, below 0 if not at all.
 Likely = Callable[[np.ndarray, np.ndarray], Iterator[np.ndarray]]
-#: Whether two sets, as ascending hashes, are alike.
-Alike = Callable[[np.ndarray, np.ndarray], bool]
+#: From the sizes of a set and of others, and how much they have in common: which are alike.
+Alike = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 Frames = Callable[[DataFrame], DataFrame]
 
 
@@ -95,19 +95,35 @@ class Forest:
         self.up[self.top(a)] = self.top(b)
 
 
+class Postings:
+    """The hashes of several sets in one ascending array, each with the set it is from."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.owner = every[order], owner[order]
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many hashes of ``own`` each set has."""
+        a, b = np.searchsorted(self.hashes, own, "left"), np.searchsorted(self.hashes, own, "right")
+        n = b - a
+        at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.sizes))
+
+
 def _joined(a: list, b: list, likely: Likely, alike: Alike) -> list[tuple[int, int]]:
     """Index pairs of searchers ``a`` and members ``b`` (component, sketch, set) that are alike and join two components."""
-    kind = np.uint64
     sketches = [np.frombuffer(b"".join(bytes(x[1]) for x in s), np.uint16).reshape(len(s), -1) for s in (a, b)]
+    members = Postings([np.frombuffer(x[2], np.uint64) for x in b])
     codes, out, forest = np.array([x[0] for x in b]), [], Forest()
     for i, score in enumerate(likely(*sketches)):
-        own = None
-        at = np.flatnonzero((score >= 0) & (codes != a[i][0]))
-        for j in at[np.argsort(-score[at], kind="stable")].tolist():
-            if forest.top(a[i][0]) == forest.top(b[j][0]):
-                continue
-            own = np.frombuffer(a[i][2], kind) if own is None else own
-            if alike(own, np.frombuffer(b[j][2], kind)):
+        near = (score >= 0) & (codes != a[i][0])
+        if not near.any():
+            continue
+        own = np.frombuffer(a[i][2], np.uint64)
+        for j in np.flatnonzero(near & alike(len(own), members.sizes, members.shared(own))).tolist():
+            if forest.top(a[i][0]) != forest.top(b[j][0]):
                 forest.join(a[i][0], b[j][0])
                 out.append((i, j))
     return out
@@ -123,7 +139,12 @@ def _verified(pairs: DataFrame, own: DataFrame, likely: Likely, alike: Alike) ->
 
     @F.pandas_udf(T.BooleanType())
     def same(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(a, b)], dtype=bool)
+        out = []
+        for x, y in zip(a, b):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(bool(alike(len(x), np.array([len(y)]), np.array([both]))[0]))
+        return pd.Series(out, dtype=bool)
 
     def both(rows: DataFrame, column: str) -> DataFrame:
         left, right = (own.select(F.col("node").alias(c), F.col(column).alias(f"_{c}")) for c in "ab")
@@ -171,7 +192,7 @@ def links(nodes: DataFrame, likely: Likely, alike: Alike, sets: Frames, block: i
 
     ``nodes`` is a written table of node (a number), sketch (uint16 registers as
     binary), keys (array of longs). ``likely`` tells from sketches which nodes may
-    be alike, ``alike`` from sets whether two are, and ``sets`` gives (node, hashes)
+    be alike, ``alike`` from the sets' sizes and common part which are, and ``sets`` gives (node, hashes)
     for a table of nodes: ascending uint64 as binary.
     The components of the result are those of all alike pairs of a common key.
     Repeated keys of a node count once. Nodes without keys have no links.

@@ -192,12 +192,9 @@ def _prints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
 
 
-def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """On full sets of ascending hashes."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+def alike(size: int, sizes: np.ndarray, both: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which sets of ``sizes`` are linked with one of ``size``, by what they have in common."""
+    return (both > 0) & (100 * both >= percent * (size + sizes - both))
 
 
 @F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("hashes", T.BinaryType()))
@@ -236,7 +233,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("id", _hashes("text").alias("h"))
         return rows.select("id", "h.set", "h.hashes").join(wanted, ["id", "set"]).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
-    links = grouped.links(nodes, lambda a, b: likely(a, b, percent), lambda x, y: alike(x, y, percent), sets)
+    links = grouped.links(nodes, lambda a, b: likely(a, b, percent), lambda n, m, both: alike(n, m, both, percent), sets)
     found = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     rooted = nodes.join(found, nodes.node == found.member, "left").select("set", "id", F.coalesce("root", "node").alias("root"))
     rooted = cut_lineage(rooted)
