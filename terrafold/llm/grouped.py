@@ -68,6 +68,15 @@ def _groups(nodes: DataFrame) -> DataFrame:
     return cut_lineage(entries.join(one, "key").select("key", "node", "lead", "n"))
 
 
+def _around_leads(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, node, comp, main) for the groups that have nodes not linked to their leader; main is the leader, others are components of their own."""
+    pair = found.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    met = held.join(pair, (F.least("lead", "node") == F.col("_a")) & (F.greatest("lead", "node") == F.col("_b")), "left")
+    with_lead = (F.col("node") == F.col("lead")) | F.col("_a").isNotNull()
+    now = cut_lineage(met.select("key", "node", F.when(with_lead, F.col("lead")).otherwise(F.col("node")).alias("comp"), F.col("lead").alias("main")))
+    return now.join(cut_lineage(now.where("comp <> main").select("key").distinct()), "key", "left_semi")
+
+
 def _parted(held: DataFrame, links: DataFrame) -> DataFrame:
     """(key, node, comp, main) for the groups that are in several components; main is the largest, of equal ones the smallest."""
     found = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
@@ -201,7 +210,7 @@ def links(nodes: DataFrame, likely: Likely, alike: Alike, sets: Frames, block: i
     used = cut_lineage(held.select("node").distinct())
     own = cut_lineage(sets(used).join(nodes.select("node", "sketch").join(used, "node", "left_semi"), "node"))
     found = _verified(held.select(F.col("lead").alias("a"), F.col("node").alias("b")), own, likely, alike)
-    parted = _parted(held, found)
+    parted = _around_leads(held, found)
     for turn in range(1, ROUNDS):
         most = parted.where("comp <> main").groupBy("key").count().agg(F.max("count")).first()[0] or 0
         if most <= searchers:
