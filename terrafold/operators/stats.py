@@ -13,14 +13,29 @@ from terrafold.plans.ordered import cumulative_counts, exact_quantiles
 T_975_DF4 = 2.7764451051977987  # fixed value: Student quantile for five models
 
 
+def settled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Doubles rounded to 40 bits of their mantissa.
+
+    Sums of the same numbers in another order differ in their last bits; ranks
+    would tell such values apart.
+    """
+
+    def short(c: str) -> Column:
+        far = F.col(c) * float(2**13 + 1)
+        return F.when(F.abs(far) < float("inf"), far - (far - F.col(c))).otherwise(F.col(c))
+
+    types = dict(df.dtypes)
+    return df.withColumns({c: short(c) for c in cols if types[c] == "double"})
+
+
 def spearman(df: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman_rho") -> DataFrame:
-    """Rank correlation per group with average ranks.
+    """Rank correlation per group with average ranks; values equal to twelve digits are ties.
 
     Equal (a, b) pairs are counted together first; ranks come from
     distributed cumulative counts, never from sorting a whole group.
     """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    return spearman_of_pairs(df.where(both).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")), keys, a, b, out)
+    return spearman_of_pairs(settled(df.where(both), [a, b]).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("_m")), keys, a, b, out)
 
 
 def spearman_of_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, out: str = "spearman_rho") -> DataFrame:
@@ -106,7 +121,10 @@ def stratum_tables(df: DataFrame, strata: dict[str, Column], ref: str, new: str,
     keys = ["kind", "label"]
     g = by_strata(df, strata, [ref, new, weight], _agreement_sums(ref, new, weight))
     both = df.where(F.col(ref).isNotNull() & F.col(new).isNotNull())
-    pairs = by_strata(both, strata, [], [F.count(F.lit(1)).alias("_m")], within=[ref, new])
+    # strata are told from the values as they are
+    labels = {k: f"_s{i}" for i, k in enumerate(strata)}
+    both = settled(both.select(ref, new, *[c.alias(labels[k]) for k, c in strata.items()]), [ref, new])
+    pairs = by_strata(both, {k: F.col(c) for k, c in labels.items()}, [], [F.count(F.lit(1)).alias("_m")], within=[ref, new])
     return _agreement(g, keys, unit).join(spearman_of_pairs(pairs, keys, ref, new), keys, "left")
 
 
