@@ -261,6 +261,11 @@ def morans_i(cells: DataFrame, value: str) -> DataFrame:
 def product_compare(
     monthly: DataFrame, stations: DataFrame, product: DataFrame, key: str, x: str, y: str, x0: float, y0: float, res: float, value: str
 ) -> DataFrame:
-    """Monthly station totals beside the reference product at the station."""
+    """Monthly station totals beside the reference product at the station.
+
+    Stations and the product are shuffled: files tell too little of their size
+    to leave them to a broadcast, the less so where months are told apart.
+    """
     at = stations.select(key, cell_of(F.col(x), x0, res).alias("cx"), cell_of(F.col(y), y0, res).alias("cy"))
-    return monthly.join(at, key).join(product, ["cx", "cy", "month"], "left").select(key, "month", "EI_month", value)
+    joined = monthly.join(at.hint("merge"), key).join(product.hint("merge"), ["cx", "cy", "month"], "left")
+    return joined.select(key, "month", "EI_month", value)
