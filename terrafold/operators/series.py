@@ -237,7 +237,8 @@ def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float, times: np.ndarray | No
         u = np.divide(d, h, out=np.ones_like(d), where=h > 0)
         w = np.where(u < 1, (1 - u**3) ** 3, 0.0)
         if times is not None:
-            w = w * times[:, at]
+            out[:, a : a + step] = _drawn(w, dx, times[:, at], y[at])
+            continue
         sw = w.sum(-1)
         some = np.where(sw > 0, sw, 1.0)
         near = y[at]  # point, neighbour, value
@@ -249,11 +250,25 @@ def lowess_fit(x: np.ndarray, y: np.ndarray, frac: float, times: np.ndarray | No
         flat = sxx <= 1e-9
         slope = np.where(flat[..., None], 0.0, sxy / np.where(flat, 1.0, sxx)[..., None])
         fit = my - slope * mx[..., None]
-        bare = y[a : a + step] if times is None else np.nan
-        out[..., a : a + step, :] = np.where(sw[..., None] > 0, fit, bare)
+        out[a : a + step] = np.where(sw[..., None] > 0, fit, y[a : a + step])
     return out
 
 
+def _drawn(w: np.ndarray, dx: np.ndarray, times: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The fits of ``lowess_fit`` for draws: weighted sums over a point's neighbours for all draws and moments by one product."""
+    moments = np.concatenate([np.ones_like(dx)[..., None], dx[..., None], (dx * dx)[..., None], near, dx[..., None] * near], axis=-1)
+    sums = times.transpose(1, 0, 2).astype(float) @ (w[..., None] * moments)  # point, draw, moment
+    v = near.shape[-1]
+    sw, sx, sxx, sy, sxy = sums[..., 0], sums[..., 1], sums[..., 2], sums[..., 3 : 3 + v], sums[..., 3 + v :]
+    some = np.where(sw > 0, sw, 1.0)
+    mx, my = sx / some, sy / some[..., None]
+    spread = sxx - sx * mx
+    flat = spread <= 1e-9
+    slope = np.where(flat[..., None], 0.0, (sxy - mx[..., None] * sy) / np.where(flat, 1.0, spread)[..., None])
+    fit = np.where(sw[..., None] > 0, my - slope * mx[..., None], np.nan)
+    return fit.transpose(1, 0, 2)
+
+
 def _whole(s: np.ndarray) -> np.ndarray:
     """Fractions with a sum of 1; NaN where the sum is 0."""
     total = s.sum(-1, keepdims=True)
@@ -274,6 +289,19 @@ def loess(series: DataFrame, keys: list[str], values: list[str], frac: float = 0
     return out.select(*keys, "day", *[F.nanvl(n, F.lit(None)).alias(v) for v, n in new.items()])
 
 
+def nan_quantiles(a: np.ndarray, probs: tuple[float, ...]) -> list[np.ndarray]:
+    """Linearly interpolated quantiles along the first axis of what is not NaN; NaN where nothing is left."""
+    s = np.sort(a, axis=0)  # NaNs go last
+    last = np.maximum((~np.isnan(s)).sum(axis=0) - 1, 0)
+    out = []
+    for p in probs:
+        at = last * p
+        lo = np.floor(at).astype(np.int64)
+        low, high = (np.take_along_axis(s, i[None], axis=0)[0] for i in (lo, np.minimum(lo + 1, last)))
+        out.append(low + (high - low) * (at - lo))
+    return out
+
+
 #: How many of 256 byte values give a count of 0, of up to 1, of up to 2 and so on: a Poisson law of mean 1.
 COUNTS = np.array([94, 188, 235, 251, 255])
 #: Bytes, and so draws, of a digest.
@@ -301,7 +329,7 @@ def loess_band(series: DataFrame, keys: list[str], values: list[str], frac: floa
         out = {}
         with np.errstate(all="ignore"), warnings.catch_warnings():
             warnings.simplefilter("ignore")  # a day without any draw is NaN
-            low, high = np.nanquantile(fits, [0.05, 0.95], axis=0)
+            low, high = nan_quantiles(fits, (0.05, 0.95))
             mean = np.nanmean(fits, axis=0)
         for j, v in enumerate(values):
             out |= {f"{v}_mean": mean[:, j], f"{v}_q05": low[:, j], f"{v}_q95": high[:, j]}
