@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ _rng = np.random.default_rng(12)
 _RANK = np.argsort(np.argsort(_rng.random((BUCKETS, BUCKETS)) - np.eye(BUCKETS), axis=1), axis=1).astype(np.uint16)
 #: Which registers a band takes.
 _BAND = _rng.permutation(BUCKETS)[: BANDS * BAND_ROWS]
-_SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+_SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -49,7 +49,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Sets of a text's distinct three-word shingles, as sorted 64-bit hashes; remembers the hashes of words.
+    """Sets of a text's distinct shingles of ``width`` words (up to five), as sorted 64-bit hashes; remembers the hashes of words.
 
     A-Z counts as a-z, words are parted by ASCII white space. A text of fewer
     words is one shingle, one without words the empty set.
@@ -57,8 +57,9 @@ class Sets:
 
     LIMIT = 100_000
 
-    def __init__(self) -> None:
+    def __init__(self, width: int = WORDS) -> None:
         self.known: dict[bytes, int] = {}
+        self.width = width
 
     def of(self, text: str) -> np.ndarray:
         words = text.encode().lower().split()  # on bytes both touch ASCII only
@@ -71,7 +72,7 @@ class Sets:
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         if not len(h):
             return h
-        width = min(WORDS, len(h))
+        width = min(self.width, len(h))
         n = len(h) - width + 1
         total = np.full(n, width, np.uint64)
         for i in range(width):
@@ -182,14 +183,20 @@ def likely(some: np.ndarray, many: np.ndarray, percent: int = PERCENT) -> Iterat
         yield score
 
 
-@F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("size", T.LongType()).add("sketch", T.BinaryType()).add("keys", T.ArrayType(T.LongType())))
-def _prints(texts: pd.Series) -> pd.DataFrame:
-    sets, out = Sets(), []
-    for t in texts:
-        s = sets.of(t)
-        regs = registers(s)
-        out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), regs.tobytes(), band_keys(regs)))
-    return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
+_PRINT = T.StructType().add("set", T.BinaryType()).add("size", T.LongType()).add("sketch", T.BinaryType()).add("keys", T.ArrayType(T.LongType()))
+
+
+def _prints(texts: str, words: int) -> Column:
+    @F.pandas_udf(_PRINT)
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        sets, out = Sets(words), []
+        for t in texts:
+            s = sets.of(t)
+            regs = registers(s)
+            out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), regs.tobytes(), band_keys(regs)))
+        return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
+
+    return prints(texts)
 
 
 def alike(size: int, sizes: np.ndarray, both: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -197,20 +204,24 @@ def alike(size: int, sizes: np.ndarray, both: np.ndarray, percent: int = PERCENT
     return (both > 0) & (100 * both >= percent * (size + sizes - both))
 
 
-@F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("hashes", T.BinaryType()))
-def _hashes(texts: pd.Series) -> pd.DataFrame:
-    sets = Sets()
-    all_ = [sets.of(t).tobytes() for t in texts]
-    return pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
+def _hashes(texts: str, words: int) -> Column:
+    @F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("hashes", T.BinaryType()))
+    def hashes(texts: pd.Series) -> pd.DataFrame:
+        sets = Sets(words)
+        all_ = [sets.of(t).tobytes() for t in texts]
+        return pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
+
+    return hashes(texts)
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empty_alike: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets
-    of three-word shingles (``Sets``); ``component`` is the smallest id
+    of ``words``-word shingles (``Sets``); ``component`` is the smallest id
     reachable, a null doc_id counting as the smallest. Texts without words, null
-    ones among them, are linked with nothing, not even each other. Equal sets
+    ones among them, are linked with nothing, not even each other, or else, if
+    ``empty_alike``, are all copies of the first of them. Equal sets
     are one node, so a group of copies of any size costs one row. Rows that
     share a doc_id but not a set are separate rows; an empty table gives an
     empty table.
@@ -219,10 +230,10 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     and blocks (``grouped``) leave the pairs that may count, the estimate drops
     those far below the limit, and full sets decide on the others. Only the
     bands and the estimate's slack can lose a link: a pair at the limit with a
-    chance of about 1e-6.
+    chance of about 1e-6, at 80 percent of 7e-5.
     """
     texts = docs.select(key_id().alias("id"), body().alias("text"))
-    prints = cut_lineage(texts.withColumn("_p", _prints("text")).select("id", "_p.*"))
+    prints = cut_lineage(texts.withColumn("_p", _prints("text", words)).select("id", "_p.*"))
     some = prints.where("size > 0")
     nodes = some.groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
     nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "id", "set", "sketch", "keys"))
@@ -230,7 +241,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def sets(used: DataFrame) -> DataFrame:
         """A node's set is made again from its text: texts are read twice, and move once, but are never written."""
         wanted = cut_lineage(nodes.select("node", "id", "set").join(used, "node", "left_semi"))
-        rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("id", _hashes("text").alias("h"))
+        rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("id", _hashes("text", words).alias("h"))
         return rows.select("id", "h.set", "h.hashes").join(wanted, ["id", "set"]).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
 
     links = grouped.links(nodes, lambda a, b: likely(a, b, percent), lambda n, m, both: alike(n, m, both, percent), sets)
@@ -239,5 +250,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rooted = cut_lineage(rooted)
     labels = rooted.select("set", "root").join(cut_lineage(rooted.groupBy("root").agg(F.min("id").alias("component"))), "root")
     out = some.select("id", "size", "set").join(cut_lineage(labels.select("set", "component")), "set").select("id", "size", "component")
-    out = out.union(prints.where("size = 0").select("id", "size", "id"))
+    bare = prints.where("size = 0")
+    first = bare.agg(F.min("id")).scalar() if empty_alike else F.col("id")
+    out = out.union(bare.select("id", "size", first.alias("component")))
     return out.withColumnRenamed("size", "n_shingles")
