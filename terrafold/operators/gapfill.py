@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from terrafold.operators.series import alr, alr_inverse, fill_dates
 from terrafold.plans.ordered import exact_quantiles, spread, with_totals
+from terrafold.plans.runs import map_runs
 from terrafold.session import cut_lineage
 
 #: Rows that meet a field's basis together, and how many kernel rows are held at a time.
@@ -320,20 +321,30 @@ def _merged(series: DataFrame, keys: list[str], axis: Column, values: list[str],
     return series.groupBy(*keys, axis.cast("double").alias("_x")).agg(*aggs)
 
 
-def _by_series(rows: DataFrame, points: DataFrame, keys: list[str], fit, schema: str, values: list[str]) -> DataFrame:
-    """``fit`` on each series: its merged rows, its points, and the mean and sd of each value over all raw rows."""
+def _by_series(rows: DataFrame, points: DataFrame, keys: list[str], fit, values: list[str]) -> DataFrame:
+    """(keys, day, each value and its sd) at the points: ``fit(x, means, noise, stats, at)`` on each series of merged rows.
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        n = a["_n"].sum() if len(a) else 0
-        if n < 3 or not len(b):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        stats = {}
+    ``stats`` has the mean and sd of each value over all raw rows. Series of fewer than three raw rows have no result.
+    """
+    cols = [f"_{p}_{v}" for v in values for p in "rsq"]
+    told = {f"_{v}_{n}": "double" for v in values for n in ("m", "d")}
+    both = rows.withColumn("_at", F.lit(False)).unionByName(points.select(*keys, "day", "_x", F.lit(True).alias("_at")), allowMissingColumns=True)
+
+    def run(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = c["_at"].astype(bool)
+        out = {k: np.full(len(at), np.nan) for k in told}
+        n = c["_n"][~at].sum()
+        if n < 3 or not at.any():
+            return out
         for v in values:
-            m = a[f"_s_{v}"].sum() / n
-            stats[v] = (m, float(np.sqrt(max(a[f"_q_{v}"].sum() / n - m * m, 0.0))))
-        return fit(a.reset_index(drop=True), b.reset_index(drop=True), stats)
+            m = c[f"_s_{v}"][~at].sum() / n
+            sd = float(np.sqrt(max(c[f"_q_{v}"][~at].sum() / n - m * m, 0.0)))
+            out[f"_{v}_m"][at], out[f"_{v}_d"][at] = fit(c["_x"][~at], c[v][~at], c[f"_r_{v}"][~at], (m, sd), c["_x"][at])
+        return out
 
-    return spread(rows, *keys).groupBy(*keys).cogroup(spread(points, *keys).groupBy(*keys)).applyInPandas(run, schema)
+    done = map_runs(both, keys, ["_at", "_x"], ["_at", "_x", "_n", *values, *cols], run, told).where("_at")
+    some = done.where(~F.isnan(f"_{values[0]}_d"))
+    return some.select(*keys, "day", *[F.col(f"_{v}_{n}").alias(o) for v in values for n, o in (("m", v), ("d", f"{v}_sd"))])
 
 
 def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel: list[str]) -> DataFrame:
@@ -420,20 +431,15 @@ def gapfill_gp_doy(
     else:
         own = {v: F.col(noise[v]) if noise else F.lit(1.0) for v in values}
         rows = _merged(series, keys, place("day"), values, own)
-        types = dict(points.dtypes)
-        schema = ", ".join(f"{c} {types[c]}" for c in [*keys, "day"]) + ", " + ", ".join(f"{v} double, {v}_sd double" for v in values)
-
-        def fit(tr: pd.DataFrame, pt: pd.DataFrame, stats: dict) -> pd.DataFrame:
-            out = pt[[*keys, "day"]].copy()
-            for v in values:
-                m, sd = stats[v]
-                unit = max(sd * sd, 1e-12) if noise else 1 / 0.05
-                x, y = tr[["_x"]].to_numpy(float) / length(sd), tr[[v]].to_numpy(float)
-                mean, dev = gp_predict(x, y, tr[f"_r_{v}"].to_numpy(float) / unit, pt[["_x"]].to_numpy(float) / length(sd), rbf, (np.array([m]), np.array([sd])))
-                out[v], out[f"{v}_sd"] = mean[:, 0], dev[:, 0]
-            return out[[*keys, "day", *[c for v in values for c in (v, f"{v}_sd")]]]
-
-        p = _by_series(rows, points.withColumn("_x", place("day").cast("double")), keys, fit, schema, values)
+
+        def fit(x: np.ndarray, y: np.ndarray, r: np.ndarray, stats: tuple[float, float], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            m, sd = stats
+            unit = max(sd * sd, 1e-12) if noise else 1 / 0.05
+            far = length(sd)
+            mean, dev = gp_predict(x[:, None] / far, y[:, None], r / unit, at[:, None] / far, rbf, (np.array([m]), np.array([sd])))
+            return mean[:, 0], dev[:, 0]
+
+        p = _by_series(rows, points.withColumn("_x", place("day").cast("double")), keys, fit, values)
     clip = {v: F.least(F.greatest(F.col(v), F.lit(0.0)), F.lit(1.0)) for v in values}
     total = F.nullif(sum(clip.values(), F.lit(0.0)), F.lit(0.0))
     out = p.select(
