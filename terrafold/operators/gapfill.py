@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.series import alr, alr_inverse, fill_dates
@@ -347,6 +347,15 @@ def _by_series(rows: DataFrame, points: DataFrame, keys: list[str], fit, values:
     return some.select(*keys, "day", *[F.col(f"_{v}_{n}").alias(o) for v in values for n, o in (("m", v), ("d", f"{v}_sd"))])
 
 
+def weighted_quantiles(values: np.ndarray, times: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
+    """Linearly interpolated quantiles of values that each count ``times`` times."""
+    order = np.argsort(values)
+    upto = np.cumsum(times[order])
+    at = (upto[-1] - 1) * np.array(probs)
+    low, high = (values[order][np.searchsorted(upto, i, side="right")] for i in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
 def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel: list[str]) -> DataFrame:
     """GP on the field's median series plus each pixel's mean log-ratio offset.
 
@@ -354,41 +363,39 @@ def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel:
     series' range widened by half on both sides.
     """
     V = ["pv", "npv", "soil"]
-    long = clean.select(*field, "day", *V).unpivot([*field, "day"], V, "_v", "value")
-    q = exact_quantiles(long, [*field, "day", "_v"], "value", {"m": 0.5})
-    med = q.groupBy(*field, "day").agg(*[F.max(F.when(F.col("_v") == v, F.col("m"))).alias(v) for v in V])
     a, b = alr(F.col("pv"), F.col("npv"), F.col("soil"))
+    # a group is a field's pixels on one day, so its values may meet in one buffer
+    med = clean.where(F.coalesce(*V).isNotNull()).groupBy(*field, "day").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in V])
     med = med.select(*field, "day", a.alias("_ma"), b.alias("_mb"))
-    lim = med.groupBy(*field).agg(
-        *[f(c).alias(f"{c}{n}") for c in ("_ma", "_mb") for n, f in (("0", F.min), ("1", F.max))], F.count(F.lit(1)).alias("_n")
-    ).where(F.col("_n") >= 3)
     off = clean.select(*field, *pixel, "day", a.alias("_a"), b.alias("_b")).join(med, [*field, "day"]).groupBy(*field, *pixel).agg(
         F.avg(F.col("_a") - F.col("_ma")).alias("_oa"), F.avg(F.col("_b") - F.col("_mb")).alias("_ob")
     )
-    rows = raw.groupBy(*field, "day").agg(F.count(F.lit(1)).alias("_rows"))
-    dates = rows.select(*field, "day")
-    types = dict(dates.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*field, "day"]) + ", _ga double, _gb double, _unc double"
-
-    def fit(tr: pd.DataFrame, pt: pd.DataFrame) -> pd.DataFrame:
-        if len(tr) < 3 or not len(pt):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        t, ts = _days(tr, "day")[:, None], _days(pt, "day")[:, None]
-        m, s = t.mean(), max(t.std(), 1.0)
-        mean, sd = gp_predict((t - m) / s, tr[["_ma", "_mb"]].to_numpy(float), np.full(len(t), 0.05), (ts - m) / s, rbf)
-        out = pt[[*field, "day"]].copy()
-        out["_ga"], out["_gb"], out["_unc"] = mean[:, 0], mean[:, 1], np.sqrt((sd * sd).sum(1))
+    rows = raw.groupBy(*field, "day").agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    days = med.select("*", F.lit(0.0).alias("_rows")).unionByName(rows, allowMissingColumns=True)
+    days = days.groupBy(*field, "day").agg(F.max("_ma").alias("_ma"), F.max("_mb").alias("_mb"), F.max("_rows").alias("_rows"))
+    told = ["_ga", "_gb", "fc_quality_flag", "_ma0", "_ma1", "_mb0", "_mb1"]
+
+    def fit(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = {k: np.full(len(c["day"]), np.nan) for k in told}
+        known, at = ~np.isnan(c["_ma"]), c["_rows"] > 0
+        if known.sum() < 3 or not at.any():
+            return out
+        y = np.column_stack([c["_ma"], c["_mb"]])[known]
+        t = c["day"].astype(float)[:, None]
+        m, s = t[known].mean(), max(t[known].std(), 1.0)
+        mean, sd = gp_predict((t[known] - m) / s, y, np.full(len(y), 0.05), (t[at] - m) / s, rbf)
+        out["_ga"][at], out["_gb"][at] = mean.T
+        # quantiles over rows: a day counts once per pixel observed on it
+        unc = np.sqrt((sd * sd).sum(1))
+        out["fc_quality_flag"][at] = (unc[:, None] > weighted_quantiles(unc, c["_rows"][at], (0.8, 0.95))).sum(1)
+        for j, k in enumerate(("_ma", "_mb")):
+            out[f"{k}0"][at], out[f"{k}1"][at] = y[:, j].min(), y[:, j].max()
         return out
 
     # a median series has one row per day, and so have the dates
-    g = spread(med, *field).groupBy(*field).cogroup(spread(dates, *field).groupBy(*field)).applyInPandas(fit, schema)
-    # quantiles over rows: a day counts once per pixel observed on it
-    w = Window.partitionBy(*field)
-    g = g.join(rows, [*field, "day"])
-    g = g.withColumns({f"_p{int(100 * q)}": F.percentile("_unc", F.lit(q), F.col("_rows")).over(w) for q in (0.8, 0.95)})
-    u = F.col("_unc")
-    g = g.withColumn("fc_quality_flag", F.when(u > F.col("_p95"), 2).when(u > F.col("_p80"), 1).otherwise(0))
-    j = raw.select(*field, *pixel, "day").join(g, [*field, "day"]).join(lim, field).join(off, [*field, *pixel], "left")
+    g = map_runs(days, field, ["day"], ["day", "_ma", "_mb", "_rows"], fit, dict.fromkeys(told, "double"))
+    g = g.where(~F.isnan("_ga")).select(*field, "day", *told).withColumn("fc_quality_flag", F.col("fc_quality_flag").cast("int"))
+    j = raw.select(*field, *pixel, "day").join(g, [*field, "day"]).join(off, [*field, *pixel], "left")
 
     def clamp(c: str) -> Column:
         lo, hi = F.col(f"_m{c}0"), F.col(f"_m{c}1")
