@@ -11,6 +11,8 @@ shuffled, and what a prediction needs of a field is one small matrix.
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,6 +32,8 @@ TOLERANCE = 0.02
 CANDIDATES = 2000
 #: Points of a basis at most. A field that needs more keeps the tolerance that these reach.
 MOST_POINTS = 1500
+#: Rows and points of a field together up to which one task fits it whole, as arrays.
+SMALL = 500
 # Noise of the log-ratios as a share of their variance, and its limits.
 NOISE_SHARE, NOISE_LIMITS = 0.05, (1e-4, 0.5)
 
@@ -66,6 +70,7 @@ def gp_predict(
 def pivots(points: np.ndarray, kernel, tolerance: float, most: int = MOST_POINTS) -> np.ndarray:
     """Which of the points to take: each time the one whose prior variance the others explain least (pivoted Cholesky)."""
     left, rows = np.ones(len(points)), np.zeros((0, len(points)))
+    whole = kernel(points, points) if len(points) <= SMALL else None
     out: list[int] = []
     while len(out) < min(most, len(points)):
         i = int(left.argmax())
@@ -74,7 +79,8 @@ def pivots(points: np.ndarray, kernel, tolerance: float, most: int = MOST_POINTS
         if len(out) == len(rows):
             rows = np.vstack([rows, np.zeros((max(16, len(rows)), len(points)))])
         known = rows[: len(out)]
-        rows[len(out)] = (kernel(points[i : i + 1], points)[0] - known[:, i] @ known) / np.sqrt(left[i])
+        row = kernel(points[i : i + 1], points)[0] if whole is None else whole[i]
+        rows[len(out)] = (row - known[:, i] @ known) / np.sqrt(left[i])
         left = left - rows[len(out)] ** 2
         left[i] = 0.0
         out.append(i)
@@ -117,7 +123,7 @@ def _by_blocks(solved: DataFrame, points: DataFrame, field: list[str], fit, sche
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")}, dtype=object)  # no other empty column turns into arrays
         return fit(a, b.reset_index(drop=True))
 
     g = [*field, "_block"]
@@ -158,9 +164,68 @@ def _space_time(
     and value, taken over all its rows.
     """
     values = [v for g in groups for v in g]
+    cols = [*space, *values]
+    at_types = dict(points.dtypes)
+    as_double = lambda names: [F.col(c).cast("double").alias(c) for c in names]
+    rows = rows.select(*field, "day", *as_double(cols), F.lit(False).alias("_at"))
+    both = cut_lineage(rows.unionByName(points.select(*field, "day", *as_double(space), F.lit(True).alias("_at")), allowMissingColumns=True))
+    both = both.dropna(subset=field)  # equal to nothing, so no field
+    large = cut_lineage(both.groupBy(*field).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > SMALL).select(*field))
+    fit = _fit_of_arrays(space, groups, kernel, noise_for, features, least_rows, tolerance)
+    told = dict.fromkeys(["_fitted", *[c for v in values for c in (v, f"{v}_sd")]], "double")
+    small = both.join(large, field, "left_anti").withColumnsRenamed({v: f"_y_{v}" for v in values})
+    done = map_runs(small, field, ["_at", "day", *space], ["_at", "day", *space, *[f"_y_{v}" for v in values]], fit, told)
+    result = [*field, *[F.col(c).cast(at_types[c]).alias(c) for c in space], "day", *[c for c in told if c != "_fitted"]]
+    done = done.where(F.col("_fitted") == 1).select(*result)
+    if large.isEmpty():
+        return done
+    rest = both.join(large, field, "left_semi")
+    far = _space_time_by_blocks(
+        rest.where("not _at").drop("_at"), rest.where("_at").select(*field, *space, "day"), field, space, groups, kernel, noise_for, features, least_rows, tolerance
+    )
+    return done.unionByName(far.select(*result))
+
+
+def _fit_of_arrays(space: list[str], groups: list[list[str]], kernel, noise_for, features, least_rows: int, tolerance: float):
+    """What ``_space_time_by_blocks`` does, for one field of few rows and points."""
+
+    def fit(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        at = c["_at"].astype(bool)
+        out = {k: np.full(len(at), np.nan) for g in groups for v in g for k in (v, f"{v}_sd")} | {"_fitted": np.zeros(len(at))}
+        if (~at).sum() < least_rows or not at.any():
+            return out
+        day, xy = c["day"].astype(float), np.column_stack([c[s] for s in space])
+        middle, spread_ = xy[~at].mean(0), xy[~at].std(0)
+        xy = (xy - middle) / np.where(spread_ > 1e-9, spread_, 1.0)
+        y = {v: c[f"_y_{v}"][~at] for g in groups for v in g}
+        mean, sd = {v: a.mean() for v, a in y.items()}, {v: a.std() for v, a in y.items()}
+        r = SimpleNamespace(_t0=day[~at].min(), _t1=day[~at].max(), **{f"_mean_{v}": m for v, m in mean.items()}, **{f"_sd_{v}": d for v, d in sd.items()})
+        # rows come ordered, so equal inputs follow each other
+        step = np.column_stack([day, xy])[~at]
+        first = np.append(True, (step[1:] != step[:-1]).any(1))
+        for g in groups:
+            x = features(r, g[0], day[~at], xy[~at])
+            basis = Basis(x[first][pivots(x[first], kernel, tolerance)], kernel)
+            m, d = np.array([mean[v] for v in g]), np.array([sd[v] if sd[v] > 1e-12 else 1.0 for v in g])
+            standard = (np.column_stack([y[v] for v in g]) - m) / d
+            solved = basis.solve(*basis.sums(x, standard, np.full(len(x), noise_for(r, g[0]))))
+            told, dev = basis.predict(*solved, features(r, g[0], day[at], xy[at]))
+            for k, v in enumerate(g):
+                out[v][at], out[f"{v}_sd"][at] = told[:, k] * d[k] + m[k], dev * d[k]
+        out["_fitted"][at] = 1.0
+        return out
+
+    return fit
+
+
+def _space_time_by_blocks(
+    rows: DataFrame, points: DataFrame, field: list[str], space: list[str], groups: list[list[str]], kernel, noise_for,
+    features, least_rows: int, tolerance: float,
+) -> DataFrame:
+    """``_space_time`` for fields of any size: their rows and points are dealt to tasks in blocks."""
+    values = [v for g in groups for v in g]
     lead = {g[0]: g for g in groups}
     cols = [*space, *values]
-    rows = rows.select(*field, "day", *[F.col(c).cast("double").alias(c) for c in cols])
     info = rows.groupBy(*field).agg(
         F.min("day").alias("_t0"), F.max("day").alias("_t1"), F.count(F.lit(1)).alias("_n"),
         *[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("mean", F.avg), ("sd", F.stddev_pop))],
