@@ -1,134 +1,94 @@
-"""Kalman filters on daily series, chunk by chunk, in column expressions.
-
-What a stretch of days does to the state before it is an *element*: run the
-filter over the stretch from a known state zero, and note besides how the result
-depends on that state (``a``) and what the observations say about it (``e``,
-``j``). From mean m and covariance P before the stretch follow
-
-    mean after        a D (m + P e) + b
-    covariance after  a D P a' + c             with D = (1 + P j)^-1
-
-so stretches compose, however they are cut. A series is cut into chunks of days,
-each chunk becomes one element, the elements before a chunk give the state at
-its edge, and only from there on the chunk's own days are filtered. No fold is
-longer than a chunk or the number of chunks.
+"""Kalman filters on daily series, many series at a time.
+
+A filter's steps follow each other, but series do not depend on each other: a
+task's rows come ordered by series and day, and the first days of all series of
+an Arrow batch are filtered together, then the second ones and so on, each
+step on arrays with an entry a series. Days between two rows pass at once, by
+the closed sums of the transition's powers. What is held is one batch and, for the
+series that it ends in, one state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.plans.ordered import spread
+from terrafold.plans.runs import Arrays, map_runs
 
-#: Days of a chunk; it changes the work, not the result.
+#: What callers may name as a chunk's length. Series are no longer cut, so it changes nothing.
 CHUNK_DAYS = 64
 
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _struct(**fields: Column) -> Column:
-    return F.struct(*[v.cast("double").alias(k) for k, v in fields.items()])
+State = dict[str, np.ndarray]
 
 
 class Walk:
     """A level that moves by a random step a day."""
 
     start = {"x": 0.0, "p": 1.0}
-    zero = {"x": 0.0, "p": 0.0, "a": 1.0, "e": 0.0, "j": 0.0}
 
     def __init__(self, q: float):
         self.q = q
 
-    def pass_days(self, s: Column, g: Column, element: bool) -> Column:
-        own = {"x": s["x"], "p": s["p"] + self.q * g}
-        return _struct(**own, **({k: s[k] for k in "aej"} if element else {}))
+    def pass_days(self, s: State, g: np.ndarray) -> State:
+        return {"x": s["x"], "p": s["p"] + self.q * g}
 
-    def see(self, s: Column, y: Column, r: Column, element: bool) -> Column:
-        total = s["p"] + r
-        k, v = s["p"] / total, y - s["x"]
-        own = {"x": s["x"] + k * v, "p": (1 - k) * s["p"]}
-        if element:
-            own |= {"a": (1 - k) * s["a"], "e": s["e"] + s["a"] * v / total, "j": s["j"] + s["a"] * s["a"] / total}
-        return _struct(**own)
-
-    def after(self, s: Column, t: Column) -> Column:
-        """State after the stretch of element ``t``."""
-        d = 1 + s["p"] * t["j"]
-        return _struct(x=t["a"] * (s["x"] + s["p"] * t["e"]) / d + t["x"], p=t["a"] * t["a"] * s["p"] / d + t["p"])
+    def see(self, s: State, y: np.ndarray, r: np.ndarray) -> State:
+        k = s["p"] / (s["p"] + r)
+        return {"x": s["x"] + k * (y - s["x"]), "p": (1 - k) * s["p"]}
 
 
 class Trend:
     """A level with a slope, both moved by random steps."""
 
     start = {"x": 0.0, "v": 0.0, "p00": 1.0, "p01": 0.0, "p11": 1.0}
-    zero = dict.fromkeys(["x", "v", "p00", "p01", "p11"], 0.0) | {
-        "a00": 1.0, "a01": 0.0, "a10": 0.0, "a11": 1.0, "e0": 0.0, "e1": 0.0, "j00": 0.0, "j01": 0.0, "j11": 0.0,
-    }
 
     def __init__(self, q: float):
         self.q = q
 
-    def pass_days(self, s: Column, g: Column, element: bool) -> Column:
+    def pass_days(self, s: State, g: np.ndarray) -> State:
         """``g`` days at once, by the closed sums of the transition's powers."""
         q = self.q
-        own = {
+        return {
             "x": s["x"] + s["v"] * g, "v": s["v"],
             "p00": s["p00"] + 2 * g * s["p01"] + g * g * s["p11"] + q * (g + g * (g - 1) * (2 * g - 1) / 6),
             "p01": s["p01"] + g * s["p11"] + q * g * (g - 1) / 2, "p11": s["p11"] + q * g,
         }
-        if element:
-            own |= {"a00": s["a00"] + g * s["a10"], "a01": s["a01"] + g * s["a11"]}
-            own |= {k: s[k] for k in ("a10", "a11", "e0", "e1", "j00", "j01", "j11")}
-        return _struct(**own)
 
-    def see(self, s: Column, y: Column, r: Column, element: bool) -> Column:
+    def see(self, s: State, y: np.ndarray, r: np.ndarray) -> State:
         total = s["p00"] + r
         k0, k1, d = s["p00"] / total, s["p01"] / total, y - s["x"]
-        own = {
+        return {
             "x": s["x"] + k0 * d, "v": s["v"] + k1 * d,
             "p00": (1 - k0) * s["p00"], "p01": (1 - k0) * s["p01"], "p11": s["p11"] - k1 * s["p01"],
         }
-        if element:
-            h0, h1 = s["a00"], s["a01"]
-            own |= {
-                "a00": (1 - k0) * h0, "a01": (1 - k0) * h1, "a10": s["a10"] - k1 * h0, "a11": s["a11"] - k1 * h1,
-                "e0": s["e0"] + h0 * d / total, "e1": s["e1"] + h1 * d / total,
-                "j00": s["j00"] + h0 * h0 / total, "j01": s["j01"] + h0 * h1 / total, "j11": s["j11"] + h1 * h1 / total,
-            }
-        return _struct(**own)
-
-    def after(self, s: Column, t: Column) -> Column:
-        # D = (1 + P j)^-1, then m = D (mean + P e) and w = D P, which is symmetric
-        m00, m01 = 1 + s["p00"] * t["j00"] + s["p01"] * t["j01"], s["p00"] * t["j01"] + s["p01"] * t["j11"]
-        m10, m11 = s["p01"] * t["j00"] + s["p11"] * t["j01"], 1 + s["p01"] * t["j01"] + s["p11"] * t["j11"]
-        u0 = s["x"] + s["p00"] * t["e0"] + s["p01"] * t["e1"]
-        u1 = s["v"] + s["p01"] * t["e0"] + s["p11"] * t["e1"]
-
-        def solved(n: Column) -> Column:
-            det = n["m00"] * n["m11"] - n["m01"] * n["m10"]
-            return _struct(
-                x=(n["m11"] * n["u0"] - n["m01"] * n["u1"]) / det, v=(n["m00"] * n["u1"] - n["m10"] * n["u0"]) / det,
-                w00=(n["m11"] * s["p00"] - n["m01"] * s["p01"]) / det, w01=(n["m11"] * s["p01"] - n["m01"] * s["p11"]) / det,
-                w11=(n["m00"] * s["p11"] - n["m10"] * s["p01"]) / det,
-            )
-
-        def moved(n: Column) -> Column:
-            a, b, c, d = t["a00"], t["a01"], t["a10"], t["a11"]
-            return _struct(
-                x=a * n["x"] + b * n["v"] + t["x"], v=c * n["x"] + d * n["v"] + t["v"],
-                p00=a * a * n["w00"] + 2 * a * b * n["w01"] + b * b * n["w11"] + t["p00"],
-                p01=a * c * n["w00"] + (a * d + b * c) * n["w01"] + b * d * n["w11"] + t["p01"],
-                p11=c * c * n["w00"] + 2 * c * d * n["w01"] + d * d * n["w11"] + t["p11"],
-            )
-
-        terms = _struct(m00=m00, m01=m01, m10=m10, m11=m11, u0=u0, u1=u1)
-        return _let(terms, lambda n: _let(solved(n), moved))
+
+
+def _steps(model: Walk | Trend, day: np.ndarray, y: np.ndarray, r: np.ndarray, starts: np.ndarray) -> State:
+    """States after each row of the series that begin at ``starts``; NaN is nothing seen."""
+    # the first value counts whether or not it has an sd
+    known = np.minimum.reduceat(np.where(np.isnan(y), len(y), np.arange(len(y))), starts)
+    length = np.diff(np.append(starts, len(y)))
+    some = known < starts + length
+    level = np.where(some, y[np.where(some, known, 0)], 0.0)
+    first = {k: np.full(len(starts), x) for k, x in model.start.items()} | {"x": level}
+    before = day[starts] - 1
+    # longest first, so that the series still running are a leading part
+    order = np.argsort(-length, kind="stable")
+    at, length = starts[order], length[order]
+    state, last = {k: v[order] for k, v in first.items()}, before[order]
+    out = {k: np.empty(len(day)) for k in state}
+    for i in range(length[0]):
+        n = np.searchsorted(-length, -i, side="left")  # those longer than i
+        row = at[:n] + i
+        state = model.pass_days({k: v[:n] for k, v in state.items()}, day[row] - last[:n])
+        seen = ~np.isnan(y[row]) & ~np.isnan(r[row])
+        met = model.see(state, y[row], r[row])
+        state = {k: np.where(seen, met[k], v) for k, v in state.items()}
+        last = day[row]
+        for k, v in state.items():
+            out[k][row] = v
+    return out
 
 
 def filtered(
@@ -145,57 +105,14 @@ def filtered(
     if at is not None:
         rows = rows.unionByName(at.select(*keys, "day"), allowMissingColumns=True)
         rows = rows.groupBy(*keys, "day").agg(*[F.max(c).alias(c) for c in cols])
-    number = F.unix_date("day")
-    seen = [F.struct(F.when(F.col(sd).isNotNull(), F.col(v)).alias("y"), (F.col(sd) * F.col(sd)).alias("r")).alias(f"o_{v}") for v, sd in pairs]
-    one = F.struct(number.alias("n"), F.col("day").alias("day"), *seen)
-    # one shuffle by key serves the chunks and the windows over them
-    rows = spread(rows, *keys).withColumn("_chunk", F.floor(number / chunk_days))
-    # the first value counts whether or not it has an sd
-    firsts = [F.min_by(v, F.when(F.col(v).isNotNull(), number)).alias(f"_y_{v}") for v, _ in pairs]
-    chunks = rows.groupBy(*keys, "_chunk").agg(F.sort_array(F.collect_list(one)).alias("_rows"), *firsts)
-    order = Window.partitionBy(*keys).orderBy("_chunk")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first_day, last_day = F.get("_rows", F.lit(0))["n"], F.element_at("_rows", -1)["n"]
-    chunks = chunks.withColumns(
-        {"_from": F.coalesce(F.lag(last_day).over(order), first_day - 1), **{f"_y_{v}": F.first(f"_y_{v}", True).over(whole) for v, _ in pairs}}
-    )
-
-    def step(v: str, state: Column, row: Column, last: Column, element: bool) -> Column:
-        def seen_or_not(s: Column) -> Column:
-            return F.when(row[f"o_{v}"]["y"].isNull(), s).otherwise(model.see(s, row[f"o_{v}"]["y"], row[f"o_{v}"]["r"], element))
-
-        return _let(model.pass_days(state, row["n"] - last, element), seen_or_not)
-
-    def fixed(values: dict[str, float]) -> dict[str, Column]:
-        return {k: F.lit(x) for k, x in values.items()}
-
-    def element_of(v: str) -> Column:
-        begin = F.struct(F.col("_from").alias("last"), _struct(**fixed(model.zero)).alias("s"))
-
-        def grow(acc: Column, row: Column) -> Column:
-            return F.struct(row["n"].alias("last"), step(v, acc["s"], row, acc["last"], True).alias("s"))
-
-        return F.aggregate("_rows", begin, grow)["s"]
-
-    def states_of(v: str) -> Column:
-        begin = F.struct(F.col("_from").alias("last"), F.array(F.col(f"_s_{v}")).alias("all"))
-
-        def grow(acc: Column, row: Column) -> Column:
-            new = step(v, F.element_at(acc["all"], -1), row, acc["last"], False)
-            return F.struct(row["n"].alias("last"), F.concat(acc["all"], F.array(new)).alias("all"))
-
-        return F.aggregate("_rows", begin, grow)["all"]
-
-    elements = {f"_e_{v}": element_of(v) for v, _ in pairs}
-    chunks = chunks.withColumns(elements)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumns({f"_e_{v}": F.collect_list(f"_e_{v}").over(before) for v, _ in pairs})
-    states = {}
-    for v, _ in pairs:
-        start = _struct(**{**fixed(model.start), "x": F.coalesce(f"_y_{v}", F.lit(0.0))})
-        states[f"_s_{v}"] = F.aggregate(f"_e_{v}", start, model.after)
-    chunks = chunks.withColumns(states).drop(*elements)
-    told = {f"_t_{v}": states_of(v) for v, _ in pairs}
-    chunks = chunks.withColumns(told)
-    out = chunks.select(*keys, *told, F.posexplode("_rows").alias("_i", "_row"))
-    return out.select(*keys, F.col("_row.day").alias("day"), *[F.get(f"_t_{v}", F.col("_i") + 1).alias(v) for v, _ in pairs])
+
+    def run(c: Arrays, starts: np.ndarray) -> Arrays:
+        out = {}
+        for v, sd in pairs:
+            states = _steps(model, c["day"].astype(float), c[v], c[sd] * c[sd], starts)
+            out |= {f"_{v}_{k}": a for k, a in states.items()}
+        return out
+
+    told = {f"_{v}_{k}": "double" for v, _ in pairs for k in model.start}
+    out = map_runs(rows, keys, ["day"], ["day", *cols], run, told, together=True)
+    return out.select(*keys, "day", *[F.struct(*[F.col(f"_{v}_{k}").alias(k) for k in model.start]).alias(v) for v, _ in pairs])

@@ -39,13 +39,14 @@ def _array(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def map_runs(
-    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fn: Callable[[Arrays], Arrays], outputs: dict[str, str]
+    df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fn: Callable[..., Arrays], outputs: dict[str, str], together: bool = False
 ) -> DataFrame:
     """All columns of ``df`` and those that ``fn`` adds to each series.
 
     ``fn`` gets the ``inputs`` of one series in ``order`` as arrays (dates as day
     counts, nulls as NaN) and returns an array of the same length for each
-    output. A series must fit into a task; what a task holds at a time is one
+    output. With ``together`` it gets the whole series of a batch as they follow
+    each other, and where each one starts. A series must fit into a task; what a task holds at a time is one
     batch and the series that it ends in.
     """
     rows = spread(df, *keys).sortWithinPartitions(*keys, *order)
@@ -55,7 +56,9 @@ def map_runs(
         columns = {c: _array(table[c]) for c in inputs}
         ends = [*starts[1:].tolist(), table.num_rows]
         parts: dict[str, list[np.ndarray]] = {c: [] for c in outputs}
-        for a, b in zip(starts.tolist(), ends):
+        if together:
+            parts = {c: [v] for c, v in fn(columns, starts).items()}
+        for a, b in [] if together else zip(starts.tolist(), ends):
             for c, v in fn({k: v[a:b] for k, v in columns.items()}).items():
                 parts[c].append(v)
         for c in outputs:
