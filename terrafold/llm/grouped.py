@@ -19,14 +19,14 @@ Both verify on whole sets, which are made once, for the nodes of groups alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrafold.llm.common import batches
 from terrafold.llm.graph import components
 from terrafold.plans.ordered import spread
 from terrafold.session import cut_lineage
@@ -36,7 +36,7 @@ BLOCK, BLOCK_SHINGLES = 256, 100_000
 #: Rounds of leaders at most; they go on while some group leaves more searchers than this.
 ROUNDS, SEARCHERS = 4, 2048
 
-#: Rows that reach Python together: pairs of sets, and pairs of blocks, of about two megabytes each.
+#: Rows that reach Python together: pairs of sets, and pairs of blocks, of about two megabytes each; rows that hold many sets are large.
 PAIR_ROWS, BLOCK_ROWS = 1000, 16
 
 #: For two matrices of sketches: for each row of the first, how likely each row of the second is alike, below 0 if not at all.
@@ -46,18 +46,6 @@ Alike = Callable[[int, np.ndarray, np.ndarray], np.ndarray]
 Frames = Callable[[DataFrame], DataFrame]
 
 
-@contextmanager
-def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for what is run inside; rows that hold many sets are large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _groups(nodes: DataFrame) -> DataFrame:
     """(key, node, lead, n) for the keys that at least two nodes share; of groups with the same members one is taken."""
     entries = nodes.select("node", F.explode("keys").alias("key"))
@@ -161,7 +149,7 @@ def _verified(pairs: DataFrame, own: DataFrame, likely: Likely, alike: Alike) ->
 
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut_lineage(both(pairs, "sketch").where(near("_a", "_b")).select("a", "b"))
-    with _batches(pairs.sparkSession, PAIR_ROWS):
+    with batches(pairs.sparkSession, PAIR_ROWS):
         return cut_lineage(both(pairs, "hashes").where(same("_a", "_b")).select("a", "b"))
 
 
@@ -192,7 +180,7 @@ def _by_blocks(parted: DataFrame, own: DataFrame, likely: Likely, alike: Alike,
     told = met.select(F.col("s.node").alias("s"), F.col("m.node").alias("m"), found("s.code", "s.sketch", "s.hashes", "m.code", "m.sketch", "m.hashes").alias("f"))
     pairs = told.select("s", "m", F.explode("f").alias("p"))
     pairs = pairs.select(F.get("s", F.col("p.i")).alias("a"), F.get("m", F.col("p.j")).alias("b"))
-    with _batches(pairs.sparkSession, BLOCK_ROWS):
+    with batches(pairs.sparkSession, BLOCK_ROWS):
         return cut_lineage(pairs)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrafold.llm import grouped
-from terrafold.llm.common import body, key_id
+from terrafold.llm.common import TEXT_ROWS, batches, body, key_id
 from terrafold.llm.graph import components
 from terrafold.session import cut_lineage
 
@@ -188,13 +188,15 @@ _PRINT = T.StructType().add("set", T.BinaryType()).add("size", T.LongType()).add
 
 def _prints(texts: str, words: int) -> Column:
     @F.pandas_udf(_PRINT)
-    def prints(texts: pd.Series) -> pd.DataFrame:
-        sets, out = Sets(words), []
-        for t in texts:
-            s = sets.of(t)
-            regs = registers(s)
-            out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), regs.tobytes(), band_keys(regs)))
-        return pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        sets = Sets(words)
+        for part in parts:
+            out = []
+            for t in part:
+                s = sets.of(t)
+                regs = registers(s)
+                out.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), regs.tobytes(), band_keys(regs)))
+            yield pd.DataFrame(out, columns=["set", "size", "sketch", "keys"])
 
     return prints(texts)
 
@@ -206,10 +208,11 @@ def alike(size: int, sizes: np.ndarray, both: np.ndarray, percent: int = PERCENT
 
 def _hashes(texts: str, words: int) -> Column:
     @F.pandas_udf(T.StructType().add("set", T.BinaryType()).add("hashes", T.BinaryType()))
-    def hashes(texts: pd.Series) -> pd.DataFrame:
+    def hashes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sets = Sets(words)
-        all_ = [sets.of(t).tobytes() for t in texts]
-        return pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
+        for part in parts:
+            all_ = [sets.of(t).tobytes() for t in part]
+            yield pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
 
     return hashes(texts)
 
@@ -232,6 +235,11 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empt
     bands and the estimate's slack can lose a link: a pair at the limit with a
     chance of about 1e-6, at 80 percent of 7e-5.
     """
+    with batches(docs.sparkSession, TEXT_ROWS):
+        return _near_dedup(docs, percent, words, empty_alike)
+
+
+def _near_dedup(docs: DataFrame, percent: int, words: int, empty_alike: bool) -> DataFrame:
     texts = docs.select(key_id().alias("id"), body().alias("text"))
     prints = cut_lineage(texts.withColumn("_p", _prints("text", words)).select("id", "_p.*"))
     some = prints.where("size > 0")
