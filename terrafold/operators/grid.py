@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrafold.plans.ordered import spread
+from terrafold.plans.ordered import dealt, spread
 from terrafold.session import cut_lineage
 
 
@@ -45,36 +45,49 @@ def nearest_cell(
 ) -> DataFrame:
     """Nearest cell of ``cells`` to each point, both in cell units.
 
-    First ``rings`` growing neighbourhoods are searched: at bucket size s the
-    3 x 3 buckets around a point hold every cell closer than s, so a hit below
-    s is final. Points that are still unmatched go down a pyramid of occupied
-    boxes, so that they meet few cells however dense the cells are. Ties go to
-    the smaller (cy, cx). Points without coordinates, or without any cell to
-    find, come back with nulls.
+    Each distinct position is searched once. First ``rings`` growing
+    neighbourhoods are tried: at bucket size s the 3 x 3 buckets around a point
+    hold every cell closer than s, so a hit below s is final. A bucket carries
+    the cells of its neighbourhood as an array, so a point stays one row. Points
+    that are still unmatched go down a pyramid of occupied boxes, so that they
+    meet few cells however dense the cells are. Ties go to the smaller (cy, cx).
+    Points without coordinates, or without any cell to find, come back with nulls.
     """
     c = F.col
+    at = ["_px", "_py"]
     all_points = points.select(*keys, c(px).cast("double").alias("_px"), c(py).cast("double").alias("_py"))
-    todo = all_points.dropna(subset=["_px", "_py"])
-    cand = cells.select("cx", "cy", *carry)
+    todo = cut_lineage(all_points.dropna(subset=at).select(*at).distinct())
+    cand = cut_lineage(cells.select("cx", "cy", *carry))
+    n = max(todo.count(), 9 * cand.count())
     d2 = (c("cx") - c("_px")) ** 2 + (c("cy") - c("_py")) ** 2
     best = F.min_by(F.struct("cx", "cy", *carry, d2.alias("_d2")), F.struct(d2, "cy", "cx")).alias("_b")
+    found = ["cx", "cy", *carry, "_d2"]
+
+    def nearest(cell: Column) -> Column:
+        d = (cell["cx"] - c("_px")) ** 2 + (cell["cy"] - c("_py")) ** 2
+        return F.struct(d.alias("_d2"), *[cell[k].alias(k) for k in ("cy", "cx", *carry)])
+
     done: DataFrame | None = None
     size = start
     for _ in range(rings):
         b = lambda v: F.floor(v / size)
-        around = (
-            todo.withColumn("_dx", F.explode(_offsets(1))).withColumn("_dy", F.explode(_offsets(1)))
-            .withColumns({"_bx": b(c("_px")) + c("_dx"), "_by": b(c("_py")) + c("_dy")})
+        reached = (
+            cand.withColumn("_dx", F.explode(_offsets(1))).withColumn("_dy", F.explode(_offsets(1)))
+            .select((b(c("cx")) + c("_dx")).alias("_bx"), (b(c("cy")) + c("_dy")).alias("_by"), F.struct(*cand.columns).alias("_c"))
         )
-        near = around.join(cand.withColumns({"_bx": b(c("cx")), "_by": b(c("cy"))}), ["_bx", "_by"])
-        hit = cut_lineage(near.groupBy(*keys).agg(best).where(c("_b._d2") < float(size) ** 2))
+        # at most 9 s^2 cells of a grid
+        near = dealt(reached, n, "_bx", "_by").groupBy("_bx", "_by").agg(F.collect_set("_c").alias("_cells")).hint("merge")
+        own = dealt(todo.select(*at, b(c("_px")).alias("_bx"), b(c("_py")).alias("_by")), n, "_bx", "_by")
+        met = own.join(near, ["_bx", "_by"], "left").select(*at, F.array_min(F.transform("_cells", nearest)).alias("_b"))
+        met = cut_lineage(met.withColumn("_hit", F.coalesce(c("_b._d2") < float(size) ** 2, F.lit(False))))
+        hit = met.where("_hit").select(*at, F.struct(*[c(f"_b.{k}").alias(k) for k in found]).alias("_b"))
         done = hit if done is None else done.unionByName(hit)
-        todo = cut_lineage(todo.join(hit.select(*keys), keys, "left_anti"))
+        todo = met.where("NOT _hit").select(*at)
         size *= growth
-    far = _descend(todo, keys, cand, start, growth).join(cand.withColumns({"_bx": F.floor(c("cx") / start), "_by": F.floor(c("cy") / start)}), ["_bx", "_by"])
-    far = far.groupBy(*keys).agg(best)
+    far = _descend(todo, at, cand, start, growth).join(cand.withColumns({"_bx": F.floor(c("cx") / start), "_by": F.floor(c("cy") / start)}), ["_bx", "_by"])
+    far = far.groupBy(*at).agg(best)
     done = far if done is None else done.unionByName(far)
-    return all_points.join(done, keys, "left").select(
+    return dealt(all_points, all_points.count(), *at).join(done, at, "left").select(
         *keys, *[c(f"_b.{k}").alias(k) for k in ("cx", "cy", *carry)], F.sqrt("_b._d2").alias("distance")
     )
 
@@ -118,6 +131,7 @@ def fill_nearest(cells: DataFrame, label: str) -> DataFrame:
     Only labelled cells next to a cell that is unlabelled or absent can be
     nearest to anything, so just that rim is searched.
     """
+    cells = dealt(cells, cells.count(), "cx", "cy")
     have = cells.where(F.col(label).isNotNull())
     votes = (
         have.withColumn("_dx", F.explode(_offsets(1))).withColumn("_dy", F.explode(_offsets(1)))

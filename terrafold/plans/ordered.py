@@ -32,6 +32,19 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols)
 
 
+#: Rows of a task where their number is known. They are sorted and joined several times over within it.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+    """Hash-partition by ``cols`` into as many tasks as ``rows`` ask for.
+
+    Shuffle partitions are merged by their compressed bytes, so that rows that
+    compress to little (cells, regular axes) would all be sorted in one task.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *cols)
+
+
 def carry(
     df: DataFrame,
     keys: list[str],
@@ -105,15 +118,16 @@ def running_sum(
 
 
 def with_halo(
-    df: DataFrame, keys: list[str], chunk: str, reach: Column, halo: str = "_halo"
+    df: DataFrame, keys: list[str], chunk: str, reach: Column, halo: str = "_halo", rows: int = 0
 ) -> DataFrame:
     """Copy rows near a chunk's end into the next chunk.
 
     ``reach`` is the chunk of the last row that may look back at this one. Run
     windows over (keys, ``halo``) and keep rows with ``halo`` equal to
-    ``chunk``.
+    ``chunk``. ``rows``, if known, sets the number of tasks.
     """
-    return df.withColumn(halo, F.explode(F.array_distinct(F.array(F.col(chunk), reach)))).repartition(*keys, halo)
+    wide = df.withColumn(halo, F.explode(F.array_distinct(F.array(F.col(chunk), reach))))
+    return dealt(wide, rows, *keys, halo) if rows else wide.repartition(*keys, halo)
 
 
 #: Bits of a value's order-preserving number that the two coarser levels leave out.
