@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.plans.ordered import spread
 from terrafold.session import cut_lineage
 
 from terrafold.functions import timeparts as tp
@@ -117,8 +118,10 @@ def crop_c_by_beta(
 
     The candidates are aggregate columns of one group-by, so the rows are
     neither multiplied nor re-read; only the crop-level result is unpivoted.
+    Rows move before they get a column for each candidate: a pixel has few, so
+    partial sums would be as many as the rows and far wider.
     """
-    v = df.where(F.col(fc).isNotNull() & F.col(ei).isNotNull())
+    v = spread(df.where(F.col(fc).isNotNull() & F.col(ei).isNotNull()).select(*dict.fromkeys([*keys, crop, fc, ei])), *keys)
     nums = [F.sum(slr(F.col(fc), b) * F.col(ei)).alias(f"_n{i}") for i, b in enumerate(betas)]
     px = v.groupBy(*keys).agg(F.sum(ei).alias("_d"), *nums).where(F.col("_d") > 0)
     means = px.groupBy(crop).agg(*[F.avg(F.col(f"_n{i}") / F.col("_d")).alias(f"_c{i}") for i in range(len(betas))])
