@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import timeparts as tp
+from terrafold.plans.ordered import dealt
+from terrafold.session import cut_lineage
 
 X0, Y0 = 500_000, 5_200_000
 NODATA = 65535
@@ -39,10 +41,13 @@ def rain_dry(spark, sf) -> DataFrame:
     """Finer stations on the full axis; slots without rows are dry, not missing."""
     obs = rain_gappy(spark, sf, F.floor(F.col("user_id") / 5)).withColumn("seen", F.lit(1))
     span = obs.groupBy("station").agg(F.min("minute").alias("a"), F.max("minute").alias("b"))
+    span = cut_lineage(span)
+    rows = int(span.agg(F.sum((F.col("b") - F.col("a")) / 10 + 1)).first()[0] or 0)
     axis = span.select(
         "station", F.explode(F.sequence("a", "b", F.lit(10).cast("long"))).alias("minute")
     )
-    return axis.join(obs, ["station", "minute"], "left").select(
+    # the axis compresses to next to nothing, so its tasks follow from its rows
+    return dealt(axis, rows, "station", "minute", wide=True).join(obs, ["station", "minute"], "left").select(
         "station", "minute",
         F.when(F.col("seen").isNull(), F.lit(0.0)).otherwise(F.col("rain")).alias("rain"),
     )

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.functions import timeparts as tp
-from terrafold.plans.ordered import carry, running_sum, spread, top_n, with_halo, with_totals
+from terrafold.plans.ordered import carry, dealt, running_sum, spread, top_n, with_halo, with_totals
+from terrafold.session import cut_lineage
 
 STEP = 10  # minutes per row
 CHUNK_STEPS = 30 * 144  # rows per chunk: 30 days
@@ -31,16 +32,26 @@ def clean_columns(df: DataFrame, time: str = "time", rename: dict[str, str] | No
     return out
 
 
-def regularize(df: DataFrame, key: str = "station", time: str = "minute", value: str = "rain", step: int = STEP) -> DataFrame:
+def span_of(df: DataFrame, key: str = "station", time: str = "minute", value: str = "rain", step: int = STEP) -> tuple[DataFrame, int]:
+    """First and last time of each series, one row each, and how many rows their axes have together."""
+    span = cut_lineage(df.groupBy(key).agg(F.min(time).alias("t_first"), F.max(time).alias("t_last")))
+    return span, int(span.agg(F.sum((F.col("t_last") - F.col("t_first")) / step + 1)).first()[0] or 0)
+
+
+def regularize(
+    df: DataFrame, key: str = "station", time: str = "minute", value: str = "rain", step: int = STEP, known: tuple[DataFrame, int] | None = None
+) -> DataFrame:
     """One row per step between the first and the last time of each series.
 
     Equal times keep their largest value; times off the axis are dropped. The
     axis is generated chunk by chunk on the executors, then merged with the
-    observations in the same shuffle that arranges rows by (key, chunk).
+    observations in the same shuffle that arranges rows by (key, chunk). Its
+    tasks follow from the axes' rows (``known``, or else ``span_of``), since a
+    regular axis compresses to next to nothing.
     """
+    span, rows = known or span_of(df, key, time, value, step)
     size = step * CHUNK_STEPS
     chunk = lambda m: F.floor(m / size)
-    span = df.groupBy(key).agg(F.min(time).alias("t_first"), F.max(time).alias("t_last"))
     chunks = span.withColumn("chunk", F.explode(F.sequence(chunk(F.col("t_first")), chunk(F.col("t_last")))))
     begin = F.greatest(
         F.col("t_first"), F.col("t_first") + F.ceil((F.col("chunk") * size - F.col("t_first")) / step) * step
@@ -53,7 +64,7 @@ def regularize(df: DataFrame, key: str = "station", time: str = "minute", value:
     )
     nothing = F.lit(None).cast("long")
     obs = df.select(key, chunk(F.col(time)).alias("chunk"), time, value, nothing.alias("t_first"), nothing.alias("t_last"))
-    both = axis.unionByName(obs).repartition(key, "chunk")
+    both = dealt(axis.unionByName(obs), rows, key, "chunk", wide=True)
     return (
         both.groupBy(key, "chunk", time)
         .agg(F.max(value).alias(value), F.max("t_first").alias("t_first"), F.max("t_last").alias("t_last"))
@@ -134,11 +145,11 @@ def unit_energy(rain: Column, step: int = STEP) -> Column:
     return F.when(rain >= 0.1, 0.29 * (1 - 0.72 * F.exp(-0.05 * intensity))).otherwise(F.lit(0.0))
 
 
-def i30(events: DataFrame, key: str = "station", time: str = "minute", value: str = "rain", step: int = STEP) -> DataFrame:
+def i30(events: DataFrame, key: str = "station", time: str = "minute", value: str = "rain", step: int = STEP, rows: int = 0) -> DataFrame:
     """Peak 30-minute intensity ending at each row, not reaching into another event."""
     n = max(1, 30 // step)
     size = step * CHUNK_STEPS
-    h = with_halo(events, [key], "chunk", F.floor((F.col(time) + (n - 1) * step) / size))
+    h = with_halo(events, [key], "chunk", F.floor((F.col(time) + (n - 1) * step) / size), rows=rows)
     w = Window.partitionBy(key, "_halo", "event_id").orderBy(time).rowsBetween(-(n - 1), 0)
     return (
         h.withColumn("I30", F.sum(value).over(w) * 2)
@@ -161,8 +172,9 @@ def event_stats(rows: DataFrame, key: str = "station", time: str = "minute", val
 
 
 def events_from_series(obs: DataFrame, **kw) -> DataFrame:
-    """Series to event table in one lazy chain."""
-    return event_stats(i30(rain_events(regularize(obs, **kw), **kw), **kw), **kw)
+    """Series to event table, in one chain once the series' spans are known."""
+    known = span_of(obs, **kw)
+    return event_stats(i30(rain_events(regularize(obs, **kw, known=known), **kw), **kw, rows=known[1]), **kw)
 
 
 def ei_daily(events: DataFrame, key: str = "station") -> DataFrame:

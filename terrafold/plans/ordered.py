@@ -36,13 +36,17 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 TASK_ROWS = 250_000
 
 
-def dealt(df: DataFrame, rows: int, *cols: str) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *cols: str, wide: bool = False) -> DataFrame:
     """Hash-partition by ``cols`` into as many tasks as ``rows`` ask for.
 
     Shuffle partitions are merged by their compressed bytes, so that rows that
     compress to little (cells, regular axes) would all be sorted in one task.
+    With ``wide`` there are at least the session's shuffle partitions, so that a
+    join with an aggregate does not deal the rows anew.
     """
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *cols)
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions")) if wide else 1
+    return df.repartition(max(spark.sparkContext.defaultParallelism, least, -(-rows // TASK_ROWS)), *cols)
 
 
 def carry(
@@ -127,7 +131,7 @@ def with_halo(
     ``chunk``. ``rows``, if known, sets the number of tasks.
     """
     wide = df.withColumn(halo, F.explode(F.array_distinct(F.array(F.col(chunk), reach))))
-    return dealt(wide, rows, *keys, halo) if rows else wide.repartition(*keys, halo)
+    return dealt(wide, rows, *keys, halo, wide=True) if rows else wide.repartition(*keys, halo)
 
 
 #: Bits of a value's order-preserving number that the two coarser levels leave out.
