@@ -22,6 +22,9 @@ def normalize_fractions(
 
     parts = {c: clip(c) for c in cols}
     total = sum(parts.values(), F.lit(0.0))
+    if zero_sum is None and (upper is None or upper >= 0):
+        # filters copy these expressions whole, and methods over 8 KB are not compiled: the sum is told once a column
+        return df.withColumns({f"{c}{suffix}": F.try_divide(parts[c], total) for c in cols})
     fallback = F.lit(zero_sum).cast("double")
     return df.withColumns(
         {

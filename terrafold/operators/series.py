@@ -161,45 +161,35 @@ def savgol(series: DataFrame, keys: list[str], values: list[str], window: int =
     """Savitzky-Golay smoothing by row position, edges from the edge polynomial.
 
     Each row is a weighted sum of its neighbours; the weights depend on the
-    series' length and on the row's distance from both ends. A series has one
-    row per day at most, so its window is bounded. The fractions are
+    series' length and on the row's distance from both ends. All series of a
+    batch are smoothed together (``savgol_fit``). The fractions are
     renormalised afterwards. Series shorter than any usable window keep their
     values.
     """
-    w = Window.partitionBy(*keys).orderBy("day")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    reach, half = range(1 - window, window), window // 2
-    near = {o: f"_{o + window}" for o in reach}
-    here = F.struct(*values)
-    rows = series.select(*keys, "day", *values).withColumns(
-        {"_i": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole)}
-        | {c: F.lead(here, o).over(w) if o > 0 else F.lag(here, -o).over(w) if o < 0 else here for o, c in near.items()}
-    )
-    # most rows have the whole window around them, and its weights are fixed; the rest need their place in a window that may be shorter
-    inner = (F.col("_n") >= window) & (F.col("_i") >= half) & (F.col("_i") < F.col("_n") - half)
-    size = F.lit(window)
-    for n in range(window - 1, 0, -1):
-        size = F.when(F.col("_n") == n, F.lit(savgol_window(window, order, n))).otherwise(size)
-    rows = rows.withColumns({"_inner": inner, "_k": F.when(~inner, size)})
-    first = F.greatest(F.lit(0), F.least(F.col("_i") - F.floor(F.col("_k") / 2), F.col("_n") - F.col("_k")))
-    rows = rows.withColumn("_p", (F.col("_i") - first).cast("int"))
-    table = F.lit(None).cast("array<double>")
-    for k in sorted({savgol_window(window, order, n) for n in range(1, window + 1)}):
-        # by offset to the row, zero outside the window
-        shifted = [[r[o + p] if 0 <= o + p < k else 0.0 for o in reach] for p, r in enumerate(savgol_weights(k, order))]
-        by_place = F.array(*[F.array(*map(F.lit, r)) for r in shifted])
-        table = F.when(F.col("_k") == k, F.get(by_place, F.col("_p"))).otherwise(table)
-    rows = rows.withColumn("_w", table)
-    fixed = savgol_weights(window, order)[half]
-
-    def smooth(v: str) -> Column:
-        middle = sum((F.col(near[o])[v] * fixed[o + half] for o in range(-half, half + 1)), F.lit(0.0))
-        total = sum((F.col("_w")[j] * F.coalesce(F.col(near[o])[v], F.lit(0.0)) for j, o in enumerate(reach)), F.lit(0.0))
-        return F.when(F.col("_inner"), middle).when(F.col("_n") < F.col("_k"), F.col(v)).otherwise(total)
-
-    rows = rows.select(*keys, "day", *[smooth(v).alias(v) for v in values])
-    total = F.nullif(sum((F.col(v) for v in values), F.lit(0.0)), F.lit(0.0))
-    return rows.select(*keys, "day", *[F.try_divide(F.col(v), total).alias(v) for v in values])
+    new = {v: f"_{v}" for v in values}
+
+    def fit(c: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        s = _whole(savgol_fit(np.column_stack([c[v] for v in values]), starts, window, order))
+        return {new[v]: s[:, j] for j, v in enumerate(values)}
+
+    rows = series.select(*keys, "day", *[F.col(v).cast("double").alias(v) for v in values])
+    out = map_runs(rows, keys, ["day"], values, fit, dict.fromkeys(new.values(), "double"), together=True)
+    return out.select(*keys, "day", *[F.nanvl(n, F.lit(None)).alias(v) for v, n in new.items()])
+
+
+def savgol_fit(y: np.ndarray, starts: np.ndarray, window: int, order: int) -> np.ndarray:
+    """Smoothed rows of the series that begin at ``starts``; a column for each value."""
+    length = np.diff(np.append(starts, len(y)))
+    size = np.array([savgol_window(window, order, n) for n in range(window + 1)])[np.minimum(length, window)]
+    n, k, start = (np.repeat(a, length) for a in (length, size, starts))
+    at = np.arange(len(y)) - start
+    first = np.clip(at - k // 2, 0, np.maximum(n - k, 0))
+    out = y.copy()
+    for w in np.unique(size):
+        rows = np.flatnonzero((k == w) & (n >= k))
+        weights = np.array(savgol_weights(int(w), order))[(at - first)[rows]]
+        out[rows] = sum((weights[:, [j]] * y[(start + first)[rows] + j] for j in range(w)), np.zeros((1, 1)))
+    return out
 
 
 #: Entries of the arrays that a fit holds at a time.
@@ -346,19 +336,38 @@ def interpolate_at(smooth: DataFrame, keys: list[str], values: list[str], at: Da
     values; days of the series itself keep theirs. Series without any day in
     ``smooth`` have no result.
     """
-    ahead = _w(keys).rowsBetween(Window.unboundedPreceding, 0)
-    # looking forward is looking back along the reversed order
-    back = Window.partitionBy(*keys).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    known = smooth.select(*keys, "day", F.struct(F.col("day").alias("d"), *values).alias("_k"))
-    rows = known.unionByName(at.select(*keys, "day").distinct().withColumn("_at", F.lit(True)), allowMissingColumns=True)
-    rows = rows.groupBy(*keys, "day").agg(F.max("_k").alias("_k"), F.max("_at").alias("_at"))
-    rows = rows.withColumns({"_p": F.last("_k", True).over(ahead), "_n": F.last("_k", True).over(back)}).where("_at")
-    p, n = F.coalesce("_p", "_n"), F.coalesce("_n", "_p")
-    span = F.datediff(n["d"], p["d"])
-    share = F.coalesce(F.try_divide(F.datediff("day", p["d"]), span), F.lit(0.0))
-    rows = rows.where(p.isNotNull()).select(*keys, "day", *[(p[v] + share * (n[v] - p[v])).alias(v) for v in values])
-    total = F.nullif(sum((F.col(v) for v in values), F.lit(0.0)), F.lit(0.0))
-    return rows.select(*keys, "day", *[F.try_divide(F.col(v), total).alias(v) for v in values])
+    rows = smooth.select(*keys, "day", *[F.col(v).cast("double").alias(v) for v in values], F.lit(0.0).alias("_at"))
+    rows = rows.unionByName(at.select(*keys, "day", F.lit(1.0).alias("_at")), allowMissingColumns=True)
+    new = {v: f"_{v}" for v in values}
+
+    def fit(c: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        wanted, s = _between(c["day"], c["_at"] == 1, np.column_stack([c[v] for v in values]), starts)
+        return {"_wanted": wanted} | {new[v]: s[:, j] for j, v in enumerate(values)}
+
+    # a day of the series comes before the same day of ``at``
+    told = {"_wanted": "boolean"} | dict.fromkeys(new.values(), "double")
+    out = map_runs(rows, keys, ["day", "_at"], ["day", "_at", *values], fit, told, together=True)
+    return out.where("_wanted").select(*keys, "day", *[F.nanvl(n, F.lit(None)).alias(v) for v, n in new.items()])
+
+
+def _between(day: np.ndarray, asked: np.ndarray, y: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are the first of their day that is ``asked`` for, and their values from the rows around them that are not."""
+    n, place = len(day), np.arange(len(day))
+    start = np.repeat(starts, np.diff(np.append(starts, n)))
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    before = np.maximum.accumulate(np.where(asked, -1, place))
+    after = np.minimum.accumulate(np.where(asked, n, place)[::-1])[::-1]
+    has, more = before >= start, after < end
+    after = np.where(more & ~(has & (day[before] == day)), after, before)
+    before = np.where(has, before, after)
+    again = (place > start) & (day == np.roll(day, 1)) & np.roll(asked, 1)
+    wanted = asked & ~again & (has | more)
+    p, q, d = before[wanted], after[wanted], day[wanted]
+    span = day[q] - day[p]
+    share = np.where(span > 0, (d - day[p]) / np.where(span > 0, span, 1), 0.0)[:, None]
+    out = np.full(y.shape, np.nan)
+    out[wanted] = _whole(y[p] + share * (y[q] - y[p]))
+    return wanted, out
 
 
 # --- Kalman filters ----------------------------------------------------------
