@@ -11,6 +11,7 @@ from terrafold.catalog.timeseries import KEYS, V, daily, norm, text_day, with_sd
 from terrafold.functions import timeparts as tp
 from terrafold.operators import cover, gapfill, grid, learn, rain, sampling, spatial, spectra, stats
 from terrafold.plans import features
+from terrafold.session import cut_lineage
 from terrafold.sources import tables as io
 
 # --- GP gap filling ----------------------------------------------------------
@@ -263,9 +264,18 @@ query(
 )(lambda s, d: features.target_join(feature_parts(s, d)[1], feature_parts(s, d)[3], ["cell"]))
 
 
+def climate_parts(g):
+    """Daily and monthly features of a daily grid; the months' sums and maxima come from one grouping."""
+    day = rain.doy_climatology(g, ["cell"], "prec").withColumnRenamed("prec", "prec_daily_avg")
+    return day, [rain.month_climatology(g, ["cell"], "prec", ["sum", "max"])]
+
+
 def table_of_features(s, d):
-    st, day, mon, target = feature_parts(s, d)
-    return features.feature_table(st, day, mon, ["cell"], target)
+    static, _, _, target = feature_parts(s, d)
+    # written, so that its size is known: only cells with a target have rows, and the others need no features
+    target = cut_lineage(target)
+    g = t.grid_daily(s, d).join(target.select("cell").distinct(), "cell", "left_semi")
+    return features.feature_table(static, *climate_parts(g), ["cell"], target)
 
 
 query(
@@ -287,13 +297,17 @@ def labelled(s, d):
     return learn.split_by_group(x, COARSE, 0.2, seed=4)
 
 
-def holdout_scores(s, d, kind, **kw):
-    x = labelled(s, d)
+def holdout_scores(x, kind, **kw):
     m = learn.fit_regressor(x.where("split = 'train'"), XS, "EI_daily_avg", kind, **kw)
     test = learn.grid_predict(m, x.where("split = 'test'").select("cell", "doy", *XS, "EI_daily_avg"), "predicted_EI_daily_avg")
     return stats.regression_scores(test, [], "EI_daily_avg", "predicted_EI_daily_avg").withColumn("model", F.lit(kind))
 
 
+def both_kinds(s, d):
+    x = cut_lineage(labelled(s, d))  # fits and scores of both kinds read it
+    return sampling.union_all(holdout_scores(x, "rf", numTrees=20, maxDepth=5), holdout_scores(x, "gbt", maxIter=10, maxDepth=3))
+
+
 def tuned(s, d):
     train = labelled(s, d).where("split = 'train'")
     return learn.tune_regressor(train, XS, "EI_daily_avg", "cell", [3, 5], [10, 20], folds=5)
@@ -301,18 +315,15 @@ def tuned(s, d):
 
 def whole_grid(s, d):
     """Every cell and day that has features, with or without a gauge."""
-    static, day, months, _ = feature_parts(s, d)
-    return features.feature_table(static, day, months, ["cell"]).dropna(subset=XS)
+    static, _, _, _ = feature_parts(s, d)
+    # no model takes the share of the year
+    return features.feature_table(static, *climate_parts(t.grid_daily(s, d)), ["cell"], fraction=False).dropna(subset=XS)
 
 
 SPLIT = """SELECT cell, doy, CASE WHEN CAST('0x' || substr(md5('4|' || (cell % 50) // 5 || '|' || cell // 250), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2
     THEN 'test' ELSE 'train' END AS split FROM ffull"""
 query("model_split", SPLIT, tables=FEAT)(lambda s, d: labelled(s, d).select("cell", "doy", "split"))
-query("fit_regressor")(
-    lambda s, d: sampling.union_all(
-        holdout_scores(s, d, "rf", numTrees=20, maxDepth=5), holdout_scores(s, d, "gbt", maxIter=10, maxDepth=3)
-    )
-)
+query("fit_regressor")(both_kinds)
 query("tune_regressor")(lambda s, d: tuned(s, d)[0])
 
 

@@ -266,14 +266,16 @@ def doy_climatology(df: DataFrame, keys: list[str], value: str, day: str = "day"
     return d.groupBy(*keys, "doy").agg(F.avg(value).alias(value))
 
 
-def month_climatology(df: DataFrame, keys: list[str], value: str, reduce: str = "sum", day: str = "day") -> DataFrame:
+def month_climatology(df: DataFrame, keys: list[str], value: str, reduce: str | list[str] = "sum", day: str = "day") -> DataFrame:
     """Reduce within each month, then average the months over the years.
 
-    With ``min`` or ``max`` this is the mean of yearly extremes.
+    With ``min`` or ``max`` this is the mean of yearly extremes. Several
+    reductions give a column each.
     """
-    fn = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg}[reduce]
-    per = df.groupBy(*keys, F.year(day).alias("_y"), F.month(day).alias("month")).agg(fn(value).alias("_v"))
-    return per.groupBy(*keys, "month").agg(F.avg("_v").alias(f"monthly_{reduce}"))
+    fns = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg}
+    names = [reduce] if isinstance(reduce, str) else reduce
+    per = df.groupBy(*keys, F.year(day).alias("_y"), F.month(day).alias("month")).agg(*[fns[n](value).alias(f"_{n}") for n in names])
+    return per.groupBy(*keys, "month").agg(*[F.avg(f"_{n}").alias(f"monthly_{n}") for n in names])
 
 
 def month_expand(df: DataFrame, month: str = "month") -> DataFrame:

@@ -27,19 +27,19 @@ def target_join(features: DataFrame, target: DataFrame, keys: list[str]) -> Data
     return features.join(target, [*keys, "doy"], "inner")
 
 
-def derived(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Cyclic encodings and the day's share of the annual precipitation."""
+def derived(df: DataFrame, keys: list[str], fraction: bool = True) -> DataFrame:
+    """Cyclic encodings and, with ``fraction``, the day's share of the annual precipitation, whose totals make all rows twice."""
     ds, dc = indices.cyclic_day(F.col("doy"))
     as_, ac = indices.cyclic_aspect(F.col("aspect"))
     x = df.withColumns({"sin_doy": ds, "cos_doy": dc, "aspect_sin": as_, "aspect_cos": ac})
-    return group_fraction(x, keys, "prec_daily_avg", "prec_daily_fraction")
+    return group_fraction(x, keys, "prec_daily_avg", "prec_daily_fraction") if fraction else x
 
 
 def feature_table(
-    static: DataFrame, daily: DataFrame, monthly: list[DataFrame], keys: list[str], target: DataFrame | None = None
+    static: DataFrame, daily: DataFrame, monthly: list[DataFrame], keys: list[str], target: DataFrame | None = None, fraction: bool = True
 ) -> DataFrame:
     """Static, daily, monthly and derived features per (cell, day of year)."""
     f = month_from_daily_join(daily, outer_feature_join(monthly, [*keys, "month"]), keys).join(static, keys, "left")
     if target is not None:
         f = target_join(f, target, keys)
-    return derived(f, keys)
+    return derived(f, keys, fraction)
