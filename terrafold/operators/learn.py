@@ -57,14 +57,15 @@ def tune_regressor(
     parallelism: int = 4,
 ) -> tuple[DataFrame, PipelineModel]:
     """Mean RMSE of a parameter grid, with folds that keep a group whole, and the best model fitted to all rows."""
-    groups = shuffled_index(df.select(group).distinct(), [], [group], 7, "_fold")
+    # the groups, their folds and every fit read it again, so the features are made once
+    rows = cut_lineage(with_label(df, label, log).select(*features, "_label", F.col(group).alias("_group")))
+    groups = shuffled_index(rows.select("_group").distinct(), [], ["_group"], 7, "_fold")
     folds = min(folds, groups.count())
     if folds < 2:
         raise ValueError("tuning needs two groups at least")
     # dealt out in turn, so that no fold is empty
-    dealt = groups.select(F.col(group).alias("_group"), F.pmod("_fold", F.lit(folds)).cast("int").alias("_fold"))
-    train = with_label(df, label, log).join(dealt, F.col(group).eqNullSafe(F.col("_group")))
-    # every fit reads it again, so the features are made once
+    dealt = groups.select(F.col("_group").alias("_dealt"), F.pmod("_fold", F.lit(folds)).cast("int").alias("_fold"))
+    train = rows.join(dealt, F.col("_group").eqNullSafe(F.col("_dealt")))
     train = cut_lineage(train.select(*features, "_label", "_fold"))
     pipe = make_pipeline(features, label, "rf")
     rf = pipe.getStages()[-1]
