@@ -77,21 +77,6 @@ def _parted(held: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(now.join(main, "key"))
 
 
-class Forest:
-    """Components that grow together while a block is worked through."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def top(self, c: int) -> int:
-        while (u := self.up.get(c, c)) != c:
-            c = u
-        return c
-
-    def join(self, a: int, b: int) -> None:
-        self.up[self.top(a)] = self.top(b)
-
-
 class Postings:
     """The hashes of several sets in one ascending array, each with the set it is from."""
 
@@ -113,15 +98,19 @@ def _joined(a: list, b: list, likely: Likely, alike: Alike) -> list[tuple[int, i
     """Index pairs of searchers ``a`` and members ``b`` (component, sketch, set) that are alike and join two components."""
     sketches = [np.frombuffer(b"".join(bytes(x[1]) for x in s), np.uint16).reshape(len(s), -1) for s in (a, b)]
     members = Postings([np.frombuffer(x[2], np.uint64) for x in b])
-    codes, out, forest = np.array([x[0] for x in b]), [], Forest()
+    # components of the block's codes so far, as a label of each; a pair within one needs no look at its sets
+    label, code = np.unique(np.array([x[0] for x in [*a, *b]]), return_inverse=True)
+    label, own_code, codes = np.arange(len(label)), code[: len(a)], code[len(a) :]
+    out = []
     for i, score in enumerate(likely(*sketches)):
-        near = (score >= 0) & (codes != a[i][0])
+        mine = own_code[i]
+        near = (score >= 0) & (label[codes] != label[mine])
         if not near.any():
             continue
         own = np.frombuffer(a[i][2], np.uint64)
         for j in np.flatnonzero(near & alike(len(own), members.sizes, members.shared(own))).tolist():
-            if forest.top(a[i][0]) != forest.top(b[j][0]):
-                forest.join(a[i][0], b[j][0])
+            if label[codes[j]] != label[mine]:
+                label[label == label[mine]] = label[codes[j]]
                 out.append((i, j))
     return out
 
@@ -161,6 +150,8 @@ def _by_blocks(parted: DataFrame, own: DataFrame, likely: Likely, alike: Alike,
         rows = (_joined(list(zip(*r[:3])), list(zip(*r[3:])), likely, alike) for r in zip(sc, sk, ss, mc, mk, ms))
         return pd.Series([[{"i": i, "j": j} for i, j in r] for r in rows], dtype=object)
 
+    # else the filter that an explode implies goes below the shuffle, and every block is worked through twice, first where the join left it
+    found = found.asNondeterministic()
     seeks = F.col("comp") != F.col("main")
     one = parted.select("key", "node", F.xxhash64("comp").alias("code"), seeks.alias("seeks"))
     one = one.join(own.select("node", F.octet_length("hashes").alias("bytes")), "node")

@@ -214,7 +214,7 @@ def _hashes(texts: str, words: int) -> Column:
             all_ = [sets.of(t).tobytes() for t in part]
             yield pd.DataFrame({"set": [xxhash.xxh3_128_digest(s) for s in all_], "hashes": all_})
 
-    return hashes(texts)
+    return hashes.asNondeterministic()(texts)  # else the join's filter on the set hashes every text once more
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empty_alike: bool = False) -> DataFrame:
