@@ -28,8 +28,11 @@ WORDS = 3
 PERCENT = 85
 BUCKET_BITS, MANTISSA_BITS = 8, 10
 BUCKETS = 1 << BUCKET_BITS
-#: Bands of registers: a pair of resemblance 0.85 agrees in none with a chance of 8e-7, one of 0.3 in some with 0.06.
-BANDS, BAND_ROWS = 24, 5
+#: Registers of a band, and the chance below which a pair at the limit may agree in no band, its registers taken as independent:
+#: 24 bands at 0.85. Those of small sets are not quite (an empty bucket borrows), so that at 0.8 of 24 bands 1e-4 of the pairs
+#: are lost in place of 7e-5, of 35 2e-6 in place of 9e-7, and of all 51 none of 666,667 drawn.
+BAND_ROWS, LOSS = 5, 1e-6
+BANDS = BUCKETS // BAND_ROWS
 #: An estimate may fall short of the limit by so many standard deviations before a pair is given up unverified.
 SLACK = 5.0
 EMPTY = np.uint16(0xFFFF)
@@ -37,7 +40,7 @@ EMPTY = np.uint16(0xFFFF)
 _rng = np.random.default_rng(12)
 #: Order in which an empty bucket looks for one to borrow from, as ranks; its own comes first.
 _RANK = np.argsort(np.argsort(_rng.random((BUCKETS, BUCKETS)) - np.eye(BUCKETS), axis=1), axis=1).astype(np.uint16)
-#: Which registers a band takes.
+#: Which registers the bands take, one band after the other.
 _BAND = _rng.permutation(BUCKETS)[: BANDS * BAND_ROWS]
 _SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9)
 
@@ -104,8 +107,14 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(order(a) >= order(b), a, b)
 
 
+def bands(percent: int, loss: float = LOSS) -> int:
+    """How many bands keep the chance of losing a pair of this resemblance below ``loss``, or all bands."""
+    few = np.log(loss) / np.log1p(-min(percent / 100, 1 - 1e-9) ** BAND_ROWS) if percent > 0 else np.inf
+    return int(min(np.ceil(few), BANDS))
+
+
 def band_keys(regs: np.ndarray) -> list[int]:
-    """One key for each band; none for an empty set. An empty bucket takes the register of
+    """One key for each of ``BANDS`` bands, of which a limit takes the first (``bands``); none for an empty set. An empty bucket takes the register of
     the first filled one in an order of its own, the same in every sketch, so
     that sets of few shingles have whole bands as well."""
     filled = np.flatnonzero(regs != EMPTY)
@@ -217,7 +226,7 @@ def _hashes(texts: str, words: int) -> Column:
     return hashes.asNondeterministic()(texts)  # else the join's filter on the set hashes every text once more
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empty_alike: bool = False) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empty_alike: bool = False, loss: float = LOSS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets
@@ -233,15 +242,44 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, empt
     and blocks (``grouped``) leave the pairs that may count, the estimate drops
     those far below the limit, and full sets decide on the others. Only the
     bands and the estimate's slack can lose a link: a pair at the limit with a
-    chance of about 1e-6, at 80 percent of 7e-5.
+    chance of about ``loss``, or the least that all bands give.
     """
+    told = _classes(docs, percent, words, loss)
+    if not empty_alike:
+        told = told.withColumn("component", F.when(F.col("size") > 0, F.col("component")).otherwise(F.col("id")))
+    return told.select("id", F.col("size").alias("n_shingles"), "component")
+
+
+def first_rows(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, loss: float = LOSS) -> DataFrame:
+    """Of each component of near copies (``near_dedup``, with texts without words alike) one row of ``docs``, all its columns kept.
+
+    It is a row of the smallest doc_id. Rows that share a doc_id are rows of their own:
+    of those that are near copies one stays, by its set and then its content, and others stay beside it.
+    """
+    told = cut_lineage(_classes(docs, percent, words, loss).select("id", "set", "class"))
+    first = told.groupBy("class").agg(F.min(F.struct("id", "set")).alias("f")).select("f.id", "f.set")
+    first = cut_lineage(first.join(told.groupBy("id").agg(F.count(F.lit(1)).alias("n")), "id"))
+    alone = first.where("n = 1").select(F.col("id").alias("_first"))
+    out = docs.join(alone, key_id() == alone["_first"], "left_semi")
+    several = first.where("n > 1").select("id", "set")
+    if several.isEmpty():
+        return out
+    rows = docs.select(F.struct("*").alias("row"), key_id().alias("id"), body().alias("text"))
+    rows = rows.join(several.select("id").distinct(), "id", "left_semi").select("row", "id", "text", _hashes("text", words)["set"].alias("set"))
+    order = F.struct("text", F.to_json("row"))
+    one = rows.join(several, ["id", "set"], "left_semi").groupBy("id", "set").agg(F.min_by("row", order).alias("row"))
+    return out.unionByName(one.select("row.*"))
+
+
+def _classes(docs: DataFrame, percent: int, words: int, loss: float) -> DataFrame:
+    """One row per row of ``docs``: id, size and set, component, and class, a number that no other component has (ids may repeat)."""
     with batches(docs.sparkSession, TEXT_ROWS):
-        return _near_dedup(docs, percent, words, empty_alike)
+        return _near_dedup(docs, percent, words, loss)
 
 
-def _near_dedup(docs: DataFrame, percent: int, words: int, empty_alike: bool) -> DataFrame:
+def _near_dedup(docs: DataFrame, percent: int, words: int, loss: float) -> DataFrame:
     texts = docs.select(key_id().alias("id"), body().alias("text"))
-    prints = cut_lineage(texts.withColumn("_p", _prints("text", words)).select("id", "_p.*"))
+    prints = cut_lineage(texts.withColumn("_p", _prints("text", words)).select("id", "_p.*").withColumn("keys", F.slice("keys", 1, bands(percent, loss))))
     some = prints.where("size > 0")
     nodes = some.groupBy("set").agg(F.min("id").alias("id"), F.min("sketch").alias("sketch"), F.any_value("keys").alias("keys"))
     nodes = cut_lineage(nodes.select(F.monotonically_increasing_id().alias("node"), "id", "set", "sketch", "keys"))
@@ -250,15 +288,17 @@ def _near_dedup(docs: DataFrame, percent: int, words: int, empty_alike: bool) ->
         """A node's set is made again from its text: texts are read twice, and move once, but are never written."""
         wanted = cut_lineage(nodes.select("node", "id", "set").join(used, "node", "left_semi"))
         rows = texts.join(wanted.select("id").distinct(), "id", "left_semi").select("id", _hashes("text", words).alias("h"))
-        return rows.select("id", "h.set", "h.hashes").join(wanted, ["id", "set"]).groupBy("node").agg(F.any_value("hashes").alias("hashes"))
+        # a node has one id and set: what repeats is left out before the join, so that sets move once
+        once = rows.select("id", "h.set", "h.hashes").groupBy("id", "set").agg(F.any_value("hashes").alias("hashes"))
+        return once.join(wanted, ["id", "set"]).select("node", "hashes")
 
     links = grouped.links(nodes, lambda a, b: likely(a, b, percent), lambda n, m, both: alike(n, m, both, percent), sets)
     found = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     rooted = nodes.join(found, nodes.node == found.member, "left").select("set", "id", F.coalesce("root", "node").alias("root"))
     rooted = cut_lineage(rooted)
     labels = rooted.select("set", "root").join(cut_lineage(rooted.groupBy("root").agg(F.min("id").alias("component"))), "root")
-    out = some.select("id", "size", "set").join(cut_lineage(labels.select("set", "component")), "set").select("id", "size", "component")
+    labels = cut_lineage(labels.select("set", "component", F.col("root").alias("class")))
+    out = some.select("id", "size", "set").join(labels, "set").select("id", "size", "set", "component", "class")
     bare = prints.where("size = 0")
-    first = bare.agg(F.min("id")).scalar() if empty_alike else F.col("id")
-    out = out.union(bare.select("id", "size", first.alias("component")))
-    return out.withColumnRenamed("size", "n_shingles")
+    first = bare.agg(F.min("id")).scalar()
+    return out.union(bare.select("id", "size", "set", first.alias("component"), F.lit(-1).cast("long")))
