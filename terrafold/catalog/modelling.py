@@ -54,7 +54,7 @@ def first_pixel(s, d):
 
 
 query("gapfill_gp_target")(lambda s, d: text_day(gapfill.gapfill_gp(pixels(s, d), FIELD, PIX, targets=first_pixel(s, d))))
-query("gapfill_gp_median")(lambda s, d: text_day(gapfill.gapfill_gp_median(pixels(s, d), pixels(s, d), FIELD, PIX)))
+query("gapfill_gp_median")(lambda s, d: text_day(gapfill.gapfill_gp_median(pixels(s, d), None, FIELD, PIX)))
 query("gapfill_gp_doy")(lambda s, d: text_day(gapfill.gapfill_gp_doy(daily(s, d), KEYS, V, max_gap=6)))
 query("gapfill_gp_doy_space")(lambda s, d: text_day(gapfill.gapfill_gp_doy(pixels(s, d), FIELD, V, space=PIX)))
 

@@ -11,6 +11,7 @@ shuffled, and what a prediction needs of a field is one small matrix.
 
 from __future__ import annotations
 
+from functools import reduce
 from types import SimpleNamespace
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrafold.operators.series import alr, alr_inverse, fill_dates
+from terrafold.operators.series import EPS, alr, alr_inverse, fill_dates
 from terrafold.plans.ordered import exact_quantiles, spread, with_totals
 from terrafold.plans.runs import map_runs
 from terrafold.session import cut_lineage
@@ -34,6 +35,8 @@ CANDIDATES = 2000
 MOST_POINTS = 1500
 #: Rows and points of a field together up to which one task fits it whole, as arrays.
 SMALL = 500
+#: Rows of a field, raw and clean, up to which one task takes all of them for its median series; some 50 bytes each, a few times over.
+WHOLE = 200_000
 # Noise of the log-ratios as a share of their variance, and its limits.
 NOISE_SHARE, NOISE_LIMITS = 0.05, (1e-4, 0.5)
 
@@ -421,13 +424,103 @@ def weighted_quantiles(values: np.ndarray, times: np.ndarray, probs: tuple[float
     return low + (high - low) * (at - np.floor(at))
 
 
-def gapfill_gp_median(raw: DataFrame, clean: DataFrame, field: list[str], pixel: list[str]) -> DataFrame:
+def gapfill_gp_median(raw: DataFrame, clean: DataFrame | None, field: list[str], pixel: list[str], whole: int = WHOLE) -> DataFrame:
     """GP on the field's median series plus each pixel's mean log-ratio offset.
 
-    Predicts every raw (pixel, day); log-ratios are clamped to the median
-    series' range widened by half on both sides.
+    Predicts every raw (pixel, day) from the ``clean`` rows, or, without them, from
+    the raw ones, which are then made once; log-ratios are clamped to the median
+    series' range widened by half on both sides. Fields of up to ``whole`` rows, raw and
+    clean ones counted, move once and are fitted by one task as arrays, larger ones by groupings and joins.
     """
     V = ["pv", "npv", "soil"]
+    keys = [*field, *pixel, "day"]
+    at, known = F.lit(True).alias("_at"), F.lit(True).alias("_known")
+    if clean is None:
+        both = raw.select(*keys, *V, at, known)
+    else:
+        rows = raw.select(*keys, *[F.lit(None).cast("double").alias(v) for v in V], at, F.lit(False).alias("_known"))
+        both = rows.unionByName(clean.select(*keys, *[F.col(v).cast("double").alias(v) for v in V], F.lit(False).alias("_at"), known))
+    both = cut_lineage(both.dropna(subset=[*field, "day"]))  # equal to nothing, so in no field and on no day
+    large = cut_lineage(both.groupBy(*field).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > whole).select(*field))
+    # arrays hold nulls as NaN; what is NaN itself is above all values, to the median and to the log-ratios, and so is infinity
+    small = both.join(large, field, "left_anti").select(
+        *keys, "_at", "_known", *[F.nanvl(v, F.lit(float("inf"))).alias(v) for v in V],
+        F.xxhash64(F.lit(0), *pixel).alias("_pixel"), reduce(Column.__or__, [F.col(c).isNull() for c in pixel], F.lit(False)).alias("_nowhere"),
+    )
+    told = dict.fromkeys(["_ca", "_cb", "fc_quality_flag"], "double")
+    done = map_runs(small, field, ["day"], ["day", "_pixel", "_nowhere", "_at", "_known", *V], _median_fit, told).where("_at")
+    done = done.where(~F.isnan("_ca"))
+    p, n, so = alr_inverse(F.col("_ca"), F.col("_cb"))
+    result = [*keys, p.alias("pv"), n.alias("npv"), so.alias("soil"), F.col("fc_quality_flag").cast("int").alias("fc_quality_flag")]
+    done = done.select(*result)
+    if large.isEmpty():
+        return done
+    rest = both.join(large, field, "left_semi")
+    return done.unionByName(_median_by_joins(rest.where("_at"), rest.where("_known"), field, pixel).select(*done.columns))
+
+
+def _median_fit(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What ``_median_by_joins`` does, for one field's rows as they are ordered by day."""
+    n = len(c["day"])
+    out = {k: np.full(n, np.nan) for k in ("_ca", "_cb", "fc_quality_flag")}
+    at, known = c["_at"].astype(bool), c["_known"].astype(bool)
+    values = np.column_stack([c[v] for v in ("pv", "npv", "soil")])
+    valid = known & ~np.isnan(values).all(1)
+    days, day = np.unique(c["day"], return_inverse=True)
+    medians = np.column_stack([_medians(values[valid, k], day[valid], len(days)) for k in range(3)])
+    seen = np.bincount(day[valid], minlength=len(days)) > 0
+    rows = np.bincount(day[at], minlength=len(days))
+    if seen.sum() < 3 or not at.any():
+        return out
+    y = _ratios(medians[seen])
+    t = days.astype(float)[:, None]
+    m, s = t[seen].mean(), max(t[seen].std(), 1.0)
+    told = rows > 0
+    mean, sd = gp_predict((t[seen] - m) / s, y, np.full(len(y), 0.05), (t[told] - m) / s, rbf)
+    # quantiles over rows: a day counts once per pixel observed on it
+    unc = np.sqrt((sd * sd).sum(1))
+    flag = np.full(len(days), np.nan)
+    flag[told] = (unc[:, None] > weighted_quantiles(unc, rows[told], (0.8, 0.95))).sum(1)
+    series = np.full((len(days), 2), np.nan)
+    series[told] = mean
+    # a pixel's mean distance from the medians of its own days
+    off = known & seen[day] & ~c["_nowhere"].astype(bool)
+    from_median = np.full((len(days), 2), np.nan)
+    from_median[seen] = y
+    pixels, pixel = np.unique(c["_pixel"], return_inverse=True)
+    apart = _ratios(values[off]) - from_median[day[off]]
+    times = np.maximum(np.bincount(pixel[off], minlength=len(pixels)), 1)
+    offset = np.column_stack([np.bincount(pixel[off], apart[:, k], len(pixels)) for k in range(2)]) / times[:, None]
+    offset = np.where(c["_nowhere"].astype(bool)[:, None], 0.0, offset[pixel])
+    low, high = y.min(0), y.max(0)
+    ratio = np.clip(series[day] + offset, low - 0.5 * (high - low), high + 0.5 * (high - low))
+    out["_ca"][at], out["_cb"][at] = ratio[at].T
+    out["fc_quality_flag"][at] = flag[day[at]]
+    return out
+
+
+def _ratios(values: np.ndarray) -> np.ndarray:
+    """``alr`` of columns pv, npv, soil; a missing fraction counts as the least one, as it does there."""
+    v = np.where(np.isnan(values), EPS, np.clip(values, EPS, 1 - EPS))
+    return np.log(v[:, :2] / v[:, 2:])
+
+
+def _medians(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    """Median of each of ``n`` groups' values that are not missing, NaN where there is none."""
+    some = ~np.isnan(values)
+    values, group = values[some], group[some]
+    values = values[np.lexsort((values, group))]
+    size = np.bincount(group, minlength=n)
+    end = np.cumsum(size)
+    out, full = np.full(n, np.nan), size > 0
+    start, size = (end - size)[full], size[full]
+    out[full] = 0.5 * values[start + (size - 1) // 2] + 0.5 * values[start + size // 2]
+    return out
+
+
+def _median_by_joins(raw: DataFrame, clean: DataFrame, field: list[str], pixel: list[str]) -> DataFrame:
+    """``gapfill_gp_median`` for fields of any size: only their days and their pixels' offsets are held whole."""
+    V = ["pv", "npv", "soil"]
     a, b = alr(F.col("pv"), F.col("npv"), F.col("soil"))
     # a group is a field's pixels on one day, so its values may meet in one buffer
     med = clean.where(F.coalesce(*V).isNotNull()).groupBy(*field, "day").agg(*[F.percentile(v, F.lit(0.5)).alias(v) for v in V])
