@@ -62,7 +62,8 @@ def _around_leads(held: DataFrame, found: DataFrame) -> DataFrame:
     met = held.join(pair, (F.least("lead", "node") == F.col("_a")) & (F.greatest("lead", "node") == F.col("_b")), "left")
     with_lead = (F.col("node") == F.col("lead")) | F.col("_a").isNotNull()
     now = cut_lineage(met.select("key", "node", F.when(with_lead, F.col("lead")).otherwise(F.col("node")).alias("comp"), F.col("lead").alias("main")))
-    return now.join(cut_lineage(now.where("comp <> main").select("key").distinct()), "key", "left_semi")
+    # read several times over
+    return cut_lineage(now.join(cut_lineage(now.where("comp <> main").select("key").distinct()), "key", "left_semi"))
 
 
 def _parted(held: DataFrame, links: DataFrame) -> DataFrame:
